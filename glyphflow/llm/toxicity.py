@@ -52,7 +52,7 @@ def _distinct(doc, bucket):
     return (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32)
 
 
-def fit_rows(texts: list[str | None], toxic: list[int], min_docs: int = 4, min_ratio: float = 0.7, penalty: float = 1e-3, steps: int = 300):
+def fit_rows(texts: list[str | None], toxic: list[int], min_docs: int = 4, min_ratio: float = 0.7, penalty: float = 5e-4, steps: int = 300):
     """(buckets, weights, intercept) of the classifier."""
     import numpy as np
 
@@ -79,7 +79,7 @@ def fit_rows(texts: list[str | None], toxic: list[int], min_docs: int = 4, min_r
     for t in range(1, steps + 1):  # Adam on the full batch
         z = bias + np.bincount(doc, weights=(v * scale)[at], minlength=len(y))
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.bincount(at, weights=err[doc], minlength=len(v)) * scale + penalty * v / len(v)
+        g = np.bincount(at, weights=err[doc], minlength=len(v)) * scale + penalty * v
         gb = err.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
         v -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
