@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import decontam, neardup, packing, toxicity
+from glyphflow.llm import decontam, licenses, neardup, packing, toxicity
 from glyphflow.llm._common import table
 
 
@@ -28,6 +28,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -48,7 +53,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_packing": op3_packing, "op7_decontamination": op7_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_packing": op3_packing, "op6_licenses": op6_licenses, "op7_decontamination": op7_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
