@@ -1,11 +1,12 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A document is the set of its distinct word shingles. Each set has a row of *path tokens* (32-bit minwise values)
-and a *sketch* (a byte of each of 64 more). In every tree a set starts at the root and descends along chosen tokens: a node picks one or two
-of the path tokens (which ones depends on the node alone), and all sets with the same value there go to the same
-child. Sets of Jaccard similarity 0.8 share each value with probability 0.8, sets of nothing in common hardly ever.
-A node of at most ``LEAF`` sets stops and compares its sets exhaustively; larger ones branch on. Independent trees
-repeat this until a pair at the threshold is missed with probability ``1 - recall`` at most.
+A document is the set of its distinct word shingles. Each set has a row of *path tokens* (32-bit minwise values) and
+a *sketch* (a byte of each of 64 more). In every tree a set starts at the root and descends along chosen tokens. The
+root takes two tokens of its own at once, so that sets with one common shingle don't meet; below it, a node picks
+one or two tokens (which ones depends on the node alone). Sets with the same values go to the same child: sets of
+Jaccard similarity 0.8 share each value with probability 0.8, sets of nothing in common hardly ever. A node of at
+most ``LEAF`` sets stops and compares its sets exhaustively; larger ones branch on. Independent trees repeat this
+until a pair at the threshold is missed with probability ``1 - recall`` at most.
 
 Order of work, all of it in DataFrames over shuffles:
 
@@ -214,31 +215,35 @@ def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """rep, label: for every end of a link (a, b), the smallest end that it reaches. Contracts until no link is left."""
-    links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = checkpointed(links)
-    names = checkpointed(links.select(F.col("a").alias("rep")).union(links.select("b")).distinct().withColumn("label", F.col("rep")))
+    """rep, label: for every end of a link (a, b), the smallest end that it reaches.
+
+    Each round sends every end to the least of itself and its neighbours and contracts the links accordingly, until
+    none is left. After the first round, "least" goes by a hash that changes with the round, so a long chain in order
+    of its ids takes logarithmically many rounds too.
+    """
+    links = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    names = links.select(F.col("a").alias("rep")).union(links.select("b")).distinct().withColumn("at", F.col("rep"))
+    turn = 0
     while not links.isEmpty():
+        rank = (lambda c: F.col(c)) if turn == 0 else (lambda c, k=turn: F.xxhash64(c, F.lit(k)))
         both = links.union(links.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("to"))
-        low = checkpointed(low)
-        hop = low.select(F.col("v").alias("to"), F.col("to").alias("then"))
-        low = checkpointed(low.join(hop, "to").select("v", F.col("then").alias("to")))  # a step of pointer jumping
-        names = checkpointed(names.join(low.withColumnRenamed("v", "label"), "label", "left").select("rep", F.coalesce("to", "label").alias("label")))
-        ends = links.join(low.withColumnRenamed("v", "a"), "a").select(F.col("to").alias("x"), "b")
-        ends = ends.join(low.withColumnRenamed("v", "b"), "b").select("x", F.col("to").alias("y"))
+        near = both.groupBy(F.col("a").alias("v")).agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
+        to = checkpointed(near.select("v", F.when(F.col("m.r") < rank("v"), F.col("m.to")).otherwise(F.col("v")).alias("to")))
+        names = names.join(to.withColumnRenamed("v", "at"), "at", "left").select("rep", F.coalesce("to", "at").alias("at"))
+        ends = links.join(to.withColumnRenamed("v", "a"), "a").select(F.col("to").alias("x"), "b")
+        ends = ends.join(to.withColumnRenamed("v", "b"), "b").select("x", F.col("to").alias("y"))
         links = checkpointed(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return names
+        turn += 1
+    names = checkpointed(names)
+    least = names.groupBy("at").agg(F.min("rep").alias("label"))
+    return checkpointed(names.join(least, "at").select("rep", "label"))
 
 
 def trees_for(recall: float, share: tuple[int, int]) -> int:
-    """Trees for which a pair at the threshold, followed to the third level, is missed with 1 - recall at most."""
+    """Trees for which a pair at the threshold, followed to the third token, is missed with 1 - recall at most."""
     j = share[0] / share[1]
-    found = 1.0
-    for _ in range(2):
-        found = 0.5 * (1 - (1 - j * found)) + 0.5 * (1 - (1 - j * found) ** 2)
-    miss = (1 - j * found) ** 2
-    return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+    found = j * j * (0.5 * j + 0.5 * (1 - (1 - j) ** 2))
+    return min(TOKENS // 2, max(1, math.ceil(math.log(1 - recall) / math.log(1 - found))))
 
 
 def _pick(node: Column, k: int) -> Column:
@@ -271,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     known = sets.where("fp is not null and doc_id is not null")
     classes = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
     trees = trees_for(recall, share)
-    roots = F.array(*[F.xxhash64(F.lit(c // 2), F.lit(c), F.get("tokens", F.lit(c % TOKENS))) for c in range(2 * trees)])
+    roots = F.array(*[F.xxhash64(F.lit(t), F.get("tokens", F.lit(2 * t)), F.get("tokens", F.lit(2 * t + 1))) for t in range(trees)])
     paths = classes.select("rep", F.explode(roots).alias("node"))
     found, dense, labels, stars = [], [], None, None
     for depth in range(1, DEPTH + 1):

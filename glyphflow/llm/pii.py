@@ -31,29 +31,41 @@ CANDIDATE = r"(?<![A-Za-z0-9._%+@/#-])[A-Za-z._%+@/#-]*+[0-9][A-Za-z0-9._%+@/#-]
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
+MATCH = "array<struct<start:long,end:long,s:string,before:string,after:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often and in whatever lambda the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array of (start, end, s, before, after): matches in code points, end exclusive, with the texts around them."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start:long,end:long,s:string,before:string,after:string>>)")
-
-    def step(done: Column, pair: Column) -> Column:
-        start = F.when(F.size(done) > 0, F.element_at(done, -1)["end"]).otherwise(F.lit(0).cast("long")) + F.length(pair["before"])
-        one = F.struct(start.cast("long").alias("start"), (start + F.length(pair["s"])).cast("long").alias("end"), pair["s"].alias("s"), pair["before"].alias("before"), pair["after"].alias("after"))
-        return F.concat(done, F.array(one))
-
-    # the fold appends, so it is run on slices of bounded length and the slices are shifted afterwards
-    pairs = F.transform(found, lambda s, i: F.struct(s.alias("s"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
-    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 64).cast("int")), lambda k: F.aggregate(F.slice(pairs, k * 64 + 1, 64), empty, step))
-    shifted = F.aggregate(
-        slices,
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<struct<start:long,end:long,s:string,before:string,after:string>>>)").alias("parts")),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.element_at(part, -1)["end"]).alias("at"),
-            F.concat(acc["parts"], F.array(F.transform(part, lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["s"].alias("s"), m["before"].alias("before"), m["after"].alias("after"))))).alias("parts"),
-        ),
-        lambda acc: F.flatten(acc["parts"]),
-    )
-    return F.when(F.size(found) > 0, shifted).otherwise(empty)
+    empty = F.expr(f"cast(array() as {MATCH})")
+
+    def place(at: Column, p: Column) -> Column:
+        start = at + F.length(p["before"])
+        return F.struct(start.alias("start"), (start + F.length(p["s"])).alias("end"), p["s"].alias("s"), p["before"].alias("before"), p["after"].alias("after"))
+
+    def step(done: Column, p: Column) -> Column:
+        at = F.when(F.size(done) > 0, F.element_at(done, -1)["end"]).otherwise(F.lit(0).cast("long"))
+        return F.concat(done, F.array(place(at, p)))
+
+    # a fold that appends copies what it has, so it runs over slices of 64 matches, which are shifted afterwards
+    def shift(acc: Column, part: Column) -> Column:
+        moved = F.transform(part, lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["s"].alias("s"), m["before"].alias("before"), m["after"].alias("after")))
+        return F.struct((acc["at"] + F.element_at(part, -1)["end"]).alias("at"), F.concat(acc["parts"], F.array(moved)).alias("parts"))
+
+    def placed(pairs: Column) -> Column:
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 64).cast("int")), lambda k: F.aggregate(F.slice(pairs, k * 64 + 1, 64), empty, step))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{MATCH}>)").alias("parts"))
+        return F.aggregate(slices, start, shift, lambda acc: F.flatten(acc["parts"]))
+
+    def read(v: Column) -> Column:
+        pairs = F.transform(v["found"], lambda s, i: F.struct(s.alias("s"), F.get(v["pieces"], i).alias("before"), F.get(v["pieces"], i + 1).alias("after")))
+        return F.when(F.size(v["found"]) > 0, _let(pairs, placed)).otherwise(empty)
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces")), read)
 
 
 def _valid(kind: str, s: Column) -> Column:
@@ -107,7 +119,7 @@ def discover(found: DataFrame, rounds: int = 3, min_known: int = 3, min_share: f
     for _ in range(rounds):
         marked = graph.join(known, "inst", "left")
         believed = marked.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k")).where((F.col("k") >= min_known) & (F.col("k") >= min_share * F.col("n")))
-        belief = believed.select("context", F.log(1 - F.least(F.col("k") / F.col("n"), F.lit(0.99)) * (1 - F.exp2(-F.col("k")))).alias("doubt"))
+        belief = believed.select("context", F.log(1 - F.least(F.col("k") / F.col("n"), F.lit(0.99)) * (1 - F.pow(F.lit(2.0), -F.col("k")))).alias("doubt"))
         told = graph.join(belief, "context").groupBy("inst").agg(F.sum("doubt").alias("doubt")).where(F.col("doubt") <= F.log(F.lit(1 - min_belief)))
         known = seeds.union(told.select("inst", F.lit(True).alias("known"))).distinct()
     return known.join(seeds.select("inst"), "inst", "left_anti").select("inst")

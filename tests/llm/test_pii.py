@@ -51,9 +51,6 @@ def test_bootstrap_and_redaction(spark):
     cut = [(r.doc_id, r.text) for r in pii.redact(df).collect()]
     assert len(cut) == len(rows) and dict(cut)[0] == "word00x customer reach [EMAIL] today said member0"
     assert dict(cut)[52] == "x [CARD] y" and dict(cut)[54] is None and pii.redact(df).columns == df.columns
-    # a context that seeds alone have shared so far vouches for candidates of the same make-up
-    more = [(100 + i, f"reach a{i}b.c@mail.example{i}.com today") for i in range(20)] + [(200, "reach a.b77@mail7example.x9@y.zz today")]
-    assert pii.find(spark.createDataFrame(more, "doc_id long, text string")).count() == 21
     assert pii.find(df.limit(0)).collect() == [] and pii.redact(df.limit(0)).collect() == []
 
 
