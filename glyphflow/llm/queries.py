@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import ann, decontam, licenses, neardup, packing, pii, toxicity
+from glyphflow.llm import ann, chat, decontam, langid, licenses, neardup, packing, pii, toxicity, warc
 from glyphflow.llm._common import table
 
 
@@ -34,6 +34,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.spelt(F.col("base")), 256).alias("base_sha256"), pii.spelt(F.col("spans")).alias("spans"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.withColumn("mask", mask)
+
+
+OP5_SQL = """
+WITH m AS (SELECT conv_id, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM m WHERE role <> 'system'),
+r AS (SELECT conv_id, segment, speaker, turn, role, body, role = speaker AS own, '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS head, body || '<|im_end|>' AS tail FROM m JOIN p ON conv_id IS NOT DISTINCT FROM c),
+o AS (SELECT *, sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS FIRST, role, body ROWS UNBOUNDED PRECEDING) - length(tail) - 1 AS s FROM r)
+SELECT conv_id, segment, speaker, count(*) AS n_turns, string_agg(head || tail || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS text, coalesce(string_agg(CASE WHEN own THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + length(tail) AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role, body), '') AS mask
+FROM o GROUP BY conv_id, segment, speaker
+"""
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -44,10 +60,21 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    found = langid.identify(table(spark, sf_dir, "pages"), model, "page_id", "html", url_col="url", html=True)
+    return found.select(F.col("id").alias("page_id"), "host", "declared", "text_lang", "lang", "confidence", "rejected")
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return found.withColumn("block", F.decode("block", "UTF-8"))
+
+
 #: Words as in the query; windows of 13 words or the whole shorter item; occurrences by comparing each document window.
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -63,8 +90,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_packing": op3_packing, "op4_pii": op4_pii, "op6_licenses": op6_licenses, "op7_decontamination": op7_decontamination, "op9_neighbours": op9_neighbours}
+    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_chat": op5_chat, "op6_licenses": op6_licenses, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_neighbours": op9_neighbours, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op5_chat": OP5_SQL, "op7_decontamination": OP7_SQL}
