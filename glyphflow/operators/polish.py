@@ -1,0 +1,80 @@
+"""Language-model steps around an injected client: batches, answers, validation, limits."""
+
+from __future__ import annotations
+
+import difflib
+import json
+import re
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Limits of the merge parameters.
+LIMITS = {"merge_max_gap_sec": (0.4, 15.0), "merge_min_ratio": (0.50, 0.98), "merge_min_overlap_len": (3, 22)}
+
+
+def clamp(params: dict) -> dict:
+    return {k: type(lo)(min(hi, max(lo, params[k]))) for k, (lo, hi) in LIMITS.items() if k in params}
+
+
+def close(a: dict, b: dict, ratio: float = 0.004, gap: float = 0.05) -> bool:
+    eps = {"merge_min_ratio": ratio, "merge_max_gap_sec": gap, "merge_min_overlap_len": 0}
+    return all(abs(a[k] - b[k]) <= eps[k] for k in LIMITS)
+
+
+def unfence(raw: str) -> str:
+    return re.sub(r"^\s*```[A-Za-z]*\s*|\s*```\s*$", "", raw)
+
+
+def answers(raw: str) -> dict[str, str]:
+    """id -> text of an answer with ``lines`` or ``items`` of ``text`` or ``fixed``."""
+    data = json.loads(unfence(raw))
+    return {str(r["id"]): str(r.get("text", r.get("fixed", ""))) for r in data.get("lines", data.get("items", []))}
+
+
+def problems(asked: dict[str, str], got: dict[str, str], words: Callable[[str], int] = lambda t: len(t.split())) -> list[str]:
+    """What is wrong with an answer: ids that differ, blanks, texts changed too much."""
+    out = [f"missing {k}" for k in sorted(asked.keys() - got.keys())] + [f"extra {k}" for k in sorted(got.keys() - asked.keys())]
+    for k in sorted(asked.keys() & got.keys()):
+        if not got[k].strip():
+            out.append(f"blank {k}")
+        elif difflib.SequenceMatcher(None, asked[k], got[k]).ratio() < (0.3 if words(asked[k]) <= 10 else 0.7):
+            out.append(f"changed {k}")
+    return out
+
+
+def polish(events: DataFrame, client: Callable[[str], str], batch: int = 40, rounds: int = 3) -> DataFrame:
+    """(seq, body) with bodies from the client. After the last round an answer counts as it is; an error keeps the originals."""
+    batch = min(120, max(1, batch))
+
+    def run(pages: Iterator) -> Iterator:
+        for pdf in pages:
+            for a in range(0, len(pdf), batch):
+                part = pdf.iloc[a : a + batch].copy()
+                asked, note, got = {str(s): b for s, b in zip(part["seq"], part["body"])}, [], {}
+                try:
+                    for _ in range(rounds):
+                        got = answers(client(json.dumps({"lines": [{"id": k, "text": v} for k, v in asked.items()], "feedback": note}, ensure_ascii=False)))
+                        note = problems(asked, got)
+                        if not note:
+                            break
+                except (ValueError, KeyError, TypeError, AttributeError):
+                    got = {}
+                part["body"] = [got.get(str(s), b) for s, b in zip(part["seq"], part["body"])]
+                yield part
+
+    return events.select(F.col("seq").cast("long"), "body").mapInPandas(run, "seq long, body string")
+
+
+def align(source: list[str], target: list[str]) -> tuple[list[str], list[str]]:
+    """Both sides in step: targets without source go, missing targets repeat the one before."""
+    a, b, last = [], [], ""
+    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, source, target, autojunk=False).get_opcodes():
+        if op == "insert":
+            continue
+        for k in range(i2 - i1):
+            last = target[j1 + k] if op != "delete" and j1 + k < j2 else last
+            a.append(source[i1 + k])
+            b.append(last)
+    return a, b
