@@ -55,12 +55,13 @@ def rank_prototypes(videos: DataFrame, id_col: str = "video_id", meta: dict[str,
 
 def rule(f: dict[str, Column]) -> Column:
     """(preset, confidence) of the first rule that holds, if it is sure enough to be returned; else null."""
+    is_ = lambda preset, sure: F.struct(F.lit(preset).alias("preset"), F.lit(sure).alias("confidence"))
     fired = (
-        F.when((f["motion"] < 0.02) & (f["cut_freq"] < 0.02) & (f["static"] > 0.80) & (f["spread"] < 0.25), F.struct(F.lit("surveillance").alias("preset"), F.lit(0.90).alias("confidence")))
-        .when((f["multi_font"] > 0.65) & (f["cut_freq"] > 0.25) & (f["spread"] > 0.50), F.struct(F.lit("variety_show"), F.lit(0.85)))
-        .when((f["motion"] > 0.20) & (f["cut_freq"] < 0.10) & (f["letterbox"] < 0.02) & (f["static"] < 0.15), F.struct(F.lit("gameplay"), F.lit(0.82)))
-        .when((f["text_density"] > 0.10) & (f["static"] > 0.50) & (f["motion"] > 0.02) & (f["motion"] < 0.12), F.struct(F.lit("education"), F.lit(0.82)))
-        .when((f["letterbox"] > 0.03) & (f["aspect"] > 1.7) & (f["motion"] > 0.05) & (f["motion"] < 0.30), F.struct(F.lit("film_tv"), F.lit(0.85)))
-        .when((f["static"] < 0.12) & (f["cut_freq"] < 0.05) & (f["fps"] >= 25) & (f["loc_entropy"] > 0.40), F.struct(F.lit("live_stream"), F.lit(0.80)))
+        F.when((f["motion"] < 0.02) & (f["cut_freq"] < 0.02) & (f["static"] > 0.80) & (f["spread"] < 0.25), is_("surveillance", 0.90))
+        .when((f["multi_font"] > 0.65) & (f["cut_freq"] > 0.25) & (f["spread"] > 0.50), is_("variety_show", 0.85))
+        .when((f["motion"] > 0.20) & (f["cut_freq"] < 0.10) & (f["letterbox"] < 0.02) & (f["static"] < 0.15), is_("gameplay", 0.82))
+        .when((f["text_density"] > 0.10) & (f["static"] > 0.50) & (f["motion"] > 0.02) & (f["motion"] < 0.12), is_("education", 0.82))
+        .when((f["letterbox"] > 0.03) & (f["aspect"] > 1.7) & (f["motion"] > 0.05) & (f["motion"] < 0.30), is_("film_tv", 0.85))
+        .when((f["static"] < 0.12) & (f["cut_freq"] < 0.05) & (f["fps"] >= 25) & (f["loc_entropy"] > 0.40), is_("live_stream", 0.80))
     )
     return F.when(fired["confidence"] >= 0.85, fired)

@@ -8,14 +8,14 @@ import numpy as np
 def polygon_mask(points: list[list[int]], h: int, w: int) -> np.ndarray:
     """Pixels of an h x w image inside the polygon, edges included (even-odd rule)."""
     yy, xx = np.mgrid[0:h, 0:w]
-    inside = np.zeros((h, w), bool)
+    inside, edge = np.zeros((h, w), bool), np.zeros((h, w), bool)
     p = np.asarray(points, float)
     for (x1, y1), (x2, y2) in zip(p, np.roll(p, -1, axis=0)):
         if y1 != y2:
             inside ^= ((y1 > yy) != (y2 > yy)) & (xx < (x2 - x1) * (yy - y1) / (y2 - y1) + x1)
         span = np.abs((x2 - x1) * (yy - y1) - (y2 - y1) * (xx - x1)) < 1e-9
-        inside |= span & (xx >= min(x1, x2)) & (xx <= max(x1, x2)) & (yy >= min(y1, y2)) & (yy <= max(y1, y2))
-    return inside
+        edge |= span & (xx >= min(x1, x2)) & (xx <= max(x1, x2)) & (yy >= min(y1, y2)) & (yy <= max(y1, y2))
+    return inside | edge
 
 
 def changed_share(a: np.ndarray, b: np.ndarray, delta: int = 10) -> float:

@@ -147,7 +147,16 @@ def indel_ratio(spark, sf):
     return s.select("roi", "seq", F.round(T.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query()  # the reader of the text in SQL would have to fold pairs of any length; tests use a plain loop
+@query(f"""WITH RECURSIVE {SUBS}, c AS (SELECT *, {CANON} AS a FROM subs), p AS (SELECT *, lag(a) OVER w AS b, lag(end_sec) OVER w AS p_end FROM c WINDOW w AS (PARTITION BY roi ORDER BY start_sec, seq)),
+q AS (SELECT roi, seq, a, b FROM p WHERE b <> '' AND a <> ''),
+r AS (SELECT roi, seq, a, b, 0 AS i, list_transform(range(0, length(b)), lambda j: CAST(0 AS BIGINT)) AS t FROM q
+UNION ALL SELECT roi, seq, a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: greatest(t[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: substr(b, CAST(k AS INT), 1) = substr(a, CAST(i + 1 AS INT), 1)), lambda k: CASE WHEN k = 1 THEN 0 ELSE t[k - 1] END + 1)), 0))) FROM r WHERE i < length(a)),
+m AS (SELECT roi, seq, contains(a, b) OR contains(b, a) OR 2.0 * t[length(b)] / (length(a) + length(b)) >= 0.78 AS alike FROM r WHERE i = length(a)),
+n AS (SELECT p.*, sum(CASE WHEN coalesce(alike, false) AND start_sec - p_end BETWEEN -0.12 AND 4.0 THEN 0 ELSE 1 END) OVER (PARTITION BY p.roi ORDER BY start_sec, p.seq ROWS UNBOUNDED PRECEDING) AS island FROM p LEFT JOIN m ON m.roi = p.roi AND m.seq = p.seq),
+v AS (SELECT roi, island, a, count(*) AS votes FROM n GROUP BY 1, 2, 3),
+w AS (SELECT roi, island, a FROM v QUALIFY row_number() OVER (PARTITION BY roi, island ORDER BY votes DESC, length(a) DESC, a) = 1),
+o AS (SELECT roi, island, body FROM n JOIN w USING (roi, island, a) QUALIFY row_number() OVER (PARTITION BY roi, island ORDER BY length(body) DESC, seq) = 1)
+SELECT roi, CAST(island AS BIGINT) AS island, CAST(min(start_sec) AS DOUBLE) AS start_sec, CAST(arg_max(end_sec, seq) AS DOUBLE) AS end_sec, 'Default' AS style, '' AS tags, o.body, count(*) AS n FROM n JOIN o USING (roi, island) GROUP BY roi, island, o.body""")
 def neighbour_merge(spark, sf):
     return merge.merge_neighbours(views.subtitles(spark, sf))
 
