@@ -101,6 +101,11 @@ def _shingled(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, fp binary, tokens array<int>, sketch binary")
 
 
+def _merge(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A shuffled join: both sides grow with the input, and a hot key is split at run time."""
+    return left.join(right.hint("merge"), on, how)
+
+
 class _Sets:
     """Union-find over positions."""
 
@@ -140,8 +145,8 @@ def _likely(members: list[dict], share: tuple[int, int]):
 
 def _clusters(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, share: tuple[int, int]) -> DataFrame:
     """cluster, rep, label: what of each group (g, rep) may hold new links; each cluster once."""
-    rows = groups.join(classes.select("rep", "n", "sketch"), "rep")
-    rows = rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")) if labels is not None else rows.withColumn("label", F.col("rep"))
+    rows = _merge(groups, classes.select("rep", "n", "sketch"), "rep")
+    rows = _merge(rows, labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")) if labels is not None else rows.withColumn("label", F.col("rep"))
     met = rows.groupBy("g").agg(F.collect_list(F.struct("rep", "n", "sketch", "label")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +183,7 @@ def _clusters(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, s
 
 
 def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """a, b: verified links that join each cluster as far as full sets do."""
+    """a, b: for each cluster, as far as verified links on full sets join it, the smallest rep and each other one."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +193,8 @@ def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     wanted = clusters.select("rep").distinct()
-    sets = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(fetch, "rep long, shingles binary")
-    rows = clusters.join(sets, "rep").join(classes.select("rep", "n", "sketch"), "rep")
+    sets = _merge(docs.select(F.col("doc_id").alias("rep"), "text"), wanted, "rep").select("rep", "text").mapInArrow(fetch, "rep long, shingles binary")
+    rows = _merge(_merge(clusters, sets, "rep"), classes.select("rep", "n", "sketch"), "rep")
     met = rows.groupBy("cluster").agg(F.collect_list(F.struct("rep", "n", "sketch", "label", "shingles")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +212,13 @@ def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if share[1] * both >= share[0] * (len(x) + len(y) - both):
                         joined.join(i, j)
-                        a.append(members[i]["rep"])
-                        b.append(members[j]["rep"])
+                least: dict[int, int] = {}
+                for i, m in enumerate(members):
+                    least[joined.root(i)] = min(m["rep"], least.get(joined.root(i), m["rep"]))
+                for i, m in enumerate(members):
+                    if least[joined.root(i)] != m["rep"]:
+                        a.append(least[joined.root(i)])
+                        b.append(m["rep"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return met.select("members").mapInArrow(run, "a long, b long").distinct()
@@ -229,14 +239,14 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select("b", "a"))
         near = both.groupBy(F.col("a").alias("v")).agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
         to = checkpointed(near.select("v", F.when(F.col("m.r") < rank("v"), F.col("m.to")).otherwise(F.col("v")).alias("to")))
-        names = names.join(to.withColumnRenamed("v", "at"), "at", "left").select("rep", F.coalesce("to", "at").alias("at"))
-        ends = links.join(to.withColumnRenamed("v", "a"), "a").select(F.col("to").alias("x"), "b")
-        ends = ends.join(to.withColumnRenamed("v", "b"), "b").select("x", F.col("to").alias("y"))
+        names = _merge(names, to.withColumnRenamed("v", "at"), "at", "left").select("rep", F.coalesce("to", "at").alias("at"))
+        ends = _merge(links, to.withColumnRenamed("v", "a"), "a").select(F.col("to").alias("x"), "b")
+        ends = _merge(ends, to.withColumnRenamed("v", "b"), "b").select("x", F.col("to").alias("y"))
         links = checkpointed(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
     names = checkpointed(names)
     least = names.groupBy("at").agg(F.min("rep").alias("label"))
-    return checkpointed(names.join(least, "at").select("rep", "label"))
+    return _merge(names, least, "at").select("rep", "label")
 
 
 def trees_for(recall: float, share: tuple[int, int]) -> int:
@@ -280,27 +290,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     paths = classes.select("rep", F.explode(roots).alias("node"))
     found, dense, labels, stars = [], [], None, None
     for depth in range(1, DEPTH + 1):
-        rows = stored(paths.join(_sized(paths), "node"), f"paths{depth}")
+        rows = stored(_merge(paths, _sized(paths), "node"), f"paths{depth}")
         found.append(rows.where(F.col("size") <= LEAF).select("node", "rep"))
         large = rows.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
         if depth == 1:
             pairs = large.where("rep <> leader").select("leader", "rep").distinct()
-            crowds = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader")
+            crowds = _merge(pairs, pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader")
             crowds = _blocks(crowds, "leader", "size")
             groups = crowds.select(F.xxhash64("leader", "block").alias("g"), "rep").union(crowds.select(F.xxhash64("leader", "block").alias("g"), F.col("leader").alias("rep")).distinct())
             stars = checkpointed(_links(checkpointed(_clusters(groups, classes, None, share)), classes, docs, width, share))
-            labels = components(stars)
-        named = large.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            labels = checkpointed(stars.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label")))
+        named = _merge(large, labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         # the largest component of each node, and how many sets lie outside it
         per = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("own"))
         top = per.groupBy("node").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("size")).select("node", F.col("top.label").alias("main"), (F.col("size") - F.col("top.own")).alias("others"), "size")
         top = checkpointed(top.where("others > 0").withColumn("ends", (F.col("others") <= F.greatest(F.lit(LEAF), F.col("size") / 16)) | F.lit(depth == DEPTH)))
-        named = named.select("node", "rep", "label").join(top, "node")
+        named = _merge(named.select("node", "rep", "label"), top, "node")
         dense.append(named.where("ends"))
+        if top.where(~F.col("ends")).isEmpty():
+            break
         # children: one or two tokens that the node picks
-        on = named.where(~F.col("ends")).select("node", "rep").join(classes.select("rep", "tokens"), "rep")
+        on = named.where(~F.col("ends")).select("node", "rep")
+        on = _merge(on, classes.select("rep", "tokens"), "rep")
         second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0
         child = lambda k: F.xxhash64("node", _pick(F.col("node"), k), F.get("tokens", _pick(F.col("node"), k)))
         paths = on.select("rep", F.explode(F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node")).distinct()
@@ -319,8 +332,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     if stars is not None:
         links = links.union(stars)
     named = components(links)
-    names = classes.select("fp", "rep").join(named, "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "fp").join(names, "fp", "left")
+    names = _merge(classes.select("fp", "rep"), named, "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
+    out = _merge(sets.select("doc_id", "n", "fp"), names, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
