@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import stored
+from glyphflow.llm._common import bounded_sample, stored
 from glyphflow.llm._html import language_of, text_of
 
 MAX_TRAIN, BITS, WEIGHT = 4000, 16, 60
@@ -39,7 +39,7 @@ def _grams(text: str):
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text", lang_col: str = "lang"):
     """(languages, log shares as bytes of a float32 matrix of languages x 2**BITS)."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sample = rows.select("text", "lang", F.xxhash64("text", "lang").alias("h")).orderBy("h").limit(max_train)
+    sample = bounded_sample(rows.select("text", "lang", F.xxhash64("text", "lang").alias("h")), "h", docs.count(), max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
