@@ -14,8 +14,8 @@ Order of work, all of it in DataFrames over shuffles:
 2. Large nodes of the first level are where crowds of near copies meet. Each member is compared with the leader of
    its node, which joins most of a crowd by as many comparisons as it has members. Members of one component need
    not meet again.
-3. Nodes branch until they are small, or hold one component only, or are one component with few others. The few
-   are then compared with all of the node, in blocks. Nothing is capped: blocks bound what a task holds, not what
+3. Nodes branch until they are small, or hold one component only, or half of them are one component. The others
+   are then compared with all of that crowd, once for all trees, in blocks. Blocks bound what a task holds, not what
    is compared.
 4. Groups compare sketches first; sets that may reach the threshold are fetched and compared exactly, on whole
    sets. Pairs that are joined already are skipped. No step lists all pairs of a group of copies.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from glyphflow.llm._common import checkpointed, shared_dir, stored
 
 TOKENS, SKETCH, SKETCH_MIN = 32, 64, 34
-LEAF = 48
+LEAF, CROWD = 48, 512  # sets of a leaf; of a block of a crowd
 DEPTH = 4
 #: A cluster with more shingles than this is compared pair by pair, so that a task holds two sets at a time.
 CLUSTER_SHINGLES = 2_000_000
@@ -136,13 +136,37 @@ def _likely(members: list[dict], share: tuple[int, int]):
         same = int((s[0] == s[1]).sum())
         ok = same >= SKETCH_MIN and label[0] != label[1] and share[1] * n.min() >= share[0] * n.max()
         return [(0, 1)] if ok else []
-    same = (s[:, None, :] == s[None, :, :]).sum(axis=2)
+    same = np.concatenate([(s[a : a + 64, None, :] == s[None, :, :]).sum(axis=2) for a in range(0, k, 64)])
     ok = (same >= SKETCH_MIN) & (label[:, None] != label[None, :]) & (share[1] * np.minimum.outer(n, n) >= share[0] * np.maximum.outer(n, n))
     i, j = np.nonzero(np.triu(ok, 1))
     order = np.argsort(-same[i, j], kind="stable")
     return list(zip(i[order].tolist(), j[order].tolist()))
 
 
+def _linked(members: list[dict], share: tuple[int, int]):
+    """Pairs of positions of different labels that full sets link. Intersections are counted for all pairs at once."""
+    import numpy as np
+
+    k = len(members)
+    size = np.array([m["n"] for m in members], np.int64)
+    _, column, held = np.unique(np.concatenate([np.frombuffer(m["shingles"], np.uint64) for m in members]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(k), size)
+    shared = held[column] > 1  # a shingle of one set alone is in no intersection
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((k, k), np.int64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        lo, hi = np.searchsorted(column, (at, at + 8192))
+        part = np.zeros((k, 8192), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        both += (part @ part.T).astype(np.int64)
+    label = np.array([m["label"] for m in members])
+    ok = (share[1] * both >= share[0] * (size[:, None] + size[None, :] - both)) & (label[:, None] != label[None, :])
+    i, j = np.nonzero(np.triu(ok, 1))
+    return zip(i.tolist(), j.tolist())
+
+
 def _clusters(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, share: tuple[int, int]) -> DataFrame:
     """cluster, rep, label: what of each group (g, rep) may hold new links; each cluster once."""
     rows = _merge(groups, classes.select("rep", "n", "sketch"), "rep")
@@ -198,20 +222,13 @@ def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     met = rows.groupBy("cluster").agg(F.collect_list(F.struct("rep", "n", "sketch", "label", "shingles")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             a, b = [], []
             for k in range(batch.num_rows):
                 members = [m for m in batch.column(0).slice(k, 1).to_pylist()[0] if len(m["shingles"]) == 8 * m["n"]]
                 joined = _Sets(len(members))
-                for i, j in _likely(members, share) if len(members) > 1 else ():
-                    if joined.root(i) == joined.root(j):
-                        continue
-                    x, y = (np.frombuffer(members[q]["shingles"], np.uint64) for q in (i, j))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if share[1] * both >= share[0] * (len(x) + len(y) - both):
-                        joined.join(i, j)
+                for i, j in _linked(members, share) if len(members) > 1 else ():
+                    joined.join(i, j)
                 least: dict[int, int] = {}
                 for i, m in enumerate(members):
                     least[joined.root(i)] = min(m["rep"], least.get(joined.root(i), m["rep"]))
@@ -306,9 +323,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         # the largest component of each node, and how many sets lie outside it
         per = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("own"))
         top = per.groupBy("node").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("size")).select("node", F.col("top.label").alias("main"), (F.col("size") - F.col("top.own")).alias("others"), "size")
-        top = checkpointed(top.where("others > 0").withColumn("ends", (F.col("others") <= F.greatest(F.lit(LEAF), F.col("size") / 16)) | F.lit(depth == DEPTH)))
+        top = checkpointed(top.where("others > 0").withColumn("ends", (F.col("others") <= F.greatest(F.lit(LEAF), F.col("size") / 2)) | F.lit(depth == DEPTH)))
         named = _merge(named.select("node", "rep", "label"), top, "node")
-        dense.append(named.where("ends"))
+        dense.append(named.where("ends").select("main", "rep", "label"))
         if top.where(~F.col("ends")).isEmpty():
             break
         # children: one or two tokens that the node picks
@@ -321,13 +338,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     for more in found[1:]:
         groups = groups.union(more)
     groups = groups.withColumnRenamed("node", "g")
-    for part in dense:
-        part = _blocks(part, "node", "size")
-        few = part.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(11)), F.ceil(F.col("others") / LEAF)).cast("int"))
-        chunks = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("others") / LEAF) - 1).cast("int")))
-        blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        meet = part.select("node", "rep", "block", chunks.alias("chunk")).union(few.select("node", "rep", blocks.alias("block"), "chunk"))
-        groups = groups.union(meet.select(F.xxhash64("node", "block", "chunk").alias("g"), "rep").distinct())
+    if dense:
+        crowd = dense[0]
+        for more in dense[1:]:
+            crowd = crowd.union(more)
+        # nodes of all trees with one main component are one crowd, whose few meet all of it once
+        crowd = crowd.select("main", "rep", (F.col("label") != F.col("main")).alias("few")).distinct()
+        sizes = crowd.groupBy("main").agg(F.count(F.lit(1)).alias("size"), F.count_if("few").alias("others"))
+        deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(n) / CROWD)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / CROWD) - 1).cast("int")))
+        crowd = _merge(crowd, sizes, "main")
+        meet = crowd.select("main", "rep", deal("size", 7).alias("block"), every("others").alias("chunk")).union(crowd.where("few").select("main", "rep", every("size").alias("block"), deal("others", 11).alias("chunk")))
+        groups = groups.union(meet.select(F.xxhash64("main", "block", "chunk").alias("g"), "rep").distinct())
     links = checkpointed(_links(checkpointed(_clusters(groups, classes, labels, share)), classes, docs, width, share))
     if stars is not None:
         links = links.union(stars)
