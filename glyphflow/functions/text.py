@@ -62,7 +62,7 @@ def is_noise(body: Column) -> Column:
 
 
 def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence. A word of bits holds a row of the table while ``b`` has up to 60 characters."""
+    """Length of the longest common subsequence. Words of 60 bits hold a row of the table, a single one if that does."""
     xs, ys = F.split(a, ""), F.split(b, "")
     m = F.length(b)
     full = F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
@@ -75,18 +75,30 @@ def common_length(a: Column, b: Column) -> Column:
         return (v + u).bitwiseOR(v - u).bitwiseAND(full)
 
     bits = m - F.bit_count(F.aggregate(xs, full, turn))
-    zero = F.array_repeat(F.lit(0), m)
+    words = F.ceil(m / 60).cast("int")
+    none = F.lit(0).cast("long")
 
-    def row(prev: Column, ch: Column) -> Column:
-        start = F.struct(F.expr("cast(array() as array<int>)").alias("row"), F.lit(0).alias("left"), F.lit(0).alias("diag"))
+    def let(value: Column, f) -> Column:  # what a lambda holds would be computed again for each element
+        return F.get(F.transform(F.array(value), f), F.lit(0))
 
-        def cell(s: Column, p: Column) -> Column:
-            best = F.greatest(p["up"], s["left"], F.when(p["y"] == ch, s["diag"] + 1).otherwise(0))
-            return F.struct(F.concat(s["row"], F.array(best)).alias("row"), best.alias("left"), p["up"].alias("diag"))
+    def held(chars: Column, ch: Column) -> Column:
+        own = lambda w: F.transform(F.slice(chars, w * 60 + 1, 60), lambda y, j: F.when(y == ch, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(none))
+        return F.transform(F.sequence(F.lit(0), words - 1), lambda w: F.aggregate(own(w), none, lambda s, x: s.bitwiseOR(x)))
 
-        return F.aggregate(F.zip_with(prev, ys, lambda up, y: F.struct(up.alias("up"), y.alias("y"))), start, cell, lambda s: s["row"])
+    def long_turn(vs: Column, ms: Column) -> Column:
+        """``turn`` over several words of 60 bits, with the carry between them."""
+        start = F.struct(F.expr("cast(array() as array<long>)").alias("vs"), none.alias("carry"))
 
-    table = F.element_at(F.aggregate(xs, zero, row), -1)
+        def word(s: Column, z: Column) -> Column:
+            u = z["v"].bitwiseAND(z["m"])
+            t = z["v"] + u + s["carry"]
+            return F.struct(F.concat(s["vs"], F.array(t.bitwiseOR(z["v"] - u).bitwiseAND(F.lit((1 << 60) - 1)))).alias("vs"), F.shiftright(t, 60).alias("carry"))
+
+        return F.when(ms.isNull(), vs).otherwise(F.aggregate(F.zip_with(vs, ms, lambda v, k: F.struct(v.alias("v"), k.alias("m"))), start, word, lambda s: s["vs"]))
+
+    masks = let(ys, lambda chars: let(F.array_distinct(chars), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda ch: held(chars, ch)))))
+    rows = let(masks, lambda by: F.aggregate(xs, F.array_repeat(F.lit((1 << 60) - 1), words), lambda vs, ch: long_turn(vs, F.try_element_at(by, ch))))
+    table = F.aggregate(rows, F.lit(0), lambda n, v: n + 60 - F.bit_count(v))
     return F.when((F.length(a) == 0) | (m == 0), 0).when(m <= 60, bits).otherwise(table).cast("int")
 
 

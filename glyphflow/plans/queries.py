@@ -142,11 +142,20 @@ r AS (SELECT roi, seq, a, b, 0 AS i, list_transform(range(0, length(b)), lambda
 UNION ALL SELECT roi, seq, a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: greatest(t[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: substr(b, CAST(k AS INT), 1) = substr(a, CAST(i + 1 AS INT), 1)), lambda k: CASE WHEN k = 1 THEN 0 ELSE t[k - 1] END + 1)), 0))) FROM r WHERE i < length(a))
 SELECT roi, seq, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(t[length(b)], 0) / (length(a) + length(b)) END, 6) AS ratio FROM r WHERE i = length(a)""")
 def indel_ratio(spark, sf):
+    return _ratios(views.subtitles(spark, sf).select("roi", "seq", F.substring(T.canonical(F.col("body")), 1, 24).alias("a")))
+
+
+def _ratios(canon: DataFrame) -> DataFrame:
     w = W.partitionBy("roi").orderBy("seq")
-    s = views.subtitles(spark, sf).select("roi", "seq", F.substring(T.canonical(F.col("body")), 1, 24).alias("a")).withColumn("b", F.lag("a").over(w)).where("b is not null")
+    s = canon.withColumn("b", F.lag("a").over(w)).where("b is not null")
     return s.select("roi", "seq", F.round(T.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
+@query()
+def indel_ratio_whole(spark, sf):
+    return _ratios(views.subtitles(spark, sf, whole=True).select("roi", "seq", T.canonical(F.col("body")).alias("a")))
+
+
 @query(f"""WITH RECURSIVE {SUBS}, c AS (SELECT *, {CANON} AS a FROM subs), p AS (SELECT *, lag(a) OVER w AS b, lag(end_sec) OVER w AS p_end FROM c WINDOW w AS (PARTITION BY roi ORDER BY start_sec, seq)),
 q AS (SELECT roi, seq, a, b FROM p WHERE b <> '' AND a <> ''),
 r AS (SELECT roi, seq, a, b, 0 AS i, list_transform(range(0, length(b)), lambda j: CAST(0 AS BIGINT)) AS t FROM q
@@ -161,9 +170,23 @@ def neighbour_merge(spark, sf):
     return merge.merge_neighbours(views.subtitles(spark, sf))
 
 
+@query()
+def neighbour_merge_whole(spark, sf):
+    return merge.merge_neighbours(views.subtitles(spark, sf, whole=True))
+
+
 @query(f"WITH {SUBS}, c AS (SELECT roi % 50 AS grp, roi * 100 + seq AS seq, body, {CANON} AS canon FROM subs), v AS (SELECT grp, canon, count(*) AS votes FROM c GROUP BY 1, 2), b AS (SELECT grp, canon FROM v QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, length(canon) DESC, canon) = 1) SELECT grp, body FROM c JOIN b USING (grp, canon) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY length(body) DESC, seq) = 1")
 def majority_body(spark, sf):
-    c = views.subtitles(spark, sf).select((F.col("roi") % 50).alias("grp"), (F.col("roi") * 100 + F.col("seq")).alias("seq"), "body", T.canonical(F.col("body")).alias("canon"))
+    return _majority(views.subtitles(spark, sf))
+
+
+@query()
+def majority_body_whole(spark, sf):
+    return _majority(views.subtitles(spark, sf, whole=True))
+
+
+def _majority(events: DataFrame) -> DataFrame:
+    c = events.select((F.col("roi") % 50).alias("grp"), (F.col("roi") * 100 + F.col("seq")).alias("seq"), "body", T.canonical(F.col("body")).alias("canon"))
     v = c.groupBy("grp", "canon").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.length("body").alias("n"), (-F.col("seq")).alias("s"), "body"))["body"].alias("body"))
     return v.groupBy("grp").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", "body"))["body"].alias("body"))
 

@@ -36,10 +36,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """roi, seq, start_sec, end_sec, style, tags, body: turns as events, two seconds each, with breaks as marks."""
+def subtitles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """roi, seq, start_sec, end_sec, style, tags, body: turns as events, two seconds each, with breaks as marks.
+
+    Bodies are the whole texts, or without ``whole`` their first 40 characters, as the SQL of the queries has them.
+    """
     c = table(spark, sf_dir, "conversations")
-    body = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit("\\n"))
+    body = F.replace(F.col("text") if whole else F.substring("text", 1, 40), F.lit("\n"), F.lit("\\n"))
     start = F.col("turn") * 2.5
     return c.select(F.col("conv_id").alias("roi"), F.col("turn").alias("seq"), start.cast("double").alias("start_sec"), (start + 2.0).cast("double").alias("end_sec"), F.lit("Default").alias("style"), F.lit("").alias("tags"), body.alias("body"))
 

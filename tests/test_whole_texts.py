@@ -1,0 +1,82 @@
+"""Queries over whole texts against brute force, on turns that differ only after character 40."""
+
+import random
+
+import pytest
+
+from glyphflow.plans import queries
+
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0"
+
+
+def canonical(body):
+    done = ""
+    for z in body.replace("\\N", "\\n").split("\\n"):
+        z = "".join(c for c in z if c not in SPACES)
+        done = done if len(z) == 1 and len(done) >= 6 else done + z
+    return done
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def ratio(a, b):
+    return 1.0 if not a + b else 2.0 * common(a, b) / (len(a) + len(b))
+
+
+def voted(rows):
+    """Body of (seq, body): of the canonical text with most votes, the longest, the first."""
+    canon = [canonical(b) for _, b in rows]
+    best = min(set(canon), key=lambda c: (-canon.count(c), -len(c), c))
+    return min((-len(b), s, b) for (s, b), c in zip(rows, canon) if c == best)[2]
+
+
+@pytest.fixture(scope="module")
+def turns(spark, tmp_path_factory):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 6)))
+    head = "the same forty characters stand at the start "
+    rows = []
+    for conv in range(8):
+        tail = [word() for _ in range(rnd.choice([4, 30, 90]))]
+        for turn in range(6):
+            if rnd.random() < 0.5:
+                tail = [word() if rnd.random() < 0.4 else w for w in tail]
+            rows.append((conv, turn, "user", head + "\n".join([" ".join(tail), "x"])))
+    path = str(tmp_path_factory.mktemp("turns"))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path, [(c, t, x.replace("\n", "\\n")) for c, t, _, x in rows]
+
+
+def test_ratio(spark, turns):
+    path, rows = turns
+    want = {(c, t): round(ratio(canonical(x), canonical(p)), 6) for (_, _, p), (c, t, x) in zip(rows, rows[1:]) if t}
+    assert {(r.roi, r.seq): r.ratio for r in queries.QUERIES["indel_ratio_whole"](spark, path).collect()} == want
+
+
+def test_merge(spark, turns):
+    path, rows = turns
+    want, last = [], None
+    for c, t, x in rows:
+        a, b = canonical(x), last and canonical(last[1])
+        if last and last[0] == c and (a in b or b in a or ratio(a, b) >= 0.78):
+            want[-1].append((t, x))
+        else:
+            want.append([(t, x)])
+        last = (c, x)
+    found = queries.QUERIES["neighbour_merge_whole"](spark, path).orderBy("roi", "start_sec").collect()
+    assert 8 < len(want) < len(rows)
+    assert [(r.body, r.n) for r in found] == [(voted(w), len(w)) for w in want]
+
+
+def test_majority(spark, turns):
+    path, rows = turns
+    want = {c: voted([(t, x) for k, t, x in rows if k == c]) for c in range(8)}
+    assert {r.grp: r.body for r in queries.QUERIES["majority_body_whole"](spark, path).collect()} == want
