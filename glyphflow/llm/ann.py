@@ -9,7 +9,8 @@ ascend together, one symbol at a time, until the ranges hold enough candidates.
 In Spark the sorted arrays are spread by prefix: the counts of all prefixes decide, by a join, how far each query
 ascends, and then only the ranges that some query wants are brought together with their queries, in blocks of at
 most ``BLOCK`` rows and ``QUERIES`` queries. A prefix that a third of all rows share is many blocks, never one task.
-A query that must ascend to the root meets all rows, in blocks.
+A query that must ascend to the root meets all rows, in blocks; so does one whose ranges, full of rows that many
+trees share, turn out to hold fewer than ``k`` neighbours.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, pr
     if not lengths:
         return vectors.sparkSession.createDataFrame([], schema)
     dims, total = lengths[0].n, lengths[0].c
-    rows = rows.where(F.size("v") == dims)
+    rows = rows.where(F.size("v") == dims).distinct()
     strings = stored(_hash(rows, trees, dims, 1, seed), "strings")
     asked = stored(_hash(rows.where(queries), trees, dims, probes, seed), "asked")
 
@@ -107,8 +108,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, pr
     stop = held.groupBy("vec_id").agg(F.max(F.when(F.col("held") >= enough, F.col("depth"))).alias("stop"))
     wants = wants.join(stop, "vec_id").where("depth = stop").select("vec_id", "prefix", "n", "depth")
     rooted = stop.where("stop is null").select("vec_id", F.lit(0).cast("long").alias("prefix"), F.lit(total).cast("long").alias("n"), F.lit(0).alias("depth"))
-    wants = checkpointed(wants.union(rooted))
+    near = checkpointed(_meet(checkpointed(wants.union(rooted)), strings, rows, dims, k))
+
+    # ranges count a row once for each tree, so few rows may fill them: such queries ascend to the root
+    others = strings.agg(F.count_distinct("vec_id")).first()[0] - 1
+    found = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("found"))
+    short = asked.select("vec_id").distinct().join(rooted.select("vec_id"), "vec_id", "left_anti").join(found, "vec_id", "left").where(F.coalesce("found", F.lit(0)) < min(k, others))
+    short = checkpointed(short.select("vec_id", F.lit(0).cast("long").alias("prefix"), F.lit(total).cast("long").alias("n"), F.lit(0).alias("depth")))
+    if not short.isEmpty():
+        near = near.union(_meet(short, strings, rows, dims, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
+def _meet(wants: DataFrame, strings: DataFrame, rows: DataFrame, dims: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best ``k`` of each block that a query (vec_id, prefix, n, depth) wants."""
     # the ranges that are wanted, in blocks
     ranges = wants.groupBy("prefix").agg(F.first("n").alias("n"), F.first("depth").alias("depth"), F.count(F.lit(1)).alias("q"))
     ranges = checkpointed(ranges.select("prefix", "depth", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("chunks")))
@@ -120,7 +134,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, pr
     places = places.select("vec_id", _prefix(F.col("tree"), F.col("key"), F.col("depth")).alias("prefix")).distinct().join(ranges, "prefix")
     here = places.select("vec_id", "prefix", block.alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
     there = wants.select("vec_id", "prefix").join(ranges, "prefix").select("vec_id", "prefix", upto("blocks").alias("block"), chunk.alias("chunk"), F.lit(True).alias("asks"))
-    met = here.union(there).join(rows.distinct(), "vec_id").groupBy("prefix", "block", "chunk").agg(F.collect_list(F.struct("vec_id", "asks", "v")).alias("members"))
+    met = here.union(there).join(rows, "vec_id").groupBy("prefix", "block", "chunk").agg(F.collect_list(F.struct("vec_id", "asks", "v")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -132,25 +146,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, pr
                 x = members.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims)
                 order = np.argsort(ids, kind="stable")
                 ids, asks, x = ids[order], asks[order], x[order]
-                own, there, q = ids[~asks], x[~asks].T, x[asks]
+                (own, first), there, q = np.unique(ids[~asks], return_index=True), x[~asks].T, x[asks]  # a vec_id may repeat
                 who, other, score = [], [], []
-                for i, name in enumerate(ids[asks]):
-                    s = np.zeros(len(own))
+                for i, name in enumerate(ids[asks] if len(own) else ()):
+                    s = np.zeros(there.shape[1])
                     for j in range(dims):  # in order of the components, so that equal vectors score alike wherever they lie
                         s += q[i, j] * there[j]
+                    s = np.maximum.reduceat(s, first)
                     s[own == name] = -np.inf
                     best = np.arange(len(own)) if len(own) <= k else np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0]
-                    best = best[np.argsort(-s[best], kind="stable")]
+                    best = best[np.argsort(-s[best], kind="stable")][:k]
                     best = best[s[best] > -np.inf]
-                    if len(best) > k:  # a vec_id may repeat
-                        _, first = np.unique(own[best], return_index=True)
-                        best = best[np.sort(first)][:k]
                     who.append(np.full(len(best), name))
                     other.append(own[best])
                     score.append(s[best])
                 cols = [np.concatenate(c) if c else np.empty(0) for c in (who, other, score)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
-    near = met.select("members").mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.select("members").mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

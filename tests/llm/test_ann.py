@@ -46,3 +46,18 @@ def test_odd_rows(spark):
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert {q: [(v, s) for _, v, s in sorted(f)] for q, f in got.items()} == exact(rows)
     assert ann.search(df.limit(0), ann.F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_few_candidates(spark):
+    """Copies fill a query's ranges, and rows of one vec_id its block: there are 20 neighbours all the same."""
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[100:105] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[240] + 0.01 * rnd.normal(size=64)).tolist()) for _ in range(30)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == set(range(0, 500, 20))
+    assert all([k for k, _ in sorted(f)] == list(range(1, 21)) and len({v for _, v in f}) == 20 for f in got.values())
+    assert [v for _, v in sorted(got[100])[:4]] == [101, 102, 103, 104] and min(got[240])[1] == 7
