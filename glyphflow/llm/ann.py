@@ -11,6 +11,10 @@ ascends, and then only the ranges that some query wants are brought together wit
 most ``BLOCK`` rows and ``QUERIES`` queries. A prefix that a third of all rows share is many blocks, never one task.
 A query that must ascend to the root meets all rows, in blocks; so does one whose ranges, full of rows that many
 trees share, turn out to hold fewer than ``k`` neighbours.
+
+The hash knows directions only, the inner product also lengths. So rows are split into bands of like length, each with
+trees and a stop of its own, and a query descends those of every band. Within a band, the rows of largest inner product
+are about those of like direction. Vectors of one length are one band.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from glyphflow.llm._common import checkpointed, stored
 
 SYMBOLS = 4  # of a string; 16 bits each
 BLOCK, QUERIES = 2000, 400
+BAND = 1.5  # ratio of lengths in a band, but for the ends of the quantiles that bound it
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -37,7 +42,7 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _hash(rows: DataFrame, trees: int, dims: int, probes: int, seed: int) -> DataFrame:
-    """vec_id, keys: the string of each tree as a long, ``probes`` of them after one another for each tree."""
+    """vec_id, band, keys: the string of each tree as a long, ``probes`` of them after one another for each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -63,24 +68,40 @@ def _hash(rows: DataFrame, trees: int, dims: int, probes: int, seed: int) -> Dat
                     for p in range(probes):
                         keys[:, t * probes + p] = tail | (first[:, min(p, dims - 1)] << (16 * (SYMBOLS - 1)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["vec_id", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), flat], names=["vec_id", "band", "keys"])
+
+    return rows.select("vec_id", "v", "band").mapInArrow(run, "vec_id long, band int, keys array<long>")
+
 
-    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, keys array<long>")
+def _prefix(tree: Column, key: Column, depth: Column, trees: int) -> Column:
+    """A long for the prefix of that depth in that tree; the band for the root of all its trees."""
+    cut = F.shiftright(key, 16 * (SYMBOLS - 1))
+    for d in range(2, SYMBOLS + 1):
+        cut = F.when(depth == d, F.shiftright(key, 16 * (SYMBOLS - d))).otherwise(cut)
+    return F.when(depth == 0, F.floor(tree / trees).cast("long")).otherwise(F.xxhash64(tree, depth, cut))
 
 
-def _prefix(tree: Column, key: Column, depth: Column) -> Column:
-    """A long for the prefix of that depth in that tree; 0 for the root of all."""
-    cut = F.when(depth == 0, F.lit(0).cast("long"))
-    for d in range(1, SYMBOLS + 1):
-        cut = cut.when(depth == d, F.shiftright(key, 16 * (SYMBOLS - d)))
-    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(tree, depth, cut))
+def _bands(rows: DataFrame) -> tuple[Column, int]:
+    """The band of a vector, 0 for the longest, and how many there are: bounded by quantiles, however far lengths lie apart."""
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    at = [1.0] + [1 - 2.0**-j for j in range(20, 5, -1)] + [i / 32 for i in range(31, -1, -1)]
+    quantiles = rows.select(length.alias("l")).agg(F.percentile_approx("l", at, 100_000)).first()[0]
+    edges, top = [], quantiles[0]
+    for q in quantiles[1:]:
+        if q * BAND <= top:
+            edges.append(q)
+            top = q
+    band = F.lit(0)
+    for e in edges:
+        band = band + (length < e).cast("int")
+    return band, len(edges) + 1
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, probes: int = 2, gather: float = 0.25, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each row that ``queries`` holds for.
 
     ``queries`` is a condition over vec_id. ``gather`` is the share of all rows, counted over all trees and with
-    repeats, that a query's ranges must hold before it stops ascending; with few rows everything is compared. Score
+    repeats, that a query's ranges must hold before it stops ascending (in each band, of its rows); with few rows everything is compared. Score
     is the inner product in double precision, summed in order of the components; ties go to the smaller vec_id, and
     a row is never its own neighbour. Vectors that are null, zero, of another length than most (ties: the longest)
     or hold null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a vec_id with
@@ -91,37 +112,45 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, pr
     schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
         return vectors.sparkSession.createDataFrame([], schema)
-    dims, total = lengths[0].n, lengths[0].c
+    dims = lengths[0].n
     rows = rows.where(F.size("v") == dims).distinct()
-    strings = stored(_hash(rows, trees, dims, 1, seed), "strings")
-    asked = stored(_hash(rows.where(queries), trees, dims, probes, seed), "asked")
+    band, bands = _bands(rows)
+    strings = stored(_hash(rows.withColumn("band", band), trees, dims, 1, seed), "strings")
+    asked = stored(_hash(rows.where(queries).withColumn("band", band), trees, dims, probes, seed), "asked")
+    totals = {r.band: r.n for r in strings.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of_band = lambda f: F.element_at(F.create_map(*[F.lit(x) for b, n in totals.items() for x in (b, f(n))]), F.col("band"))
+    every_band = F.explode(F.array(*map(F.lit, sorted(totals)))).alias("band")
+    in_trees = F.col("band") * trees + F.col("tree")
+    roots = lambda q: q.select("vec_id", F.col("band").cast("long").alias("prefix"), of_band(lambda n: n).cast("long").alias("n"), F.lit(0).alias("depth"))
 
     # how many rows share each prefix
-    leaves = strings.select(F.posexplode("keys").alias("tree", "key")).groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
+    leaves = strings.select("band", F.posexplode("keys").alias("tree", "key")).withColumn("tree", in_trees).groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
     depths = F.explode(F.array(*[F.lit(d) for d in range(1, SYMBOLS + 1)])).alias("depth")
-    counts = leaves.select("tree", "key", "n", depths).groupBy(_prefix(F.col("tree"), F.col("key"), F.col("depth")).alias("prefix")).agg(F.sum("n").alias("n"))
-    probed = asked.select("vec_id", F.posexplode("keys").alias("p", "key")).select("vec_id", F.floor(F.col("p") / probes).cast("int").alias("tree"), "key")
-    wants = probed.select("vec_id", "tree", "key", depths).withColumn("prefix", _prefix(F.col("tree"), F.col("key"), F.col("depth"))).select("vec_id", "depth", "prefix").distinct()
+    prefix = _prefix(F.col("tree"), F.col("key"), F.col("depth"), trees).alias("prefix")
+    counts = leaves.select("tree", "key", "n", depths).groupBy(prefix).agg(F.sum("n").alias("n"))
+    probed = asked.select("vec_id", F.posexplode("keys").alias("p", "key")).select("vec_id", F.floor(F.col("p") / probes).cast("int").alias("tree"), "key", every_band).withColumn("tree", in_trees)
+    wants = probed.select("vec_id", "band", "tree", "key", depths).select("vec_id", "band", "depth", prefix).distinct()
     wants = wants.join(counts, "prefix")
-    held = wants.groupBy("vec_id", "depth").agg(F.sum("n").alias("held"))
-    enough = max(10 * k, gather * total)
-    stop = held.groupBy("vec_id").agg(F.max(F.when(F.col("held") >= enough, F.col("depth"))).alias("stop"))
-    wants = wants.join(stop, "vec_id").where("depth = stop").select("vec_id", "prefix", "n", "depth")
-    rooted = stop.where("stop is null").select("vec_id", F.lit(0).cast("long").alias("prefix"), F.lit(total).cast("long").alias("n"), F.lit(0).alias("depth"))
-    near = checkpointed(_meet(checkpointed(wants.union(rooted)), strings, rows, dims, k))
+    held = wants.groupBy("vec_id", "band", "depth").agg(F.sum("n").alias("held"))
+    enough = of_band(lambda n: float(max(10 * k, gather * n)))
+    stop = held.groupBy("vec_id", "band").agg(F.max(F.when(F.col("held") >= enough, F.col("depth"))).alias("stop")).where("stop is not null")
+    wants = wants.join(stop, ["vec_id", "band"]).where("depth = stop").select("vec_id", "prefix", "n", "depth")
+    askers = asked.select("vec_id").distinct()
+    rooted = roots(askers.select("vec_id", every_band).join(stop, ["vec_id", "band"], "left_anti"))
+    near = checkpointed(_meet(checkpointed(wants.union(rooted)), strings, rows, dims, k, trees))
 
     # ranges count a row once for each tree, so few rows may fill them: such queries ascend to the root
     others = strings.agg(F.count_distinct("vec_id")).first()[0] - 1
     found = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("found"))
-    short = asked.select("vec_id").distinct().join(rooted.select("vec_id"), "vec_id", "left_anti").join(found, "vec_id", "left").where(F.coalesce("found", F.lit(0)) < min(k, others))
-    short = checkpointed(short.select("vec_id", F.lit(0).cast("long").alias("prefix"), F.lit(total).cast("long").alias("n"), F.lit(0).alias("depth")))
+    short = askers.join(found, "vec_id", "left").where(F.coalesce("found", F.lit(0)) < min(k, others))
+    short = checkpointed(roots(short.select("vec_id", every_band)))
     if not short.isEmpty():
-        near = near.union(_meet(short, strings, rows, dims, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        near = near.union(_meet(short, strings, rows, dims, k, trees)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _meet(wants: DataFrame, strings: DataFrame, rows: DataFrame, dims: int, k: int) -> DataFrame:
+def _meet(wants: DataFrame, strings: DataFrame, rows: DataFrame, dims: int, k: int, trees: int) -> DataFrame:
     """query_id, vec_id, score: the best ``k`` of each block that a query (vec_id, prefix, n, depth) wants."""
     # the ranges that are wanted, in blocks
     ranges = wants.groupBy("prefix").agg(F.first("n").alias("n"), F.first("depth").alias("depth"), F.count(F.lit(1)).alias("q"))
@@ -130,8 +159,8 @@ def _meet(wants: DataFrame, strings: DataFrame, rows: DataFrame, dims: int, k: i
     block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int")
     chunk = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.col("chunks")).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    places = strings.select("vec_id", F.posexplode("keys").alias("tree", "key")).select("vec_id", "tree", "key", F.explode(F.array(*[F.lit(d) for d in used or [0]])).alias("depth")).where("depth > 0 or tree = 0")
-    places = places.select("vec_id", _prefix(F.col("tree"), F.col("key"), F.col("depth")).alias("prefix")).distinct().join(ranges, "prefix")
+    places = strings.select("vec_id", "band", F.posexplode("keys").alias("tree", "key")).select("vec_id", (F.col("band") * trees + F.col("tree")).alias("tree"), "key", F.explode(F.array(*[F.lit(d) for d in used or [0]])).alias("depth")).where(f"depth > 0 or tree % {trees} = 0")
+    places = places.select("vec_id", _prefix(F.col("tree"), F.col("key"), F.col("depth"), trees).alias("prefix")).distinct().join(ranges, "prefix")
     here = places.select("vec_id", "prefix", block.alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
     there = wants.select("vec_id", "prefix").join(ranges, "prefix").select("vec_id", "prefix", upto("blocks").alias("block"), chunk.alias("chunk"), F.lit(True).alias("asks"))
     met = here.union(there).join(rows, "vec_id").groupBy("prefix", "block", "chunk").agg(F.collect_list(F.struct("vec_id", "asks", "v")).alias("members"))

@@ -61,3 +61,16 @@ def test_few_candidates(spark):
     assert set(got) == set(range(0, 500, 20))
     assert all([k for k, _ in sorted(f)] == list(range(1, 21)) and len({v for _, v in f}) == 20 for f in got.values())
     assert [v for _, v in sorted(got[100])[:4]] == [101, 102, 103, 104] and min(got[240])[1] == 7
+
+
+def test_uneven_lengths(spark):
+    """Long vectors are neighbours whatever their direction."""
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(3000, 64))
+    x *= np.exp(rnd.normal(size=(3000, 1))) / np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = exact(rows)
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") % 20 == 0).collect()
+    hits = sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in found)
+    print("recall", hits / (20 * len(want)))
+    assert len(found) == 20 * len(want) and hits >= 0.95 * 20 * len(want)
