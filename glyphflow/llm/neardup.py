@@ -3,10 +3,10 @@
 A document is the set of its distinct word shingles. Each set has a row of *path tokens* (32-bit minwise values) and
 a *sketch* (a byte of each of 64 more). In every tree a set starts at the root and descends along chosen tokens. The
 root takes two tokens of its own at once, so that sets with one common shingle don't meet; below it, a node picks
-one or two tokens (which ones depends on the node alone). Sets with the same values go to the same child: sets of
+two of ``LOWER`` tokens that no root uses (which ones depends on the node alone) and branches on each. Sets with the same values go to the same child: sets of
 Jaccard similarity 0.8 share each value with probability 0.8, sets of nothing in common hardly ever. A node of at
 most ``LEAF`` sets stops and compares its sets exhaustively; larger ones branch on. Independent trees repeat this
-until a pair at the threshold is missed with probability ``1 - recall`` at most.
+until a pair at the threshold is missed with probability ``1 - recall`` at most, even if it descends to the last level.
 
 Order of work, all of it in DataFrames over shuffles:
 
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from glyphflow.llm._common import checkpointed, shared_dir, stored
 
-TOKENS, SKETCH, SKETCH_MIN = 32, 64, 34
+LOWER, SKETCH, SKETCH_MIN = 48, 64, 34
+SKETCH_MISS = 1e-6
 LEAF, CROWD = 48, 512  # sets of a leaf; of a block of a crowd
 DEPTH = 4
 #: A cluster with more shingles than this is compared pair by pair, so that a task holds two sets at a time.
@@ -69,16 +70,17 @@ def shingle_hashes(text: str | None, width: int):
     return np.unique(out ^ (out >> np.uint64(31)))
 
 
-def _shingled(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, fp (of the set; null if empty), tokens, sketch."""
+def _shingled(docs: DataFrame, width: int, trees: int) -> DataFrame:
+    """doc_id, n, fp (of the set; null if empty), tokens (two for each root, then those of lower levels), sketch."""
+    count = 2 * trees + LOWER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
         rng = np.random.default_rng(20240229)
-        mul = rng.integers(1, 2**63, TOKENS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = rng.integers(0, 2**63, TOKENS + SKETCH, dtype=np.uint64)
+        mul = rng.integers(1, 2**63, count + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        add = rng.integers(0, 2**63, count + SKETCH, dtype=np.uint64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a in range(0, len(ids), 512):
@@ -90,11 +92,11 @@ def _shingled(docs: DataFrame, width: int) -> DataFrame:
                         fp.append(None), tokens.append(None), sketch.append(None)
                         continue
                     fp.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    low = np.full(TOKENS + SKETCH, 2**32 - 1, np.uint64)
+                    low = np.full(count + SKETCH, 2**32 - 1, np.uint64)
                     for b in range(0, len(s), 4096):
                         low = np.minimum(low, ((s[b : b + 4096, None] * mul + add) >> np.uint64(32)).min(axis=0))
-                    tokens.append(low[:TOKENS].astype(np.uint32).view(np.int32))
-                    sketch.append(((low[TOKENS:] * np.uint64(0x9E3779B1)) >> np.uint64(24)).astype(np.uint8).tobytes())
+                    tokens.append(low[:count].astype(np.uint32).view(np.int32))
+                    sketch.append(((low[count:] * np.uint64(0x9E3779B1)) >> np.uint64(24)).astype(np.uint8).tobytes())
                 cols = [ids.slice(a, 512), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketch, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp", "tokens", "sketch"])
 
@@ -266,15 +268,29 @@ def components(links: DataFrame) -> DataFrame:
     return _merge(names, least, "at").select("rep", "label")
 
 
-def trees_for(recall: float, share: tuple[int, int]) -> int:
-    """Trees for which a pair at the threshold, followed to the third token, is missed with 1 - recall at most."""
+def missed(trees: int, share: tuple[int, int]) -> float:
+    """The probability that no path of a pair at the threshold stays together down to the last level.
+
+    Trees share the tokens of lower levels, so it is a mean over how many of those the pair has in common.
+    """
     j = share[0] / share[1]
-    found = j * j * (0.5 * j + 0.5 * (1 - (1 - j) ** 2))
-    return min(TOKENS // 2, max(1, math.ceil(math.log(1 - recall) / math.log(1 - found))))
+    kept = lambda k: j * j * (1 - math.comb(LOWER - k, 2) / math.comb(LOWER, 2)) ** (DEPTH - 1)
+    return sum(math.comb(LOWER, k) * j**k * (1 - j) ** (LOWER - k) * (1 - kept(k)) ** trees for k in range(LOWER + 1))
+
+
+def trees_for(recall: float, share: tuple[int, int]) -> int:
+    """Trees for which a pair at the threshold is missed with 1 - recall at most, sketches included."""
+    for trees in range(1, 1001):
+        if missed(trees, share) + SKETCH_MISS <= 1 - recall:
+            return trees
+    raise ValueError(f"no number of trees up to 1000 has recall {recall}")
 
 
-def _pick(node: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(node, F.lit(k)), F.lit(TOKENS)).cast("int")
+def _picks(node: Column, roots: int) -> list[Column]:
+    """Positions of the two tokens, different ones, that a node branches on."""
+    one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(LOWER))
+    two = F.pmod(one + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(LOWER - 1)), F.lit(LOWER))
+    return [(roots + c).cast("int") for c in (one, two)]
 
 
 def _sized(paths: DataFrame) -> DataFrame:
@@ -299,10 +315,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     """
     shared_dir(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(_shingled(docs, width), "sets")
+    trees = trees_for(recall, share)
+    sets = stored(_shingled(docs, width, trees), "sets")
     known = sets.where("fp is not null and doc_id is not null")
     classes = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
-    trees = trees_for(recall, share)
     roots = F.array(*[F.xxhash64(F.lit(t), F.get("tokens", F.lit(2 * t)), F.get("tokens", F.lit(2 * t + 1))) for t in range(trees)])
     paths = classes.select("rep", F.explode(roots).alias("node"))
     found, dense, labels, stars = [], [], None, None
@@ -328,12 +344,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         dense.append(named.where("ends").select("main", "rep", "label"))
         if top.where(~F.col("ends")).isEmpty():
             break
-        # children: one or two tokens that the node picks
+        # children: two tokens that the node picks
         on = named.where(~F.col("ends")).select("node", "rep")
         on = _merge(on, classes.select("rep", "tokens"), "rep")
-        second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0
-        child = lambda k: F.xxhash64("node", _pick(F.col("node"), k), F.get("tokens", _pick(F.col("node"), k)))
-        paths = on.select("rep", F.explode(F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node")).distinct()
+        children = [F.xxhash64("node", at, F.get("tokens", at)) for at in _picks(F.col("node"), 2 * trees)]
+        paths = on.select("rep", F.explode(F.array(*children)).alias("node")).distinct()
     groups = found[0]
     for more in found[1:]:
         groups = groups.union(more)

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from glyphflow.llm import neardup
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,3 +87,22 @@ def test_odd_rows(spark):
     kept = neardup.deduplicate(df.selectExpr("doc_id", "text", "1 as n"), 2)
     assert kept.columns == ["doc_id", "text", "n"] and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 4]
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_missed_pairs():
+    """The miss of a descent to the last level, simulated with shared lower tokens, is the one that trees are counted for."""
+    rng = np.random.default_rng(4)
+    n, trees, j = 300_000, 4, 0.8
+    lower, found = rng.random((n, neardup.LOWER)) < j, np.zeros(n, bool)
+    at = np.arange(n)
+    for _ in range(trees):
+        path = (rng.random((n, 2)) < j).all(axis=1)
+        for _ in range(neardup.DEPTH - 1):
+            one = rng.integers(0, neardup.LOWER, n)
+            path &= lower[at, one] | lower[at, (one + rng.integers(1, neardup.LOWER, n)) % neardup.LOWER]
+        found |= path
+    assert 0.95 < (~found).mean() / neardup.missed(trees, (80, 100)) < 1.05
+    assert neardup.missed(neardup.trees_for(0.99999, (80, 100)), (80, 100)) < 9e-6
+    assert neardup.trees_for(0.999998, (80, 100)) > neardup.trees_for(0.99999, (80, 100))
+    with pytest.raises(ValueError):
+        neardup.trees_for(1.0, (80, 100))
