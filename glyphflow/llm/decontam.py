@@ -108,21 +108,21 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int =
     return out.select("doc_id", "n_words", "n_hit", "items", "contaminated", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` without contaminated documents (action "documents") or without the hit words of any document ("spans").
 
     The columns stay as they are. In "spans", a word that goes takes the separator before it along. Documents
-    without a hit, and with "documents" those whose hits stay below 1 in ``share`` words, are untouched. The
-    benchmark must have at most MAX_WINDOWS windows here; use ``report`` and a join beyond that.
+    without a hit, and with "documents" those whose hits stay below 1 in ``share`` words, are untouched. Each
+    row goes by its own text, whatever its doc_id and however large the benchmark.
     """
     if action not in ("documents", "spans"):
         raise ValueError(f"no such action: {action}")
-    _, found, whole = scan(docs, benchmark, width, id_col, text_col, item_col, item_text_col)
-    if not whole:
-        bad = report(docs, benchmark, width, share, id_col, text_col, item_col, item_text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id"))
-        if action == "spans":
-            raise ValueError("the benchmark has too many windows for action 'spans'")
-        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+    _, found, whole = scan(docs, benchmark, width, id_col, text_col, item_col, item_text_col, max_windows)
+    if not whole:  # hits depend on the text alone
+        hit = found.where(F.size("_hits") > 0).groupBy(F.col("text").alias("_hit_text")).agg(F.first("_hits").alias("_own"))
+        text = F.col(text_col).cast("string")
+        found = docs.join(hit, text == F.col("_hit_text"), "left").withColumn("_w", words_of(ascii_lower(text)))
+        found = found.withColumn("_hits", F.coalesce("_own", F.expr("cast(array() as array<struct<pos:int,len:int,window:string>>)")))
     judged = _judged(found, share)
     if action == "documents":
         return judged.where(~F.col("_bad")).select(docs.columns)

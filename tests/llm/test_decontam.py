@@ -56,6 +56,20 @@ def test_actions(spark):
     assert cut[1] == "x y" and cut[4] == "a" and cut[2] is None and cut[3] == "" and cut[7] == dict(DOCS)[7]
 
 
+def test_actions_beyond_bound(spark):
+    """A row goes by its own text: not with others of its doc_id, nor with others without one."""
+    docs = [*DOCS, (None, "clean words"), (1, "clean words too"), (None, None), (9, LONG + " " + LONG)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "'q' as window", "1 as key")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    for action in ("documents", "spans"):
+        few, many = (sorted(map(tuple, decontam.decontaminate(df, bench, action, max_windows=n).collect()), key=str) for n in (20_000, 2))
+        assert few == many
+    bad = {t for (_, t), r in zip(docs, [brute([d], BENCH)[0] for d in docs]) if r[-1]}
+    kept = decontam.decontaminate(df, bench, max_windows=2)
+    assert kept.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([d for d in docs if d[1] not in bad], key=str)
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(docs, spark.createDataFrame(BENCH, "item_id long, text string")).collect() == []
