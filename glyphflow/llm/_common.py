@@ -44,12 +44,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def bounded_sample(rows: DataFrame, rank: str, total: int, most: int) -> DataFrame:
-    """At most ``most`` rows, of lowest ``rank`` (a 64-bit hash), of about ``total``. Rows beyond about twice as many
-    are left out before any is sent on, so what gathers stays bounded however many tasks read."""
+def bounded_sample(rows: DataFrame, rank: str, most: int) -> DataFrame:
+    """One row for each of ``most`` values of ``rank`` (a 64-bit hash of what must be distinct), or of all if there are
+    fewer. Rows of all but about twice as many are left out, by another hash, before any is sent on, so what gathers
+    stays bounded however many tasks read; the lowest of the others stay."""
+    total = rows.select(rank).distinct().count()
     if total > 2 * most:
         rows = rows.where(F.pmod(F.xxhash64(rank), F.lit(1 << 30)) < int((1 << 30) * 2 * most / total))
-    return rows.orderBy(rank).limit(most)
+    return rows.dropDuplicates([rank]).orderBy(rank).limit(most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

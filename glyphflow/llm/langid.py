@@ -6,7 +6,7 @@ or a language code in the address (first path part, or top-level domain), goes w
 counted over all rows. Host: shares of languages on the host, smoothed towards those of its domain, and these
 towards those of the whole table; a row's own vote is left out. The posterior is their normalised product.
 
-Models are fitted on at most ``MAX_TRAIN`` labelled texts (the lowest hashes). All counts come from grouped
+Models are fitted on at most ``MAX_TRAIN`` distinct labelled texts (the lowest hashes). All counts come from grouped
 aggregation over all rows.
 """
 
@@ -39,7 +39,7 @@ def _grams(text: str):
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text", lang_col: str = "lang"):
     """(languages, log shares as bytes of a float32 matrix of languages x 2**BITS)."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sample = bounded_sample(rows.select("text", "lang", F.xxhash64("text", "lang").alias("h")), "h", docs.count(), max_train)
+    sample = bounded_sample(rows.select("text", "lang", F.xxhash64("text", "lang").alias("h")), "h", max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

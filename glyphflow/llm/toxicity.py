@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_tra
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    sample = bounded_sample(known.withColumn("_h", F.xxhash64("_id")), "_h", labels.count(), max_train).drop("_h")  # may be sent to all tasks
+    sample = bounded_sample(known.withColumn("_h", F.xxhash64("_id")), "_h", max_train).drop("_h")  # may be sent to all tasks
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
