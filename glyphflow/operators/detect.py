@@ -1,4 +1,4 @@
-"""What kind of video: metadata rules, strong names, rules on features, prototypes."""
+"""What kind of video: numeric rules on metadata, rules on features, prototypes. Names are not looked at yet (see README)."""
 
 from __future__ import annotations
 
