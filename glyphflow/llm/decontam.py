@@ -7,8 +7,12 @@ A document word is *hit* if it lies in any occurrence of a window.
 Everything is built from DataFrame functions. While the benchmark has at most ``max_windows`` windows, they travel
 to the tasks as a literal hash set, and each document is scanned inside its row: three words of a window are looked
 up in the benchmark's vocabulary first, and only then is the whole window spelt out and compared, so a hit is an
-exact match. Scanning shuffles nothing. A larger benchmark isn't sent: windows and documents meet in a shuffled
-join on the spelt-out window instead.
+exact match. Scanning shuffles nothing. Of a larger benchmark only a bit for each window's three words is sent (a
+filter of ``2**BITS`` bits, whatever its size); document windows that pass it are spelt out and meet the benchmark's in
+a join. Either way gives the same rows.
+
+A document's words are bound once in its row (``_read``), so that no filter, however the optimiser moves it, splits a
+text again for every word.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from pyspark.sql import functions as F
 from glyphflow.llm._common import WORD_BREAK, ascii_lower
 
 MAX_WINDOWS = 20_000
+#: Bits of the filter that stands for a benchmark of more windows: 128 KB as it travels.
+BITS = 20
+HITS = "array<struct<pos:int,len:int,window:string>>"
 
 
 def words_of(text: Column) -> Column:
@@ -33,55 +40,82 @@ def benchmark_windows(benchmark: DataFrame, width: int = 13, id_col: str = "item
     return items.select("item_id", "w", at).select("item_id", F.least(F.size("w"), F.lit(width)).alias("len"), F.array_join(F.slice("w", F.col("at"), width), " ").alias("window")).distinct()
 
 
-def _covered(hits: Column) -> Column:
-    """Number of words in the union of hits (pos, len), which come in order of pos."""
-    return F.aggregate(
-        hits,
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda s, h: F.struct(F.greatest(s["end"], h["pos"] + h["len"]).alias("end"), (s["n"] + F.greatest(h["pos"] + h["len"] - F.greatest(s["end"], h["pos"]), F.lit(0))).alias("n")),
-        lambda s: s["n"],
-    )
+def _probes(n: int) -> list[int]:
+    """Places of a window of n words that are looked up before it is spelt out."""
+    return sorted({0, n // 2, n - 1})
+
+
+def _read(docs: DataFrame, text: Column, hits: str, share: int) -> DataFrame:
+    """Adds _r (n_words, n_hit, bad, hits) to each row. ``hits`` is SQL over the row's words _w."""
+    empty = "named_struct('end', 0, 'n', 0)"
+    covered = f"aggregate(_h, {empty}, (s, h) -> named_struct('end', greatest(s.end, h.pos + h.len), 'n', s.n + greatest(h.pos + h.len - greatest(s.end, h.pos), 0)), s -> s.n)"
+    counted = f"named_struct('n_words', cast(size(_w) as bigint), 'n_hit', cast({covered} as bigint), 'hits', _h)"
+    judged = f"transform(array({counted}), c -> named_struct('n_words', c.n_words, 'n_hit', c.n_hit, 'bad', c.n_hit > 0 and c.n_hit * {share} >= c.n_words, 'hits', c.hits))[0]"
+    bound = f"transform(array(_words), _w -> transform(array({hits}), _h -> {judged})[0])[0]"
+    return docs.withColumn("_words", words_of(ascii_lower(text))).withColumn("_r", F.expr(bound)).drop("_words")
 
 
-def _scan(docs: DataFrame, windows: list, text: Column) -> DataFrame:
-    """Adds _w (lower-cased words) and _hits (pos, len, window; by pos) to each row, with the windows as literals."""
+def _literal(windows: list) -> str:
+    """SQL for the hits (pos, len, window; by pos) among the words _w, with the windows as literals."""
     quoted = lambda strings: ",".join(f"'{s}'" for s in sorted(strings))  # noqa: E731  words hold no quotes or backslashes
-    df = docs.withColumn("_w", words_of(ascii_lower(text)))
     parts = []
     for n in sorted({r["len"] for r in windows}):
         own = [r["window"] for r in windows if r["len"] == n]
         vocabulary = quoted({w for x in own for w in x.split(" ")})
-        probes = " and ".join(f"get(_w, i + {k}) in ({vocabulary})" for k in sorted({0, n // 2, n - 1}))
-        spelt = f"array_join(slice(_w, i + 1, {n}), ' ')"
-        found = f"filter(sequence(0, size(_w) - {n}), i -> {probes} and {spelt} in ({quoted(own)}))"
-        parts.append(f"if(size(_w) < {n}, array(), transform({found}, i -> struct(i as pos, {n} as len, {spelt} as window)))")
-    hits = parts[0] if len(parts) == 1 else f"array_sort(concat({', '.join(parts)}))"
-    return df.withColumn("_hits", F.expr(hits if parts else "cast(array() as array<struct<pos:int,len:int,window:string>>)"))
+        probes = " and ".join(f"get(_w, i + {k}) in ({vocabulary})" for k in _probes(n))
+        parts.append(_found(n, probes, quoted(own)))
+    return _together(parts)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame, bool]:
-    """(windows, documents with _w and _hits, whether every row of documents is still a row of its own)."""
-    windows = benchmark_windows(benchmark, width, item_col, item_text_col)
-    few = windows.select("len", "window").distinct().limit(max_windows + 1).collect()
-    if len(few) <= max_windows:
-        return windows, _scan(docs, few, F.col(text_col).cast("string")), True
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("_w", words_of(ascii_lower(F.col("text"))))
-    lens = [r[0] for r in windows.select("len").distinct().collect()]
-    def shown(n: int) -> Column:
-        at = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice("_w", i + 1, n), " ").alias("window")))
+def _found(n: int, probes: str, own: str | None) -> str:
+    spelt = f"array_join(slice(_w, i + 1, {n}), ' ')"
+    check = f"{probes} and {spelt} in ({own})" if own else probes
+    return f"if(size(_w) < {n}, array(), transform(filter(sequence(0, size(_w) - {n}), i -> {check}), i -> struct(i as pos, {n} as len, {spelt} as window)))"
+
+
+def _together(parts: list[str]) -> str:
+    if not parts:
+        return f"cast(array() as {HITS})"
+    return parts[0] if len(parts) == 1 else f"array_sort(concat({', '.join(parts)}))"
 
-    met = keyed.select("key", "doc_id", F.explode(F.concat(*map(shown, lens))).alias("h")).select("key", "doc_id", "h.*").join(windows.select("window").distinct(), "window", "left_semi")
-    hits = met.groupBy("key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "len", "window"))).alias("_hits"))
-    both = keyed.alias("a").join(hits.alias("b"), F.col("a.key").eqNullSafe(F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
-    out = both.select("a.doc_id", "a.text", "a.copies", "a._w", F.coalesce("b._hits", F.expr("cast(array() as array<struct<pos:int,len:int,window:string>>)")).alias("_hits"))
-    return windows, out, False
 
+def _filtered(windows: DataFrame) -> str:
+    """SQL for what may be hits among the words _w: the three words of each window are a bit of a filter of fixed size."""
+    lens, parts = sorted(r[0] for r in windows.select("len").distinct().collect()), []
+    word = f"cast(floor(at / 62) as int)"
+    for n in lens:
+        key = lambda w, i: f"pmod(xxhash64({', '.join(f'get({w}, {i} + {k})' for k in _probes(n))}), {1 << BITS})"
+        at = windows.where(F.col("len") == n).select(F.split("window", " ").alias("w")).select(F.expr(key("w", "0")).alias("at"))
+        cells = {r.word: r.bits for r in at.selectExpr(f"{word} as word", "shiftleft(1L, cast(at % 62 as int)) as bit").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect()}  # 2**BITS / 62 rows at most
+        filled = ",".join(str(cells.get(k, 0)) for k in range(((1 << BITS) - 1) // 62 + 1))
+        probe = f"transform(array({key('_w', 'i')}), at -> bit_get(get(from_json('[{filled}]', 'array<bigint>'), {word}), cast(at % 62 as int)) = 1)[0]"
+        parts.append(_found(n, probe, None))
+    return _together(parts)
 
-def _judged(df: DataFrame, share: int) -> DataFrame:
-    n = F.size("_w").cast("long")
-    hit = _covered(F.col("_hits")).cast("long")
-    return df.withColumn("_n_words", n).withColumn("_n_hit", hit).withColumn("_bad", (F.col("_n_hit") > 0) & (F.col("_n_hit") * share >= F.col("_n_words")))
+
+def _verified(docs: DataFrame, windows: DataFrame, text: Column, share: int) -> DataFrame:
+    """_text, _r: the texts of ``docs`` that hold a window, each once, with their true hits."""
+    likely = _read(docs.select(text.alias("_text")).distinct(), F.col("_text"), _filtered(windows), share).where("size(_r.hits) > 0")
+    met = likely.select("_text", F.explode("_r.hits").alias("h"), F.col("_r.n_words").alias("n_words")).select("_text", "n_words", "h.*").join(windows.select("window").distinct(), "window", "left_semi")
+    true = met.groupBy("_text").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.struct("pos", "len", "window"))).alias("_h"))
+    count = F.expr("cast(aggregate(_h, named_struct('end', 0, 'n', 0), (s, h) -> named_struct('end', greatest(s.end, h.pos + h.len), 'n', s.n + greatest(h.pos + h.len - greatest(s.end, h.pos), 0)), s -> s.n) as bigint)")
+    true = true.withColumn("n_hit", count)
+    return true.select("_text", F.struct("n_words", "n_hit", (F.col("n_hit") * share >= F.col("n_words")).alias("bad"), F.col("_h").alias("hits")).alias("_r"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame, bool]:
+    """(windows, documents with _r, whether the windows and their items are few enough to be sent).
+
+    _r holds n_words, n_hit, bad and hits (pos, len, window; by pos). A row goes by its own text.
+    """
+    windows, text = benchmark_windows(benchmark, width, item_col, item_text_col), F.col(text_col).cast("string")
+    few = windows.select("len", "window").distinct().limit(max_windows + 1).collect()
+    if len(few) <= max_windows:
+        return windows, _read(docs, text, _literal(few), share), windows.limit(4 * max_windows + 1).count() <= 4 * max_windows
+    none = _read(docs, text, _together([]), share)
+    found = _verified(docs, windows, text, share).withColumnRenamed("_r", "_true")
+    met = none.join(found, text == F.col("_text"), "left")
+    return windows, met.withColumn("_r", F.coalesce("_true", "_r")).drop("_text", "_true"), False
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -91,21 +125,18 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int =
     contaminated; null benchmark texts have no windows; an empty benchmark hits nothing; a null doc_id stays null;
     other columns are ignored.
     """
-    windows, found, whole = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), benchmark, width, "doc_id", "text", item_col, item_text_col, max_windows)
-    judged = _judged(found, share).withColumn("key", F.xxhash64("doc_id", "text"))
-    copies = F.lit(1).cast("long") if whole else F.col("copies")
-    narrow = judged.select("key", "doc_id", "_n_words", "_n_hit", "_bad", copies.alias("copies"), F.array_distinct(F.transform("_hits", lambda h: h["window"])).alias("ws"))
-    # of the rows that a document becomes, one has w null or first, and counts it
-    rows = narrow.select("key", "doc_id", "_n_words", "_n_hit", "_bad", "copies", F.posexplode_outer("ws").alias("at", "window"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    windows, found, sent = scan(own, benchmark, width, share, "text", item_col, item_text_col, max_windows)
+    read = found.select("doc_id", "_r", F.monotonically_increasing_id().alias("row"))
+    narrow = read.select("row", "doc_id", F.col("_r.n_words").alias("n_words"), F.col("_r.n_hit").alias("n_hit"), F.col("_r.bad").alias("contaminated"), F.array_distinct("_r.hits.window").alias("ws"))
+    rows = narrow.select("*", F.explode_outer("ws").alias("window")).drop("ws")
     by = windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    out = rows.join(F.broadcast(by) if whole else by, "window", "left").groupBy("key", "doc_id").agg(
-        F.first("_n_words").alias("n_words"),
-        F.first("_n_hit").alias("n_hit"),
-        F.first("_bad").alias("contaminated"),
-        F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("copies"))).alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
-    )
-    return out.select("doc_id", "n_words", "n_hit", "items", "contaminated", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+    if sent:
+        met = rows.join(F.broadcast(by), "window", "left")
+    else:  # rows without a hit meet nothing, each by a key of its own
+        met = rows.withColumn("window", F.coalesce("window", F.concat(F.lit("\n"), F.col("row").cast("string")))).join(by, "window", "left")
+    out = met.groupBy("row", "doc_id", "n_words", "n_hit", "contaminated").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", "items", "contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -117,15 +148,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     """
     if action not in ("documents", "spans"):
         raise ValueError(f"no such action: {action}")
-    _, found, whole = scan(docs, benchmark, width, id_col, text_col, item_col, item_text_col, max_windows)
-    if not whole:  # hits depend on the text alone
-        hit = found.where(F.size("_hits") > 0).groupBy(F.col("text").alias("_hit_text")).agg(F.first("_hits").alias("_own"))
-        text = F.col(text_col).cast("string")
-        found = docs.join(hit, text == F.col("_hit_text"), "left").withColumn("_w", words_of(ascii_lower(text)))
-        found = found.withColumn("_hits", F.coalesce("_own", F.expr("cast(array() as array<struct<pos:int,len:int,window:string>>)")))
-    judged = _judged(found, share)
+    _, judged, _ = scan(docs, benchmark, width, share, text_col, item_col, item_text_col, max_windows)
     if action == "documents":
-        return judged.where(~F.col("_bad")).select(docs.columns)
+        return judged.where("not _r.bad").select(docs.columns)
+    judged = judged.withColumn("_hits", F.col("_r.hits"))
     merged = F.aggregate(
         "_hits",
         F.expr("cast(array() as array<struct<a:int,b:int>>)"),
