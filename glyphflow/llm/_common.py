@@ -36,7 +36,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stored_at = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,24 +1,26 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A document is the set of its distinct word shingles. Each set has a row of *path tokens* (32-bit minwise values) and
-a *sketch* (a byte of each of 64 more). In every tree a set starts at the root and descends along chosen tokens. The
-root takes two tokens of its own at once, so that sets with one common shingle don't meet; below it, a node picks
-two of ``LOWER`` tokens that no root uses (which ones depends on the node alone) and branches on each. Sets with the same values go to the same child: sets of
-Jaccard similarity 0.8 share each value with probability 0.8, sets of nothing in common hardly ever. A node of at
-most ``LEAF`` sets stops and compares its sets exhaustively; larger ones branch on. Independent trees repeat this
-until a pair at the threshold is missed with probability ``1 - recall`` at most, even if it descends to the last level.
+A document is the set of its distinct word shingles. Trees are independent: each has minwise functions of its own at
+every level. The root takes two tokens at once, so that sets with one common shingle don't meet; below it, a node
+branches on two tokens that its tree and level choose, and sets with the same value go to the same child. Sets of
+Jaccard similarity 0.8 share each value with probability 0.8, sets of little in common hardly ever. A node of at most
+``LEAF`` sets compares them exhaustively; larger ones branch on. With q the chance that a pair stays together
+somewhere below a node, a level more makes it 1 - (1 - 0.8 q)^2, which never falls below 0.9375 however deep the tree
+goes, so a tree finds a pair at the threshold with probability 0.64 * 0.9375 = 0.6 at least. ``trees_for`` counts the
+trees for the recall asked with that bound.
 
 Order of work, all of it in DataFrames over shuffles:
 
 1. Equal sets collapse into one class, named by its smallest doc_id, so exact copies cost one row each.
-2. Large nodes of the first level are where crowds of near copies meet. Each member is compared with the leader of
-   its node, which joins most of a crowd by as many comparisons as it has members. Members of one component need
-   not meet again.
-3. Nodes branch until they are small, or hold one component only, or half of them are one component. The others
-   are then compared with all of that crowd, once for all trees, in blocks. Blocks bound what a task holds, not what
-   is compared.
-4. Groups compare sketches first; sets that may reach the threshold are fetched and compared exactly, on whole
-   sets. Pairs that are joined already are skipped. No step lists all pairs of a group of copies.
+2. Each set is compared with the leaders (smallest ids) of its root nodes, and verified against the first of them that
+   sketches allow. Most of a crowd of near copies joins its leader so, by as many comparisons as it has members. The
+   leader is the set's label; sets of one label need not meet again.
+3. Nodes of one label are done. Others of at most ``LEAF`` sets are compared in full. In a larger one, the most
+   frequent label is the crowd; if at most ``LEAF`` sets are outside it, they meet the crowd in blocks. Else the node
+   branches on, with tokens that are computed for its sets alone, as long as a level lowers the number of pairs left;
+   what it doesn't lower (texts just below the threshold all over) is compared in blocks, exactly.
+4. Comparing means sketches first (a byte each of 64 more minwise values); sets that may reach the threshold are
+   fetched and compared exactly, on whole sets. Blocks bound what a task holds, not what is compared.
 5. Components come from contracting the verified links until none is left.
 
 Sketches pass a pair from 34 of 64 equal bytes on (a true pair at 0.8 misses that with probability 1e-6).
@@ -27,20 +29,21 @@ Sketches pass a pair from 34 of 64 equal bytes on (a true pair at 0.8 misses tha
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import checkpointed, shared_dir, stored
+from glyphflow.llm._common import discard, shared_dir, stored
 
-LOWER, SKETCH, SKETCH_MIN = 48, 64, 34
+SKETCH, SKETCH_MIN = 64, 34
 SKETCH_MISS = 1e-6
-LEAF, CROWD = 48, 512  # sets of a leaf; of a block of a crowd
-DEPTH = 4
-#: A cluster with more shingles than this is compared pair by pair, so that a task holds two sets at a time.
-CLUSTER_SHINGLES = 2_000_000
+LEAF, CROWD, STAR = 512, 512, 47  # sets of a leaf; of a block of a crowd; of a block that meets its leader
+#: Shingles that a block holds, unless two sets alone have more.
+BLOCK_SHINGLES = 4_000_000
+#: Bits of the filter that tells which sets to fetch: 2 MB as it travels. Beyond its capacity more is fetched than met.
+FILTER_BITS = 24
 
 _words: dict[bytes, int] = {}
 
@@ -70,31 +73,45 @@ def shingle_hashes(text: str | None, width: int):
     return np.unique(out ^ (out >> np.uint64(31)))
 
 
+def _functions(count: int, seed: int):
+    """Odd factors and summands of minwise functions."""
+    import numpy as np
+
+    rng = np.random.default_rng([20240229, seed])
+    return rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, dtype=np.uint64)
+
+
+def _minima(shingles, mul, add):
+    """The 32-bit minwise value of each function."""
+    import numpy as np
+
+    low = np.full(len(mul), 2**32 - 1, np.uint64)
+    for b in range(0, len(shingles), 4096):
+        low = np.minimum(low, ((shingles[b : b + 4096, None] * mul + add) >> np.uint64(32)).min(axis=0))
+    return low
+
+
 def _shingled(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """doc_id, n, fp (of the set; null if empty), tokens (two for each root, then those of lower levels), sketch."""
-    count = 2 * trees + LOWER
+    """doc_id, n, fp (of the set; null if empty), tokens (two for each root), sketch."""
+    count = 2 * trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
-        rng = np.random.default_rng(20240229)
-        mul = rng.integers(1, 2**63, count + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = rng.integers(0, 2**63, count + SKETCH, dtype=np.uint64)
+        mul, add = _functions(count + SKETCH, 0)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a in range(0, len(ids), 512):
                 n, fp, tokens, sketch = [], [], [], []
-                for text in texts.slice(a, 512).to_pylist():
-                    s = shingle_hashes(text, width)
+                for text in texts.slice(a, 512):
+                    s = shingle_hashes(text.as_py(), width)
                     n.append(len(s))
                     if not len(s):
                         fp.append(None), tokens.append(None), sketch.append(None)
                         continue
                     fp.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    low = np.full(count + SKETCH, 2**32 - 1, np.uint64)
-                    for b in range(0, len(s), 4096):
-                        low = np.minimum(low, ((s[b : b + 4096, None] * mul + add) >> np.uint64(32)).min(axis=0))
+                    low = _minima(s, mul, add)
                     tokens.append(low[:count].astype(np.uint32).view(np.int32))
                     sketch.append(((low[count:] * np.uint64(0x9E3779B1)) >> np.uint64(24)).astype(np.uint8).tobytes())
                 cols = [ids.slice(a, 512), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketch, pa.binary())]
@@ -103,11 +120,60 @@ def _shingled(docs: DataFrame, width: int, trees: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, fp binary, tokens array<int>, sketch binary")
 
 
+def _fetched(docs: DataFrame, wanted: DataFrame, width: int, made: Callable, kind: pa.DataType, schema: str) -> DataFrame:
+    """A row (rep, n, made of its shingles) for each text of a wanted set, and for few others; each once.
+
+    Texts stay where they are: a filter of the wanted ids goes to them, and only what passes is sent on.
+    """
+    import numpy as np
+
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
+    cells = wanted.select(place.alias("at")).selectExpr("cast(floor(at / 62) as int) as cell", "shiftleft(1L, cast(at % 62 as int)) as bit").groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    bits = np.zeros(((1 << FILTER_BITS) - 1) // 62 + 1, np.int64)
+    bits[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.int64)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = np.nonzero((bits[at // 62] >> (at % 62)) & 1)[0]
+            for a in range(0, len(hit), 128):
+                part = batch.take(pa.array(hit[a : a + 128]))
+                sets = [shingle_hashes(t.as_py(), width) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([made(x) for x in sets], kind)], names=["rep", "n", "made"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").select("rep", "text", place.alias("at"))
+    found = rows.mapInArrow(run, f"rep long, n long, made {schema}")
+    return found.repartition("rep").groupBy("rep", "n", F.xxhash64("made").alias("h")).agg(F.first("made").alias("made")).drop("h")
+
+
 def _merge(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """A shuffled join: both sides grow with the input, and a hot key is split at run time."""
     return left.join(right.hint("merge"), on, how)
 
 
+def _folded(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """``run`` over each group of a key, as one Arrow table; groups are bounded, and a task holds one or two."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            name = batch.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(name[1:] != name[:-1])[0] + 1).tolist(), len(name)] if len(name) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0].column(0)[0].as_py() != name[a]:
+                    yield from run(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(fold, schema)
+
+
 class _Sets:
     """Union-find over positions."""
 
@@ -126,156 +192,161 @@ class _Sets:
         return i != j
 
 
-def _likely(members: list[dict], share: tuple[int, int]):
-    """Pairs of positions whose sketches and sizes allow the threshold, likeliest first; pairs of one label left out."""
+def _sketches(column):
     import numpy as np
 
-    k = len(members)
-    s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(k, SKETCH)
-    n = np.array([m["n"] for m in members])
-    label = np.array([m["label"] for m in members])
-    if k == 2:
-        same = int((s[0] == s[1]).sum())
-        ok = same >= SKETCH_MIN and label[0] != label[1] and share[1] * n.min() >= share[0] * n.max()
-        return [(0, 1)] if ok else []
-    same = np.concatenate([(s[a : a + 64, None, :] == s[None, :, :]).sum(axis=2) for a in range(0, k, 64)])
-    ok = (same >= SKETCH_MIN) & (label[:, None] != label[None, :]) & (share[1] * np.minimum.outer(n, n) >= share[0] * np.maximum.outer(n, n))
-    i, j = np.nonzero(np.triu(ok, 1))
-    order = np.argsort(-same[i, j], kind="stable")
-    return list(zip(i[order].tolist(), j[order].tolist()))
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, SKETCH)
 
 
-def _linked(members: list[dict], share: tuple[int, int]):
-    """Pairs of positions of different labels that full sets link. Intersections are counted for all pairs at once."""
+def _likely(sketch, n, label, share: tuple[int, int]):
+    """Pairs of positions of different labels whose sketches and sizes allow the threshold."""
     import numpy as np
 
-    k = len(members)
-    size = np.array([m["n"] for m in members], np.int64)
-    _, column, held = np.unique(np.concatenate([np.frombuffer(m["shingles"], np.uint64) for m in members]), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(k), size)
-    shared = held[column] > 1  # a shingle of one set alone is in no intersection
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    found = []
+    for a in range(0, len(n), 64):
+        ok = label[a : a + 64, None] != label[None, :]
+        ok &= share[1] * np.minimum(n[a : a + 64, None], n[None, :]) >= share[0] * np.maximum(n[a : a + 64, None], n[None, :])
+        ok &= np.arange(a, min(a + 64, len(n)))[:, None] < np.arange(len(n))[None, :]
+        i, j = np.nonzero(ok)
+        for b in range(0, len(i), 65536):
+            x, y = i[b : b + 65536] + a, j[b : b + 65536]
+            same = (sketch[x] == sketch[y]).sum(axis=1) >= SKETCH_MIN
+            found.append(np.stack([x[same], y[same]], axis=1))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
+def _linked(sets: list, label, share: tuple[int, int]):
+    """Pairs of positions of different labels that full sets link. Intersections are counted for all pairs at once,
+    range by range of the hashes, so that memory is bounded however large the sets are."""
+    import numpy as np
+
+    k = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
     both = np.zeros((k, k), np.int64)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
-        lo, hi = np.searchsorted(column, (at, at + 8192))
-        part = np.zeros((k, 8192), np.float32)
-        part[row[lo:hi], column[lo:hi] - at] = 1
-        both += (part @ part.T).astype(np.int64)
-    label = np.array([m["label"] for m in members])
+    ranges = max(1, -(-int(size.sum()) // 1_000_000))
+    cuts = [np.uint64(2**64 * r // ranges) for r in range(1, ranges)]
+    at = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]).astype(np.int64) for x in sets]
+    for r in range(ranges):
+        parts = [x[p[r] : p[r + 1]] for x, p in zip(sets, at)]
+        _, column, held = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(k), [len(x) for x in parts])
+        shared = held[column] > 1  # a shingle of one set alone is in no intersection
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            lo, hi = np.searchsorted(column, (a, a + 8192))
+            part = np.zeros((k, 8192), np.float32)
+            part[row[lo:hi], column[lo:hi] - a] = 1
+            both += (part @ part.T).astype(np.int64)
     ok = (share[1] * both >= share[0] * (size[:, None] + size[None, :] - both)) & (label[:, None] != label[None, :])
     i, j = np.nonzero(np.triu(ok, 1))
     return zip(i.tolist(), j.tolist())
 
 
-def _clusters(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, share: tuple[int, int]) -> DataFrame:
-    """cluster, rep, label: what of each group (g, rep) may hold new links; each cluster once."""
-    rows = _merge(groups, classes.select("rep", "n", "sketch"), "rep")
-    rows = _merge(rows, labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")) if labels is not None else rows.withColumn("label", F.col("rep"))
-    met = rows.groupBy("g").agg(F.collect_list(F.struct("rep", "n", "sketch", "label")).alias("members"))
+def _clusters(groups: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """cluster, rep, label, n: what of each group (g, rep, n, sketch, label) may hold new links; each cluster once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
-        for batch in batches:
-            cluster, rep, label = [], [], []
-            for members in batch.column(0).to_pylist():
-                pairs = _likely(members, share)
-                if not pairs:
-                    continue
-                sets = _Sets(len(members))
-                for i, j in pairs:
-                    sets.join(i, j)
-                found: dict[int, list[int]] = {}
-                for i in sorted({i for p in pairs for i in p}):
-                    found.setdefault(sets.root(i), []).append(i)
-                parts = []
-                for own in found.values():
-                    if len(own) > 2 and sum(members[i]["n"] for i in own) > CLUSTER_SHINGLES:
-                        parts += [p for p in pairs if p[0] in set(own)]
-                    else:
-                        parts.append(own)
-                for own in parts:
-                    key = sorted((members[i]["rep"], members[i]["label"]) for i in own)
-                    name = xxhash.xxh3_64_intdigest(np.array(key, np.int64).tobytes()) - 2**63
-                    cluster += [name] * len(key)
-                    rep += [k[0] for k in key]
-                    label += [k[1] for k in key]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cluster, rep, label)], names=["cluster", "rep", "label"])
-
-    return met.select("members").mapInArrow(run, "cluster long, rep long, label long").distinct()
-
-
-def _links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """a, b: for each cluster, as far as verified links on full sets join it, the smallest rep and each other one."""
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                sets = [shingle_hashes(t, width).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+        rep, n, label = (group.column(c).to_numpy() for c in ("rep", "n", "label"))
+        pairs = _likely(_sketches(group.column("sketch")), n, label, share)
+        if not len(pairs):
+            return
+        sets = _Sets(len(rep))
+        for i, j in pairs.tolist():
+            sets.join(i, j)
+        found: dict[int, list[int]] = {}
+        for i in np.unique(pairs).tolist():
+            found.setdefault(sets.root(i), []).append(i)
+        out: list[tuple[int, int]] = []
+        for own in found.values():
+            own.sort(key=lambda i: (rep[i], label[i], n[i]))
+            blocks, room = [[]], BLOCK_SHINGLES // 2
+            for i in own:  # blocks meet two by two, so each pair of sets does
+                if blocks[-1] and n[i] > room:
+                    blocks.append([])
+                    room = BLOCK_SHINGLES // 2
+                blocks[-1].append(i)
+                room -= n[i]
+            parts = [own] if len(blocks) == 1 else [x + y for k, x in enumerate(blocks) for y in blocks[k + 1 :]]
+            for part in parts:
+                name = xxhash.xxh3_64_intdigest(np.stack([rep[part], label[part], n[part]]).astype(np.int64).tobytes()) - 2**63
+                out += [(name, i) for i in part]
+        at = [i for _, i in out]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array(rep[at]), pa.array(label[at]), pa.array(n[at])], names=["cluster", "rep", "label", "n"])
+
+    return _folded(groups.select("g", "rep", "n", "sketch", "label"), "g", run, "cluster long, rep long, label long, n long").distinct()
+
+
+def _links(clusters: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """a, b: for each cluster (cluster, rep, label, n), as far as verified links on full sets join it, the smallest rep
+    and each other one."""
+    sets = _fetched(docs, clusters, width, lambda x: x.tobytes(), pa.binary(), "binary")
+    met = clusters.join(sets.hint("merge"), ["rep", "n"]).select("cluster", "rep", "label", "made")
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    wanted = clusters.select("rep").distinct()
-    sets = _merge(docs.select(F.col("doc_id").alias("rep"), "text"), wanted, "rep").select("rep", "text").mapInArrow(fetch, "rep long, shingles binary")
-    rows = _merge(_merge(clusters, sets, "rep"), classes.select("rep", "n", "sketch"), "rep")
-    met = rows.groupBy("cluster").agg(F.collect_list(F.struct("rep", "n", "sketch", "label", "shingles")).alias("members"))
+        rep, label = group.column("rep").to_numpy(), group.column("label").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("made")]
+        joined = _Sets(len(rep))
+        for i, j in _linked(sets, label, share) if len(rep) > 1 else ():
+            joined.join(i, j)
+        least: dict[int, int] = {}
+        for i in range(len(rep)):
+            least[joined.root(i)] = min(rep[i], least.get(joined.root(i), rep[i]))
+        pairs = sorted({(int(least[joined.root(i)]), int(rep[i])) for i in range(len(rep)) if least[joined.root(i)] != rep[i]})
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for k in range(batch.num_rows):
-                members = [m for m in batch.column(0).slice(k, 1).to_pylist()[0] if len(m["shingles"]) == 8 * m["n"]]
-                joined = _Sets(len(members))
-                for i, j in _linked(members, share) if len(members) > 1 else ():
-                    joined.join(i, j)
-                least: dict[int, int] = {}
-                for i, m in enumerate(members):
-                    least[joined.root(i)] = min(m["rep"], least.get(joined.root(i), m["rep"]))
-                for i, m in enumerate(members):
-                    if least[joined.root(i)] != m["rep"]:
-                        a.append(least[joined.root(i)])
-                        b.append(m["rep"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return met.select("members").mapInArrow(run, "a long, b long").distinct()
+    return _folded(met, "cluster", run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """rep, label: for every end of a link (a, b), the smallest end that it reaches.
+    """rep, label: for every end of a link (a, b), the smallest end that it reaches. No links give no rows.
 
     Each round sends every end to the least of itself and its neighbours and contracts the links accordingly, until
     none is left. After the first round, "least" goes by a hash that changes with the round, so a long chain in order
     of its ids takes logarithmically many rounds too.
     """
-    links = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    names = links.select(F.col("a").alias("rep")).union(links.select("b")).distinct().withColumn("at", F.col("rep"))
-    turn = 0
+    links = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    names, turn = None, 0
     while not links.isEmpty():
         rank = (lambda c: F.col(c)) if turn == 0 else (lambda c, k=turn: F.xxhash64(c, F.lit(k)))
         both = links.union(links.select("b", "a"))
         near = both.groupBy(F.col("a").alias("v")).agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
-        to = checkpointed(near.select("v", F.when(F.col("m.r") < rank("v"), F.col("m.to")).otherwise(F.col("v")).alias("to")))
-        names = _merge(names, to.withColumnRenamed("v", "at"), "at", "left").select("rep", F.coalesce("to", "at").alias("at"))
+        to = stored(near.select("v", F.when(F.col("m.r") < rank("v"), F.col("m.to")).otherwise(F.col("v")).alias("to")), "sent")
+        if names is None:  # every end is its own name before the first round
+            moved = to.select(F.col("v").alias("rep"), F.col("to").alias("at"))
+        else:
+            moved = _merge(names, to.withColumnRenamed("v", "at"), "at", "left").select("rep", F.coalesce("to", "at").alias("at"))
         ends = _merge(links, to.withColumnRenamed("v", "a"), "a").select(F.col("to").alias("x"), "b")
         ends = _merge(ends, to.withColumnRenamed("v", "b"), "b").select("x", F.col("to").alias("y"))
-        links = checkpointed(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        turn += 1
-    names = checkpointed(names)
+        left = stored(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        held = stored(moved, "names")
+        discard(links, to, *([] if names is None else [names]))
+        links, names, turn = left, held, turn + 1
+    if names is None:
+        return links.select(F.col("a").alias("rep"), F.col("b").alias("label"))
+    discard(links)
     least = names.groupBy("at").agg(F.min("rep").alias("label"))
     return _merge(names, least, "at").select("rep", "label")
 
 
-def missed(trees: int, share: tuple[int, int]) -> float:
-    """The probability that no path of a pair at the threshold stays together down to the last level.
-
-    Trees share the tokens of lower levels, so it is a mean over how many of those the pair has in common.
-    """
+def missed(trees: int, share: tuple[int, int], depth: int | None = None) -> float:
+    """The probability that a pair at the threshold meets in no tree, if nodes branch ``depth`` times below the root,
+    or however often. Trees and levels have functions of their own, so it is a product."""
     j = share[0] / share[1]
-    kept = lambda k: j * j * (1 - math.comb(LOWER - k, 2) / math.comb(LOWER, 2)) ** (DEPTH - 1)
-    return sum(math.comb(LOWER, k) * j**k * (1 - j) ** (LOWER - k) * (1 - kept(k)) ** trees for k in range(LOWER + 1))
+    q, level = 1.0, 0
+    while level != depth:
+        q, last = 1 - (1 - j * q) ** 2, q
+        level += 1
+        if last - q < 1e-12:
+            break
+    return (1 - j * j * q) ** trees
 
 
 def trees_for(recall: float, share: tuple[int, int]) -> int:
@@ -286,21 +357,42 @@ def trees_for(recall: float, share: tuple[int, int]) -> int:
     raise ValueError(f"no number of trees up to 1000 has recall {recall}")
 
 
-def _picks(node: Column, roots: int) -> list[Column]:
-    """Positions of the two tokens, different ones, that a node branches on."""
-    one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(LOWER))
-    two = F.pmod(one + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(LOWER - 1)), F.lit(LOWER))
-    return [(roots + c).cast("int") for c in (one, two)]
-
-
 def _sized(paths: DataFrame) -> DataFrame:
     """Nodes (node, size, leader) of at least two sets."""
     return paths.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).where("size > 1")
 
 
-def _blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """Adds block: members of a key dealt out so that a block has about LEAF of them."""
-    return rows.withColumn("blocks", F.ceil(F.col(size) / LEAF).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+def _first_leaders(paths: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """rep, leader: the first leader of a node that sketches and sizes let the set be linked with, if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            a, b = _sketches(batch.column(2)), _sketches(batch.column(3))
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            ok = ((a == b).sum(axis=1) >= SKETCH_MIN) & (share[1] * np.minimum(n, m) >= share[0] * np.maximum(n, m))
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    pairs = paths.where("rep <> leader").select("leader", "rep").distinct()
+    own, other = classes.select("rep", "n", "sketch"), classes.select(F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("s"))
+    rows = _merge(_merge(pairs, own, "rep"), other, "leader").select("rep", "leader", "sketch", "s", "n", "m")
+    return rows.mapInArrow(run, "rep long, leader long").groupBy("rep").agg(F.min("leader").alias("leader"))
+
+
+def _branched(rows: DataFrame, docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
+    """rep, node: the children of the nodes (node, tree, rep) on two tokens that their tree takes at this depth."""
+    count = 2 * trees
+
+    def tokens(shingles):
+        import numpy as np
+
+        return _minima(shingles, *_functions(count, depth)).astype(np.uint32).view(np.int32).tolist() if len(shingles) else [0] * count
+
+    own = _fetched(docs, rows.select("rep"), width, tokens, pa.list_(pa.int32()), "array<int>").select("rep", F.col("made").alias("tokens"))
+    at = lambda k: F.get("tokens", 2 * F.col("tree") + k)
+    child = F.array(*[F.xxhash64("node", F.lit(k), at(k)) for k in (0, 1)])
+    return _merge(rows, own, "rep").select("rep", "tree", F.explode(child).alias("node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,62 +411,74 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     sets = stored(_shingled(docs, width, trees), "sets")
     known = sets.where("fp is not null and doc_id is not null")
     classes = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
-    roots = F.array(*[F.xxhash64(F.lit(t), F.get("tokens", F.lit(2 * t)), F.get("tokens", F.lit(2 * t + 1))) for t in range(trees)])
-    paths = classes.select("rep", F.explode(roots).alias("node"))
-    found, dense, labels, stars = [], [], None, None
-    for depth in range(1, DEPTH + 1):
-        rows = stored(_merge(paths, _sized(paths), "node"), f"paths{depth}")
-        found.append(rows.where(F.col("size") <= LEAF).select("node", "rep"))
-        large = rows.where(F.col("size") > LEAF)
-        if large.isEmpty():
+    roots = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("tokens", F.lit(2 * t)), F.get("tokens", F.lit(2 * t + 1))).alias("node")) for t in range(trees)])
+    paths = classes.select("rep", F.explode(roots).alias("r")).select("rep", "r.tree", "r.node")
+    rows = stored(_merge(paths, _sized(paths), "node"), "paths")
+    tables = [rows]
+
+    # each set against the first likely leader of its nodes; what is verified is its label
+    star = _first_leaders(rows, classes, share)
+    block = F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("size") / STAR).cast("int"))
+    star = stored(_merge(star, star.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader").select("leader", "rep", F.xxhash64("leader", block).alias("cluster")), "leaders")
+    both = star.select("cluster", "rep").union(star.select("cluster", F.col("leader").alias("rep")).distinct())
+    stars = stored(_links(_merge(both, classes.select("rep", "n"), "rep").select("cluster", "rep", F.col("rep").alias("label"), "n"), docs, width, share), "stars")
+    labels = stored(_labelled(stars), "labels")
+
+    groups, crowds, left, depth = [], [], None, 0
+    tables += [star, stars, labels]
+    rows = _merge(rows, labels, "rep", "left").select("node", "tree", "rep", F.coalesce("label", "rep").alias("label"))
+    while True:
+        # the most frequent label of each node, and how many sets lie outside it
+        per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("own"))
+        top = per.groupBy("node").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("size")).select("node", F.col("top.label").alias("main"), "size", (F.col("size") - F.col("top.own")).alias("others")).where("others > 0")
+        held = stored(_merge(rows, top, "node"), f"nodes{depth}")
+        tables.append(held)
+        groups.append(held.where(F.col("size") <= LEAF).select(F.col("node").alias("g"), "rep", "label"))
+        large = held.where(F.col("size") > LEAF)
+        sums = large.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("others") > LEAF, F.col("others"))).alias("pairs")).first()
+        if not sums.rows:
             break
-        if depth == 1:
-            pairs = large.where("rep <> leader").select("leader", "rep").distinct()
-            crowds = _merge(pairs, pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader")
-            crowds = _blocks(crowds, "leader", "size")
-            groups = crowds.select(F.xxhash64("leader", "block").alias("g"), "rep").union(crowds.select(F.xxhash64("leader", "block").alias("g"), F.col("leader").alias("rep")).distinct())
-            stars = checkpointed(_links(checkpointed(_clusters(groups, classes, None, share)), classes, docs, width, share))
-            labels = checkpointed(stars.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label")))
-        named = _merge(large, labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        # the largest component of each node, and how many sets lie outside it
-        per = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("own"))
-        top = per.groupBy("node").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("size")).select("node", F.col("top.label").alias("main"), (F.col("size") - F.col("top.own")).alias("others"), "size")
-        top = checkpointed(top.where("others > 0").withColumn("ends", (F.col("others") <= F.greatest(F.lit(LEAF), F.col("size") / 2)) | F.lit(depth == DEPTH)))
-        named = _merge(named.select("node", "rep", "label"), top, "node")
-        dense.append(named.where("ends").select("main", "rep", "label"))
-        if top.where(~F.col("ends")).isEmpty():
+        on = F.col("others") > LEAF
+        pays = sums.pairs is not None and (left is None or sums.pairs < 0.9 * left)
+        crowds.append((large.where(~on) if pays else large).select("main", "rep", "label"))
+        if not pays:
             break
-        # children: two tokens that the node picks
-        on = named.where(~F.col("ends")).select("node", "rep")
-        on = _merge(on, classes.select("rep", "tokens"), "rep")
-        children = [F.xxhash64("node", at, F.get("tokens", at)) for at in _picks(F.col("node"), 2 * trees)]
-        paths = on.select("rep", F.explode(F.array(*children)).alias("node")).distinct()
-    groups = found[0]
-    for more in found[1:]:
-        groups = groups.union(more)
-    groups = groups.withColumnRenamed("node", "g")
-    if dense:
-        crowd = dense[0]
-        for more in dense[1:]:
+        left, depth = sums.pairs, depth + 1
+        named = large.where(on).select("node", "tree", "rep", "label")
+        rows = _branched(named, docs, width, trees, depth)
+        rows = _merge(_merge(rows, _sized(rows).select("node"), "node"), named.select("rep", "label").distinct(), "rep")
+    met = groups[0]
+    for more in groups[1:]:
+        met = met.union(more)
+    if crowds:
+        crowd = crowds[0]
+        for more in crowds[1:]:
             crowd = crowd.union(more)
-        # nodes of all trees with one main component are one crowd, whose few meet all of it once
-        crowd = crowd.select("main", "rep", (F.col("label") != F.col("main")).alias("few")).distinct()
+        # nodes of all trees with one main label are one crowd, whose few meet all of it once
+        crowd = crowd.select("main", "rep", "label", (F.col("label") != F.col("main")).alias("few")).distinct()
         sizes = crowd.groupBy("main").agg(F.count(F.lit(1)).alias("size"), F.count_if("few").alias("others"))
         deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(n) / CROWD)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / CROWD) - 1).cast("int")))
         crowd = _merge(crowd, sizes, "main")
-        meet = crowd.select("main", "rep", deal("size", 7).alias("block"), every("others").alias("chunk")).union(crowd.where("few").select("main", "rep", every("size").alias("block"), deal("others", 11).alias("chunk")))
-        groups = groups.union(meet.select(F.xxhash64("main", "block", "chunk").alias("g"), "rep").distinct())
-    links = checkpointed(_links(checkpointed(_clusters(groups, classes, labels, share)), classes, docs, width, share))
-    if stars is not None:
-        links = links.union(stars)
-    named = components(links)
+        blocks = crowd.select("main", "rep", "label", deal("size", 7).alias("block"), every("others").alias("chunk")).union(crowd.where("few").select("main", "rep", "label", every("size").alias("block"), deal("others", 11).alias("chunk")))
+        met = met.union(blocks.select(F.xxhash64("main", "block", "chunk").alias("g"), "rep", "label").distinct())
+    clusters = stored(_clusters(_merge(met, classes.select("rep", "n", "sketch"), "rep"), share), "clusters")
+    tables.append(clusters)
+    named = stored(components(_links(clusters, docs, width, share).union(stars)), "components")
+    discard(*tables)
     names = _merge(classes.select("fp", "rep"), named, "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
     out = _merge(sets.select("doc_id", "n", "fp"), names, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def _labelled(stars: DataFrame) -> DataFrame:
+    """rep, label: of sets that a verified link joins to a smaller one; two steps along such links, where there are."""
+    one = stars.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
+    two = one.select(F.col("rep").alias("label"), F.col("label").alias("next"))
+    return _merge(one, two, "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
+
+
 def deduplicate(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, columns as they are; rows without doc_id stay."""
     found = near_duplicates(docs, width, share, recall, id_col, text_col)

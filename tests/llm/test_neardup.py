@@ -89,19 +89,55 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_large_nodes(spark, monkeypatch):
+    """With small leaves and blocks, nodes branch, crowds meet their few, and texts just below the threshold all over
+    are compared in blocks; sets larger than a block are split over ranges."""
+    for name, small in (("LEAF", 6), ("CROWD", 16), ("STAR", 3)):
+        monkeypatch.setattr(neardup, name, small)
+    rnd = random.Random(9)
+    base = [f"t{i}" for i in range(200)]
+    docs = crowd(3, 150)[:400]
+    for k in range(120):  # of one template, at about 0.75 of each other
+        w = list(base)
+        for at in rnd.sample(range(200), 14):
+            w[at] = f"x{k}y{at}"
+        docs.append((1000 + k, " ".join(w)))
+    depths = []
+    branched = neardup._branched
+    monkeypatch.setattr(neardup, "_branched", lambda *a: depths.append(a[-1]) or branched(*a))
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 1)
+    assert depths
+
+
+def test_links_over_ranges():
+    """Counting intersections range by range gives what sets give."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**64, 900_000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common[: 900_000 - 40_000 * k], rng.integers(0, 2**64, 30_000 * k, dtype=np.uint64)])) for k in range(4)]
+    want = [(i, j) for i in range(4) for j in range(i + 1, 4) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert 0 < len(want) < 6 and list(neardup._linked(sets, np.arange(4), (80, 100))) == want
+
+
+def test_components_of_chains(spark):
+    links = [(i, i + 1) for i in range(300)] + [(1000, 500), (7, 7), (2000, 1500), (1500, 2000)]
+    got = {r.rep: r.label for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(301)}, 500: 500, 1000: 500, 1500: 1500, 2000: 1500}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_missed_pairs():
-    """The miss of a descent to the last level, simulated with shared lower tokens, is the one that trees are counted for."""
+    """The miss of a descent, simulated level by level, is the one that trees are counted for."""
     rng = np.random.default_rng(4)
-    n, trees, j = 300_000, 4, 0.8
-    lower, found = rng.random((n, neardup.LOWER)) < j, np.zeros(n, bool)
-    at = np.arange(n)
-    for _ in range(trees):
-        path = (rng.random((n, 2)) < j).all(axis=1)
-        for _ in range(neardup.DEPTH - 1):
-            one = rng.integers(0, neardup.LOWER, n)
-            path &= lower[at, one] | lower[at, (one + rng.integers(1, neardup.LOWER, n)) % neardup.LOWER]
-        found |= path
-    assert 0.95 < (~found).mean() / neardup.missed(trees, (80, 100)) < 1.05
+    n, j = 400_000, 0.8
+    for depth in (1, 3):
+        together = np.ones((n, 2**depth), bool)
+        for _ in range(depth):
+            together &= rng.random(together.shape) < j
+            together = together[:, ::2] | together[:, 1::2]
+        hit = (rng.random((n, 2)) < j).all(axis=1) & together[:, 0]
+        assert abs((~hit).mean() - neardup.missed(1, (80, 100), depth)) < 0.003
+    assert neardup.missed(3, (80, 100), 40) <= neardup.missed(3, (80, 100)) * (1 + 1e-9)
     assert neardup.missed(neardup.trees_for(0.99999, (80, 100)), (80, 100)) < 9e-6
     assert neardup.trees_for(0.999998, (80, 100)) > neardup.trees_for(0.99999, (80, 100))
     with pytest.raises(ValueError):
