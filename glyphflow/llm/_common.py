@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,27 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
 
 
+def folded(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """``run`` over each group of a key, as one Arrow table; groups are bounded, and a task holds one or two."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            name = batch.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(name[1:] != name[:-1])[0] + 1).tolist(), len(name)] if len(name) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0].column(0)[0].as_py() != name[a]:
+                    yield from run(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(fold, schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Every tree hashes a vector to a long string. Each symbol of the string comes from a random rotation of its own: it
-names the axis, with its sign, that the rotated vector leans to most. A tree is the array of all strings in sorted
-order, so the vectors that share a prefix are a range of it. A query descends each tree along its own string and
-along the string that starts with its second-best symbol, to the longest prefix that rows share; then all trees
-ascend together, one symbol at a time, until the ranges hold enough candidates. Those are all compared exactly.
-
-In Spark the sorted arrays are spread by prefix: the counts of all prefixes decide, by a join, how far each query
-ascends, and then only the ranges that some query wants are brought together with their queries, in blocks of at
-most ``BLOCK`` rows and ``QUERIES`` queries. A prefix that a third of all rows share is many blocks, never one task.
-A query that must ascend to the root meets all rows, in blocks; so does one whose ranges, full of rows that many
-trees share, turn out to hold fewer than ``k`` neighbours.
+Every tree hashes a vector to a long string of bits. Each symbol of the string comes from a random rotation of its own:
+it names the axis, with its sign, that the rotated vector leans to most; the bits of the symbols follow one another. A
+tree is the sorted array of all strings. A query descends to its place in each array, next to the strings with which
+it shares the longest prefix. From there all trees ascend together, a bit at a time: a shorter prefix is a longer range
+around the place. The ascent stops at the longest prefix whose ranges hold ``budget`` rows over all trees, and what
+they hold is compared.
+
+In Spark the arrays are one table, sorted by (tree, string) over range partitions, so that every entry has a rank. An
+array is cut into blocks of ``BLOCK`` ranks, each with the ``HALO`` entries beside it. One pass counts, for each query
+and tree, the entries at every length of prefix; the sums give the length to stop at. A second pass takes vectors (as
+half floats) to the blocks and keeps the best of each range, the best of all trees are then compared in full. A task
+holds a block, however many rows share a prefix, and work is ``budget`` candidates a query at any number of rows.
+
+Equal vectors are one entry, whatever their number; their smallest ids stand for them in results.
 
 The hash knows directions only, the inner product also lengths. So rows are split into bands of like length, each with
-trees and a stop of its own, and a query descends those of every band. Within a band, the rows of largest inner product
-are about those of like direction. Vectors of one length are one band.
+arrays and a stop of its own, and a query descends those of every band. Within a band, the rows of largest inner
+product are about those of like direction. Vectors of one length are one band.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glyphflow.llm._common import checkpointed, stored
+from glyphflow.llm._common import discard, folded, stored
 
-SYMBOLS = 4  # of a string; 16 bits each
-BLOCK, QUERIES = 2000, 400
+BITS = 52  # of a string at most; numbers of so many bits are exact as doubles
+BLOCK, HALO = 4096, 512
+SPARE = 12  # rows beyond k that are compared in full, since half floats rank the others
 BAND = 1.5  # ratio of lengths in a band, but for the ends of the quantiles that bound it
 
 
@@ -41,71 +45,165 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.coalesce(finite, F.lit(False)))
 
 
-def _hash(rows: DataFrame, trees: int, dims: int, probes: int, seed: int) -> DataFrame:
-    """vec_id, band, keys: the string of each tree as a long, ``probes`` of them after one another for each tree."""
+def _hash(rows: DataFrame, trees: int, dims: int, seed: int) -> DataFrame:
+    """cid, band, asks, keys (the string of each tree as a long), half (the vector, scaled to length 1, in half floats)."""
+    wide = max(1, (2 * dims - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         rng = np.random.default_rng(seed)
-        turn = [[np.linalg.qr(rng.normal(size=(dims, dims)))[0] for _ in range(SYMBOLS)] for _ in range(trees)]
+        turn = [[np.linalg.qr(rng.normal(size=(dims, dims)))[0].astype(np.float32) for _ in range(max(1, BITS // wide))] for _ in range(trees)]
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
-                keys = np.empty((part.num_rows, trees * probes), np.int64)
+                top = np.abs(x).max(axis=1, keepdims=True)  # before the length, which may not be a number for such large ones
+                x = x / top
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+                keys, at = np.zeros((part.num_rows, trees), np.int64), np.arange(part.num_rows)
                 for t in range(trees):
-                    tail = np.zeros(part.num_rows, np.int64)
-                    for s in range(SYMBOLS):
-                        y = x @ turn[t][s]
-                        size = np.abs(y)
-                        if s:
-                            best = size.argmax(axis=1)
-                            tail |= (2 * best + (y[np.arange(len(y)), best] < 0)) << (16 * (SYMBOLS - 1 - s))
-                        else:
-                            order = np.argsort(-size, axis=1, kind="stable")[:, :probes]
-                            first = 2 * order + (np.take_along_axis(y, order, axis=1) < 0)
-                    for p in range(probes):
-                        keys[:, t * probes + p] = tail | (first[:, min(p, dims - 1)] << (16 * (SYMBOLS - 1)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), flat], names=["vec_id", "band", "keys"])
-
-    return rows.select("vec_id", "v", "band").mapInArrow(run, "vec_id long, band int, keys array<long>")
-
-
-def _prefix(tree: Column, key: Column, depth: Column, trees: int) -> Column:
-    """A long for the prefix of that depth in that tree; the band for the root of all its trees."""
-    cut = F.shiftright(key, 16 * (SYMBOLS - 1))
-    for d in range(2, SYMBOLS + 1):
-        cut = F.when(depth == d, F.shiftright(key, 16 * (SYMBOLS - d))).otherwise(cut)
-    return F.when(depth == 0, F.floor(tree / trees).cast("long")).otherwise(F.xxhash64(tree, depth, cut))
+                    for r in turn[t]:
+                        y = x @ r
+                        best = np.abs(y).argmax(axis=1)
+                        keys[:, t] = (keys[:, t] << wide) | best | ((y[at, best] < 0).astype(np.int64) << (wide - 1))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, trees), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), flat, pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], names=["cid", "band", "asks", "keys", "half"])
+
+    return rows.select("cid", "v", "band", "asks").mapInArrow(run, "cid long, band int, asks boolean, keys array<long>, half binary")
+
+
+def _length(v: Column) -> Column:
+    top = F.array_max(F.transform(v, F.abs))
+    return top * F.sqrt(F.aggregate(F.transform(v, lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x))
 
 
 def _bands(rows: DataFrame) -> tuple[Column, int]:
     """The band of a vector, 0 for the longest, and how many there are: bounded by quantiles, however far lengths lie apart."""
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     at = [1.0] + [1 - 2.0**-j for j in range(20, 5, -1)] + [i / 32 for i in range(31, -1, -1)]
-    quantiles = rows.select(length.alias("l")).agg(F.percentile_approx("l", at, 100_000)).first()[0]
+    quantiles = rows.select(_length(F.col("v")).alias("l")).agg(F.percentile_approx("l", at, 100_000)).first()[0]
     edges, top = [], quantiles[0]
     for q in quantiles[1:]:
         if q * BAND <= top:
             edges.append(q)
             top = q
-    band = F.lit(0)
+    length, band = _length(F.col("v")), F.lit(0)
     for e in edges:
         band = band + (length < e).cast("int")
     return band, len(edges) + 1
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, probes: int = 2, gather: float = 0.25, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _arrays(strings: DataFrame, trees: int, bands: int) -> DataFrame:
+    """tree, key, cid, asks, rank, n: every array, of ``n`` entries, in order; queries stand in those of all bands."""
+    spread = strings.select("cid", "band", F.posexplode("keys").alias("t", "key"), "asks")
+    held = spread.select((F.col("band") * trees + F.col("t")).alias("tree"), "key", "cid", F.lit(False).alias("asks"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
+    asked = spread.where("asks").select("t", "key", "cid", every.alias("b")).select((F.col("b") * trees + F.col("t")).alias("tree"), "key", "cid", F.lit(True).alias("asks"))
+    order = ["tree", "key", "cid", "asks"]
+    at = F.monotonically_increasing_id()
+    entries = stored(held.union(asked).repartitionByRange(*order).sortWithinPartitions(*order).select(*order, F.shiftright(at, 33).alias("pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "arrays")
+    spark, sizes = strings.sparkSession, lambda c: sorted(map(tuple, entries.groupBy(c).agg(F.count(F.lit(1))).collect()))  # as many rows as partitions, or arrays
+    first, parts, own = 0, [], []
+    for pid, n in sizes("pid"):
+        parts.append((pid, first))
+        first += n
+    first = 0
+    for tree, n in sizes("tree"):
+        own.append((tree, first, n))
+        first += n
+    met = entries.join(F.broadcast(spark.createDataFrame(parts, "pid long, before long")), "pid").join(F.broadcast(spark.createDataFrame(own, "tree int, start long, n long")), "tree")
+    out = met.select(*order, (F.col("before") + F.col("i") - F.col("start")).alias("rank"), "n")
+    out._stored_at = entries._stored_at
+    return out
+
+
+def _blocks(arrays: DataFrame) -> DataFrame:
+    """Adds block: queries go to their own, entries also to those they are beside of."""
+    near = F.sequence(F.floor(F.greatest(F.col("rank") - HALO, F.lit(0)) / BLOCK), F.floor(F.least(F.col("rank") + HALO, F.col("n") - 1) / BLOCK))
+    home = F.array(F.floor(F.col("rank") / BLOCK))
+    return arrays.withColumn("b", F.explode(F.when(F.col("asks"), home).otherwise(near))).withColumn("block", F.col("tree") * F.lit(1 << 32) + F.col("b")).drop("b", "n")
+
+
+def _sorted(group: pa.Table):
+    """rank, key and cid of the entries, and those of the queries, of a block."""
+    rank, key, cid, asks = (group.column(c).to_numpy() for c in ("rank", "key", "cid", "asks"))
+    held, asked = (x[rank[x].argsort(kind="stable")] for x in ((~asks).nonzero()[0], asks.nonzero()[0]))
+    return (rank[held], key[held], cid[held], held), (rank[asked], key[asked], cid[asked], asked)
+
+
+def _stops(arrays: DataFrame, trees: int, bits: int, budget: int) -> DataFrame:
+    """qid, band, stop: the longest prefix at which the ranges of a query hold enough, or 0."""
+
+    def count(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        (rank, key, _, _), (r, q, qid, _) = _sorted(group)
+        if not len(r):
+            return
+        out = np.zeros((len(r), bits + 1), np.int32)
+        lo, hi = np.searchsorted(rank, r - HALO), np.searchsorted(rank, r + HALO, "right")
+        for i in range(len(r)):
+            shared = bits - np.frexp((key[lo[i] : hi[i]] ^ q[i]).astype(np.float64))[1]
+            out[i] = np.bincount(shared, minlength=bits + 1)[::-1].cumsum()[::-1]
+        band = np.full(len(r), group.column("tree")[0].as_py() // trees, np.int32)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, bits + 1), pa.int32()), pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(band), flat], names=["qid", "band", "held"])
+
+    def add(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held = group.column("held").combine_chunks().flatten().to_numpy().reshape(-1, bits + 1)
+        names = list(zip(group.column("qid").to_pylist(), group.column("band").to_pylist()))
+        for qid, band in set(names):
+            total = held[[x == (qid, band) for x in names]].sum(axis=0)
+            enough = np.nonzero(total >= budget)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([qid], pa.int64()), pa.array([band], pa.int32()), pa.array([int(enough.max()) if len(enough) else 0], pa.int32())], names=["qid", "band", "stop"])
+
+    counts = folded(_blocks(arrays).select("block", "tree", "key", "cid", "asks", "rank"), "block", count, "qid long, band int, held array<int>")
+    return folded(counts.select(F.xxhash64("qid", "band").alias("k"), "qid", "band", "held"), "k", add, "qid long, band int, stop int")
+
+
+def _best(rows: DataFrame, bits: int, most: int) -> DataFrame:
+    """qid, cid, near: the best ``most`` of each query in each block (block, key, cid, asks, rank, stop, half)."""
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        (rank, key, cid, held), (r, q, qid, asked) = _sorted(group)
+        if not len(r) or not len(rank):
+            return
+        half = np.frombuffer(b"".join(x.as_py() for x in group.column("half")), np.float16).reshape(group.num_rows, -1).astype(np.float32)
+        length = np.array(group.column("length").to_pylist(), np.float64)[held]
+        stop, x = group.column("stop").to_numpy()[asked], half[held]
+        who, other, near = [], [], []
+        for i in range(len(r)):
+            shift = bits - int(stop[i])
+            a, b = np.searchsorted(key, (q[i] >> shift) << shift), np.searchsorted(key, ((q[i] >> shift) + 1) << shift)
+            lo, hi = max(a, np.searchsorted(rank, r[i] - HALO)), min(b, np.searchsorted(rank, r[i] + HALO, "right"))
+            if lo >= hi:
+                continue
+            s = (x[lo:hi] @ half[asked[i]]) * length[lo:hi]
+            best = np.argpartition(-s, most)[:most] if len(s) > most else np.arange(len(s))
+            who.append(np.full(len(best), qid[i]))
+            other.append(cid[lo:hi][best])
+            near.append(s[best].astype(np.float64))
+        if who:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (who, other, near)], names=["qid", "cid", "near"])
+
+    best = folded(rows.select("block", "key", "cid", "asks", "rank", "stop", "half", "length"), "block", run, "qid long, cid long, near double")
+    return best.groupBy("qid", "cid").agg(F.max("near").alias("near"))
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 48, budget: int = 12_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each row that ``queries`` holds for.
 
-    ``queries`` is a condition over vec_id. ``gather`` is the share of all rows, counted over all trees and with
-    repeats, that a query's ranges must hold before it stops ascending (in each band, of its rows); with few rows everything is compared. Score
-    is the inner product in double precision, summed in order of the components; ties go to the smaller vec_id, and
-    a row is never its own neighbour. Vectors that are null, zero, of another length than most (ties: the longest)
+    ``queries`` is a condition over vec_id. ``budget`` is the number of rows, counted over all trees and with repeats,
+    that a query's ranges must hold before it stops ascending (in each band); with few rows everything is compared.
+    Score is the inner product in double precision, summed in order of the components; ties go to the smaller vec_id,
+    and a row is never its own neighbour. Vectors that are null, zero, of another length than most (ties: the longest)
     or hold null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a vec_id with
-    the same vector count once, with different vectors as their best. Other columns are ignored.
+    the same vector count once, with different vectors as their best. A query that ends with fewer than ``k``
+    neighbours meets all rows, in blocks. Other columns are ignored; no rows give no rows.
     """
     rows = _valid(vectors, id_col, vector_col)
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
@@ -113,83 +211,80 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 44, pr
     if not lengths:
         return vectors.sparkSession.createDataFrame([], schema)
     dims = lengths[0].n
+    bits = (2 * dims - 1).bit_length() * max(1, BITS // max(1, (2 * dims - 1).bit_length()))
     rows = rows.where(F.size("v") == dims).distinct()
-    band, bands = _bands(rows)
-    strings = stored(_hash(rows.withColumn("band", band), trees, dims, 1, seed), "strings")
-    asked = stored(_hash(rows.where(queries).withColumn("band", band), trees, dims, probes, seed), "asked")
-    totals = {r.band: r.n for r in strings.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of_band = lambda f: F.element_at(F.create_map(*[F.lit(x) for b, n in totals.items() for x in (b, f(n))]), F.col("band"))
-    every_band = F.explode(F.array(*map(F.lit, sorted(totals)))).alias("band")
-    in_trees = F.col("band") * trees + F.col("tree")
-    roots = lambda q: q.select("vec_id", F.col("band").cast("long").alias("prefix"), of_band(lambda n: n).cast("long").alias("n"), F.lit(0).alias("depth"))
-
-    # how many rows share each prefix
-    leaves = strings.select("band", F.posexplode("keys").alias("tree", "key")).withColumn("tree", in_trees).groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
-    depths = F.explode(F.array(*[F.lit(d) for d in range(1, SYMBOLS + 1)])).alias("depth")
-    prefix = _prefix(F.col("tree"), F.col("key"), F.col("depth"), trees).alias("prefix")
-    counts = leaves.select("tree", "key", "n", depths).groupBy(prefix).agg(F.sum("n").alias("n"))
-    probed = asked.select("vec_id", F.posexplode("keys").alias("p", "key")).select("vec_id", F.floor(F.col("p") / probes).cast("int").alias("tree"), "key", every_band).withColumn("tree", in_trees)
-    wants = probed.select("vec_id", "band", "tree", "key", depths).select("vec_id", "band", "depth", prefix).distinct()
-    wants = wants.join(counts, "prefix")
-    held = wants.groupBy("vec_id", "band", "depth").agg(F.sum("n").alias("held"))
-    enough = of_band(lambda n: float(max(10 * k, gather * n)))
-    stop = held.groupBy("vec_id", "band").agg(F.max(F.when(F.col("held") >= enough, F.col("depth"))).alias("stop")).where("stop is not null")
-    wants = wants.join(stop, ["vec_id", "band"]).where("depth = stop").select("vec_id", "prefix", "n", "depth")
-    askers = asked.select("vec_id").distinct()
-    rooted = roots(askers.select("vec_id", every_band).join(stop, ["vec_id", "band"], "left_anti"))
-    near = checkpointed(_meet(checkpointed(wants.union(rooted)), strings, rows, dims, k, trees))
-
-    # ranges count a row once for each tree, so few rows may fill them: such queries ascend to the root
-    others = strings.agg(F.count_distinct("vec_id")).first()[0] - 1
-    found = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("found"))
-    short = askers.join(found, "vec_id", "left").where(F.coalesce("found", F.lit(0)) < min(k, others))
-    short = checkpointed(roots(short.select("vec_id", every_band)))
-    if not short.isEmpty():
-        near = near.union(_meet(short, strings, rows, dims, k, trees)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _meet(wants: DataFrame, strings: DataFrame, rows: DataFrame, dims: int, k: int, trees: int) -> DataFrame:
-    """query_id, vec_id, score: the best ``k`` of each block that a query (vec_id, prefix, n, depth) wants."""
-    # the ranges that are wanted, in blocks
-    ranges = wants.groupBy("prefix").agg(F.first("n").alias("n"), F.first("depth").alias("depth"), F.count(F.lit(1)).alias("q"))
-    ranges = checkpointed(ranges.select("prefix", "depth", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("chunks")))
-    used = [r.depth for r in ranges.select("depth").distinct().collect()]
-    block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int")
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.col("chunks")).cast("int")
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    places = strings.select("vec_id", "band", F.posexplode("keys").alias("tree", "key")).select("vec_id", (F.col("band") * trees + F.col("tree")).alias("tree"), "key", F.explode(F.array(*[F.lit(d) for d in used or [0]])).alias("depth")).where(f"depth > 0 or tree % {trees} = 0")
-    places = places.select("vec_id", _prefix(F.col("tree"), F.col("key"), F.col("depth"), trees).alias("prefix")).distinct().join(ranges, "prefix")
-    here = places.select("vec_id", "prefix", block.alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
-    there = wants.select("vec_id", "prefix").join(ranges, "prefix").select("vec_id", "prefix", upto("blocks").alias("block"), chunk.alias("chunk"), F.lit(True).alias("asks"))
-    met = here.union(there).join(rows, "vec_id").groupBy("prefix", "block", "chunk").agg(F.collect_list(F.struct("vec_id", "asks", "v")).alias("members"))
+    asks = F.coalesce(F.max(queries), F.lit(False)).alias("asks")
+    classes = stored(rows.groupBy("v").agg(asks).withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    members = stored(rows.join(classes.select("v", "cid").hint("merge"), "v").select("vec_id", "cid").distinct(), "members")
+    band, bands = _bands(classes)
+    strings = stored(_hash(classes.withColumn("band", band), trees, dims, seed), "strings")
+    arrays = _arrays(strings, trees, bands)
+    stops = stored(_stops(arrays, trees, bits, budget), "stops")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lengths = classes.select("cid", _length(F.col("v")).alias("length")).hint("merge")
+    vector = strings.select("cid", "half").join(lengths, "cid")
+    own = arrays.where("asks").withColumn("band", F.floor(F.col("tree") / trees).cast("int")).join(stops.select(F.col("qid").alias("cid"), "band", "stop").hint("merge"), ["cid", "band"]).drop("band")
+    both = arrays.where("not asks").withColumn("stop", F.lit(0)).unionByName(own)
+    near = stored(_first(_best(_blocks(both).join(vector.hint("merge"), "cid"), bits, k + SPARE), k + SPARE), "near")
+    discard(arrays, stops)
+
+    # ranges count a row once for each tree, so few rows may fill them, or rows of one id: such queries meet all rows
+    found = _expanded(near, classes, members, queries, k)
+    others = members.agg(F.count_distinct("vec_id")).first()[0] - 1
+    counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("found"))
+    short = members.where(queries).join(counts.hint("merge"), "vec_id", "left").where(F.coalesce("found", F.lit(0)) < min(k, others))
+    short = stored(short.select("cid").distinct(), "short")
+    n = short.count()
+    if n:
+        met = stored(_whole(short, n, strings.join(lengths, "cid"), _least(members, k), k), "near")
+        found = _expanded(near.join(short.withColumnRenamed("cid", "qid"), "qid", "left_anti").union(met), classes, members, queries, k)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _first(best: DataFrame, most: int) -> DataFrame:
+    return best.withColumn("at", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("near"), "cid"))).where(F.col("at") <= most).select("qid", "cid")
+
+
+def _least(members: DataFrame, k: int) -> DataFrame:
+    """cid, vec_id: the smallest ids of equal vectors, as many as a result can hold."""
+    return members.withColumn("at", F.row_number().over(W.partitionBy("cid").orderBy("vec_id"))).where(F.col("at") <= k + 1).select("cid", "vec_id")
+
+
+def _whole(short: DataFrame, n: int, vectors: DataFrame, least: DataFrame, k: int) -> DataFrame:
+    """qid, cid: for each of ``n`` queries the vectors of its nearest ids, by meeting every row in blocks."""
+    chunks, blocks, most = -(-n // 400), -(-vectors.count() // BLOCK), k + SPARE
+    deal = lambda m, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.lit(m)).cast("long")
+    upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    here = vectors.join(least.hint("merge"), "cid").select("cid", "vec_id", "half", "length", deal(blocks, 5).alias("a"), upto(chunks).alias("b"))
+    there = vectors.join(short, "cid", "left_semi").select("cid", F.lit(None).cast("long").alias("vec_id"), "half", "length", upto(blocks).alias("a"), deal(chunks, 6).alias("b"))
+    rows = here.union(there).select((F.col("a") * chunks + F.col("b")).alias("block"), "cid", "vec_id", "half", "length")
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            for b in range(batch.num_rows):
-                members = batch.column(0).slice(b, 1).flatten()
-                ids, asks = members.field(0).to_numpy(), members.field(1).to_numpy(zero_copy_only=False)
-                x = members.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims)
-                order = np.argsort(ids, kind="stable")
-                ids, asks, x = ids[order], asks[order], x[order]
-                (own, first), there, q = np.unique(ids[~asks], return_index=True), x[~asks].T, x[asks]  # a vec_id may repeat
-                who, other, score = [], [], []
-                for i, name in enumerate(ids[asks] if len(own) else ()):
-                    s = np.zeros(there.shape[1])
-                    for j in range(dims):  # in order of the components, so that equal vectors score alike wherever they lie
-                        s += q[i, j] * there[j]
-                    s = np.maximum.reduceat(s, first)
-                    s[own == name] = -np.inf
-                    best = np.arange(len(own)) if len(own) <= k else np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0]
-                    best = best[np.argsort(-s[best], kind="stable")][:k]
-                    best = best[s[best] > -np.inf]
-                    who.append(np.full(len(best), name))
-                    other.append(own[best])
-                    score.append(s[best])
-                cols = [np.concatenate(c) if c else np.empty(0) for c in (who, other, score)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
-
-    return met.select("members").mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        asks = group.column("vec_id").is_null().to_numpy()
+        x = np.frombuffer(b"".join(v.as_py() for v in group.column("half")), np.float16).reshape(group.num_rows, -1).astype(np.float32)
+        cid, there = group.column("cid").to_numpy(), x[~asks].T
+        ids, length = (group.column(c).filter(pa.array(~asks)).to_numpy() for c in ("vec_id", "length"))
+        for i in np.nonzero(asks)[0] if there.size else ():
+            s = (x[i] @ there) * length
+            order = np.argsort(-s, kind="stable")
+            best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:most]]  # an id may have several vectors
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), cid[i])), pa.array(ids[best]), pa.array(cid[~asks][best]), pa.array(s[best].astype(np.float64))], names=["qid", "vec_id", "cid", "near"])
+
+    best = folded(rows, "block", run, "qid long, vec_id long, cid long, near double")
+    one = best.groupBy("qid", "vec_id").agg(F.max(F.struct("near", "cid")).alias("m")).select("qid", "vec_id", "m.near", "m.cid")
+    by = W.partitionBy("qid").orderBy(F.desc("near"), "vec_id")
+    return one.withColumn("at", F.row_number().over(by)).where(F.col("at") <= most).select("qid", "cid").distinct()
+
+
+def _expanded(near: DataFrame, classes: DataFrame, members: DataFrame, queries: Column, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the best ``k`` among pairs of vectors (qid, cid), scored in full."""
+    one, two = classes.select(F.col("cid").alias("qid"), F.col("v").alias("q")).hint("merge"), classes.select("cid", "v").hint("merge")
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    scored = near.select("qid", "cid").join(one, "qid").join(two, "cid").select("qid", "cid", dot.alias("score"))
+    asked = members.where(queries).select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid"))
+    pairs = scored.join(_least(members, k).hint("merge"), "cid").join(asked.hint("merge"), "qid").where("query_id <> vec_id")
+    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)

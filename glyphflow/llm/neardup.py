@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import discard, shared_dir, stored
+from glyphflow.llm._common import discard, folded, shared_dir, stored
 
 SKETCH, SKETCH_MIN = 64, 34
 SKETCH_MISS = 1e-6
@@ -153,27 +153,6 @@ def _merge(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Da
     return left.join(right.hint("merge"), on, how)
 
 
-def _folded(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
-    """``run`` over each group of a key, as one Arrow table; groups are bounded, and a task holds one or two."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            name = batch.column(0).to_numpy()
-            cuts = [0, *(np.nonzero(name[1:] != name[:-1])[0] + 1).tolist(), len(name)] if len(name) else [0]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and held[0].column(0)[0].as_py() != name[a]:
-                    yield from run(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from run(pa.Table.from_batches(held).combine_chunks())
-
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(fold, schema)
-
-
 class _Sets:
     """Union-find over positions."""
 
@@ -278,7 +257,7 @@ def _clusters(groups: DataFrame, share: tuple[int, int]) -> DataFrame:
         at = [i for _, i in out]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array(rep[at]), pa.array(label[at]), pa.array(n[at])], names=["cluster", "rep", "label", "n"])
 
-    return _folded(groups.select("g", "rep", "n", "sketch", "label"), "g", run, "cluster long, rep long, label long, n long").distinct()
+    return folded(groups.select("g", "rep", "n", "sketch", "label"), "g", run, "cluster long, rep long, label long, n long").distinct()
 
 
 def _links(clusters: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -302,7 +281,7 @@ def _links(clusters: DataFrame, docs: DataFrame, width: int, share: tuple[int, i
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return _folded(met, "cluster", run, "a long, b long").distinct()
+    return folded(met, "cluster", run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
