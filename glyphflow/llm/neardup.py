@@ -56,7 +56,7 @@ def shingle_hashes(text: str | None, width: int):
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only; splits at space and 09-0D
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > 200_000:
         _words.clear()
     hashes = []
     for w in words:
@@ -392,8 +392,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     classes = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
     roots = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("tokens", F.lit(2 * t)), F.get("tokens", F.lit(2 * t + 1))).alias("node")) for t in range(trees)])
     paths = classes.select("rep", F.explode(roots).alias("r")).select("rep", "r.tree", "r.node")
-    rows = stored(_merge(paths, _sized(paths), "node"), "paths")
-    tables = [rows]
+    sizes = stored(_sized(paths), "sizes")  # a table of its own, so that the join can split a hot node
+    rows = stored(_merge(paths, sizes, "node"), "paths")
+    tables = [sizes, rows]
 
     # each set against the first likely leader of its nodes; what is verified is its label
     star = _first_leaders(rows, classes, share)
@@ -410,8 +411,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         # the most frequent label of each node, and how many sets lie outside it
         per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("own"))
         top = per.groupBy("node").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("size")).select("node", F.col("top.label").alias("main"), "size", (F.col("size") - F.col("top.own")).alias("others")).where("others > 0")
+        top = stored(top, "mains")
         held = stored(_merge(rows, top, "node"), f"nodes{depth}")
-        tables.append(held)
+        tables += [top, held]
         groups.append(held.where(F.col("size") <= LEAF).select(F.col("node").alias("g"), "rep", "label"))
         large = held.where(F.col("size") > LEAF)
         sums = large.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("others") > LEAF, F.col("others"))).alias("pairs")).first()
