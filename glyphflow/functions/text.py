@@ -13,13 +13,23 @@ SCRIPTS = {"CH": r"[\x{4e00}-\x{9fff}]", "JP": r"[\x{3040}-\x{30ff}]", "KO": r"[
 OVERLAP = 6  # characters from which a text is long enough to be compared by containment
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(c, SPACE, "")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without Unicode white space at the ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}++$", "")
+
+
+def is_blank(c: Column) -> Column:
+    return ~c.rlike(SPACE.replace("[", "[^", 1))
 
 
 def canonical(body: Column, overlap: int = OVERLAP) -> Column:
@@ -35,10 +45,15 @@ def normalise_spaces(c: Column) -> Column:
 
 def language(text: Column) -> Column:
     """Script vote: kana wins; else the most frequent script, ties to the one seen first; listed scripts absent, JP."""
-    bare = F.regexp_replace(text, r"""[ ,.!?'"(){}\[\]\p{Nd}-]""", "")
-    votes = [F.struct(F.regexp_count(bare, F.lit(p)).alias("n"), (-F.coalesce(F.nullif(F.regexp_instr(bare, F.lit(p)), F.lit(0)), F.lit(2147483647))).alias("first"), F.lit(k).alias("k")) for k, p in SCRIPTS.items() if k != "JP"]
-    best = F.array_max(F.array(*votes))
-    return F.when(bare == "", "EN").when(F.regexp_count(bare, F.lit(SCRIPTS["JP"])) > 0, "JP").when(best["n"] == 0, "JP").otherwise(best["k"])
+
+    def vote(bare: Column) -> Column:
+        first = lambda p: -F.coalesce(F.nullif(F.regexp_instr(bare, F.lit(p)), F.lit(0)), F.lit(2147483647))
+        votes = [F.struct(F.regexp_count(bare, F.lit(p)).alias("n"), first(p).alias("first"), F.lit(k).alias("k")) for k, p in SCRIPTS.items() if k != "JP"]
+        best = let(F.array_max(F.array(*votes)), lambda m: F.when(m["n"] == 0, "JP").otherwise(m["k"]))
+        # most texts are ASCII alone, which no other script has a say in
+        return F.when(bare == "", "EN").when(bare.rlike(r"^[\x20-\x7e]+$"), "EN").when(bare.rlike(SCRIPTS["JP"]), "JP").otherwise(best)
+
+    return let(F.regexp_replace(text, r"""[ ,.!?'"(){}\[\]\p{Nd}-]""", ""), vote)
 
 
 def word_count(text: Column) -> Column:
@@ -78,9 +93,6 @@ def common_length(a: Column, b: Column) -> Column:
     words = F.ceil(m / 60).cast("int")
     none = F.lit(0).cast("long")
 
-    def let(value: Column, f) -> Column:  # what a lambda holds would be computed again for each element
-        return F.get(F.transform(F.array(value), f), F.lit(0))
-
     def held(chars: Column, ch: Column) -> Column:
         own = lambda w: F.transform(F.slice(chars, w * 60 + 1, 60), lambda y, j: F.when(y == ch, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(none))
         return F.transform(F.sequence(F.lit(0), words - 1), lambda w: F.aggregate(own(w), none, lambda s, x: s.bitwiseOR(x)))
@@ -116,27 +128,42 @@ def bodies_similar(a: Column, b: Column, least: float = 0.78) -> Column:
     return F.when((a == "") | (b == ""), False).when(within, True).when(reach, indel_ratio(a, b) >= least).otherwise(False)
 
 
-def semantic_features(text: Column) -> dict[str, Column]:
-    t = strip(text)
-    blank = t == ""
-    upper = F.regexp_count(t, F.lit(r"\p{IsUppercase}"))
-    digits = F.regexp_count(t, F.lit(r"[\p{Nd}\x{b2}\x{b3}\x{b9}]"))
-    price = t.rlike(r"(?U)[¥￥$€£]\s*\d+|\d+\s*[元块]")
-    dialogue = F.when(t.rlike(r"^[A-Za-z\x{4e00}-\x{9fff}]{1,6}[:：]"), 0.6).otherwise(0.0) + F.when(t.rlike("^(?:——|──)"), 0.4).otherwise(0.0) + F.when(F.startswith(t, F.lit('"')), 0.2).otherwise(0.0) + F.when(t.rlike("^[「『]"), 0.3).otherwise(0.0)
-    no = lambda c: F.when(blank, F.lit(False)).otherwise(c)
-    return {
-        "text_length": F.length(text),
-        "line_count": F.regexp_count(text, F.lit("\n")) + 1,
-        "ends_sentence": no(t.rlike(r"[。！？.!?…~]$")),
-        "dialogue": F.when(blank, 0.0).otherwise(F.least(F.lit(1.0), dialogue)),
-        "proper_share": F.when(blank, 0.0).otherwise((upper + 0.5 * digits) / F.length(t)),
-        "price": no(price),
-        "address": no(t.rlike(r"[省市区县镇乡村路街巷号弄楼层室栋]|(?i:Road|Street|Avenue|District|Building|Room)")),
-        "slogan": no(t.rlike("欢迎|禁止|请勿|注意|安全|消防|紧急|出口|入口") | ((F.length(t) >= 8) & t.rlike("[！!]$"))),
-    }
-
-
-def semantic_score(f: dict[str, Column]) -> Column:
+#: Patterns of the semantic features.
+PRICE = r"(?U)[¥￥$€£]\s*\d+|\d+\s*[元块]"
+SPEAKER, DASH, QUOTE = r"^[A-Za-z\x{4e00}-\x{9fff}]{1,6}[:：]", "^(?:——|──)", "^[「『]"
+SENTENCE_END, BANG = r"[。！？.!?…~]$", "[！!]$"
+ADDRESS = r"[省市区县镇乡村路街巷号弄楼层室栋]|(?i:Road|Street|Avenue|District|Building|Room)"
+SLOGAN = "欢迎|禁止|请勿|注意|安全|消防|紧急|出口|入口"
+
+
+def semantic(text: Column) -> Column:
+    """(text_length, line_count, ends_sentence, dialogue, proper_share, price, address, slogan) of a text, as one struct.
+
+    The stripped text is computed once; a blank one has no features but its length and lines.
+    """
+    add = lambda c, x: F.when(c, x).otherwise(0.0)
+
+    def read(t: Column) -> Column:
+        told = lambda c: F.when(t == "", F.lit(False)).otherwise(c)
+        dialogue = add(t.rlike(SPEAKER), 0.6) + add(t.rlike(DASH), 0.4) + add(F.startswith(t, F.lit('"')), 0.2) + add(t.rlike(QUOTE), 0.3)
+        # counting by what is left when the others go is one pass over the text
+        upper, digits = F.length(F.regexp_replace(t, r"[^\p{IsUppercase}]+", "")), F.length(F.regexp_replace(t, r"[^\p{Nd}\x{b2}\x{b3}\x{b9}]+", ""))
+        return F.struct(
+            F.length(text).alias("text_length"),
+            (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("line_count"),
+            told(t.rlike(SENTENCE_END)).alias("ends_sentence"),
+            F.when(t == "", 0.0).otherwise(F.least(F.lit(1.0), dialogue)).alias("dialogue"),
+            F.when(t == "", 0.0).otherwise((upper + 0.5 * digits) / F.length(t)).alias("proper_share"),
+            told(t.rlike(PRICE)).alias("price"),
+            told(t.rlike(ADDRESS)).alias("address"),
+            told(t.rlike(SLOGAN) | ((F.length(t) >= 8) & t.rlike(BANG))).alias("slogan"),
+        )
+
+    return let(strip(text), read)
+
+
+def semantic_score(f: Column) -> Column:
+    """-1 (scene) to 1 (overlay) of a struct of ``semantic``."""
     add = lambda c, x: F.when(c, x).otherwise(0.0)
     s = add(f["dialogue"] > 0.5, 0.4) + add(f["ends_sentence"] & (f["text_length"] < 50), 0.15) + add(f["price"], -0.3) + add(f["address"], -0.3) + add(f["slogan"], -0.2) + add(f["proper_share"] > 0.3, -0.2)
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))

@@ -1,14 +1,31 @@
-"""Events: noise, neighbour merge by gaps and islands, majority bodies, upper medians."""
+"""Events: noise, neighbour merge by gaps and islands, fragments, majority bodies, upper medians."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glyphflow.functions import text as T
+from glyphflow.functions import timefmt
+
+MAX_GAP, OVERLAP_SEC, NEAR_PX, RATIO = 4.0, -0.12, 24, 0.78
+FRAGMENT_GAP = 0.35
+POSITION = r"\\pos\(\s*(-?\d+)\s*,\s*(-?\d+)\s*\)"
+
+
+def parameters(max_gap: float = MAX_GAP, least: float = RATIO, overlap: int = T.OVERLAP) -> dict[str, float]:
+    """What ``merge_neighbours`` takes, under the names that a review of the strategy uses."""
+    return {"merge_max_gap_sec": float(max_gap), "merge_min_ratio": float(least), "merge_min_overlap_len": float(int(overlap))}
 
-MAX_GAP, OVERLAP_SEC, NEAR_PX = 4.0, -0.12, 24
+
+def merged_with(events: DataFrame, params: dict[str, float]) -> DataFrame:
+    """``merge_neighbours`` under such parameters; those that aren't given are the usual ones."""
+    p = parameters() | params
+    return merge_neighbours(events, p["merge_max_gap_sec"], p["merge_min_ratio"], int(p["merge_min_overlap_len"])).withColumnRenamed("island", "seq").drop("n")
 
 
 def upper_median(values: Column) -> Column:
@@ -16,30 +33,116 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def upper_median_of(name: str) -> Column:
+    """The same as an aggregate over a column, which holds no list: the lower median of the negated values, negated."""
+    return F.expr(f"-percentile_disc(0.5) within group (order by -`{name}`)")
+
+
 def position(tags: Column) -> Column:
-    at = lambda k: F.regexp_extract(tags, r"\\pos\(\s*(-?\d+)\s*,\s*(-?\d+)\s*\)", k).try_cast("int")
+    at = lambda k: F.regexp_extract(tags, POSITION, k).try_cast("int")
     return F.struct(at(1).alias("x"), at(2).alias("y"))
 
 
+def tags_close(a: Column, b: Column, near: int = NEAR_PX) -> Column:
+    """Positions within ``near`` pixels; tags without a position must be equal."""
+    pair = F.struct(position(a).alias("a"), position(b).alias("b"))
+    off = lambda p, k: F.abs(p["a"][k] - p["b"][k]) <= near
+    return T.let(pair, lambda p: F.when(p["a"]["x"].isNotNull() & p["b"]["x"].isNotNull(), off(p, "x") & off(p, "y")).otherwise(a == b))
+
+
+def timed(events: DataFrame) -> DataFrame:
+    """Adds _start and _end: seconds of the formatted times, which is what durations and gaps go by."""
+    text = lambda c: timefmt.to_seconds(F.col(c)) if c in events.columns else timefmt.to_seconds(timefmt.from_seconds(F.col(c.replace("time", "sec"))))
+    return events.withColumns({"_start": text("start_time"), "_end": text("end_time")})
+
+
 def drop_noise(events: DataFrame) -> DataFrame:
     """Without noise; scene texts also go if they last under 0.35 s and have under 3 characters."""
-    length = F.length(T.canonical(F.col("body")))
-    brief = (F.col("style") == "Scene") & (F.col("end_sec") > F.col("start_sec")) & (F.col("end_sec") - F.col("start_sec") < 0.35) & (length < 3)
-    return events.where(~T.is_noise(F.col("body")) & ~F.coalesce(brief, F.lit(False)))
+    e = timed(events)
+    lasts = F.coalesce(F.col("_end") - F.col("_start"), F.lit(0.0))
+    brief = (F.col("style") == "Scene") & (lasts > 0) & (lasts < 0.35) & (F.length(T.canonical(F.col("body"))) < 3)
+    return e.where(~T.is_noise(F.col("body")) & ~F.coalesce(brief, F.lit(False))).select(events.columns)
+
 
+def merge_neighbours(events: DataFrame, max_gap: float = MAX_GAP, least: float = RATIO, overlap: int = T.OVERLAP) -> DataFrame:
+    """roi, island, start_sec, end_sec (of the last), style, tags, body (majority), n: from (roi, seq, start_sec, end_sec, style, tags, body).
 
-def merge_neighbours(events: DataFrame, max_gap: float = MAX_GAP, least: float = 0.78) -> DataFrame:
-    """roi, island, start_sec, end_sec (of the last), style, tags, body (majority), n: from (roi, seq, start_sec, end_sec, style, tags, body)."""
-    w = W.partitionBy("roi").orderBy("start_sec", "seq")
-    e = events.withColumn("canon", T.canonical(F.col("body"))).withColumn("at", position(F.col("tags")))
-    was = {c: F.lag(c).over(w) for c in ("style", "tags", "end_sec", "canon", "at")}
+    Where there are start_time and end_time, texts, they are the formatted times, and come along. Neighbours in order of formatted start, then seq, join if style, place and body are alike and the gap between
+    their formatted times is small. A merged scene stands at the upper medians of its positions.
+    """
+    w = W.partitionBy("roi").orderBy("_start", "seq")
+    e = timed(events).withColumn("canon", T.canonical(F.col("body"), overlap))
+    was = {c: F.lag(c).over(w) for c in ("style", "tags", "_end", "canon")}
     e = e.withColumns({f"p_{c}": v for c, v in was.items()})
-    placed = F.col("at.x").isNotNull() & F.col("p_at.x").isNotNull()
-    close = F.when((F.col("style") == "Scene") & placed, (F.abs(F.col("at.x") - F.col("p_at.x")) <= NEAR_PX) & (F.abs(F.col("at.y") - F.col("p_at.y")) <= NEAR_PX)).otherwise(F.col("tags") == F.col("p_tags"))
-    gap = F.col("start_sec") - F.col("p_end_sec")
-    joins = (F.col("style") == F.col("p_style")) & close & gap.between(OVERLAP_SEC, max_gap) & T.bodies_similar(F.col("p_canon"), F.col("canon"), least)
-    e = e.withColumn("island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    votes = e.groupBy("roi", "island", "canon").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.length("body").alias("n"), (-F.col("seq")).alias("s"), "body"))["body"].alias("body"), F.min(F.struct("start_sec", "seq", "style", "tags")).alias("head"), F.max(F.struct("start_sec", "seq", "end_sec")).alias("tail"))
-    best = F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", "body"))
-    out = votes.groupBy("roi", "island").agg(best["body"].alias("body"), F.sum("votes").alias("n"), F.min("head").alias("head"), F.max("tail").alias("tail"))
-    return out.select("roi", "island", F.col("head.start_sec").alias("start_sec"), F.col("tail.end_sec").alias("end_sec"), F.col("head.style").alias("style"), F.col("head.tags").alias("tags"), "body", "n")
+    near = (F.col("style") == F.col("p_style")) & (F.col("_start") - F.col("p__end")).between(OVERLAP_SEC, max_gap)
+    close = F.when(F.col("style") == "Scene", tags_close(F.col("p_tags"), F.col("tags"))).otherwise(F.col("tags") == F.col("p_tags"))
+    joins = F.when(F.coalesce(near & close, F.lit(False)), T.bodies_similar(F.col("p_canon"), F.col("canon"), least)).otherwise(False)
+    e = e.withColumn("island", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    at = position(F.col("tags"))
+    votes = e.withColumn("at", at).groupBy("roi", "island", "canon").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.length("body").alias("n"), (-F.col("seq")).alias("s"), "body"))["body"].alias("body"))
+    texts = [c for c in ("start_time", "end_time") if c in events.columns]
+    best = votes.groupBy("roi", "island").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", "body"))["body"].alias("body"))
+    span = e.withColumns({"x": at["x"], "y": at["y"]}).groupBy("roi", "island").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("_start", "seq", "start_sec", "style", "tags", *texts[:1])).alias("head"), F.max(F.struct("_start", "seq", "end_sec", *texts[1:])).alias("tail"),
+        upper_median_of("x").cast("int").alias("x"), upper_median_of("y").cast("int").alias("y"),
+    )
+    tags = F.when((F.col("n") > 1) & (F.col("head.style") == "Scene") & F.col("x").isNotNull(), F.format_string(r"{\an5\pos(%d,%d)}", "x", "y")).otherwise(F.col("head.tags"))
+    return span.join(best, ["roi", "island"]).select("roi", "island", F.col("head.start_sec").alias("start_sec"), F.col("tail.end_sec").alias("end_sec"), *[F.col(f"{side}.{c}") for side, c in zip(("head", "tail"), texts)], F.col("head.style").alias("style"), tags.alias("tags"), "body", "n")
+
+
+def fragment_groups(events: DataFrame) -> DataFrame:
+    """Adds grp, the seq of the first event of each run of scene fragments; other events are runs of their own.
+
+    A fragment stands where the *first* of its run does and follows the last one closely; noise never joins. That
+    compares with a moving anchor, so it is a fold over each roi in order of formatted start, with one event as state.
+    """
+    import pyarrow as pa
+
+    e = timed(events).withColumns({"_noise": T.is_noise(F.col("body")), "_x": position(F.col("tags"))["x"], "_y": position(F.col("tags"))["y"]})
+    kind, names = events.select("*", F.col("seq").cast("long").alias("grp")).schema, list(events.columns)
+
+    def run(batches):
+        first = last = None
+        for batch in batches:
+            out = []
+            for now in batch.select(["roi", "seq", "style", "tags", "_start", "_end", "_noise", "_x", "_y"]).to_pylist():
+                joins = first is not None and now["roi"] == first["roi"] and now["style"] == first["style"] == "Scene" and not now["_noise"]
+                if joins:
+                    placed = None not in (now["_x"], first["_x"])
+                    joins = abs(now["_x"] - first["_x"]) <= NEAR_PX and abs(now["_y"] - first["_y"]) <= NEAR_PX if placed else now["tags"] == first["tags"]
+                    times = None not in (now["_start"], last["_end"])
+                    joins = joins and times and OVERLAP_SEC <= now["_start"] - last["_end"] <= FRAGMENT_GAP
+                if not joins:
+                    first = now
+                last = now
+                out.append(first["seq"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64())], names=[*names, "grp"])
+
+    return e.repartition("roi").sortWithinPartitions("roi", "_start", "seq").mapInArrow(run, kind)
+
+
+def merge_fragments(events: DataFrame, client: Callable[[str], str]) -> DataFrame:
+    """roi, seq, start_sec, end_sec, style, tags, body: runs of scene fragments as one event with the client's body.
+
+    The client sees a run's candidates; without an answer of its own the longest of them stands. Runs of one event
+    stay as they are, and the client isn't asked.
+    """
+    from glyphflow.operators.polish import fragment_text
+
+    grouped = fragment_groups(events)
+    at = position(F.col("tags"))
+    span = grouped.withColumns({"x": at["x"], "y": at["y"]}).groupBy("roi", F.col("grp").alias("seq")).agg(
+        F.min_by("start_sec", "seq").alias("start_sec"), F.max_by("end_sec", F.struct("start_sec", "seq")).alias("end_sec"), F.min_by("style", "seq").alias("style"), F.min_by("tags", "seq").alias("head"),
+        F.transform(F.sort_array(F.collect_list(F.struct("start_sec", "seq", "body"))), lambda m: m["body"]).alias("bodies"), upper_median_of("x").cast("int").alias("x"), upper_median_of("y").cast("int").alias("y"),
+    )
+    tags = F.when((F.size("bodies") > 1) & F.col("x").isNotNull(), F.format_string(r"{\an5\pos(%d,%d)}", "x", "y")).otherwise(F.col("head"))
+
+    @F.pandas_udf("string")
+    def chosen(bodies: pd.Series) -> pd.Series:
+        def one(own) -> str:
+            own = list(own)
+            return own[0] if len(own) == 1 else fragment_text(client, own) or max(own, key=lambda b: len(b.strip()))
+
+        return bodies.map(one)
+
+    return span.select("roi", "seq", "start_sec", "end_sec", "style", tags.alias("tags"), chosen("bodies").alias("body"))

@@ -1,70 +1,264 @@
-"""Language-model steps around an injected client: batches, answers, validation, limits."""
+"""Language-model steps around an injected client: batches, answers, validation, review of the strategy, limits.
+
+A client is a function from a prompt (JSON text) to an answer. ``retried`` makes one that waits and asks again.
+"""
 
 from __future__ import annotations
 
 import difflib
 import json
+import random
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import urlsplit, urlunsplit
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of the merge parameters.
 LIMITS = {"merge_max_gap_sec": (0.4, 15.0), "merge_min_ratio": (0.50, 0.98), "merge_min_overlap_len": (3, 22)}
+#: Models to prefer, by a part of the address: preferred ids, then parts that an id should hold.
+MODELS = {
+    "deepseek": ((("deepseek-v4-flash", "deepseek-v4-pro"), (("deepseek", "v4"),)), (("deepseek-chat", "deepseek-reasoner", "deepseek-coder"), (("deepseek", "chat"), ("deepseek", "coder")))),
+    "openai.com": ((("gpt-4o-mini", "gpt-4o", "gpt-4-turbo", "chatgpt-4o-latest", "gpt-3.5-turbo"), ()),),
+    "": ((("deepseek-v4-flash",), ()),),
+}
+USUAL_MODEL = "deepseek-v4-flash"
+
+_SPACES = re.compile(r"\\[nrt]|\r\n|[\r\n\t\u00a0\u3000]")
+
+
+class Busy(Exception):
+    """What a client raises when it is asked too often; ``retried`` asks again."""
+
+
+def retried(call: Callable[[str], str | None], tries: int = 10, least: float = 5.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep, seed: int | None = None) -> Callable[[str], str]:
+    """A client that waits after ``Busy``, at random up to a bound that doubles, and gives up after ``tries``. An empty answer is an error."""
+    rnd = random.Random(seed)
+
+    def ask(prompt: str) -> str:
+        for n in range(tries):
+            try:
+                said = call(prompt)
+            except Busy:
+                if n == tries - 1:
+                    raise
+                sleep(max(least, rnd.uniform(0, min(most, 2.0**n))))
+                continue
+            if not said:
+                raise ValueError("empty answer")
+            return said
+        raise ValueError("no tries")
+
+    return ask
+
+
+def _number(value, whole: bool) -> float | int | None:
+    try:
+        return int(float(value)) if whole else float(value)
+    except (TypeError, ValueError):
+        return None
 
 
 def clamp(params: dict) -> dict:
-    return {k: type(lo)(min(hi, max(lo, params[k]))) for k, (lo, hi) in LIMITS.items() if k in params}
+    """Merge parameters within their limits; others, and values that aren't numbers, go."""
+    out = {}
+    for k, (lo, hi) in LIMITS.items():
+        v = _number(params.get(k), isinstance(lo, int))
+        if v is not None:
+            out[k] = type(lo)(min(hi, max(lo, v)))
+    return out
 
 
 def close(a: dict, b: dict, ratio: float = 0.004, gap: float = 0.05) -> bool:
+    """Both hold all parameters, and they hardly differ."""
     eps = {"merge_min_ratio": ratio, "merge_max_gap_sec": gap, "merge_min_overlap_len": 0}
-    return all(abs(a[k] - b[k]) <= eps[k] for k in LIMITS)
+    return all(k in a and k in b and abs(a[k] - b[k]) <= eps[k] for k in LIMITS)
 
 
 def unfence(raw: str) -> str:
-    return re.sub(r"^\s*```[A-Za-z]*\s*|\s*```\s*$", "", raw)
+    """JSON without a Markdown fence around it."""
+    found = re.fullmatch(r"```(?:json)?\s*(.*?)(?:\s*```\s*)?", raw.strip(), re.S | re.I)
+    return (found[1] if found else raw).strip()
+
 
+def brief(text: str | None, most: int = 96) -> str:
+    """On one line, with an ellipsis in place of what is too long."""
+    t = (text or "").replace("\n", "\\n").replace("\r", "")
+    return t if len(t) <= most else t[: max(0, most - 1)] + "…"
 
-def answers(raw: str) -> dict[str, str]:
-    """id -> text of an answer with ``lines`` or ``items`` of ``text`` or ``fixed``."""
+
+def one_line(text: str) -> str:
+    """The same as ``functions.text.normalise_spaces``, for a string."""
+    return re.sub(" {2,}", " ", _SPACES.sub(" ", text))
+
+
+def base_url(url: str) -> str:
+    """An address with /v1, if it has no path."""
+    at = urlsplit(url.strip())
+    return urlunsplit(at._replace(path=at.path.rstrip("/") or "/v1"))
+
+
+def answers(raw: str, asked: Sequence[str] = ()) -> dict[str, str]:
+    """id -> text, on one line, of an answer with ``lines`` or ``items`` of ``text`` or ``fixed``; fewer than asked for is an error."""
     data = json.loads(unfence(raw))
-    return {str(r["id"]): str(r.get("text", r.get("fixed", ""))) for r in data.get("lines", data.get("items", []))}
+    rows = data.get("lines") or data.get("items")
+    if not isinstance(rows, list):
+        raise ValueError("no lines")
+    out = {str(r["id"]): one_line(str(r.get("text") or r.get("fixed") or "")) for r in rows if isinstance(r, dict) and r.get("id") is not None}
+    if len(out) < len(asked):
+        raise ValueError("fewer lines than asked for")
+    return out
 
 
-def problems(asked: dict[str, str], got: dict[str, str], words: Callable[[str], int] = lambda t: len(t.split())) -> list[str]:
-    """What is wrong with an answer: ids that differ, blanks, texts changed too much."""
+#: Scripts that write without spaces, as in functions.text.
+_UNSPACED = re.compile("[\u4e00-\u9fff\u3040-\u309f\u30a0-\u30ff\uac00-\ud7af\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u0900-\u0dff]")
+
+
+def count_words(text: str) -> int:
+    """Characters of unspaced scripts plus words of the others."""
+    return len(_UNSPACED.findall(text)) + len(_UNSPACED.sub(" ", text).split())
+
+
+def problems(asked: dict[str, str], got: dict[str, str], words: Callable[[str], int] = count_words) -> list[str]:
+    """What is wrong with an answer: ids that differ, or else texts changed too much."""
     out = [f"missing {k}" for k in sorted(asked.keys() - got.keys())] + [f"extra {k}" for k in sorted(got.keys() - asked.keys())]
-    for k in sorted(asked.keys() & got.keys()):
-        if not got[k].strip():
-            out.append(f"blank {k}")
-        elif difflib.SequenceMatcher(None, asked[k], got[k]).ratio() < (0.3 if words(asked[k]) <= 10 else 0.7):
+    if out:
+        return out
+    flat = lambda t: " ".join(t.split())
+    for k in sorted(asked):
+        if difflib.SequenceMatcher(None, flat(asked[k]), flat(got[k])).ratio() < (0.3 if words(asked[k]) <= 10 else 0.7):
             out.append(f"changed {k}")
     return out
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """Twice the matching blocks over the total length of two texts, as ``difflib`` finds them."""
+    @F.pandas_udf("double")
+    def found(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+
+    return found(a, b)
+
+
+def _polished(asked: dict[str, str], client: Callable[[str], str], rounds: int) -> dict[str, str]:
+    """New texts by id. After the last round an answer counts as it is; on an error there is none."""
+    note, got = [], {}
+    try:
+        for _ in range(rounds):
+            got = answers(client(json.dumps({"lines": [{"id": k, "text": v} for k, v in asked.items()], "feedback": note}, ensure_ascii=False)), list(asked))
+            note = problems(asked, got)
+            if not note:
+                break
+    except Exception:  # a client may raise whatever its library does; the texts stay
+        return {}
+    return got
+
+
 def polish(events: DataFrame, client: Callable[[str], str], batch: int = 40, rounds: int = 3) -> DataFrame:
-    """(seq, body) with bodies from the client. After the last round an answer counts as it is; an error keeps the originals."""
+    """(seq, body) with bodies from the client, which gets ``batch`` events (1 to 120) at a time, by floor(seq / batch).
+
+    An answer is checked and asked for anew with what was wrong with it, up to ``rounds`` times; then it counts as it
+    is. A batch with an error keeps its texts; ids that weren't asked for are passed over.
+    """
     batch = min(120, max(1, batch))
 
-    def run(pages: Iterator) -> Iterator:
-        for pdf in pages:
-            for a in range(0, len(pdf), batch):
-                part = pdf.iloc[a : a + batch].copy()
-                asked, note, got = {str(s): b for s, b in zip(part["seq"], part["body"])}, [], {}
-                try:
-                    for _ in range(rounds):
-                        got = answers(client(json.dumps({"lines": [{"id": k, "text": v} for k, v in asked.items()], "feedback": note}, ensure_ascii=False)))
-                        note = problems(asked, got)
-                        if not note:
-                            break
-                except (ValueError, KeyError, TypeError, AttributeError):
-                    got = {}
-                part["body"] = [got.get(str(s), b) for s, b in zip(part["seq"], part["body"])]
-                yield part
-
-    return events.select(F.col("seq").cast("long"), "body").mapInPandas(run, "seq long, body string")
+    def run(rows: pa.Table) -> pa.Table:
+        asked = {str(s): b or "" for s, b in zip(rows.column("seq").to_pylist(), rows.column("body").to_pylist())}
+        got = _polished(asked, client, rounds)
+        bodies = [got.get(str(s), b) for s, b in zip(rows.column("seq").to_pylist(), rows.column("body").to_pylist())]
+        return pa.table({"seq": rows.column("seq"), "body": pa.array(bodies, pa.string())})
+
+    rows = events.select(F.col("seq").cast("long").alias("seq"), "body", F.floor(F.col("seq") / batch).alias("batch"))
+    return rows.groupBy("batch").applyInArrow(run, "seq long, body string")
+
+
+def fragment_text(client: Callable[[str], str], bodies: Sequence[str]) -> str | None:
+    """One text for fragments of the same moment: the only one that isn't blank, or the client's; None if it has none."""
+    own = [b.replace("\r\n", "\n").replace("\r", "\n") for b in bodies if b and b.strip()]
+    if len(own) < 2:
+        return own[0] if own else None
+    try:
+        text = json.loads(unfence(client(json.dumps({"candidates": own}, ensure_ascii=False)))).get("text")
+    except Exception:
+        return None
+    return None if text is None else one_line(str(text))
+
+
+def source_of(client: Callable[[str], str], prompt: str) -> tuple[str, float] | None:
+    """(overlay, scene or unknown; confidence 0 to 1) that the client says of a text; None if it can't be read."""
+    try:
+        said = json.loads(unfence(client(prompt)))
+        source = str(said.get("source", "unknown")).lower()
+        return source if source in ("overlay", "scene") else "unknown", max(0.0, min(1.0, float(said.get("confidence", 0.5))))
+    except Exception:
+        return None
+
+
+def compacted(events: DataFrame, most: int = 70) -> list[dict]:
+    """A bounded picture of events (roi, seq, start_time, end_time, style, body): all of them, or the first and the last
+    ``most // 2`` with a mark of how many are left out; texts are cut at 220 characters. In order of roi and start."""
+    order = [F.col("roi").cast("string"), F.col("start_time"), F.col("seq")]
+    row = lambda r: {"roi": r.roi, "start": r.start_time, "end": r.end_time, "text": (r.body or "")[:220], "style": r.style}
+    n = events.count()
+    if n <= most:
+        return [row(r) for r in events.orderBy(*order).limit(most).collect()]
+    half = most // 2
+    first = events.orderBy(*order).limit(half).collect()
+    last = events.orderBy(*[c.desc() for c in order]).limit(half).collect()
+    return [*map(row, first), {"_truncated_middle": n - 2 * half}, *map(row, reversed(last))]
+
+
+def suggested(client: Callable[[str], str], before: DataFrame, after: DataFrame, params: dict) -> tuple[dict, str] | None:
+    """(parameters within limits, rationale) that the client suggests; None without an answer that can be read."""
+    package = {"current_params": params, "counts": {"pre_merge": before.count(), "after_merge": after.count()}, "pre_merge_samples": compacted(before), "merged_results": compacted(after)}
+    try:
+        said = json.loads(unfence(client(json.dumps(package, ensure_ascii=False))))
+        note = next((said[k].strip() for k in ("rationale", "notes") if isinstance(said.get(k), str)), "")
+        return clamp(said), note[:2000]
+    except Exception:
+        return None
+
+
+def reviewed(events: DataFrame, merge: Callable[[DataFrame, dict], DataFrame], client: Callable[[str], str], params: dict, rounds: int = 3) -> tuple[DataFrame, dict]:
+    """(merged events, parameters): merged again under what the client suggests, until that hardly changes."""
+    merged = merge(events, params)
+    for _ in range(rounds):
+        found = suggested(client, events, merged, params)
+        if not found or not found[0]:
+            break
+        new = params | found[0]
+        if close(params, new):
+            break
+        params, merged = new, merge(events, new)
+    return merged, params
+
+
+def model_ids(payload: Column) -> Column:
+    """Sorted distinct ids of a list of models (JSON with data of objects with id)."""
+    ids = F.transform(F.from_json(payload, "data array<struct<id:string>>")["data"], lambda m: m["id"])
+    return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != ""))))
+
+
+def pick_model(ids: Sequence[str], url: str) -> str:
+    """The model to use at an address: a preferred one, else one that looks like it, else the first."""
+    own = [i.strip() for i in ids if i.strip()]
+    if not own:
+        return USUAL_MODEL
+    kind = next(k for k in MODELS if k in url.strip().lower())
+    fit = lambda i: "embed" not in i.lower()
+    for preferred, parts in MODELS[kind]:
+        found = next((m for m in preferred if m in own), None) or next((i for i in own if fit(i) and any(all(p in i.lower() for p in ps) for ps in parts)), None)
+        if found:
+            return found
+    if kind == "openai.com":
+        found = next((i for i in own if fit(i) and i.lower().startswith("gpt-")), None)
+    else:
+        found = next((i for i in own if fit(i) and "whisper" not in i.lower() and any(p in i.lower() for p in ("chat", "gpt", "deepseek"))), None) if not kind else None
+    return found or own[0]
 
 
 def align(source: list[str], target: list[str]) -> tuple[list[str], list[str]]:
@@ -78,3 +272,15 @@ def align(source: list[str], target: list[str]) -> tuple[list[str], list[str]]:
             a.append(source[i1 + k])
             b.append(last)
     return a, b
+
+
+def aligned(pairs: DataFrame) -> DataFrame:
+    """id, line, source, target: ``align`` for each row (id, source, target) of two arrays of lines."""
+    schema = "id long, line int, source string, target string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, k, s, t) for i, x, y in zip(*(batch.column(c).to_pylist() for c in range(3))) for k, (s, t) in enumerate(zip(*align(x or [], y or [])))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["id", "line", "source", "target"])
+
+    return pairs.select(F.col("id").cast("long"), "source", "target").mapInArrow(run, schema)

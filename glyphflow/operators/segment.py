@@ -2,84 +2,146 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+
+from glyphflow.functions import text as T
 
 MIN_SCORE, MIN_FRAMES = 0.6, 3
 BRIDGE_FRAMES, BRIDGE_SEC, SIMILAR, NEAR_PX = 8, 0.45, 0.85, 20.0
+#: A line within its frame; x and y are its centre, top and height those of its box.
+LINE = "struct<seq:long,text:string,x:double,y:double,top:double,height:double>"
 
 
 def readable(lines: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """Lines sure enough and not blank."""
-    return lines.where((F.col("score") >= least) & (F.trim("text") != ""))
+    """Lines sure enough and not blank (no character but Unicode white space)."""
+    return lines.where((F.col("score") >= least) & ~T.is_blank(F.col("text")))
 
 
 def frames(lines: DataFrame) -> DataFrame:
-    """roi, frame, time_sec (first positive in order of seq, else 0), lines (seq, text, x, y, by seq)."""
+    """roi, frame, time_sec (first positive in order of seq, else 0), lines (``LINE``, by seq).
+
+    From (roi, seq, frame, time_sec, text, x, y) and, where there are, top and height of the line's box.
+    """
     first = F.min(F.when(F.col("time_sec") > 0, F.struct("seq", "time_sec")))
-    return lines.groupBy("roi", "frame").agg(F.coalesce(first["time_sec"], F.lit(0.0)).alias("time_sec"), F.sort_array(F.collect_list(F.struct("seq", "text", "x", "y"))).alias("lines"))
+    top = F.col("top") if "top" in lines.columns else F.col("y")
+    height = F.col("height") if "height" in lines.columns else F.lit(0.0)
+    line = F.struct("seq", "text", F.col("x").alias("x"), F.col("y").alias("y"), top.alias("top"), height.alias("height")).cast(LINE)
+    return lines.groupBy("roi", "frame").agg(F.coalesce(first["time_sec"], F.lit(0.0)).alias("time_sec"), F.sort_array(F.collect_list(line)).alias("lines"))
+
+
+def by_top(lines: Column) -> Column:
+    """Lines in order of box top, equal ones by seq."""
+    keyed = F.transform(lines, lambda m: F.struct(m["top"].alias("t"), m["seq"].alias("s"), m.alias("m")))
+    return F.transform(F.sort_array(keyed), lambda k: k["m"])
+
 
+def texts_equal(a: Column, b: Column) -> Column:
+    """Concatenated texts of two recognitions are equal, and there is some."""
+    joined = lambda c: T.strip(F.array_join(c, ""))
+    return (joined(a) != "") & (joined(a) == joined(b))
 
-def _ratio(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
+
+def text_present(texts: Column) -> Column:
+    return F.coalesce(F.exists(texts, lambda t: ~T.is_blank(t)), F.lit(False))
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a row of the table is one integer, bit by bit."""
+    held: dict[str, int] = {}
+    for j, y in enumerate(b):
+        held[y] = held.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
     for x in a:
-        diag = 0
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], diag + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+        u = v & held.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(b) - v.bit_count()
+
+
+def _alike(a: str, b: str) -> bool:
+    """Both hold text, and twice the common subsequence is enough of the total length."""
+    return bool(a and b) and 2 * _common(a, b) / (len(a) + len(b)) >= SIMILAR
 
 
 def _near(a, b) -> bool:
-    both = zip(sorted(a, key=lambda m: m["y"]), sorted(b, key=lambda m: m["y"]))
-    return all((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 <= NEAR_PX**2 for p, q in both)
+    return all((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 <= NEAR_PX**2 for p, q in zip(a, b))
 
 
-def _key(lines) -> str:
-    return "".join(sorted("".join(m["text"].split()) for m in lines))
+def _joined(lines, key=None) -> str:
+    return "".join(m["text"] for m in (sorted(lines, key=key) if key else lines)).replace(" ", "")
 
 
 def _goes_on(anchor, last: dict, now: dict) -> bool:
+    """Lines of a frame come in order of box top."""
     gap = now["frame"] - last["frame"]
     a, b = anchor["lines"], now["lines"]
     if not 1 <= gap <= BRIDGE_FRAMES or len(a) != len(b):
         return False
     same = sorted(m["text"] for m in a) == sorted(m["text"] for m in b)
     if gap == 1:
-        return _near(a, b) if same else _ratio(_key(a), _key(b)) >= SIMILAR
-    x, y, dt = _key(a), _key(b), now["time_sec"] - last["time_sec"]
-    if len(x) != len(y) or (last["time_sec"] > 0 and now["time_sec"] > 0 and dt > BRIDGE_SEC):
+        text = lambda m: m["text"]
+        return _near(a, b) if same else _alike(_joined(a, text), _joined(b, text))
+    x, y, dt = _joined(a), _joined(b), now["time_sec"] - last["time_sec"]
+    if not x or len(x) != len(y) or (last["time_sec"] > 0 and now["time_sec"] > 0 and dt > BRIDGE_SEC):
         return False
-    return (same or _ratio(x, y) >= SIMILAR) and _near(a, b)
+    return (same or _alike(x, y)) and _near(a, b)
 
 
-def segments(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
-    """roi, group_id, start_frame, end_frame, n_frames: runs that resemble their first frame.
+def marked(framed: DataFrame) -> DataFrame:
+    """Rows of ``framed`` (roi, frame, time_sec, lines) with run, the frame that each one's run begins with.
 
-    One pass over each roi in order of frames, with the anchor and the last frame as its only state: rows come
-    sorted by roi and frame, and are never gathered, so a long track takes no memory.
+    A run goes on while frames resemble its first one. One pass over each roi in order of frames, with the anchor and
+    the last frame as its only state: rows come sorted by roi and frame, and are never gathered, so a long track takes
+    no memory. Frames without lines take no part. Lines come back in order of box top.
     """
     import pyarrow as pa
 
+    roi_kind = framed.schema["roi"].dataType
+    schema = T_.StructType([T_.StructField("roi", roi_kind), *framed.select(F.col("frame").cast("long"), "time_sec", "lines").schema.fields, T_.StructField("run", T_.LongType())])
+
     def run(batches):
-        roi, anchor, last, n, group = None, None, None, 0, 0
-        out: list[tuple] = []
+        roi, anchor, last = None, None, None
         for batch in batches:
+            starts = []
             for now in batch.to_pylist():
-                if anchor is not None and now["roi"] == roi and _goes_on(anchor, last, now):
-                    last, n = now, n + 1
-                    continue
-                if anchor is not None and last["frame"] - anchor["frame"] + 1 >= min_frames:
-                    out.append((roi, group, anchor["frame"], last["frame"], n))
-                    group += 1
-                if now["roi"] != roi:
-                    roi, group = now["roi"], 0
-                anchor, last, n = now, now, 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["roi", "group_id", "start_frame", "end_frame", "n_frames"])
-            out = []
-        if anchor is not None and last["frame"] - anchor["frame"] + 1 >= min_frames:
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (roi, group, anchor["frame"], last["frame"], n)], names=["roi", "group_id", "start_frame", "end_frame", "n_frames"])
-
-    rows = framed.where(F.size("lines") > 0).select(F.col("roi").cast("long"), F.col("frame").cast("long"), "time_sec", "lines")
-    return rows.repartition("roi").sortWithinPartitions("roi", "frame").mapInArrow(run, "roi long, group_id long, start_frame long, end_frame long, n_frames long")
+                if anchor is None or now["roi"] != roi or not _goes_on(anchor, last, now):
+                    roi, anchor = now["roi"], now
+                last = now
+                starts.append(anchor["frame"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], names=[*batch.schema.names, "run"])
+
+    rows = framed.where(F.size("lines") > 0).select("roi", F.col("frame").cast("long").alias("frame"), "time_sec", by_top(F.col("lines")).alias("lines"))
+    return rows.repartition("roi").sortWithinPartitions("roi", "frame").mapInArrow(run, schema)
+
+
+def groups(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
+    """roi, start_frame, end_frame, n_frames, start_sec, last_sec, step, lines: runs that last ``min_frames`` frames.
+
+    lines are those of the first frame; start_sec is the first positive time, last_sec the greatest, step the upper
+    median of the positive distances of sorted times (null without any).
+    """
+    from pyspark.sql import Window as W
+
+    from glyphflow.operators.merge import upper_median_of
+
+    timed = marked(framed).withColumn("t", F.when(F.col("time_sec") > 0, F.col("time_sec")))
+    step = F.col("t") - F.lag("t").over(W.partitionBy("roi", "run", F.col("t").isNull()).orderBy("t"))
+    g = timed.withColumn("step", F.when(step > 0, step)).groupBy("roi", F.col("run").alias("start_frame")).agg(
+        F.max("frame").alias("end_frame"),
+        F.count(F.lit(1)).alias("n_frames"),
+        F.min(F.when(F.col("t").isNotNull(), F.struct("frame", "t")))["t"].alias("start_sec"),
+        F.max("t").alias("last_sec"),
+        upper_median_of("step").alias("step"),
+        F.min_by("lines", "frame").alias("lines"),
+    )
+    return g.where(F.col("end_frame") - F.col("start_frame") + 1 >= min_frames).select("roi", "start_frame", "end_frame", "n_frames", "start_sec", "last_sec", "step", "lines")
+
+
+def segments(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
+    """roi, group_id (from 0 in order of frames), start_frame, end_frame, n_frames."""
+    from pyspark.sql import Window as W
+
+    g = groups(framed, min_frames)
+    return g.select("roi", (F.row_number().over(W.partitionBy("roi").orderBy("start_frame")) - 1).cast("long").alias("group_id"), "start_frame", "end_frame", "n_frames")

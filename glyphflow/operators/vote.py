@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+STEP, MOVED, ALIKE, DELTA = 15, 0.05, 0.98, 10
+LINE = "struct<text:string,score:double,box:array<double>,polygon:array<array<double>>>"
+
+
+def samples(frames: DataFrame, by: list[str]) -> DataFrame:
+    """The first, middle (of three or more) and last frame of each run, with sample, their order in it."""
+    w = W.partitionBy(*by).orderBy("frame")
+    placed = frames.withColumns({"_at": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy(*by))})
+    wanted = (F.col("_at") == 0) | (F.col("_at") == F.col("_n") - 1) | ((F.col("_n") > 2) & (F.col("_at") == F.floor(F.col("_n") / 2)))
+    return placed.where(wanted).withColumn("sample", F.col("_at")).drop("_at", "_n")
+
 
 def positional_vote(lines: DataFrame, by: list[str]) -> DataFrame:
-    """by, line_idx, text, score: from (by, sample, line_idx, text, score), samples in order.
+    """by, line_idx, text, score and, where there are, box and polygon: from (by, sample, line_idx, text, score), samples in order.
 
     For each line of the first sample, the text with most votes, then the best mean score, then the one seen first;
-    the score is that of the first sample that holds it.
+    the rest is that of the first sample that holds it.
     """
+    own = [c for c in ("score", "box", "polygon") if c in lines.columns]
     first = lines.groupBy(*by).agg(F.min("sample").alias("_first"))
     wanted = lines.join(first, by).where("sample = _first").select(*by, "line_idx")
-    votes = lines.join(wanted, [*by, "line_idx"], "left_semi").groupBy(*by, "line_idx", "text").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.min("sample").alias("at"), F.min_by("score", "sample").alias("score"))
-    return votes.groupBy(*by, "line_idx").agg(F.max(F.struct("n", "mean", (-F.col("at")).alias("at"), "text", "score")).alias("m")).select(*by, "line_idx", "m.text", "m.score")
+    votes = lines.join(wanted, [*by, "line_idx"], "left_semi").groupBy(*by, "line_idx", "text").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.min("sample").alias("at"), F.min_by(F.struct(*own), "sample").alias("own"))
+    return votes.groupBy(*by, "line_idx").agg(F.max(F.struct("n", "mean", (-F.col("at")).alias("at"), "text", "own")).alias("m")).select(*by, "line_idx", "m.text", *[f"m.own.{c}" for c in own])
 
 
 def fill_forward(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -27,55 +39,124 @@ def fill_forward(rows: DataFrame, by: list[str], order: list[str], value: str) -
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
 
 
-def read_runs(images: list, read: Callable, alike: Callable, moved: Callable, step: int = 15) -> tuple[list, int]:
-    """(result of each image, calls of ``read``) for the images of one track in order.
+def _text(read: list[dict]) -> str:
+    return "".join(r["text"] for r in read).strip()
+
+
+def _voted(reads: list[list[dict]]) -> list[dict]:
+    """For each line of the first reading, the text most readings have there, then of best mean score, then seen first."""
+    out = []
+    for k in range(len(reads[0])):
+        seen: dict[str, list[dict]] = {}
+        for r in reads:
+            if k < len(r):
+                seen.setdefault(r[k]["text"], []).append(r[k])
+        out.append(max(seen.values(), key=lambda own: (len(own), sum(x["score"] for x in own) / len(own)))[0])
+    return out
+
+
+class _Track:
+    """The images of a roi as they come, as far back as something still asks for them."""
+
+    def __init__(self, rows: Iterator[dict]):
+        self.rows, self.held, self.first, self.ended = rows, [], 0, False
+
+    def has(self, at: int) -> bool:
+        while not self.ended and at >= self.first + len(self.held):
+            row = next(self.rows, None)
+            self.ended = row is None
+            if row is not None:
+                self.held.append(row)
+        return at < self.first + len(self.held)
+
+    def __getitem__(self, at: int) -> dict:
+        return self.held[at - self.first]
+
+    def forget(self, before: int) -> None:
+        self.held = self.held[before - self.first :]
+        self.first = before
+
+
+def read_runs(rows: Iterator[dict], read: Callable, alike: Callable, moved: Callable, step: int = STEP) -> Iterator[tuple[dict, list[dict], int]]:
+    """(row, its lines, calls of ``read`` it took) for the rows of one roi in order of frames; row["image"] is an image.
 
-    An image that hardly moved since the one before takes the last result. Else it is read; if it holds text, images
-    are probed at growing distance until one isn't alike, the end of the run is narrowed by halving (alike, and the
-    same text), and the run takes the vote of its first, middle and last image.
+    An image that hardly moved since the last one that was looked at takes the last result. Else it is read; if it
+    holds text, images are probed at growing distance until one isn't alike, the end of the run is found by halving
+    (alike, and the same text), and the run takes the vote of its first, middle and last image. Images are held from
+    the start of a run to its last probe.
     """
-    out: list = [None] * len(images)
-    calls, last, i = 0, [], 0
-    known: dict[int, list] = {}
-
-    def at(k: int) -> list:
-        nonlocal calls
-        if k not in known:
-            known[k] = read(images[k])
-            calls += 1
-        return known[k]
-
-    text = lambda r: "".join(t for t, _ in r)
-    while i < len(images):
-        if i and not moved(images[i - 1], images[i]):
-            out[i] = last
-            i += 1
+    track, at, seen, last = _Track(rows), 0, None, []
+    while track.has(at):
+        now = track[at]
+        still, seen = seen is not None and not moved(seen, now["image"]), now["image"]
+        if still:
+            yield now, last, 0
+            at += 1
+            track.forget(at)
             continue
-        own = at(i)
-        if not text(own).strip():
-            out[i] = last = own
-            i += 1
+        own = last = read(now["image"])
+        calls = 1
+        if not _text(own):
+            yield now, own, calls
+            at += 1
+            track.forget(at)
             continue
-        end, probe = len(images) - 1, i + 1
-        while probe < len(images) and alike(images[i], images[probe]):
+        end, probe = at, at + 1
+        while track.has(probe) and alike(now["image"], track[probe]["image"]):
             probe += step
-        lo, hi = i, min(probe, end)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if alike(images[i], images[mid]) and text(at(mid)) == text(own):
-                lo = mid
-            else:
-                hi = mid - 1
-        n = lo - i + 1
-        samples = [at(k) for k in sorted({i, i + n // 2 if n > 2 else i, lo})]
-        best = []
-        for line in range(len(samples[0])):
-            seen: dict[str, list[float]] = {}
-            for s in samples:
-                if line < len(s):
-                    seen.setdefault(s[line][0], []).append(s[line][1])
-            winner = max(seen, key=lambda t: (len(seen[t]), sum(seen[t]) / len(seen[t])))
-            best.append((winner, seen[winner][0]))
-        out[i : lo + 1] = [best] * n
-        last, i = best, lo + 1
-    return out, calls
+        lo, hi = at + 1, probe if track.has(probe) else track.first + len(track.held) - 1
+        while lo <= hi:
+            mid = (lo + hi) // 2
+            same = alike(now["image"], track[mid]["image"])
+            if same:
+                calls += 1
+                same = _text(read(track[mid]["image"])) == _text(own)
+            lo, hi = (mid + 1, hi) if same else (lo, mid - 1)
+            end = mid if same else end
+        n = end - at + 1
+        picked = sorted({0, n // 2 if n > 2 else 0, n - 1})
+        reads = [own, *(read(track[at + k]["image"]) for k in picked[1:])]
+        calls += len(picked) - 1
+        last = _voted(reads) if len(reads) > 1 else reads[0]
+        for k in range(at, end + 1):
+            yield track[k], last, calls if k == at else 0
+        at = end + 1
+        track.forget(at)
+
+
+def skip_runs(crops: DataFrame, reader: Callable[[], Callable], step: int = STEP, moved: float = MOVED, similar: float = ALIKE, delta: int = DELTA, sentinel: bool = True) -> DataFrame:
+    """roi, frame, time_sec, lines (``LINE``), calls: recognition of crops (roi, frame, time_sec, h, w, image) by runs.
+
+    ``reader`` makes, once for each task, the function that recognises an image (h x w x 3, BGR): a list of (text,
+    score, box, polygon). A roi is read by one task in order of frames, which holds the images of one run at a time.
+    """
+    import pandas as pd
+
+    from glyphflow.operators import image
+
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read_raw = reader()
+        read = lambda x: [dict(zip(("text", "score", "box", "polygon"), line)) for line in read_raw(x["bgr"])]
+        alike = lambda a, b: image.structural_similarity(a["gray"], b["gray"]) >= similar
+        changed = (lambda a, b: image.changed_share(a["gray"], b["gray"], delta) >= moved) if sentinel else (lambda a, b: True)
+
+        def rows() -> Iterator[dict]:
+            for page in pages:
+                for r in page.to_dict("records"):
+                    bgr = image.decode(r.pop("image"), r.pop("h"), r.pop("w"))
+                    yield r | {"image": {"bgr": bgr, "gray": image.gray(bgr)}}
+
+        for track in _by_roi(rows()):
+            out = [(r["roi"], r["frame"], r["time_sec"], lines, calls) for r, lines, calls in read_runs(track, read, alike, changed, step)]
+            yield pd.DataFrame(out, columns=["roi", "frame", "time_sec", "lines", "calls"])
+
+    rows = crops.select(F.col("roi").cast("string"), F.col("frame").cast("long"), F.col("time_sec").cast("double"), F.col("h").cast("int"), F.col("w").cast("int"), "image")
+    return rows.repartition("roi").sortWithinPartitions("roi", "frame").mapInPandas(run, f"roi string, frame long, time_sec double, lines array<{LINE}>, calls int")
+
+
+def _by_roi(rows: Iterator[dict]) -> Iterator[Iterator[dict]]:
+    """The rows of each roi, one roi after another."""
+    import itertools
+
+    for _, own in itertools.groupby(rows, key=lambda r: r["roi"]):
+        yield own

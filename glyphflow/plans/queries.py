@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,27 +11,23 @@ from pyspark.sql import Window as W
 
 from glyphflow.functions import geometry, timefmt
 from glyphflow.functions import text as T
-from glyphflow.operators import classify, detect, intervals, merge, profile, refine, segment, vote
-from glyphflow.plans import subtitles, views
+from glyphflow.operators import classify, detect, engines, gate, intervals, merge, profile, refine, segment, vote
+from glyphflow.plans import sql, subtitles, views
+from glyphflow.sources import readers, writers
 from glyphflow.streaming import slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 SPACE = T.SPACE
-EV = "ev AS (SELECT user_id AS roi, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, epoch_us(ts) / 1e6 AS time_sec, event_type AS text, least(value / 100, 1.0) AS score, CAST(json_extract_string(props, '$.k') AS INT) % 30 AS x, CAST(json_extract_string(props, '$.k') AS INT) % 7 AS y FROM events)"
-LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) AS t(i))"
-SUBS = r"subs AS (SELECT conv_id AS roi, turn AS seq, turn * 2.5 AS start_sec, turn * 2.5 + 2.0 AS end_sec, replace(substr(text, 1, 40), chr(10), '\n') AS body FROM conversations)"
-CANON = rf"list_reduce(list_prepend('', list_transform(string_split_regex(replace(body, chr(13), ''), '\\[nN]'), lambda z: regexp_replace(z, '{SPACE}', '', 'g'))), lambda a, z: CASE WHEN length(z) = 1 AND length(a) >= 6 THEN a ELSE a || z END)"
-ROIS = "rois AS (SELECT o_orderkey AS key, o_orderstatus AS kind, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s, coalesce(e, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))) AS e FROM orders LEFT JOIN (SELECT l_orderkey, max(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
-GROUPS = "g AS (SELECT *, CASE WHEN y > 75 THEN 'BOTTOM' WHEN y < 15 THEN 'TOP' ELSE 'SCENE' END AS location FROM (SELECT l_suppkey % 500 AS roi, l_orderkey * 10 + l_linenumber AS group_id, CAST(l_partkey % 100 AS INT) AS y, CAST(l_quantity AS INT) % 40 AS height FROM lineitem))"
+EV, LINES, ROIS, GROUPS, SUBS = sql.EV, sql.LINES, sql.ROIS, sql.GROUPS, sql.SUBS
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if text:
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -58,7 +55,7 @@ def probe_frames(spark, sf):
     return intervals.probe_frames(intervals.clamp(views.intervals(spark, sf), 1_000_000), ["kind"])
 
 
-@query(f"WITH {EV} SELECT * FROM ev WHERE score >= 0.6 AND trim(text) <> ''")
+@query(f"WITH {EV} SELECT * FROM ev WHERE score >= 0.6 AND NOT regexp_full_match(text, '{SPACE}*')")
 def score_blank_filter(spark, sf):
     return segment.readable(views.observations(spark, sf))
 
@@ -69,17 +66,12 @@ def group_lines(spark, sf):
     return segment.frames(rows).select("roi", "frame", "time_sec", F.array_join(F.transform("lines", lambda m: m["text"]), "|").alias("texts"))
 
 
-@query(f"""WITH RECURSIVE {EV}, f AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY frame) AS rn FROM ev WHERE score >= 0.6 AND trim(text) <> ''),
-s AS (SELECT roi, rn, frame, time_sec, frame AS a_frame, text AS a_text, x AS a_x, y AS a_y, 1 AS n FROM f WHERE rn = 1
-UNION ALL SELECT roi, rn, frame, time_sec, CASE WHEN on_ THEN a_frame ELSE frame END, CASE WHEN on_ THEN a_text ELSE text END, CASE WHEN on_ THEN a_x ELSE x END, CASE WHEN on_ THEN a_y ELSE y END, CASE WHEN on_ THEN n + 1 ELSE 1 END FROM (
-SELECT f.*, s.a_frame, s.a_text, s.a_x, s.a_y, s.n, f.text = s.a_text AND (f.x - s.a_x) ** 2 + (f.y - s.a_y) ** 2 <= 400 AND (f.frame - s.frame = 1 OR (f.frame - s.frame <= 8 AND f.time_sec - s.time_sec <= 0.45)) AS on_ FROM s JOIN f ON f.roi = s.roi AND f.rn = s.rn + 1)),
-g AS (SELECT roi, a_frame AS start_frame, max(frame) AS end_frame, max(n) AS n_frames FROM s GROUP BY 1, 2)
-SELECT roi, row_number() OVER (PARTITION BY roi ORDER BY start_frame) - 1 AS group_id, start_frame, end_frame, CAST(n_frames AS BIGINT) AS n_frames FROM g WHERE end_frame - start_frame + 1 >= 3""")
+@query(f"WITH RECURSIVE {sql.RUNS} SELECT roi, row_number() OVER (PARTITION BY roi ORDER BY start_frame) - 1 AS group_id, start_frame, end_frame, CAST(n_frames AS BIGINT) AS n_frames FROM runs")
 def anchor_segments(spark, sf):
-    return segment.segments(segment.frames(segment.readable(views.observations(spark, sf))))
+    return segment.segments(segment.frames(segment.readable(views.track(spark, sf))))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, {CANON.replace('body', 'line')} AS canonical FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, line_no, {sql.canonical('line')} AS canonical FROM lines")
 def canonical_text(spark, sf):
     return views.lines(spark, sf).select("doc_id", "line_no", T.canonical(F.col("line")).alias("canonical"))
 
@@ -89,14 +81,14 @@ def space_normalise(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", T.normalise_spaces(F.col("text")).alias("line"))
 
 
-@query(rf"WITH {LINES}, b AS (SELECT doc_id, line_no, regexp_replace(line, '[ ,.!?''\"(){{}}\[\]\p{{Nd}}-]', '', 'g') AS s FROM lines), n AS (SELECT *, len(regexp_extract_all(s, '{T.SCRIPTS['CH']}')) AS ch, len(regexp_extract_all(s, '{T.SCRIPTS['JP']}')) AS jp, len(regexp_extract_all(s, '{T.SCRIPTS['KO']}')) AS ko, len(regexp_extract_all(s, '{T.SCRIPTS['RU']}')) AS ru, len(regexp_extract_all(s, '{T.SCRIPTS['EN']}')) AS en FROM b) SELECT doc_id, line_no, CASE WHEN s = '' THEN 'EN' WHEN jp > 0 THEN 'JP' WHEN ch + ko + ru + en = 0 THEN 'JP' WHEN en >= greatest(ch, ko, ru) THEN 'EN' WHEN ch >= greatest(ko, ru) THEN 'CH' WHEN ko >= ru THEN 'KO' ELSE 'RU' END AS language FROM n")
+@query(f"WITH {sql.SCRIPTED}, {sql.language('line', 'doc_id, line_no')} SELECT doc_id, line_no, language FROM lang")
 def language_vote(spark, sf):
-    return views.lines(spark, sf).select("doc_id", "line_no", T.language(F.col("line")).alias("language"))
+    return views.lines(spark, sf, scripted=True).select("doc_id", "line_no", T.language(F.col("line")).alias("language"))
 
 
-@query(rf"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '{T.UNSPACED}')) + len(list_filter(string_split_regex(regexp_replace(text, '{T.UNSPACED}', ' ', 'g'), '{SPACE}+'), lambda w: w <> '')) END AS words, coalesce(len(regexp_extract_all(text, '{T.UNSPACED}')) / nullif(length(regexp_replace(text, '{SPACE}', '', 'g')), 0) > 0.5, false) AS unspaced FROM documents")
+@query(rf"WITH {sql.SCRIPTED} SELECT doc_id, line_no, CASE WHEN line = '' THEN 0 ELSE len(regexp_extract_all(line, '{T.UNSPACED}')) + len(list_filter(string_split_regex(regexp_replace(line, '{T.UNSPACED}', ' ', 'g'), '{SPACE}+'), lambda w: w <> '')) END AS words, coalesce(len(regexp_extract_all(line, '{T.UNSPACED}')) / nullif(length(regexp_replace(line, '{SPACE}', '', 'g')), 0) > 0.5, false) AS unspaced FROM lines")
 def word_count(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), T.mainly_unspaced(F.col("text")).alias("unspaced"))
+    return views.lines(spark, sf, scripted=True).select("doc_id", "line_no", T.word_count(F.col("line")).cast("long").alias("words"), T.mainly_unspaced(F.col("line")).alias("unspaced"))
 
 
 @query(rf"WITH {LINES}, z AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(replace(line, chr(13), ''), '\\[nN]', '', 'g'), '{SPACE}', '', 'g') AS z FROM lines) SELECT doc_id, line_no, CASE WHEN z = '' THEN true WHEN regexp_full_match(z, '[()\[\]{{}}（）【】]+') THEN true WHEN regexp_full_match(z, '[0-9]+') THEN true WHEN regexp_full_match(z, '[0-9]+[A-Za-z]+|[A-Za-z]+[0-9]+') THEN length(z) <= 4 ELSE length(z) = 1 AND z NOT IN ('，', '。', '！', '？', '.', '!', '?') END AS noise FROM z")
@@ -115,34 +107,38 @@ SCORE_SQL = "greatest(-1.0, least(1.0, CASE WHEN dialogue > 0.5 THEN 0.4 ELSE 0
 
 @query(f"WITH {LINES}, {FEATURES_SQL} SELECT doc_id, line_no, text_length, line_count, ends_sentence, CAST(dialogue AS DOUBLE) AS dialogue, round(CAST(proper_share AS DOUBLE), 6) AS proper_share, price, address, slogan, round(CAST({SCORE_SQL} AS DOUBLE), 6) AS score FROM f")
 def semantic_features(spark, sf):
-    f = T.semantic_features(F.col("line"))
-    shown = f | {"text_length": f["text_length"].cast("long"), "line_count": f["line_count"].cast("long"), "proper_share": F.round(f["proper_share"], 6), "score": F.round(T.semantic_score(f), 6)}
-    return views.lines(spark, sf).select("doc_id", "line_no", *[c.alias(k) for k, c in shown.items()])
+    f = views.lines(spark, sf).select("doc_id", "line_no", T.semantic(F.col("line")).alias("f"))
+    return f.select("doc_id", "line_no", F.col("f.text_length").cast("long").alias("text_length"), F.col("f.line_count").cast("long").alias("line_count"), "f.ends_sentence", "f.dialogue", F.round("f.proper_share", 6).alias("proper_share"), "f.price", "f.address", "f.slogan", F.round(T.semantic_score(F.col("f")), 6).alias("score"))
 
 
-PLACED_SQL = f"WITH {LINES}, {FEATURES_SQL}, p AS (SELECT *, (doc_id % 20) / 20.0 AS rel_y, (line_no % 10) / 100.0 AS rel_height, line_no % 3 = 0 AS edge, {SCORE_SQL} AS semantic FROM f), q AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN rel_y > 0.80 THEN 0.6 WHEN rel_y < 0.15 THEN 0.5 ELSE 0 END + CASE WHEN edge THEN 0.2 ELSE 0 END - CASE WHEN rel_y > 0.25 AND rel_y < 0.70 THEN 0.3 ELSE 0 END - CASE WHEN rel_height < 0.02 THEN 0.2 ELSE 0 END)) AS spatial FROM p), r AS (SELECT *, round(greatest(0, least(1, (0.2 * spatial + 0.15 * 0.5 + 0.25 * -0.2 + 0.4 * semantic + 1) / 2)), 6) AS s FROM q)"
+def _placed_sql(preset: str) -> str:
+    _, (a, b, c, d), bias, *_ = classify.PRESETS[preset]
+    return f"WITH {LINES}, {FEATURES_SQL}, p AS (SELECT *, (doc_id % 20) / 20.0 AS rel_y, (line_no % 10) / 100.0 AS rel_height, line_no % 3 = 0 AS edge, {SCORE_SQL} AS semantic FROM f), q AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN rel_y > 0.80 THEN 0.6 WHEN rel_y < 0.15 THEN 0.5 ELSE 0 END + CASE WHEN edge THEN 0.2 ELSE 0 END - CASE WHEN rel_y > 0.25 AND rel_y < 0.70 THEN 0.3 ELSE 0 END - CASE WHEN rel_height < 0.02 THEN 0.2 ELSE 0 END)) AS spatial FROM p), r AS (SELECT *, round(greatest(0, least(1, ({a} * spatial + {b} * 0.5 + {c} * -0.2 + {d} * semantic + {bias} + 1) / 2)), 6) AS s FROM q), l AS (SELECT *, CASE WHEN s > 0.65 THEN 'overlay' WHEN s < 0.35 THEN 'scene' ELSE 'unknown' END AS label FROM r)"
 
 
 def _placed(spark, sf):
     return views.lines(spark, sf).select("doc_id", "line_no", F.col("line").alias("text"), ((F.col("doc_id") % 20) / 20.0).alias("rel_y"), ((F.col("line_no") % 10) / 100.0).alias("rel_height"), (F.col("line_no") % 3 == 0).alias("edge"))
 
 
-@query(PLACED_SQL + " SELECT doc_id, line_no, CASE WHEN s > 0.65 THEN 'overlay' WHEN s < 0.35 THEN 'scene' ELSE 'unknown' END AS label, CAST(CASE WHEN s > 0.65 THEN s WHEN s < 0.35 THEN 1 - s ELSE 0.5 END AS DOUBLE) AS confidence FROM r")
+@query(_placed_sql("film_tv") + " SELECT doc_id, line_no, label, CAST(CASE WHEN s > 0.65 THEN s WHEN s < 0.35 THEN 1 - s ELSE 0.5 END AS DOUBLE) AS confidence FROM l")
 def source_class(spark, sf):
-    return classify.classify(_placed(spark, sf), "news").select("doc_id", "line_no", "label", F.round("confidence", 6).alias("confidence"))
+    return classify.classify(_placed(spark, sf), "film_tv").select("doc_id", "line_no", "label", F.round("confidence", 6).alias("confidence"))
 
 
-@query(PLACED_SQL + " SELECT CASE WHEN s > 0.65 THEN 'overlay' WHEN s < 0.35 THEN 'scene' ELSE 'unknown' END AS label, count(*) AS n FROM r GROUP BY 1")
+@query(_placed_sql("film_tv") + " SELECT doc_id, line_no, label FROM l WHERE label = 'overlay'")
 def source_filter(spark, sf):
-    return classify.keep(classify.classify(_placed(spark, sf), "news"), "news").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return classify.keep(classify.classify(_placed(spark, sf), "film_tv"), "film_tv").select("doc_id", "line_no", "label")
 
 
-@query(f"""WITH RECURSIVE {SUBS}, c AS (SELECT roi, seq, substr({CANON}, 1, 24) AS a FROM subs), p AS (SELECT roi, seq, a, lag(a) OVER (PARTITION BY roi ORDER BY seq) AS b FROM c),
-r AS (SELECT roi, seq, a, b, 0 AS i, list_transform(range(0, length(b)), lambda j: CAST(0 AS BIGINT)) AS t FROM p WHERE b IS NOT NULL
-UNION ALL SELECT roi, seq, a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: greatest(t[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: substr(b, CAST(k AS INT), 1) = substr(a, CAST(i + 1 AS INT), 1)), lambda k: CASE WHEN k = 1 THEN 0 ELSE t[k - 1] END + 1)), 0))) FROM r WHERE i < length(a))
-SELECT roi, seq, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(t[length(b)], 0) / (length(a) + length(b)) END, 6) AS ratio FROM r WHERE i = length(a)""")
+@query(_placed_sql("film_tv") + " SELECT label, count(*) AS n, count(*) FILTER (label = 'overlay') AS kept FROM l GROUP BY 1")
+def source_counters(spark, sf):
+    return classify.counters(classify.classify(_placed(spark, sf), "film_tv"), "film_tv")
+
+
+@query(f"WITH {SUBS}, c AS (SELECT roi, seq, {sql.canonical('body')} AS a FROM subs WHERE seq % 3 = 0), p AS (SELECT roi, seq, a, lag(a) OVER (PARTITION BY roi ORDER BY seq) AS b FROM c), {sql.common('p')} SELECT roi, seq, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(n, 0) / (length(a) + length(b)) END, 6) AS ratio FROM p LEFT JOIN lc USING (roi, seq) WHERE b IS NOT NULL")
 def indel_ratio(spark, sf):
-    return _ratios(views.subtitles(spark, sf).select("roi", "seq", F.substring(T.canonical(F.col("body")), 1, 24).alias("a")))
+    """Turns (each is the first of its three events) against the one before."""
+    return _ratios(views.subtitles(spark, sf).where("seq % 3 = 0").select("roi", "seq", T.canonical(F.col("body")).alias("a")))
 
 
 def _ratios(canon: DataFrame) -> DataFrame:
@@ -151,57 +147,44 @@ def _ratios(canon: DataFrame) -> DataFrame:
     return s.select("roi", "seq", F.round(T.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query()
-def indel_ratio_whole(spark, sf):
-    return _ratios(views.subtitles(spark, sf, whole=True).select("roi", "seq", T.canonical(F.col("body")).alias("a")))
+@query(f"WITH {SUBS}, c AS (SELECT roi, seq, {sql.canonical('body')} AS a FROM subs), p AS (SELECT roi, seq, a, lag(a) OVER (PARTITION BY roi ORDER BY seq) AS b FROM c), {sql.common('p', sql.NEEDED)} SELECT roi, seq, {sql.SIMILAR} AS similar FROM p LEFT JOIN lc USING (roi, seq) WHERE b IS NOT NULL")
+def similar_pairs(spark, sf):
+    e = views.subtitles(spark, sf).select("roi", "seq", T.canonical(F.col("body")).alias("a"))
+    p = e.withColumn("b", F.lag("a").over(W.partitionBy("roi").orderBy("seq"))).where("b is not null")
+    return p.select("roi", "seq", T.bodies_similar(F.col("b"), F.col("a")).alias("similar"))
+
 
+CLOSE_TIMED = f"{SUBS}, near AS (SELECT * EXCLUDE (start_sec, end_sec), start_sec * CAST(0.85 AS DOUBLE) AS start_sec, start_sec * CAST(0.85 AS DOUBLE) + 2.0 AS end_sec FROM subs), timed AS (SELECT *, {sql.seconds_text('start_sec')} AS start_time, {sql.seconds_text('end_sec')} AS end_time FROM near)"
+SUBS_TIMED = f"{SUBS}, timed AS (SELECT *, {sql.seconds_text('start_sec')} AS start_time, {sql.seconds_text('end_sec')} AS end_time FROM subs)"
 
-@query(f"""WITH RECURSIVE {SUBS}, c AS (SELECT *, {CANON} AS a FROM subs), p AS (SELECT *, lag(a) OVER w AS b, lag(end_sec) OVER w AS p_end FROM c WINDOW w AS (PARTITION BY roi ORDER BY start_sec, seq)),
-q AS (SELECT roi, seq, a, b FROM p WHERE b <> '' AND a <> ''),
-r AS (SELECT roi, seq, a, b, 0 AS i, list_transform(range(0, length(b)), lambda j: CAST(0 AS BIGINT)) AS t FROM q
-UNION ALL SELECT roi, seq, a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: greatest(t[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: substr(b, CAST(k AS INT), 1) = substr(a, CAST(i + 1 AS INT), 1)), lambda k: CASE WHEN k = 1 THEN 0 ELSE t[k - 1] END + 1)), 0))) FROM r WHERE i < length(a)),
-m AS (SELECT roi, seq, contains(a, b) OR contains(b, a) OR 2.0 * t[length(b)] / (length(a) + length(b)) >= 0.78 AS alike FROM r WHERE i = length(a)),
-n AS (SELECT p.*, sum(CASE WHEN coalesce(alike, false) AND start_sec - p_end BETWEEN -0.12 AND 4.0 THEN 0 ELSE 1 END) OVER (PARTITION BY p.roi ORDER BY start_sec, p.seq ROWS UNBOUNDED PRECEDING) AS island FROM p LEFT JOIN m ON m.roi = p.roi AND m.seq = p.seq),
-v AS (SELECT roi, island, a, count(*) AS votes FROM n GROUP BY 1, 2, 3),
-w AS (SELECT roi, island, a FROM v QUALIFY row_number() OVER (PARTITION BY roi, island ORDER BY votes DESC, length(a) DESC, a) = 1),
-o AS (SELECT roi, island, body FROM n JOIN w USING (roi, island, a) QUALIFY row_number() OVER (PARTITION BY roi, island ORDER BY length(body) DESC, seq) = 1)
-SELECT roi, CAST(island AS BIGINT) AS island, CAST(min(start_sec) AS DOUBLE) AS start_sec, CAST(arg_max(end_sec, seq) AS DOUBLE) AS end_sec, 'Default' AS style, '' AS tags, o.body, count(*) AS n FROM n JOIN o USING (roi, island) GROUP BY roi, island, o.body""")
+
+@query(f"WITH {SUBS_TIMED}, {sql.merged('timed')} SELECT roi, island, start_sec, end_sec, style, tags, body, n FROM done")
 def neighbour_merge(spark, sf):
     return merge.merge_neighbours(views.subtitles(spark, sf))
 
 
-@query()
-def neighbour_merge_whole(spark, sf):
-    return merge.merge_neighbours(views.subtitles(spark, sf, whole=True))
+@query(f"WITH RECURSIVE {CLOSE_TIMED}, z AS (SELECT *, {sql.parsed('start_time')} AS ts, {sql.parsed('end_time')} AS te, {sql.bare('body')} AS z FROM timed), r AS (SELECT *, {sql.NOISE} AS noise, row_number() OVER (PARTITION BY roi ORDER BY ts, seq) AS rn FROM z), w AS (SELECT roi, rn, seq, te, style, px, py, seq AS grp, px AS gx, py AS gy FROM r WHERE rn = 1 UNION ALL SELECT roi, rn, seq, te, style, px, py, CASE WHEN joins THEN o_grp ELSE seq END, CASE WHEN joins THEN o_gx ELSE px END, CASE WHEN joins THEN o_gy ELSE py END FROM (SELECT r.*, w.grp AS o_grp, w.gx AS o_gx, w.gy AS o_gy, r.style = 'Scene' AND w.style = 'Scene' AND NOT r.noise AND abs(r.px - w.gx) <= 24 AND abs(r.py - w.gy) <= 24 AND r.ts - w.te BETWEEN CAST(-0.12 AS DOUBLE) AND CAST(0.35 AS DOUBLE) AS joins FROM w JOIN r ON r.roi = w.roi AND r.rn = w.rn + 1)) SELECT roi, seq, grp FROM w")
+def fragment_groups(spark, sf):
+    return merge.fragment_groups(views.fragments(spark, sf)).select("roi", "seq", "grp")
 
 
-@query(f"WITH {SUBS}, c AS (SELECT roi % 50 AS grp, roi * 100 + seq AS seq, body, {CANON} AS canon FROM subs), v AS (SELECT grp, canon, count(*) AS votes FROM c GROUP BY 1, 2), b AS (SELECT grp, canon FROM v QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, length(canon) DESC, canon) = 1) SELECT grp, body FROM c JOIN b USING (grp, canon) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY length(body) DESC, seq) = 1")
+@query(f"WITH {SUBS}, c AS (SELECT roi % 50 AS grp, roi * 1000 + seq AS seq, body, {sql.canonical('body')} AS canon FROM subs), v AS (SELECT grp, canon, count(*) AS votes FROM c GROUP BY 1, 2), b AS (SELECT grp, canon FROM v QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, length(canon) DESC, canon) = 1) SELECT grp, body FROM c JOIN b USING (grp, canon) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY length(body) DESC, seq) = 1")
 def majority_body(spark, sf):
     return _majority(views.subtitles(spark, sf))
 
 
-@query()
-def majority_body_whole(spark, sf):
-    return _majority(views.subtitles(spark, sf, whole=True))
-
-
 def _majority(events: DataFrame) -> DataFrame:
-    c = events.select((F.col("roi") % 50).alias("grp"), (F.col("roi") * 100 + F.col("seq")).alias("seq"), "body", T.canonical(F.col("body")).alias("canon"))
+    c = events.select((F.col("roi") % 50).alias("grp"), (F.col("roi") * 1000 + F.col("seq")).alias("seq"), "body", T.canonical(F.col("body")).alias("canon"))
     v = c.groupBy("grp", "canon").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.length("body").alias("n"), (-F.col("seq")).alias("s"), "body"))["body"].alias("body"))
     return v.groupBy("grp").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", "body"))["body"].alias("body"))
 
 
-@query(f"WITH {EV}, d AS (SELECT roi, frame, time_sec, time_sec - lag(time_sec) OVER (PARTITION BY roi ORDER BY frame) AS step FROM ev WHERE time_sec > 0) SELECT roi, arg_min(time_sec, frame) AS start_sec, max(time_sec) + coalesce(list_sort(list(step) FILTER (step > 0))[CAST(floor(count(step) FILTER (step > 0) / 2) AS INT) + 1], 0.04) AS end_sec FROM d GROUP BY roi")
+@query(f"WITH {EV}, d AS (SELECT roi, frame, time_sec, time_sec - lag(time_sec) OVER (PARTITION BY roi ORDER BY time_sec) AS step FROM ev WHERE time_sec > 0) SELECT roi, arg_min(time_sec, frame) AS start_sec, max(time_sec) + coalesce(list_sort(list(step) FILTER (step > 0))[CAST(floor(count(step) FILTER (step > 0) / 2) AS INT) + 1], 0.04) AS end_sec FROM d GROUP BY roi")
 def end_time_estimate(spark, sf):
     return profile.end_times(views.observations(spark, sf), ["roi"], 25.0)
 
 
-PROFILE_SQL = f"""WITH {GROUPS}, v AS (SELECT roi, location, count(*) AS n, min(group_id) AS f, list(height) FILTER (height > 0) AS own FROM g GROUP BY 1, 2),
-b AS (SELECT roi, location, n, coalesce(own, []) AS own, sum(n) OVER (PARTITION BY roi) AS total FROM v QUALIFY row_number() OVER (PARTITION BY roi ORDER BY n DESC, f) = 1),
-e AS (SELECT roi, coalesce(list(height) FILTER (height > 0), []) AS every FROM g GROUP BY roi),
-q AS (SELECT roi, total >= 3 AND n / total < 0.55 AS mixed, location, own, every FROM b JOIN e USING (roi)),
-p AS (SELECT roi, CASE WHEN mixed THEN 'MIXED' ELSE location END AS usual, CASE WHEN mixed OR len(own) = 0 THEN list_sort(every) ELSE list_sort(own) END AS hs FROM q),
-pr AS (SELECT roi, usual, coalesce(hs[len(hs) // 2 + 1], 0) AS text_height FROM p)"""
+PROFILE_SQL = f"WITH {GROUPS}, {sql.PROFILE}"
 
 
 @query(PROFILE_SQL + " SELECT roi, usual AS location, text_height FROM pr")
@@ -209,16 +192,18 @@ def roi_profile(spark, sf):
     return profile.profiles(views.groups(spark, sf))
 
 
-@query(PROFILE_SQL + ", k AS (SELECT g.*, CASE WHEN usual IN ('UNKNOWN', 'MIXED') OR text_height <= 0 THEN true ELSE (CASE WHEN usual IN ('BOTTOM', 'TOP') THEN location <> 'SCENE' WHEN usual = 'SCENE' THEN location NOT IN ('BOTTOM', 'TOP') ELSE true END) AND (CASE WHEN height > 0 THEN height / CAST(text_height AS DOUBLE) BETWEEN 0.65 AND 1.65 ELSE true END) END AS keep FROM g JOIN pr USING (roi)) SELECT roi, group_id, y, height, location FROM (SELECT *, bool_or(keep) OVER (PARTITION BY roi) AS any_kept FROM k) WHERE keep OR NOT any_kept")
+@query(PROFILE_SQL + f", {sql.KEPT} SELECT roi, group_id, y, height, location FROM kept")
 def profile_filter(spark, sf):
     return profile.drop_outliers(views.groups(spark, sf))
 
 
-@query(rf"""WITH {EV}, l AS (SELECT roi, string_agg(text, '\n' ORDER BY seq) AS body, list({{'text': text, 'x': x, 'y': y}} ORDER BY seq) AS ls, CAST(roi % 100 AS INT) AS cy FROM ev GROUP BY roi),
-e AS (SELECT roi, 'Default' AS style, '' AS tags, body FROM l WHERE cy > 75 UNION ALL SELECT roi, 'Top', '{{\an8}}', body FROM l WHERE cy < 15 UNION ALL SELECT roi, 'Scene', '{{\an5\pos(' || u.x || ',' || u.y || ')}}', u.text FROM (SELECT roi, unnest(ls) AS u FROM l WHERE cy BETWEEN 15 AND 75)) SELECT * FROM e""")
+@query(rf"""WITH {sql.FRAMES}, cy AS (SELECT roi, frame, ls, (roi * 7 + frame) % 100 AS cy FROM f), lines AS (SELECT roi, frame, array_to_string(list_transform(ls, lambda l: l.text), ' ') AS txt FROM cy), {sql.language('txt', 'roi, frame')}
+SELECT roi, frame, 0 AS k, CASE WHEN cy < 15 THEN 'Top' WHEN language = 'EN' THEN 'Default' ELSE language END AS style, CASE WHEN cy < 15 THEN '{{\an8}}' ELSE '' END AS tags, array_to_string(list_transform(ls, lambda l: l.text), '\n') AS body FROM cy JOIN lang USING (roi, frame) WHERE cy > 75 OR cy < 15
+UNION ALL SELECT roi, frame, k - 1, 'Scene', '{{\an5\pos(' || CAST(trunc(ls[k].x) AS INT) || ',' || CAST(trunc(ls[k].y) AS INT) || ')}}', ls[k].text FROM cy, unnest(generate_series(1, len(ls))) AS u(k) WHERE cy BETWEEN 15 AND 75""")
 def style_position(spark, sf):
-    rows = views.observations(spark, sf).groupBy("roi").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "x", "y"))).alias("lines"))
-    return rows.select("roi", F.explode(profile.style(F.col("lines"), (F.col("roi") % 100).cast("int"), F.lit(100))).alias("e")).select("roi", "e.*")
+    rows = segment.frames(segment.readable(views.track(spark, sf)))
+    y = ((F.col("roi") * 7 + F.col("frame")) % 100).cast("int")
+    return rows.select("roi", "frame", F.posexplode(profile.style(F.col("lines"), y, F.lit(100))).alias("k", "e")).select("roi", "frame", "k", "e.*")
 
 
 TIME_SQL = "printf('%d:%02d:%02d.%02d', CAST(floor({s} / 3600) AS BIGINT), CAST(floor((floor({s}) % 3600) / 60) AS BIGINT), CAST(floor({s}) % 60 AS BIGINT), CAST({c} AS BIGINT))"
@@ -239,8 +224,6 @@ def ass_parse(spark, sf):
 
 @query(f"WITH {EV}, b AS (SELECT roi, seq, time_sec % 36000 AS s, time_sec % 36000 + 2 AS e, text FROM ev) SELECT seq, " + TIME_SQL.format(s="s", c="least(round_even((s - floor(s)) * 100, 0), 99)") + " AS start, 'Dialogue: 0,' || " + TIME_SQL.format(s="s", c="least(round_even((s - floor(s)) * 100, 0), 99)") + " || ',' || " + TIME_SQL.format(s="e", c="least(round_even((e - floor(e)) * 100, 0), 99)") + " || ',Default,,0,0,0,,' || text AS line FROM b")
 def ass_lines(spark, sf):
-    from glyphflow.sources import writers
-
     e = views.observations(spark, sf).select("seq", (F.col("time_sec") % 36000).alias("start_sec"), (F.col("time_sec") % 36000 + 2).alias("end_sec"), F.lit("Default").alias("style"), F.lit("").alias("tags"), F.col("text").alias("body"))
     return writers.event_lines(e).select("seq", "start", "line")
 
@@ -265,7 +248,7 @@ def metadata_score(spark, sf):
 
 def _prototype_sql() -> str:
     rows = [f"SELECT vec_id AS video_id, '{p}' AS preset, 0.7 * exp(-sqrt((" + " + ".join(f"((abs(CAST(embedding[{i + 1}] AS DOUBLE)) - {m}) / {max(d, 0.01)}) ** 2" for i, (m, d) in enumerate(cells)) + f") / {len(cells)})) AS score FROM embeddings" for p, cells in detect.PROTOTYPES.items()]
-    return "WITH s AS (" + " UNION ALL ".join(rows) + ") SELECT video_id, preset, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY video_id ORDER BY score DESC, preset) AS INT) AS rank FROM s"
+    return "WITH s AS (" + " UNION ALL ".join(rows) + ") SELECT video_id, preset, round(score, 6) AS score, CAST(row_number() OVER w AS INT) AS rank, row_number() OVER w BETWEEN 2 AND 4 AND score > 0.85 * first_value(score) OVER w AS near FROM s WINDOW w AS (PARTITION BY video_id ORDER BY score DESC, preset)"
 
 
 @query(_prototype_sql())
@@ -310,6 +293,215 @@ def crop_bounds(spark, sf):
     return views.table(spark, sf, "part").select("p_partkey", c.alias("c")).select("p_partkey", ((F.col("c.x2") - F.col("c.x1")) * (F.col("c.y2") - F.col("c.y1"))).alias("area"))
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.EVENTS} SELECT roi, island AS seq, start_sec, end_sec, start_time, end_time, style, tags, body FROM done")
 def subtitle_events(spark, sf):
-    return subtitles.events(views.observations(spark, sf))
+    return subtitles.events(views.track(spark, sf))
+
+
+@query(f"WITH RECURSIVE {sql.EVENTS} SELECT roi, island AS seq, start_time AS start, 'Dialogue: 0,' || start_time || ',' || end_time || ',' || style || ',,0,0,0,,' || tags || body AS line FROM done")
+def subtitle_file(spark, sf):
+    return subtitles.dialogue(views.track(spark, sf))
+
+
+@query(f"WITH {sql.BOXES}, c AS (SELECT grp, least(4, CAST(floor((x1 + x2) / 2.0 / 640 * 5) AS INT)) AS gx, least(4, CAST(floor((y1 + y2) / 2.0 / 360 * 5) AS INT)) AS gy, count(*) AS n FROM boxes GROUP BY 1, 2, 3), p AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p FROM c) SELECT grp, round(-sum(p * log2(p + 1e-10)) / log2(25), 6) AS entropy FROM p GROUP BY grp")
+def location_entropy(spark, sf):
+    e = detect.location_entropy(views.boxes(spark, sf), ["grp"], F.lit(640), F.lit(360))
+    return e.withColumn("entropy", F.round("entropy", 6))
+
+
+@query(f"WITH {sql.BOXES} SELECT key, round((y1 + y2) / 2.0 / 360, 6) AS rel_y, round((y2 - y1) / 360.0, 6) AS rel_height, x1 < 5 OR y1 < 5 OR x2 > 635 OR y2 > 355 AS edge, (y1 + y2) / 2.0 / 360 > 0.80 OR (y1 + y2) / 2.0 / 360 < 0.15 AS safe FROM boxes")
+def spatial_features(spark, sf):
+    f = classify.spatial_features(F.array("x1", "y1", "x2", "y2"), F.lit(640), F.lit(360))
+    return views.boxes(spark, sf).select("key", F.round(f["rel_y"], 6).alias("rel_y"), F.round(f["rel_height"], 6).alias("rel_height"), f["edge"].alias("edge"), f["safe"].alias("safe"))
+
+
+@query(f"WITH {sql.BOXES} SELECT grp, avg(x1) AS x1, avg(y1) AS y1, avg(x2) AS x2, avg(y2) AS y2 FROM boxes WHERE key % 97 < 9 GROUP BY grp")
+def mean_box(spark, sf):
+    own = views.boxes(spark, sf).where("key % 97 < 9").groupBy("grp").agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])).alias("b")).select("grp", profile.mean_box(F.col("b")).alias("m"))
+    return own.select("grp", *[F.get("m", F.lit(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@query(f"WITH {sql.FRAMES} SELECT roi, frame, {sql._MEDIAN} AS text_height, list_sum(list_transform(ls, lambda l: l.top + l.height / 2)) / len(ls) AS y FROM f")
+def frame_heights(spark, sf):
+    rows = segment.frames(segment.readable(views.track(spark, sf)))
+    return rows.select("roi", "frame", profile.text_height(F.col("lines")).alias("text_height"), profile.centre_y(F.col("lines")).alias("y"))
+
+
+@query(f"WITH {sql.FRAMES}, ft AS (SELECT roi, frame, trim(array_to_string(list_transform(ls, lambda l: l.text), '')) AS t FROM f), fp2 AS (SELECT *, lag(t) OVER (PARTITION BY roi ORDER BY frame) AS p FROM ft) SELECT roi, frame, t <> '' AND t = p AS same, t <> '' AS present FROM fp2 WHERE p IS NOT NULL")
+def same_text(spark, sf):
+    texts = F.transform(segment.by_top(F.col("lines")), lambda m: m["text"])
+    rows = segment.frames(segment.readable(views.track(spark, sf))).select("roi", "frame", texts.alias("t"))
+    p = rows.withColumn("p", F.lag("t").over(W.partitionBy("roi").orderBy("frame"))).where("p is not null")
+    return p.select("roi", "frame", segment.texts_equal(F.col("t"), F.col("p")).alias("same"), segment.text_present(F.col("t")).alias("present"))
+
+
+@query(f"WITH {sql.RATIOS} SELECT video_id, frame, bool_or(ratio >= 0.2) AS passed, greatest(max(ratio), 0.0) AS max_ratio FROM ratios GROUP BY 1, 2")
+def gate_frames(spark, sf):
+    return gate.frames_passing(views.ratios(spark, sf), 0.2)
+
+
+@query(f"WITH {sql.RATIOS}, f AS (SELECT video_id, frame, max(ratio) AS r FROM ratios GROUP BY 1, 2) SELECT video_id, count(*) FILTER (r >= 0.2) AS kept, count(*) AS sampled, count(*) FILTER (r >= 0.2) / count(*) AS keep_ratio, 977 AS planned, greatest(1, CAST(round_even(977 * (count(*) FILTER (r >= 0.2) / count(*)), 0) AS BIGINT)) AS estimated, count(*) FILTER (r >= 0.35) AS other FROM f GROUP BY 1")
+def gate_statistics(spark, sf):
+    seen = gate.frames_passing(views.ratios(spark, sf), 0.2)
+    planned = seen.select("video_id", F.lit(977).alias("planned")).distinct()
+    return gate.statistics(seen, planned).join(gate.recount(seen, 0.35).withColumnRenamed("kept", "other"), "video_id")
+
+
+@query(f"WITH {ROIS}, r AS (SELECT kind AS video_id, key % 40 AS n, least(s, e) AS s, greatest(s, e) AS e FROM rois), a AS (SELECT DISTINCT kind AS video_id, f AS frame FROM rois, (SELECT unnest(generate_series(0, 2500, 100)) AS f)) SELECT a.video_id, frame, coalesce(min(n) FILTER (frame BETWEEN s AND e), -1) AS position FROM a LEFT JOIN r USING (video_id) GROUP BY 1, 2")
+def calibration_region(spark, sf):
+    r = intervals.clamp(views.intervals(spark, sf), 1_000_000).select(F.col("kind").alias("video_id"), F.concat(F.lit("roi_"), F.col("key") % 40).alias("roi_id"), "start", "end")
+    at = r.select("video_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(2500), F.lit(100))))
+    return gate.calibration_region(r, at)
+
+
+def _keyword_sql(name: str) -> dict[str, str]:
+    return {k: f"{detect.HIT} * (" + " + ".join(f"CAST(contains(lower({name}), '{w.lower()}') AS INT)" for w in words) + ")" for k, words in detect.KEYWORDS.items()}
+
+
+def _name_sql(column: str) -> str:
+    return f"[{', '.join(f"'{n}'" for n in views.NAMES)}][CAST({column} % {len(views.NAMES)} + 1 AS INT)]"
+
+
+@query(f"SELECT vec_id AS video_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _keyword_sql(_name_sql("vec_id")).items()) + " FROM embeddings")
+def keyword_scores(spark, sf):
+    found = detect.keyword_scores(F.col("file_name"))
+    return views.videos(spark, sf).select("video_id", *[F.round(c, 6).alias(k) for k, c in found.items()])
+
+
+def _detect_sql() -> str:
+    fix = {"motion_intensity": (0.01, 0.1), "scene_cut_frequency": (0.0, 0.2), "static_ratio": (0.9, 0.3), "color_histogram_spread": (0.1, 0.5), "letterbox_ratio": (0.0, 0.2), "text_density": (0.0, 0.01), "multi_font_score": (0.0, 0.0)}
+    own = {f: f"abs(CAST(embedding[{i + 1}] AS DOUBLE))" for i, f in enumerate(detect.FEATURES)} | {"color_histogram_spread": "0.6"}
+    own = {f: f"CASE vec_id % 10 WHEN 3 THEN {fix[f][0]} WHEN 6 THEN {fix[f][1]} ELSE {v} END" if f in fix else v for f, v in own.items()}
+    v = f"v AS (SELECT vec_id AS video_id, {_name_sql('vec_id')} AS file_name, vec_id % 9 * 600 AS width, vec_id % 100 * 50.0 AS duration, CAST(0.9 AS DOUBLE) + vec_id % 14 * CAST(0.1 AS DOUBLE) AS aspect, 10.0 + vec_id % 20 AS fps, {', '.join(f'CAST({x} AS DOUBLE) AS {f}' for f, x in own.items())} FROM embeddings)"
+    when = lambda c, x: f"CASE WHEN {c} THEN {x} ELSE 0 END"
+    meta = {
+        "film_tv": [("width >= 3840", 0.15), ("duration > 3600", 0.10), ("aspect > 2.0", 0.25), ("fps BETWEEN 23.9 AND 24.1", 0.15)], "documentary": [("width >= 3840", 0.10)], "surveillance": [("width <= 720", 0.25), ("aspect > 1.3 AND aspect < 1.45", 0.15), ("fps < 15", 0.20)],
+        "live_stream": [("width <= 720", 0.05), ("aspect < 1.1", 0.20)], "conference": [("duration > 3600", 0.15)], "education": [("duration > 3600", 0.10), ("aspect > 1.3 AND aspect < 1.45", 0.10)], "short_video": [("duration < 60", 0.25), ("duration >= 60 AND duration < 300", 0.10), ("aspect < 1.1", 0.30)], "news": [("duration >= 60 AND duration < 300", 0.05)], "anime": [("fps BETWEEN 23.9 AND 24.1", 0.10)],
+    }
+    names = _keyword_sql("file_name")
+    rows = []
+    for at, (p, cells) in enumerate(detect.PROTOTYPES.items()):
+        near = f"exp(-sqrt(({' + '.join(f'(({f} - {m}) / {max(d, 0.01)}) ** 2' for f, (m, d) in zip(detect.FEATURES, cells))}) / {len(cells)}))"
+        rows.append(f"SELECT video_id, '{p}' AS preset, {at} AS o, 0.7 * {near} + 0.3 * ({' + '.join([*[when(c, x) for c, x in meta.get(p, [])], names[p]])}) AS score FROM v")
+    strong = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(file_name), '{w}')" for w in words)} THEN {{'p': '{p}', 'c': CAST({c} AS DOUBLE)}}" for words, p, c in detect.STRONG) + " END"
+    rule = """CASE WHEN motion_intensity < 0.02 AND scene_cut_frequency < 0.02 AND static_ratio > 0.80 AND color_histogram_spread < 0.25 THEN {'p': 'surveillance', 'c': 0.90::DOUBLE}
+WHEN multi_font_score > 0.65 AND scene_cut_frequency > 0.25 AND color_histogram_spread > 0.50 THEN {'p': 'variety_show', 'c': 0.85::DOUBLE}
+WHEN motion_intensity > 0.20 AND scene_cut_frequency < 0.10 AND letterbox_ratio < 0.02 AND static_ratio < 0.15 THEN {'p': 'gameplay', 'c': 0.82::DOUBLE}
+WHEN text_density > 0.10 AND static_ratio > 0.50 AND motion_intensity > 0.02 AND motion_intensity < 0.12 THEN {'p': 'education', 'c': 0.82::DOUBLE}
+WHEN letterbox_ratio > 0.03 AND aspect > 1.7 AND motion_intensity > 0.05 AND motion_intensity < 0.30 THEN {'p': 'film_tv', 'c': 0.85::DOUBLE}
+WHEN static_ratio < 0.12 AND scene_cut_frequency < 0.05 AND fps >= 25 AND text_location_entropy > 0.40 THEN {'p': 'live_stream', 'c': 0.80::DOUBLE} END"""
+    return f"""WITH {v}, s AS ({' UNION ALL '.join(rows)}), k AS (SELECT video_id, list({{'p': preset, 's': score}} ORDER BY score DESC, o) AS ps FROM s GROUP BY video_id),
+n AS (SELECT video_id, {strong} AS n, {rule} AS r FROM v), m AS (SELECT video_id, ps, CASE WHEN n.c >= 0.90 THEN n END AS n, CASE WHEN r.c >= 0.85 THEN r END AS r FROM n JOIN k USING (video_id))
+SELECT video_id, coalesce(n.p, r.p, ps[1].p) AS preset, round(coalesce(n.c, r.c, ps[1].s), 6) AS confidence, CASE WHEN n IS NOT NULL THEN 'name' WHEN r IS NOT NULL THEN 'rule' ELSE 'prototype' END AS layer,
+CASE WHEN n IS NOT NULL THEN '' WHEN r IS NOT NULL THEN CASE r.p WHEN 'surveillance' THEN 'conference' WHEN 'variety_show' THEN 'short_video' ELSE 'documentary' END ELSE array_to_string(list_transform(list_filter(ps[2:4], lambda x: x.s > ps[1].s * 0.85), lambda x: x.p), ',') END AS alternatives FROM m"""
+
+
+@query(_detect_sql())
+def video_detect(spark, sf):
+    return detect.detect(views.videos(spark, sf)).withColumns({"confidence": F.round("confidence", 6), "alternatives": F.array_join("alternatives", ",")})
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey * 7 % 30000 + 1 AS n, o_custkey % 5000 AS a, o_custkey % 5000 + 100 AS b FROM orders), w AS (SELECT *, greatest(1, CAST(floor(n * CAST(0.05 AS DOUBLE)) AS BIGINT)) AS h, CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS t FROM v),
+l AS (SELECT o_orderkey, CASE WHEN n <= 300 THEN range(0, n, greatest(1, n // 20)) ELSE list_sort(list_distinct(list_concat([0, h // 2, h, t, t + (n - t) // 2, n - 1, a, (a + b) // 2, b], CASE WHEN t > h THEN range(h, t, greatest(1, (t - h) // greatest(15, least(20, n // 500)))) ELSE [] END)))[1:30] END AS fs FROM w) SELECT o_orderkey, array_to_string(fs, ',') AS frames FROM l""")
+def sample_list(spark, sf):
+    o = views.table(spark, sf, "orders")
+    roi = F.array(F.struct((F.col("o_custkey") % 5000).alias("start"), (F.col("o_custkey") % 5000 + 100).alias("end")))
+    return o.select("o_orderkey", F.array_join(detect.sample_list(F.col("o_orderkey") * 7 % 30000 + 1, roi), ",").alias("frames"))
+
+
+VISUAL_SQL = "WITH f AS (SELECT p_partkey, p_size % 2 = 0 AS a, p_size % 3 = 0 AS b, p_size % 5 = 0 AS c, p_size / 50.0 AS d, p_partkey % 10 / 10.0 AS e, p_partkey % 7 / 10.0 AS g, p_partkey % 11 / 20.0 AS h FROM part) SELECT p_partkey, round(CAST(greatest(-1.0, least(1.0, CASE WHEN a THEN 0.35 ELSE 0 END + CASE WHEN b THEN 0.25 ELSE 0 END + CASE WHEN c THEN 0.3 ELSE 0 END + CASE WHEN d > 0.7 THEN 0.2 ELSE 0 END - CASE WHEN e > 0.3 THEN 0.4 ELSE 0 END - CASE WHEN g < 0.3 THEN 0.2 ELSE 0 END - CASE WHEN h > 0.4 THEN 0.15 ELSE 0 END)) AS DOUBLE), 6) AS visual, round(CAST(greatest(-1.0, least(1.0, CASE WHEN d * 50 > 1 AND d * 50 < 8 THEN 0.3 ELSE 0 END - CASE WHEN d * 50 > 30 THEN 0.4 ELSE 0 END + CASE WHEN a THEN 0.2 ELSE 0 END + CASE WHEN g < 0.3 THEN 0.3 ELSE 0 END + CASE WHEN c THEN 0.2 ELSE 0 END)) AS DOUBLE), 6) AS temporal FROM f"
+
+
+@query(VISUAL_SQL)
+def layer_scores(spark, sf):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    visual = classify.visual_score(s % 2 == 0, s % 3 == 0, s % 5 == 0, s / 50, k % 10 / 10, k % 7 / 10, k % 11 / 20)
+    temporal = classify.temporal_score(s, s % 2 == 0, k % 7 / 10, s % 5 == 0)
+    return views.table(spark, sf, "part").select("p_partkey", F.round(visual, 6).alias("visual"), F.round(temporal, 6).alias("temporal"))
+
+
+@query("WITH t AS (SELECT o_orderkey, o_totalprice / 7 AS s, (o_orderkey % 100) || ':' || (o_orderkey % 60) || ':' || (o_orderkey % 59) || ',' || (o_orderkey % 1000) AS a, (o_orderkey % 60) || ':' || (o_orderkey % 59) || '.' || (o_orderkey % 10) AS b FROM orders) SELECT o_orderkey, printf('%02d:%02d:%02d.%03d', CAST(floor(s / 3600) AS BIGINT), CAST(floor((floor(s) % 3600) / 60) AS BIGINT), CAST(floor(s) % 60 AS BIGINT), CAST(floor((s - floor(s)) * 1000) AS BIGINT)) AS shown, o_orderkey % 100 * 3600.0::DOUBLE + o_orderkey % 60 * 60 + (o_orderkey % 59 + o_orderkey % 1000 / 1000.0::DOUBLE) AS three, o_orderkey % 60 * 60.0::DOUBLE + (o_orderkey % 59 + o_orderkey % 10 / 1000.0::DOUBLE) AS two, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE CAST(trunc((o_orderkey % 24 * 3600.0::DOUBLE + o_orderkey % 60 * 60.0 + o_orderkey % 59 + o_orderkey % 1000 / 1000.0::DOUBLE) * 23.976::DOUBLE) AS BIGINT) END AS frame FROM t")
+def clock_texts(spark, sf):
+    k = F.col("o_orderkey")
+    three = F.concat(k % 100, F.lit(":"), k % 60, F.lit(":"), k % 59, F.lit(","), k % 1000)
+    spoken = F.concat(k % 24, F.lit(":"), k % 60, F.lit(":"), k % 59, F.lit("."), k % 1000)
+    two = F.concat(k % 60, F.lit(":"), k % 59, F.lit("."), k % 10)
+    frame = timefmt.frame_number(F.when(k % 3 == 0, k), spoken, 23.976)
+    return views.table(spark, sf, "orders").select("o_orderkey", timefmt.clock(F.col("o_totalprice") / 7).alias("shown"), timefmt.from_clock(three).alias("three"), timefmt.from_clock(two).alias("two"), frame.alias("frame"))
+
+
+@query(f"WITH {ROIS}, g AS (SELECT key, least(s, e) * CAST(0.01 AS DOUBLE) AS a, greatest(s, e) * CAST(0.01 AS DOUBLE) AS b FROM rois WHERE s <> e), t AS (SELECT key, CASE WHEN b - CAST(0.03 AS DOUBLE) <= a + CAST(0.03 AS DOUBLE) THEN [(a + b) / 2] ELSE list_transform([0, 1, 2], lambda i: a + CAST(0.03 AS DOUBLE) + ((b - CAST(0.03 AS DOUBLE)) - (a + CAST(0.03 AS DOUBLE))) * i / 2) END AS ts FROM g) SELECT key, round(unnest(ts), 6) AS time_sec FROM t")
+def segment_times(spark, sf):
+    r = intervals.clamp(views.intervals(spark, sf), 1_000_000)
+    s = r.select("key", (F.col("start") * 0.01).alias("start_sec"), (F.col("end") * 0.01).alias("end_sec"))
+    return readers.segment_times(s, 3).select("key", F.round("time_sec", 6).alias("time_sec"))
+
+
+def _raw(spark, sf):
+    """Raw results of an engine for each order: a line for each of its items."""
+    li = views.table(spark, sf, "lineitem")
+    x, y = F.col("l_partkey") % 300 + 0.75, F.col("l_suppkey") % 200 + 0.25
+    poly = F.array(F.array(x, y), F.array(x + F.col("l_quantity"), y), F.array(x + F.col("l_quantity"), y + 9.5), F.array(x, y + 9.5))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", poly.alias("poly"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.when(F.col("l_linenumber") % 4 == 3, 0.0).otherwise(F.col("l_discount") * 10).alias("score"))
+
+
+def _record_rows(raw: DataFrame, rule: str) -> DataFrame:
+    r = raw.select("l_orderkey", engines.normalised(F.col("raw"), rule).alias("r")).select("l_orderkey", "r.*")
+    z = r.select("l_orderkey", F.posexplode(F.arrays_zip("rec_texts", "rec_scores", "rec_boxes", "rec_polys")).alias("line_idx", "z"))
+    return z.select("l_orderkey", "line_idx", F.col("z.rec_texts").alias("text"), F.round("z.rec_scores", 6).alias("score"), F.array_join(F.col("z.rec_boxes").cast("array<string>"), ",").alias("box"), F.size("z.rec_polys").alias("corners"))
+
+
+ENGINE_SQL = "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 300 + 0.75 AS x, l_suppkey % 200 + 0.25 AS y, l_quantity AS w, l_returnflag || l_linestatus AS text, CASE WHEN l_linenumber % 4 = 3 THEN 0.0 ELSE l_discount * 10 END AS score FROM lineitem) SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, w) - 1 AS INT) AS line_idx, text, round(CAST({score} AS DOUBLE), 6) AS score, CAST(trunc(x) AS INT) || ',' || CAST(trunc(y) AS INT) || ',' || CAST(trunc(x + w) AS INT) || ',' || CAST(trunc(y + 9.5) AS INT) AS box, 4 AS corners FROM r {where}"
+
+
+@query(ENGINE_SQL.format(score="CASE WHEN l_linenumber = 2 THEN 1.0 ELSE score END", where=""))
+def engine_triples(spark, sf):
+    parts = F.when(F.col("l_linenumber") == 2, F.concat_ws(",", F.to_json("poly"), F.to_json(F.array("text")).substr(F.lit(2), F.length("text") + 2))).otherwise(F.concat_ws(",", F.to_json("poly"), F.concat(F.lit('"'), "text", F.lit('"')), F.col("score").cast("string")))
+    raw = _raw(spark, sf).withColumn("item", F.concat(F.lit("["), parts, F.lit("]"))).groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "item"))), lambda m: m["item"]), ","), F.lit("]")).alias("raw"))
+    return _record_rows(raw, "triple")
+
+
+@query(ENGINE_SQL.format(score="score", where=""))
+def engine_documents(spark, sf):
+    """Odd orders give a document of parallel arrays (scores longer than the rest), even ones give lines."""
+    own = _raw(spark, sf).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "poly", "text", "score"))).alias("m"))
+    get = lambda k: F.transform("m", lambda x: x[k])
+    boxes = F.transform("m", lambda x: F.array(x["poly"][0][0], x["poly"][0][1], x["poly"][2][0], x["poly"][2][1]))
+    doc = F.to_json(F.array(F.struct(get("text").alias("rec_texts"), F.concat(get("score"), F.array(F.lit(0.5))).alias("rec_scores"), get("poly").alias("rec_polys"), boxes.alias("rec_boxes"))))
+    line = F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: F.concat(F.lit("["), F.to_json(x["poly"]), F.lit(',["'), x["text"], F.lit('",'), x["score"].cast("string"), F.lit("]]"))), ","), F.lit("]"))
+    return _record_rows(own.select("l_orderkey", F.when(F.col("l_orderkey") % 2 == 1, doc).otherwise(line).alias("raw")), "document")
+
+
+@query("WITH m AS (" + ENGINE_SQL.format(score="score", where="WHERE l_linenumber % 5 <> 4") + ") SELECT * FROM m")
+def engine_mixed(spark, sf):
+    """Lines as objects with flat boxes of 4 or 8 numbers, or as triples; every fifth is blank and goes."""
+    c = lambda i, j: F.get(F.get("poly", F.lit(i)), F.lit(j)).cast("string")
+    text = F.when(F.col("l_linenumber") % 5 == 4, F.lit(" ")).otherwise(F.col("text"))
+    four, eight = F.concat_ws(",", c(0, 0), c(0, 1), c(2, 0), c(2, 1)), F.concat_ws(",", *[c(i, j) for i in range(4) for j in range(2)])
+    obj = F.concat(F.lit('{"text":"'), text, F.lit('","'), F.when(F.col("l_linenumber") % 2 == 0, "confidence").otherwise("score"), F.lit('":'), F.col("score").cast("string"), F.lit(',"box":['), F.when(F.col("l_linenumber") % 2 == 0, four).otherwise(eight), F.lit("]}"))
+    item = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("["), F.to_json("poly"), F.lit(',"'), text, F.lit('",'), F.col("score").cast("string"), F.lit("]"))).otherwise(obj)
+    raw = _raw(spark, sf).withColumn("item", item).groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "item"))), lambda m: m["item"]), ","), F.lit("]")).alias("raw"))
+    return _record_rows(raw, "mixed")
+
+
+@query("WITH v AS (SELECT vec_id, ['film_tv', 'news', 'surveillance', 'nothing'][CAST(vec_id % 4 + 1 AS INT)] AS preset FROM embeddings) SELECT vec_id, preset, CASE preset WHEN 'film_tv' THEN false WHEN 'news' THEN true WHEN 'surveillance' THEN true END AS keep_scene, CASE preset WHEN 'film_tv' THEN 0.15 WHEN 'news' THEN 0.0 WHEN 'surveillance' THEN -0.25 END::DOUBLE AS bias FROM v")
+def preset_lookup(spark, sf):
+    v = views.table(spark, sf, "embeddings").select("vec_id", F.element_at(F.array(*map(F.lit, ("film_tv", "news", "surveillance", "nothing"))), (F.col("vec_id") % 4 + 1).cast("int")).alias("preset"))
+    return classify.with_preset(v).select("vec_id", "preset", "keep_scene", "bias")
+
+
+@query("SELECT c_custkey, md5('/videos/' || c_name || '.mp4') AS key FROM customer")
+def settings_key(spark, sf):
+    c = views.table(spark, sf, "customer")
+    return c.select("c_custkey", writers.settings_key(F.concat(F.lit("/videos/"), F.col("c_name"), F.lit(".mp4"))).alias("key"))
+
+
+@query("WITH r AS (SELECT l_orderkey AS frame_num, 'roi_' || (l_linenumber - 1) AS roi_id, l_linenumber <> 3 AS text, l_quantity AS q, l_linenumber AS n FROM lineitem), o AS (SELECT *, CASE n WHEN 1 THEN -5 WHEN 2 THEN 4 WHEN 3 THEN 0 WHEN 5 THEN 0 END AS dx, CASE n WHEN 1 THEN 7 WHEN 2 THEN 9 WHEN 3 THEN 0 WHEN 5 THEN 0 END AS dy FROM r) SELECT frame_num, roi_id, CASE WHEN text THEN q + dx ELSE q END AS x1, CASE WHEN text THEN q * 2 + dy ELSE q * 2 END AS y1, CAST(CASE WHEN text THEN 1 + dx ELSE 1.0 END AS DOUBLE) AS px FROM o WHERE NOT text OR dx IS NOT NULL")
+def record_restore(spark, sf):
+    """Rectangles, polygons, whole frames and regions without an offset; the third line of an order is without text."""
+    q = F.col("l_quantity")
+    r = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame_num"), F.concat(F.lit("roi_"), F.col("l_linenumber") - 1).alias("roi_id"), F.when(F.col("l_linenumber") != 3, F.array(F.lit("t"))).otherwise(F.expr("cast(array() as array<string>)")).alias("rec_texts"), F.array(F.array(q, q * 2, q * 3, q * 4)).alias("rec_boxes"), F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)))).alias("dt_polys"), F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)))).alias("rec_polys"))
+    offsets = [("roi_0", "rect", "[-5,7,9,9]", False), ("roi_1", "poly", "[[9,11],[4,12],[6,9]]", False), ("roi_2", "rect", "[1,1,1,1]", False), ("roi_3", "poly", "[[1,1]]", False), ("roi_4", "rect", None, True), ("roi_5", "odd", "[1,2,3,4]", None)]
+    back = readers.restored(r, spark.createDataFrame(offsets, "roi_id string, type string, points string, full_frame boolean"))
+    first = lambda c, *at: functools.reduce(lambda x, k: F.get(x, F.lit(k)), at, F.col(c))
+    return back.select("frame_num", "roi_id", first("rec_boxes", 0, 0).alias("x1"), first("rec_boxes", 0, 1).alias("y1"), first("dt_polys", 0, 0, 0).alias("px"))

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.functions import timefmt
 from glyphflow.operators import merge, profile, segment
 from glyphflow.sources import writers
 
 
+def raw_events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFrame:
+    """roi, seq, start_sec, end_sec, start_time, end_time, style, tags, body: before noise goes and neighbours merge.
+
+    Groups that don't fit the profile of their roi are left out. A group without any positive time is timed by its
+    frames, whose hundredths are cut off; others by seconds, whose hundredths are rounded.
+    """
+    groups = segment.groups(segment.frames(segment.readable(lines)))
+    y = profile.centre_y(F.col("lines"))
+    placed = groups.withColumns({"group_id": F.col("start_frame"), "y": y, "location": profile.location(y, F.lit(height)), "height": profile.text_height(F.col("lines"))})
+    kept = profile.drop_outliers(placed)
+    spoken = F.col("start_sec").isNotNull()
+    end = F.when(spoken, F.col("last_sec") + F.coalesce("step", F.lit(1.0 / fps if fps > 0 else 0.04))).otherwise((F.col("end_frame") + 1) / fps)
+    start = F.when(spoken, F.col("start_sec")).otherwise(F.col("start_frame") / fps)
+    text = lambda sec, frame: F.when(spoken, timefmt.from_seconds(sec)).otherwise(timefmt.from_frame(frame, fps))
+    rows = kept.select("roi", "start_frame", start.alias("start_sec"), end.alias("end_sec"), text(start, F.col("start_frame")).alias("start_time"), text(end, F.col("end_frame") + 1).alias("end_time"), F.posexplode(profile.style(F.col("lines"), F.col("y"), F.lit(height))).alias("k", "e"))
+    return rows.select("roi", (F.col("start_frame") * 1000 + F.col("k")).alias("seq"), "start_sec", "end_sec", "start_time", "end_time", "e.style", "e.tags", "e.body")
+
+
 def events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFrame:
-    """roi, seq, start_sec, end_sec, style, tags, body: from lines (roi, seq, frame, time_sec, text, score, x, y)."""
-    framed = segment.frames(segment.readable(lines))
-    groups = segment.segments(framed)
-    inside = framed.join(groups, "roi").where(F.col("frame").between(F.col("start_frame"), F.col("end_frame")))
-    times = profile.end_times(inside, ["roi", "group_id"], fps)
-    heads = framed.withColumnRenamed("frame", "start_frame").join(groups, ["roi", "start_frame"])
-    y = F.aggregate("lines", F.lit(0.0), lambda s, m: s + m["y"]) / F.size("lines")
-    placed = heads.join(times, ["roi", "group_id"]).select("roi", "group_id", "start_sec", "end_sec", F.posexplode(profile.style(F.col("lines"), y, F.lit(height))).alias("k", "e"))
-    rows = placed.select("roi", (F.col("group_id") * 1000 + F.col("k")).alias("seq"), "start_sec", "end_sec", "e.style", "e.tags", "e.body")
-    return merge.merge_neighbours(merge.drop_noise(rows)).withColumnRenamed("island", "seq").drop("n")
+    """roi, seq, start_sec, end_sec, style, tags, body: from lines (roi, seq, frame, time_sec, text, score, x, y; top, height)."""
+    return merge.merge_neighbours(merge.drop_noise(raw_events(lines, height, fps))).withColumnRenamed("island", "seq").drop("n")
 
 
 def dialogue(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFrame:
-    e = events(lines, height, fps)
-    out = writers.event_lines(e.withColumn("seq", F.col("roi") * 100000 + F.col("seq")))
-    return out.select("seq", "start", "line")
+    """roi, seq, start, line: the lines of a subtitle file."""
+    return writers.event_lines(events(lines, height, fps))

@@ -30,21 +30,64 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("roi"), F.col("event_id").alias("seq"), frame.alias("frame"), seconds("ts").alias("time_sec"), F.col("event_type").alias("text"), F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), (k % 30).alias("x"), (k % 7).alias("y"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, line."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+#: Characters of a line that other scripts stand in for, so that lines of all scripts occur.
+SCRIPTS = {1: "的一是不了", 2: "あいカタナ", 3: "аеиоу", 4: "가나다라마"}
 
 
-def subtitles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """roi, seq, start_sec, end_sec, style, tags, body: turns as events, two seconds each, with breaks as marks.
+def lines(spark: SparkSession, sf_dir: str, scripted: bool = False) -> DataFrame:
+    """doc_id, line_no, line: lines of documents; with ``scripted``, four of five have the vowels of another script."""
+    d = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    rows = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    if not scripted:
+        return rows
+    kind, line = (F.col("doc_id") + F.col("line_no")) % 5, F.col("line")
+    for k, letters in SCRIPTS.items():
+        line = F.when(kind == k, F.translate("line", "aeiou", letters)).otherwise(line)
+    return rows.withColumn("line", line)
 
-    Bodies are the whole texts, or without ``whole`` their first 40 characters, as the SQL of the queries has them.
+
+def track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """roi, seq, frame, time_sec, text, score, x, y, top, height: one track for each user, two lines a frame.
+
+    A text stays for some frames, now and then misread; the line that comes second stands above; frames are missing
+    every so often; tracks lie at the bottom, at the top or between, one of four has no times, some lines are too tall.
     """
-    c = table(spark, sf_dir, "conversations")
-    body = F.replace(F.col("text") if whole else F.substring("text", 1, 40), F.lit("\n"), F.lit("\\n"))
-    start = F.col("turn") * 2.5
-    return c.select(F.col("conv_id").alias("roi"), F.col("turn").alias("seq"), start.cast("double").alias("start_sec"), (start + 2.0).cast("double").alias("end_sec"), F.lit("Default").alias("style"), F.lit("").alias("tags"), body.alias("body"))
+    e = table(spark, sf_dir, "events")
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    e = e.select(F.col("user_id").alias("roi"), F.col("event_id").alias("seq"), "value", n.alias("n"))
+    pair, part = F.floor(F.col("n") / 2), F.col("n") % 2
+    frame = pair + 3 * F.floor(pair / 9) + 1
+    spell = F.floor(pair / 6)
+    said = F.concat(F.when(part == 0, F.lit("Line ")).otherwise(F.lit("and then ")), (spell - spell % 2 + F.col("roi") % 7).cast("string"), F.when(F.col("roi") % 6 == 5, F.lit(" 中文字幕")).otherwise(F.lit(" goes on.")))
+    text = F.when(F.col("n") % 11 == 0, F.replace(said, F.lit("n"), F.lit("m"))).otherwise(said)
+    base = F.element_at(F.array(F.lit(85), F.lit(4), F.lit(50)), (F.col("roi") % 3 + 1).cast("int"))
+    off = F.when((F.col("roi") % 8 == 1) & (spell % 5 == 4), F.lit(-40)).otherwise(F.lit(0))
+    top = (base + off + 6 * (1 - part)).cast("double")
+    height = F.when(spell % 7 == 6, 12.0).when(F.col("roi") % 10 == 9, 0.0).otherwise(5.0)
+    time = F.when(F.col("roi") % 4 == 3, 0.0).otherwise(frame * 0.04)
+    score = F.when(F.col("value") > 99, 0.5).otherwise(0.9)
+    return e.select("roi", "seq", frame.cast("long").alias("frame"), time.alias("time_sec"), text.alias("text"), score.alias("score"), (40.0 + F.col("n") % 5).alias("x"), (top + 2.5).alias("y"), top.alias("top"), height.alias("height"))
+
+
+def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """roi, seq, start_sec, end_sec, style, tags, body: each turn as three events, whole texts, with breaks as marks.
+
+    The second has other spaces, the third lacks its first character. Conversations stand at the bottom or, one in
+    three, as scenes that move a little; in one of five, turns lie further apart.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit("\\n")).alias("body"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    start = F.col("turn") * F.when(F.col("conv_id") % 5 == 4, 12.5).otherwise(7.5) + F.col("k") * 2.503
+    body = F.when(F.col("k") == 1, F.replace("body", F.lit(" "), F.lit("  "))).when(F.col("k") == 2, F.substring("body", 2, 2**31 - 1)).otherwise(F.col("body"))
+    scene = F.col("conv_id") % 3 == 0
+    tags = F.when(scene, F.format_string(r"{\an5\pos(%d,%d)}", F.col("turn") % 5 * 9 + F.col("k"), 200 + F.col("k") * 11)).otherwise("")
+    return c.select(F.col("conv_id").alias("roi"), (F.col("turn") * 3 + F.col("k")).cast("long").alias("seq"), start.cast("double").alias("start_sec"), (start + 2.0).cast("double").alias("end_sec"), F.when(scene, "Scene").otherwise("Default").alias("style"), tags.alias("tags"), body.alias("body"))
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events closer together, so that scenes follow each other at once."""
+    e = subtitles(spark, sf_dir)
+    start = F.col("start_sec") * 0.85
+    return e.withColumns({"start_sec": start, "end_sec": start + 2.0})
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,3 +112,34 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("video_id"), *[F.abs(F.get("embedding", F.lit(i)).cast("double")).alias(f) for i, f in enumerate(FEATURES)])
+
+
+#: Names of videos, in turn: some settle the matter, some hold keywords, some nothing.
+NAMES = ("cam01_yard.mp4", "zoom_call.mkv", "Show.S01E01.1080p.mkv", "holiday.mov", "BOSS战.mp4", "news_live.mp4", "第3集 字幕组.mkv", "reel_9.mp4", "lecture 4.avi")
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, file_name, width, duration_sec, aspect_ratio, fps and features: of one in ten, those of surveillance, of
+    one in ten, those of films."""
+    from glyphflow.operators.detect import FEATURES
+
+    v, k = features(spark, sf_dir).withColumn("color_histogram_spread", F.lit(0.6)), F.col("video_id")
+    still, film = k % 10 == 3, k % 10 == 6
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (k % len(NAMES) + 1).cast("int"))
+    fix = {"motion_intensity": (0.01, 0.1), "scene_cut_frequency": (0.0, 0.2), "static_ratio": (0.9, 0.3), "color_histogram_spread": (0.1, 0.5), "letterbox_ratio": (0.0, 0.2), "text_density": (0.0, 0.01), "multi_font_score": (0.0, 0.0)}
+    v = v.withColumns({c: F.when(still, a).when(film, b).otherwise(F.col(c)) for c, (a, b) in fix.items()})
+    return v.select(k, name.alias("file_name"), (k % 9 * 600).cast("int").alias("width"), (k % 100 * 50.0).alias("duration_sec"), (0.9 + k % 14 * 0.1).alias("aspect_ratio"), (10.0 + k % 20).alias("fps"), *FEATURES, "color_histogram_spread")
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grp, key, x1, y1, x2, y2: order lines as boxes in a frame of 640 x 360."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y = (F.col("l_partkey") % 640).cast("int"), (F.col("l_suppkey") * 7 % 360).cast("int")
+    w, h = F.col("l_quantity").cast("int") * 2, F.col("l_quantity").cast("int") % 12
+    return li.select((F.col("l_orderkey") % 50).alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+
+
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, frame, roi_id, ratio: order lines as the shares of colour of regions in frames."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_suppkey") % 20).cast("string").alias("video_id"), F.col("l_orderkey").alias("frame"), F.concat(F.lit("roi_"), F.col("l_linenumber")).alias("roi_id"), (F.col("l_discount") * F.col("l_quantity") / 10).alias("ratio"))

@@ -25,18 +25,72 @@ def dialogue(start: Column, end: Column, style: Column, tags: Column, body: Colu
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    """start, seq, line: from (seq, start_sec, end_sec, style, tags, body). Files order them by the text of start, then seq."""
-    start, end = timefmt.from_seconds(F.col("start_sec")), timefmt.from_seconds(F.col("end_sec"))
-    return events.select(start.alias("start"), "seq", dialogue(start, end, F.col("style"), F.col("tags"), F.col("body")).alias("line"))
+    """roi, seq, start, line: from (roi, seq, start_sec, end_sec, style, tags, body) and, where there are, start_time and end_time."""
+    text = lambda c: F.col(f"{c}_time") if f"{c}_time" in events.columns else timefmt.from_seconds(F.col(f"{c}_sec"))
+    roi = ["roi"] if "roi" in events.columns else []
+    return events.select(*roi, "seq", text("start").alias("start"), dialogue(text("start"), text("end"), F.col("style"), F.col("tags"), F.col("body")).alias("line"))
 
 
 def write_subtitles(events: DataFrame, path: str, head: str, numeric: bool = False) -> None:
-    """A folder with one UTF-8 text file: header, then events by text of start (by seconds if ``numeric``). A single file is a single task."""
-    lines = event_lines(events) if not numeric else event_lines(events.orderBy("start_sec"))
-    body = lines.repartition(1).sortWithinPartitions("start", "seq").select("line")
-    top = events.sparkSession.createDataFrame([("﻿" + head.rstrip("\n"),)], "line string")
-    top.coalesce(1).union(body).coalesce(1).write.mode("overwrite").text(path)
+    """A folder with one UTF-8 text file: header, then events by text of start (by seconds if ``numeric``), then roi and seq.
 
+    A subtitle file is one file of one video, so a single task writes it; without events it holds the header alone.
+    """
+    lines = event_lines(events).withColumn("_at", timefmt.to_seconds(F.col("start")) if numeric else F.col("start"))
+    order = ["_at", *[c for c in ("roi", "seq") if c in lines.columns]]
+    spark = events.sparkSession
+    first = spark.createDataFrame([(0, "\ufeff" + head.rstrip("\n"))], "part int, line string")
+    rest = lines.select(F.lit(1).alias("part"), "line", *order)
+    both = first.unionByName(rest, allowMissingColumns=True).repartition(1).sortWithinPartitions("part", *order)
+    both.select("line").write.mode("overwrite").text(path)
 
-def write_records(restored: DataFrame, path: str) -> None:
-    restored.write.mode("overwrite").partitionBy("roi_id").json(path)
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Recognised or restored frames as JSON, a folder for each roi."""
+    records.write.mode("overwrite").partitionBy("roi_id").json(path)
+
+
+def write_images(crops: DataFrame, path: str) -> None:
+    """Crops (roi_id, frame_num, h, w, image) as Parquet, a folder for each roi."""
+    crops.write.mode("overwrite").partitionBy("roi_id").parquet(path)
+
+
+def region_json(regions: DataFrame) -> str:
+    """The regions of one video as a JSON array in order of their position; ids aren't kept, they are positions."""
+    import json
+
+    rows = regions.withColumn("_at", F.regexp_extract("roi_id", r"(\d+)$", 1).cast("int")).orderBy("_at").drop("_at", "roi_id").toJSON().collect()  # as many as a person draws
+    items = [json.loads(r) for r in rows]
+    for r in items:
+        if isinstance(r.get("points"), str):
+            r["points"] = json.loads(r["points"])
+    return json.dumps(items, ensure_ascii=False, indent=4)
+
+
+def save_regions(regions: DataFrame, path: str) -> None:
+    """Writes ``region_json`` to a file that others never see half written: a new name, then a rename."""
+    spark = regions.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(path + ".part")
+    fs = target.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+    out = fs.create(part, True)
+    try:
+        out.write(region_json(regions).encode())
+        out.hsync()
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} can't be written")
+
+
+def settings_key(path: Column) -> Column:
+    """The key under which settings of a video are kept."""
+    return F.md5(path)
+
+
+def save_settings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """key, name, value: settings with those of ``new`` in place; a null value takes a setting away."""
+    kept = old.join(new.select("key", "name"), ["key", "name"], "left_anti")
+    return kept.unionByName(new.where("value is not null"))

@@ -26,6 +26,48 @@ def tumbling(stream: DataFrame, width: str = "10 seconds", late: str = "30 secon
     return timed.groupBy(F.window(time_col, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def flushed(stream: DataFrame, width: float, fps: float = 25.0, late: str = "0 seconds") -> DataFrame:
+    """roi, slice, n, first_frame, last_frame: of a stream (roi, frame, time_sec, and ts to close the last slices by).
+
+    The buffer of a roi is a row of state; when its slice changes the old one goes out. A slice that no later one
+    follows goes out when the watermark of ts passes its last row, so the end of the input flushes what is left.
+    """
+    import pandas as pd
+
+    kind = dict(stream.dtypes)["roi"]
+    timed = stream.withColumn("slice", bucket(F.col("time_sec"), F.col("frame"), fps, width)).withWatermark("ts", late)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        names = ["roi", "slice", "n", "first_frame", "last_frame"]
+        if state.hasTimedOut:
+            held = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], *held)], columns=names)
+            return
+        held, out, last = state.get if state.exists else None, [], 0
+        rows = pd.concat(batches).sort_values("frame", kind="stable")
+        for r in rows.itertuples():
+            if held and held[0] != r.slice:
+                out.append((key[0], *held))
+                held = None
+            held = (int(r.slice), 1, int(r.frame), int(r.frame)) if not held else (held[0], held[1] + 1, held[2], int(r.frame))
+            last = max(last, int(r.ts.timestamp() * 1000))
+        state.update(held)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=names)
+
+    return timed.groupBy("roi").applyInPandasWithState(step, f"roi {kind}, slice long, n long, first_frame long, last_frame long", "slice long, n long, first_frame long, last_frame long", "append", "EventTimeTimeout")
+
+
+def ended(query, stop) -> bool:
+    """Waits for a streaming query, and stops it as soon as ``stop()`` holds; whether it came to its own end."""
+    while not query.awaitTermination(0.2):
+        if stop():
+            query.stop()
+            return False
+    return True
+
+
 def last_known(stream: DataFrame, key: str = "user_id", value: str = "event_type") -> DataFrame:
     """key, n, last: rows seen and the last value of each key, kept as state between micro-batches."""
     import pandas as pd

@@ -12,5 +12,6 @@ def test_against_sql(spark, tiny, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["seq", "start", "line"]
+    entry = __spark_entry__.entry(spark)
+    assert entry.columns == ["roi", "seq", "start", "line"] and entry.count() > 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
