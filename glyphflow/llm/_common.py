@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    On a cluster this is ``spark.checkpoint.dir``. Only where that setting is absent (tests, a laptop) a
-    temporary folder of this machine is used.
+    On a cluster this is ``spark.checkpoint.dir``, and without that setting an error is raised. Only in local mode
+    (tests, a laptop), where one process does everything, a temporary folder of this machine stands in.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="glyphflow-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -46,7 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing reads it any more."""
     for df in tables:
-        path = getattr(df, "_stored_at", None)
+        path = getattr(df, "_stored_at", None) if df is not None else None
         if path:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)

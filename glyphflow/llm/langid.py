@@ -4,7 +4,7 @@ Text: log likelihoods of character n-grams of 1 to 3 under a model for each lang
 ``WEIGHT`` n-grams, since n-grams of one text aren't independent. Markup and address: how often a declared language,
 or a language code in the address (first path part, or top-level domain), goes with each language that texts show,
 counted over all rows. Host: shares of languages on the host, smoothed towards those of its domain, and these
-towards those of the whole table; a row's own vote is left out. The posterior is their normalised product.
+towards those of the whole table. A row's own vote is left out of every count. The posterior is their normalised product.
 
 Models are fitted on at most ``MAX_TRAIN`` distinct labelled texts (the lowest hashes). All counts come from grouped
 aggregation over all rows.
@@ -22,6 +22,7 @@ from glyphflow.llm._common import bounded_sample, stored
 from glyphflow.llm._html import language_of, text_of
 
 MAX_TRAIN, BITS, WEIGHT = 4000, 16, 60
+TEXT = 1000.0  # n-grams that a training text counts for, however long it is
 HOST_STRENGTH, DOMAIN_STRENGTH = 20.0, 50.0
 
 
@@ -48,7 +49,8 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text", lan
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = counts.setdefault(lang, np.zeros(1 << BITS))
-                own += np.minimum(np.bincount(_grams(text), minlength=1 << BITS), 50)
+                grams = _grams(text)
+                own += np.bincount(grams, minlength=1 << BITS) * (TEXT / len(grams))
         names = sorted(counts)
         shares = [np.log((counts[k] + 0.1) / (counts[k].sum() + 0.1 * (1 << BITS))).astype(np.float32).tobytes() for k in names]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.binary())], names=["lang", "shares"])
@@ -97,14 +99,12 @@ def _evidence(rows: DataFrame, model, html: bool) -> DataFrame:
     return rows.mapInArrow(run, "id long, h long, host string, declared string, code string, ll array<double>")
 
 
-def _log_table(rows: DataFrame, column: str, n: int) -> Column:
-    """A map from each value of ``column`` (few: languages and "other") to log P(value | language), counted over all rows."""
+def _counted(rows: DataFrame, column: str, n: int) -> tuple[Column, list[float], int]:
+    """(a map from each value of ``column`` to its votes by language, votes by language, values), over all rows. Values
+    are few: languages and "other"."""
     found = {r[0]: list(r[1:]) for r in rows.where(F.col(column).isNotNull() & (F.col("vote") >= 0)).groupBy(column).agg(*[F.sum((F.col("vote") == i).cast("double")).alias(f"v{i}") for i in range(n)]).collect()}
-    total = [sum(v[i] for v in found.values()) for i in range(n)]
-    import math
-
-    cells = [x for value, v in found.items() for x in (F.lit(value), F.array(*[F.lit(math.log((v[i] + 1.0) / (total[i] + len(found) + 1.0))) for i in range(n)]))]
-    return F.create_map(*cells) if cells else F.expr("cast(map() as map<string,array<double>>)")
+    cells = [x for value, v in found.items() for x in (F.lit(value), F.array(*map(F.lit, v)))]
+    return F.create_map(*cells) if cells else F.expr("cast(map() as map<string,array<double>>)"), [sum(v[i] for v in found.values()) for i in range(n)], len(found)
 
 
 def identify(rows: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", url_col: str | None = None, host_col: str | None = None, html: bool = False, least: float = 0.5) -> DataFrame:
@@ -123,7 +123,7 @@ def identify(rows: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     if not n:
         return plain.select("id", "h", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.lit(None).cast("string").alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.lit(True).alias("rejected"))
     seen = stored(_evidence(plain, model, html).withColumn("vote", F.when(F.col("ll").isNotNull(), F.array_position("ll", F.array_max("ll")).cast("int") - 1).otherwise(F.lit(-1))), "evidence")
-    by_markup, by_code = _log_table(seen, "declared", n), _log_table(seen, "code", n)
+    by_markup, by_code = _counted(seen, "declared", n), _counted(seen, "code", n)
     votes = [F.sum((F.col("vote") == i).cast("double")).alias(f"v{i}") for i in range(n)]
     adds = lambda p: F.array(*[F.col(f"{p}{i}") for i in range(n)])
     hosts = seen.groupBy("host").agg(*votes).withColumn("domain", F.substring_index("host", ".", -2))
@@ -131,7 +131,8 @@ def identify(rows: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     whole = hosts.agg(*[F.sum(f"v{i}") for i in range(n)]).first()
     whole = [(x or 0.0) + 1.0 for x in whole]
     shares = F.array(*[F.lit(x / sum(whole)) for x in whole])
-    near = hosts.join(domains, "domain").select("host", adds("v").alias("on_host"), adds("d").alias("on_domain"))
+    # a table of its own, so that the join can split a hot host
+    near = stored(hosts.join(domains, "domain").select("host", adds("v").alias("on_host"), adds("d").alias("on_domain")), "hosts")
     met = seen.join(near, "host")
     less = lambda c: F.transform(c, lambda x, i: x - (F.col("vote") == i).cast("double"))  # noqa: E731  its own vote
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -139,7 +140,14 @@ def identify(rows: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     met = met.withColumn("prior", F.zip_with("on_domain", shares, lambda c, g: (c + DOMAIN_STRENGTH * g) / (total(F.col("on_domain")) + DOMAIN_STRENGTH)))
     met = met.withColumn("prior", F.zip_with("on_host", "prior", lambda c, d: (c + HOST_STRENGTH * d) / (total(F.col("on_host")) + HOST_STRENGTH)))
     zero = F.array(*[F.lit(0.0)] * n)
-    part = lambda m, c: F.coalesce(F.try_element_at(m, F.col(c)), zero) if m is not None else zero
+
+    def part(counted: tuple[Column, list[float], int], c: str) -> Column:
+        """log P(value | language), from all other rows."""
+        by, total, values = counted
+        own = lambda i: (F.col("vote") == i).cast("double")
+        share = lambda x, i: F.log((x - own(i) + 1.0) / (F.get(F.array(*map(F.lit, total)), i) - own(i) + values + 1.0))
+        return F.coalesce(F.transform(F.try_element_at(by, F.col(c)), share), zero)
+
     met = met.withColumn("p", F.zip_with(F.zip_with("ll", F.transform("prior", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(part(by_markup, "declared"), part(by_code, "code"), lambda a, b: a + b), lambda a, b: a + b))
     met = met.withColumn("p", F.transform("p", lambda x: F.exp(x - F.array_max("p"))))
     names = F.array(*map(F.lit, langs))

@@ -311,7 +311,7 @@ def components(links: DataFrame) -> DataFrame:
     if names is None:
         return links.select(F.col("a").alias("rep"), F.col("b").alias("label"))
     discard(links)
-    least = names.groupBy("at").agg(F.min("rep").alias("label"))
+    least = stored(names.groupBy("at").agg(F.min("rep").alias("label")), "least")
     return _merge(names, least, "at").select("rep", "label")
 
 
@@ -397,15 +397,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     tables = [sizes, rows]
 
     # each set against the first likely leader of its nodes; what is verified is its label
-    star = _first_leaders(rows, classes, share)
+    first = stored(_first_leaders(rows, classes, share), "first")
+    crowd = stored(first.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "crowds")
     block = F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("size") / STAR).cast("int"))
-    star = stored(_merge(star, star.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader").select("leader", "rep", F.xxhash64("leader", block).alias("cluster")), "leaders")
+    star = stored(_merge(first, crowd, "leader").select("leader", "rep", F.xxhash64("leader", block).alias("cluster")), "leaders")
     both = star.select("cluster", "rep").union(star.select("cluster", F.col("leader").alias("rep")).distinct())
     stars = stored(_links(_merge(both, classes.select("rep", "n"), "rep").select("cluster", "rep", F.col("rep").alias("label"), "n"), docs, width, share), "stars")
     labels = stored(_labelled(stars), "labels")
 
     groups, crowds, left, depth = [], [], None, 0
-    tables += [star, stars, labels]
+    tables += [first, crowd, star, stars, labels]
     rows = _merge(rows, labels, "rep", "left").select("node", "tree", "rep", F.coalesce("label", "rep").alias("label"))
     while True:
         # the most frequent label of each node, and how many sets lie outside it
@@ -436,8 +437,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         for more in crowds[1:]:
             crowd = crowd.union(more)
         # nodes of all trees with one main label are one crowd, whose few meet all of it once
-        crowd = crowd.select("main", "rep", "label", (F.col("label") != F.col("main")).alias("few")).distinct()
-        sizes = crowd.groupBy("main").agg(F.count(F.lit(1)).alias("size"), F.count_if("few").alias("others"))
+        crowd = stored(crowd.select("main", "rep", "label", (F.col("label") != F.col("main")).alias("few")).distinct(), "crowd")
+        sizes = stored(crowd.groupBy("main").agg(F.count(F.lit(1)).alias("size"), F.count_if("few").alias("others")), "sizes")
+        tables += [crowd, sizes]
         deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.ceil(F.col(n) / CROWD)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / CROWD) - 1).cast("int")))
         crowd = _merge(crowd, sizes, "main")

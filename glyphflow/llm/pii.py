@@ -1,11 +1,14 @@
-"""Personal data: fixed patterns as seeds, and contexts that Spark learns from them.
-
-Four kinds of identifiers have patterns of their own (``KINDS``). Their matches seed a bootstrap: a *candidate* is a
-run of identifier characters with a digit, its *contexts* are the word before it and the word after it, each with
-the candidate's make-up (which classes of characters, how long). Contexts and candidates form a bipartite graph. In
-each round a context is believed by the share of its distinct candidates that are known, if enough are; a candidate
-becomes known if the contexts that vouch for it leave little doubt (noisy or). What becomes known and isn't part of
-a fixed match is reported as kind ``id``.
+"""Personal data: fixed patterns and assignments as seeds, and contexts that Spark learns from them.
+
+Four kinds of identifiers have patterns of their own (``KINDS``). Their matches seed a bootstrap, as whole spans. So do
+long tokens of letters and digits that something is assigned to (``ASSIGNED``: a key, = or :, maybe a quote), as far
+as their surroundings turn out to be a pattern. A *candidate* is a run of identifier characters with a digit; its
+*contexts* are the last one to three words before it and the first one or two after it (what stands between spaces,
+whole), each with the candidate's make-up (which classes of characters, how long), and those of two words and more
+before it also without. Contexts and candidates form a bipartite graph. In each round a context is believed by the
+share of its distinct candidates that are known, if enough are; a candidate becomes known if the contexts that vouch
+for it leave little doubt (noisy or). Rounds go on until nothing becomes known any more. What contexts vouch for and
+isn't part of a fixed match is reported as kind ``id``; an assigned token that stands alone isn't.
 
 Everything is DataFrame functions. Positions come from splitting a text at the same pattern that extracts the
 matches: a match starts where the pieces and matches before it end. The patterns are possessive and anchored to
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import stored
+from glyphflow.llm._common import discard, stored
 
 #: Kinds in their order, with patterns.
 KINDS = {
@@ -28,6 +31,10 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATE = r"(?<![A-Za-z0-9._%+@/#-])[A-Za-z._%+@/#-]*+[0-9][A-Za-z0-9._%+@/#-]*+"
+#: What stands before a value that is assigned: the last words, joined by single spaces.
+ASSIGNED = r"(?:^|[\s{,;(\[])[\"']?[A-Za-z_][A-Za-z0-9_.-]*[\"']? ?[:=] ?[\"']?$"
+SECRET = 16  # characters of an assigned token from which it is a seed
+LEFT, RIGHT = (2, 3, 4), (1, 2)  # pieces between spaces; the one next to the candidate counts, empty or not
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -98,34 +105,57 @@ def _named(kind: str):
     return lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, h, start, end, inst, contexts, seed: from rows (doc_id, h, text, base)."""
-    rows = docs.where(F.col("text").rlike("[0-9]")).select("doc_id", "h", "base", F.explode(matches(F.col("text"), CANDIDATE)).alias("m"))
-    s = F.regexp_replace("m.s", "[._%+@/#-]+$", "")
+def _placed(rows: DataFrame, found: Column, seed: Column) -> DataFrame:
+    """doc_id, h, start, end, inst, contexts, seed (base or assigned, else null): a row for each of ``found`` (matches)."""
+    m = rows.select("doc_id", "h", "base", F.explode(found).alias("m")).withColumn("s", F.regexp_replace("m.s", "[._%+@/#-]+$", "")).where(F.length("s") >= 5)
+    s = F.col("s")
     classes = F.concat(*[F.when(s.rlike(p), F.lit(c)).otherwise(F.lit("")) for c, p in (("9", "[0-9]"), ("a", "[a-z]"), ("A", "[A-Z]"), (".", r"\."), ("@", "@"), ("-", "-"), ("/", "/"), ("_", "_"))])
     make = F.concat_ws("~", classes, F.floor(F.log2(F.length(s).cast("double"))).cast("string"))
-    left = F.lower(F.regexp_extract(F.substring("m.before", -80, 80), r"([^\s]{1,40})[\s\"']*$", 1))
-    right = F.lower(F.regexp_extract(F.substring("m.after", 1, 80), r"^[._%+@/#\s\"'-]*([^\s]{1,40})", 1))
-    end = F.col("m.start") + F.length(s)
-    seed = F.exists("base", lambda b: (b["start"] < end) & (F.col("m.start") < b["end"]))
-    return rows.where(F.length(s) >= 5).select("doc_id", "h", F.col("m.start").alias("start"), end.alias("end"), F.xxhash64(s).alias("inst"), F.array(F.xxhash64(F.lit("L"), left, make), F.xxhash64(F.lit("R"), right, make)).alias("contexts"), F.array(left != "", right != "").alias("real"), seed.alias("seed"))
-
-
-def discover(found: DataFrame, rounds: int = 3, min_known: int = 3, min_share: float = 0.7, min_belief: float = 0.9) -> DataFrame:
-    """inst of candidates that become known beside the seeds, from rows of ``_candidates``."""
-    graph = found.select("inst", F.explode(F.arrays_zip("contexts", "real")).alias("c")).where("c.real").select("inst", F.col("c.contexts").alias("context")).distinct()
-    seeds = found.where("seed").select("inst").distinct().withColumn("known", F.lit(True))
-    known = seeds
+    before, after = F.split(F.lower("m.before"), r"\s+", -1), F.split(F.lower(F.concat(F.substr("m.s", F.length(s) + 1), F.col("m.after"))), r"\s+", -1)
+    m = m.select("doc_id", "h", "base", F.col("m.start").alias("start"), (F.col("m.start") + F.length(s)).alias("end"), "s", make.alias("make"), F.slice(before, F.greatest(F.size(before) - max(LEFT) + 1, F.lit(1)), max(LEFT)).alias("l"), F.slice(after, 1, max(RIGHT)).alias("r"))
+    last = lambda k: F.array_join(F.slice("l", F.greatest(F.size("l") - k + 1, F.lit(1)), k), " ")
+    first = lambda k: F.array_join(F.slice("r", 1, k), " ")
+    words = lambda t: F.size(F.filter(F.split(t, " "), lambda w: w != ""))
+    told = [F.when(last(k) != "", F.xxhash64(F.lit("L"), last(k), "make")) for k in LEFT] + [F.when(F.trim(first(k)) != "", F.xxhash64(F.lit("R"), first(k), "make")) for k in RIGHT]
+    told += [F.when(words(last(k)) >= 2, F.xxhash64(F.lit("W"), last(k))) for k in LEFT[1:]]
+    contexts = F.array_distinct(F.filter(F.array(*told), lambda c: c.isNotNull()))
+    return m.select("doc_id", "h", "start", "end", F.xxhash64("s").alias("inst"), contexts.alias("contexts"), seed.alias("seed"))
+
+
+def _candidates(docs: DataFrame) -> DataFrame:
+    """What ``_placed`` gives for the base spans and the candidates beside them of rows (doc_id, h, text, base)."""
+    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    secret = (F.length("s") >= SECRET) & F.col("s").rlike("[A-Za-z]") & F.array_join("l", " ").rlike(ASSIGNED)
+    own = _placed(docs.where(F.col("text").rlike("[0-9]")), matches(F.col("text"), CANDIDATE), F.when(inside, "within").when(secret, "assigned")).where("seed is null or seed <> 'within'")
+    kinds = F.concat(*[F.filter(matches(F.col("text"), pattern), _keeps(kind)) for kind, pattern in KINDS.items()])
+    return _placed(docs.where(F.size("base") > 0), kinds, F.lit("base")).union(own)
+
+
+def discover(found: DataFrame, rounds: int = 50, min_known: int = 4, min_share: float = 0.7, min_belief: float = 0.9) -> DataFrame:
+    """inst of candidates that contexts vouch for, beside the base seeds, from rows of ``_candidates``.
+
+    What is known only grows, so rounds end; ``rounds`` bounds them all the same.
+    """
+    graph = stored(found.select("inst", F.explode("contexts").alias("context")).distinct(), "graph")
+    base = found.where("seed = 'base'").select("inst").distinct()
+    known = stored(found.where("seed is not null").select("inst").distinct().withColumn("known", F.lit(True)), "known")
+    n, told = known.count(), None
     for _ in range(rounds):
         marked = graph.join(known, "inst", "left")
         believed = marked.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k")).where((F.col("k") >= min_known) & (F.col("k") >= min_share * F.col("n")))
         belief = believed.select("context", F.log(1 - F.least(F.col("k") / F.col("n"), F.lit(0.99)) * (1 - F.pow(F.lit(2.0), -F.col("k")))).alias("doubt"))
-        told = graph.join(belief, "context").groupBy("inst").agg(F.sum("doubt").alias("doubt")).where(F.col("doubt") <= F.log(F.lit(1 - min_belief)))
-        known = seeds.union(told.select("inst", F.lit(True).alias("known"))).distinct()
-    return known.join(seeds.select("inst"), "inst", "left_anti").select("inst")
-
-
-def find(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        new = stored(graph.join(belief, "context").groupBy("inst").agg(F.min("doubt").alias("doubt")).where(F.col("doubt") <= F.log(F.lit(1 - min_belief))).select("inst"), "told")
+        more = stored(known.select("inst").union(new).distinct().withColumn("known", F.lit(True)), "known")
+        discard(known, told)
+        known, told, was = more, new, n
+        n = known.count()
+        if n == was:
+            break
+    discard(known)
+    return told.join(base, "inst", "left_anti")
+
+
+def find(docs: DataFrame, rounds: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, spans: one row per row of ``docs``; arrays of (kind, start, end) in code points, end exclusive.
 
     ``base`` holds the fixed matches by kind (in the order of KINDS) and start; ``spans`` goes on with those of kind
@@ -134,7 +164,7 @@ def find(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text", base_spans(F.col("text")).alias("base"))
     found = stored(_candidates(rows), "candidates")
-    fresh = found.where(~F.col("seed")).join(discover(found, rounds), "inst").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more"))
+    fresh = found.where("seed is null or seed <> 'base'").join(discover(found, rounds), "inst").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more"))
     out = rows.select("doc_id", "h", "base").alias("a").join(fresh.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left")
     return out.select("a.doc_id", "base", F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPAN})"))).alias("spans"))
 
@@ -155,13 +185,13 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(by_start, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))).otherwise(text)
 
 
-def redact(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, rounds: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span masked in the text; columns, rows and texts without spans stay as they are."""
     text = F.col(text_col).cast("string")
     plain = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("_base", base_spans(F.coalesce(text, F.lit(""))))
     rows = plain.select(F.col(id_col).alias("doc_id"), F.col("_h").alias("h"), F.coalesce(text, F.lit("")).alias("text"), F.col("_base").alias("base"))
     found = stored(_candidates(rows), "candidates")
-    fresh = found.where(~F.col("seed")).join(discover(found, rounds), "inst").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).agg(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end")).alias("_more"))
+    fresh = found.where("seed is null or seed <> 'base'").join(discover(found, rounds), "inst").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).agg(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end")).alias("_more"))
     # only texts with digits can have spans that a context found, so the others needn't meet them
     with_digits = F.coalesce(text.rlike("[0-9]"), F.lit(False))
     met = plain.where(with_digits).join(fresh, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")

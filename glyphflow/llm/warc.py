@@ -1,7 +1,8 @@
 """WARC derivatives: linked metadata and plain-text conversion records from responses.
 
-``responses`` makes response records of pages; ``parse`` reads records from WARC bytes (plain, or a gzip member for
-each record) and ``write_record`` gives their bytes. ``derive`` turns every response into a metadata record (title,
+``responses`` makes response records of pages; ``read_files`` reads WARC files record by record, ``parse`` records from
+bytes (plain, or a gzip member for each record), and ``write_record`` gives their bytes. What isn't a record, or is cut
+short, becomes a record of type ``bad`` with the reason as its content type, and reading goes on after it. ``derive`` turns every response into a metadata record (title,
 language, character set, links) and a conversion record (plain text). Both refer to the response by its id and keep
 its target, date and HTTP status line, content type and payload digest. Records are rows; nothing is shuffled.
 """
@@ -11,8 +12,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
+import itertools
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -102,45 +105,97 @@ def write_record(r: dict) -> bytes:
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + (r["block"] or b"") + b"\r\n\r\n", mtime=0)
 
 
+MARK = b"WARC/1."
+_STATUS = re.compile(rb"HTTP/[0-9.]+ +([^\r\n]*)")
+
+
+def _record(head: bytes, block: bytes, length: int | None) -> dict:
+    """A row by NAMES from the lines between MARK and the empty line, and the block."""
+    back, r = {h.lower(): k for k, h in _HEADERS.items()}, dict.fromkeys(NAMES)
+    for line in head.split(b"\n")[1:]:
+        k, _, v = line.decode("utf-8", "replace").partition(":")
+        k, v = k.strip().lower(), v.strip()
+        if k == "x-page-id":
+            r["page_id"] = int(v) if re.fullmatch(r"-?[0-9]{1,18}", v) else None
+        elif k in back:
+            r[back[k]] = v
+    r["content_length"], r["block"] = length, block
+    if r["type"] == "response" and r["http_status"] is None:
+        said = _STATUS.match(block)
+        r["http_status"] = said[1].decode("latin-1").strip() if said else None
+        lines = block.partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")[1:]
+        r["source_content_type"] = next((h.partition(":")[2].strip() for h in lines if h.lower().startswith("content-type:")), None)
+    return r
+
+
+def _bad(why: str, piece: bytes) -> dict:
+    return dict.fromkeys(NAMES) | {"type": "bad", "content_type": why, "content_length": len(piece), "block": piece}
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records of what stands between marks, in order. A block that holds the mark itself is put together again."""
+    held, head, length = b"", b"", None  # of a record whose block isn't complete
+    for piece in pieces:
+        if length is not None:
+            held += MARK + piece
+        else:
+            if not piece.strip():
+                continue
+            head, empty, held = piece.partition(b"\r\n\r\n")
+            said = re.search(rb"\ncontent-length:[ \t]*([^\r\n]*)", head, re.I)
+            if not empty or not re.match(rb"[0-9]\r?\n", head):
+                yield _bad("not a record", piece)
+                continue
+            if said is None or not re.fullmatch(rb"[0-9]{1,18}", said[1].strip()):
+                yield _bad("no length", piece)
+                continue
+            length = int(said[1])
+        if len(held) >= length:
+            yield _record(head, held[:length], length)
+            length = None
+    if length is not None:
+        yield _bad("cut short", MARK + head + b"\r\n\r\n" + held)
+
+
+def _inflated(data: bytes) -> bytes:
+    """Gzip members one after another, as far as they can be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, as rows by NAMES. Ends at what isn't a record."""
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    back = {h.lower(): k for k, h in _HEADERS.items()}
-    while line := f.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            return
-        r = dict.fromkeys(NAMES)
-        while (line := f.readline()).strip():
-            k, _, v = line.decode("utf-8", "replace").partition(":")
-            k, v = k.strip().lower(), v.strip()
-            if k == "x-page-id":
-                r["page_id"] = int(v)
-            elif k in back:
-                r[back[k]] = v
-        r["content_length"] = int(r["content_length"] or 0)
-        r["block"] = f.read(r["content_length"])
-        if r["type"] == "response" and r["http_status"] is None:
-            head = r["block"].partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")
-            r["http_status"] = head[0].partition(" ")[2]
-            r["source_content_type"] = next((h.partition(":")[2].strip() for h in head[1:] if h.lower().startswith("content-type:")), None)
-        yield r
+    """Records of a WARC file, as rows by NAMES."""
+    return _records(iter((_inflated(data) if data[:2] == b"\x1f\x8b" else data).split(MARK)))
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """Records of the WARC files at ``path``, each file read by one task."""
+    """Records of the WARC files at ``path``, compressed or not, of any size: a task holds a record at a time.
+
+    Files are read as lines that end at the mark of a record. A compressed file that breaks off gives what could be
+    read of it; a record that is cut short there or at the end of a file is bad.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = []
-                for r in parse(data):
-                    rows.append(tuple(r[k] for k in NAMES))
-                    if len(rows) == 128:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+        def pieces(rows: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
+            return (p for _, p in rows)
+
+        rows = ((f.as_py(), p.as_py()) for batch in batches for f, p in zip(batch.column(0), batch.column(1)))
+        out = []
+        for _, own in itertools.groupby(rows, key=lambda r: r[0]):
+            for r in _records(pieces(own)):
+                out.append(tuple(r[k] for k in NAMES))
+                if len(out) == 64:
+                    yield _batch(out)
+                    out = []
+        if out:
+            yield _batch(out)
+
+    lines = spark.read.option("ignoreCorruptFiles", True).text(path, lineSep=MARK.decode())
+    return lines.select(F.input_file_name(), F.col("value").cast("binary")).mapInArrow(run, SCHEMA)
