@@ -2,16 +2,18 @@
 
 A conversation of several parties gives one dialogue for every participant: that speaker's turns are the
 assistant's, other speakers are users with their names, system turns stay. The mask says which characters are to be
-learnt: the assistant's words and the end token after them. Everything is DataFrame functions. A conversation is
-cut at multiples of ``SEGMENT`` turns, so that no group grows without bound.
+learnt: the assistant's words and the end token after them. Everything is DataFrame functions. A conversation of more
+than ``SEGMENT`` turns is rendered in parts, so that no row grows without bound; each part opens with the system turn in
+force, the last one before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-SEGMENT = 512
+SEGMENT = 4096
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -21,12 +23,17 @@ def rotate(turns: DataFrame, segment: int = SEGMENT, conv_col: str = "conv_id",
     Turns go by turn, then role, then text; repeated rows are turns of their own. A null role is "unknown", a null
     text is empty, a null turn comes first in segment -1, a null conv_id is a conversation like others. "<|" within
     a text becomes "< |", so no text can forge a token. Names keep letters, digits, _ and -; other characters become
-    _. A conversation of system turns only has no participant and no row; other columns are ignored.
+    _. A conversation of system turns only has no participant and no row; other columns are ignored. The system turn
+    that a later segment opens with isn't counted in n_turns.
     """
     role = F.coalesce(F.col(role_col), F.lit("unknown"))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.coalesce(F.floor(F.col(turn_col) / segment), F.lit(-1)).cast("long").alias("segment"), F.col(turn_col).alias("turn"), role.alias("role"), F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
     speakers = rows.where("role <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
-    dialogues = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body"))).alias("turns"))
+    said = F.max(F.when(F.col("role") == "system", F.struct("turn", "body")))["body"]
+    dialogues = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body"))).alias("own"), said.alias("said"))
+    before = F.last("said", ignorenulls=True).over(W.partitionBy("conv_id").orderBy("segment").rowsBetween(W.unboundedPreceding, -1))
+    opened = F.when(F.col("before").isNotNull(), F.concat(F.array(F.struct(F.get("own", F.lit(0))["turn"].alias("turn"), F.lit("system").alias("role"), F.col("before").alias("body"))), "own")).otherwise(F.col("own"))
+    dialogues = dialogues.withColumn("before", before).select("conv_id", "segment", F.size("own").cast("long").alias("n_turns"), opened.alias("turns"))
     seen = dialogues.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
 
     def shown(t: Column) -> Column:
@@ -43,4 +50,4 @@ def rotate(turns: DataFrame, segment: int = SEGMENT, conv_col: str = "conv_id",
         return F.struct((end + 1).alias("at"), F.when(p["own"], F.concat(acc["mask"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["mask"]).alias("mask"))
 
     text = F.array_join(F.transform("shown", lambda p: F.concat(p["head"], p["tail"], F.lit("\n"))), "")
-    return seen.select("conv_id", "segment", "speaker", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), F.aggregate("shown", empty, step, lambda acc: acc["mask"]).alias("mask"))
+    return seen.select("conv_id", "segment", "speaker", "n_turns", text.alias("text"), F.aggregate("shown", empty, step, lambda acc: acc["mask"]).alias("mask"))

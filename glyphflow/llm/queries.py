@@ -41,11 +41,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH m AS (SELECT conv_id, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+WITH m AS (SELECT conv_id, coalesce(CAST(floor(turn / 4096) AS BIGINT), -1) AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 p AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM m WHERE role <> 'system'),
-r AS (SELECT conv_id, segment, speaker, turn, role, body, role = speaker AS own, '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS head, body || '<|im_end|>' AS tail FROM m JOIN p ON conv_id IS NOT DISTINCT FROM c),
-o AS (SELECT *, sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS FIRST, role, body ROWS UNBOUNDED PRECEDING) - length(tail) - 1 AS s FROM r)
-SELECT conv_id, segment, speaker, count(*) AS n_turns, string_agg(head || tail || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS text, coalesce(string_agg(CASE WHEN own THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + length(tail) AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role, body), '') AS mask
+s AS (SELECT conv_id, segment, max({'t': turn, 'b': body}) FILTER (role = 'system').b AS said FROM m GROUP BY 1, 2),
+b AS (SELECT conv_id, segment, last_value(said IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS body FROM s),
+a AS (SELECT *, 1 AS own_turn FROM m UNION ALL SELECT conv_id, segment, NULL, 'system', body, 0 FROM b WHERE body IS NOT NULL),
+r AS (SELECT conv_id, segment, speaker, turn, own_turn, role, body, role = speaker AS own, '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS head, body || '<|im_end|>' AS tail FROM a JOIN p ON conv_id IS NOT DISTINCT FROM c),
+o AS (SELECT *, sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, segment, speaker ORDER BY own_turn, turn NULLS FIRST, role, body ROWS UNBOUNDED PRECEDING) - length(tail) - 1 AS s FROM r)
+SELECT conv_id, segment, speaker, CAST(sum(own_turn) AS BIGINT) AS n_turns, string_agg(head || tail || chr(10), '' ORDER BY own_turn, turn NULLS FIRST, role, body) AS text, coalesce(string_agg(CASE WHEN own THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + length(tail) AS BIGINT) AS VARCHAR) END, ',' ORDER BY own_turn, turn NULLS FIRST, role, body), '') AS mask
 FROM o GROUP BY conv_id, segment, speaker
 """
 

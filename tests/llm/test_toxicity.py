@@ -49,3 +49,32 @@ def test_odd_rows(spark):
     got = toxicity.score(docs, model).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_scores_against_brute_force(spark):
+    """Ratios, weights and scores of a small table, with dense matrices over the n-grams of each text."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)] + ["vile", "scum"]
+    texts = [" ".join(rng.choice(words[:30], 12)) + (" " + str(rng.choice(words[30:])) if i % 3 == 0 else "") for i in range(60)]
+    toxic = [int(i % 3 == 0) for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, "scum of w1"), (101, None), (102, "w3 w4")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))).collect()}
+    sets, y = brute(texts), np.array(toxic, float)
+    names = sorted({b for s in sets for b in s})
+    x = np.array([[b in s for b in names] for s in map(set, sets)], float)
+    held, bad = x.sum(axis=0), x[y == 1].sum(axis=0)
+    r = np.log((1 + bad) / (y.sum() + 2)) - np.log((1 + held - bad) / ((1 - y).sum() + 2))
+    r = np.where((held >= 4) & (np.abs(r) >= 0.7), r, 0)
+    f, w, b = x * r, np.zeros(len(names)), np.log(y.mean() / (1 - y.mean()))
+    state = np.zeros((4, len(names) + 1))
+    for t in range(1, 301):
+        err = (1 / (1 + np.exp(-(f @ w + b))) - y) / len(y)
+        g = np.append(f.T @ err + 5e-4 * w, err.sum())
+        state[0], state[1] = 0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g
+        step = 0.02 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.999**t)) + 1e-8)
+        w, b = w - np.where(r != 0, step[:-1], 0), b - step[-1]
+    for doc, text in [*enumerate(texts), (100, "scum of w1"), (101, None), (102, "w3 w4")]:
+        own = set(brute([text])[0])
+        z = b + sum(wi * ri for n, wi, ri in zip(names, w, r) if n in own)
+        assert abs(got[doc] - 1 / (1 + np.exp(-z))) < 1e-3, (doc, got[doc])
+    assert got[100] > 0.5 > got[102]
