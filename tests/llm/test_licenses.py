@@ -44,3 +44,44 @@ def test_odd_rows_and_templates(spark):
 def test_query(spark, tiny):
     df = queries.op6_licenses(spark, tiny)
     assert df.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] and df.count() == 200
+
+
+def aligned(words, index):
+    """(labels, best score): every template held against every start, pair by pair, without an index."""
+    labels, best = set(), 0.0
+    for t in licenses.TEMPLATES:
+        own, phrases = licenses._words(t.text), [licenses._words(p) for p in t.phrases]
+        if not all(any(words[i : i + len(p)] == p for i in range(len(words) - len(p) + 1)) for p in phrases):
+            continue
+        pairs = list(zip(own, own[1:]))
+        for start in range(-len(own), len(words)):
+            held = words[max(0, start) : max(0, start + len(own) + 3)]
+            if all(any(held[i : i + len(p)] == p for i in range(len(held) - len(p) + 1)) for p in phrases):
+                left, n = list(zip(held, held[1:])), 0
+                for x in pairs:
+                    if x in left:
+                        left.remove(x)
+                        n += 1
+                if n / max(1, len(pairs)) >= 0.6:
+                    labels.add(t.label)
+                    best = max(best, n / max(1, len(pairs)))
+    return labels, best
+
+
+def test_places_against_brute_force():
+    """Whole notices in prose, as comments, with words that differ, and only in part: what alignment finds, places find."""
+    index = licenses.Index(licenses.TEMPLATES, 1000, {w: 500 for w in (b"the", b"of", b"and", b"this", b"or", b"to")})
+    whole = [t for t in licenses.TEMPLATES if len(licenses._words(t.text)) > 25]
+    for k, t in enumerate(whole):
+        words = t.text.split()
+        noted = "\n * ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+        cases = [f"Copyright 2020 A. Author\n * {noted}\n */ int main() {{}}", "some prose before it. " * 7 + t.text.upper() + " and more after it", " ".join(w if (i + k) % 23 else "changed" for i, w in enumerate(words)), " ".join(words[: len(words) // 4]), " ".join(reversed(words))]
+        for at, text in enumerate(cases):
+            own = licenses._words(text)
+            want, best = aligned(own, index)
+            found = list(index.places(own))
+            labels = {licenses.TEMPLATES[i].label for i, *_ in found}
+            # a notice of which words changed, or of which a part moved, may lack the votes of its rare words
+            assert labels <= want and (t.label in labels or at > 2 or t.label not in want), (t.label, at)
+            assert best - max((x for *_, x in found), default=0.0) < 0.1 or at > 1, (t.label, at)
+        assert t.label in aligned(licenses._words(cases[0]), index)[0]

@@ -114,11 +114,11 @@ def test_malformed_warc(spark, tmp_path):
     (tmp_path / "plain" / "a.warc").write_bytes(plain)
     (tmp_path / "zipped").mkdir()
     whole = b"".join(warc.write_record(r) for r in good)
-    (tmp_path / "zipped" / "b.warc.gz").write_bytes(whole[:-600])
+    (tmp_path / "zipped" / "b.warc.gz").write_bytes(whole[:-100])
     assert sorted(str(r.type) for r in warc.read_files(spark, str(tmp_path / "plain")).collect()) == sorted(r["type"] for r in got)
     back = warc.read_files(spark, str(tmp_path / "zipped")).collect()
-    assert {r.page_id for r in back if r.type == "response"} >= {0, 1, 2, 3} and all(r.type in ("response", "bad") for r in back)
-    assert [r["page_id"] for r in warc.parse(whole[:-600]) if r["type"] == "response"][:4] == [0, 1, 2, 3]
+    assert {r.page_id for r in back if r.type == "response"} >= {0, 1, 2} and all(r.type in ("response", "bad") for r in back)
+    assert [r["page_id"] for r in warc.parse(whole[:-100]) if r["type"] == "response"] == [0, 1, 2, 3]
     assert list(warc.parse(b"")) == [] and warc.derive(warc.read_files(spark, str(tmp_path / "plain"))).count() == 6
 
 
