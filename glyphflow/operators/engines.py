@@ -107,9 +107,18 @@ def recognise(crops: DataFrame, engine: type | None = None) -> DataFrame:
 
 
 def _record(lines: Column) -> Column:
-    """A record from an array of lines (``LINE``)."""
-    get = lambda k: F.transform(lines, lambda m: m[k])
-    return F.struct(get("poly").alias("dt_polys"), get("poly").alias("rec_polys"), get("text").alias("rec_texts"), get("score").alias("rec_scores"), get("box").alias("rec_boxes"))
+    """A record from an array of lines (``LINE``), which is computed once."""
+
+    def arrays(own: Column) -> Column:
+        get = lambda k: F.transform(own, lambda m: m[k])
+        return F.struct(get("poly").alias("dt_polys"), get("poly").alias("rec_polys"), get("text").alias("rec_texts"), get("score").alias("rec_scores"), get("box").alias("rec_boxes"))
+
+    return T.let(lines, arrays)
+
+
+def _parts(item: Column, body) -> Column:
+    """``body(parts, polygon)`` of a JSON array that begins with a polygon, each read once."""
+    return T.let(F.from_json(item, "array<string>"), lambda parts: T.let(F.from_json(F.get(parts, F.lit(0)), POLY), lambda poly: body(parts, poly)))
 
 
 def _around(poly: Column, whole: bool = False) -> Column:
@@ -134,58 +143,51 @@ def _score(text: Column, missing: float) -> Column:
 
 def by_document(raw: Column) -> Column:
     """A document (one object of parallel arrays, cut to the shortest) or lines ([polygon, [text, score]])."""
-    doc = F.from_json(raw, f"array<struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<{POLY}>,rec_boxes:array<array<double>>>>")
+    kind = f"array<struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<{POLY}>,rec_boxes:array<array<double>>>>"
 
     def whole(d: Column) -> Column:
-        none = F.expr("0")
-        size = lambda c: F.coalesce(F.size(d[c]), none)
-        n = F.least(*[F.greatest(size(c), none) for c in ("rec_texts", "rec_scores", "rec_polys", "rec_boxes")])
+        n = F.least(*[F.greatest(F.coalesce(F.size(d[c]), F.lit(0)), F.lit(0)) for c in ("rec_texts", "rec_scores", "rec_polys", "rec_boxes")])
         at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
         return F.transform(at, lambda i: _line(F.get(d["rec_polys"], i), F.get(d["rec_texts"], i), F.get(d["rec_scores"], i), F.get(d["rec_boxes"], i).cast("array<int>")))
 
-    def single(item: Column) -> Column:
-        parts, said = F.from_json(item, "array<string>"), F.from_json(F.get(F.from_json(item, "array<string>"), 1), "array<string>")
-        poly = F.from_json(F.get(parts, 0), POLY)
-        return F.when((F.size(parts) == 2) & (F.size(said) == 2) & poly.isNotNull(), _line(poly, F.get(said, 0), F.get(said, 1).try_cast("double"), _around(poly, True)))
+    def line(parts: Column, poly: Column) -> Column:
+        read = lambda said: F.when((F.size(parts) == 2) & (F.size(said) == 2) & poly.isNotNull(), _line(poly, F.get(said, F.lit(0)), F.get(said, F.lit(1)).try_cast("double"), _around(poly, True)))
+        return T.let(F.from_json(F.get(parts, F.lit(1)), "array<string>"), read)
 
-    lines = F.filter(F.transform(_items(raw), single), lambda m: m.isNotNull())
-    is_doc = (F.size(doc) == 1) & F.get(doc, 0).isNotNull() & F.get(_items(raw), F.lit(0)).startswith("{")
-    return _record(F.when(is_doc, whole(F.get(doc, 0))).otherwise(lines))
+    def read(items: Column) -> Column:
+        lines = F.filter(F.transform(items, lambda item: _parts(item, line)), lambda m: m.isNotNull())
+        single = (F.size(items) == 1) & F.coalesce(F.get(items, F.lit(0)).startswith("{"), F.lit(False))
+        return F.when(single, T.let(F.get(F.from_json(raw, kind), F.lit(0)), whole)).otherwise(lines)
 
+    return _record(T.let(_items(raw), read))
 
-def by_triple(raw: Column) -> Column:
-    """Lines ([polygon, text, score]); without a score it is 1, with a null, empty or zero one 0. Other lengths go."""
 
-    def single(item: Column) -> Column:
-        parts = F.from_json(item, "array<string>")
-        poly = F.from_json(F.get(parts, 0), POLY)
-        score = F.when(F.size(parts) == 2, F.lit(1.0)).otherwise(_score(F.coalesce(F.get(parts, 2), F.lit("0")), 0.0))
-        return F.when(F.size(parts).isin(2, 3) & poly.isNotNull(), _line(poly, F.coalesce(F.get(parts, 1), F.lit("")), score, _around(poly)))
+def _triple(parts: Column, poly: Column) -> Column:
+    score = F.when(F.size(parts) == 2, F.lit(1.0)).otherwise(_score(F.coalesce(F.get(parts, F.lit(2)), F.lit("0")), 0.0))
+    return F.when(F.size(parts).isin(2, 3) & poly.isNotNull(), _line(poly, F.coalesce(F.get(parts, F.lit(1)), F.lit("")), score, _around(poly)))
 
-    return _record(F.filter(F.transform(_items(raw), single), lambda m: m.isNotNull()))
+
+def by_triple(raw: Column) -> Column:
+    """Lines ([polygon, text, score]); without a score it is 1, with a null, empty or zero one 0. Other lengths go."""
+    return _record(F.filter(F.transform(_items(raw), lambda item: _parts(item, _triple)), lambda m: m.isNotNull()))
 
 
 def by_mixed(raw: Column) -> Column:
     """Objects {text, confidence or score, box of 4, or of 8 and more flat} or lines as of ``by_triple``; blank texts go."""
 
-    def obj(item: Column) -> Column:
-        o = F.from_json(item, "struct<text:string,confidence:double,score:double,box:array<double>>")
+    def obj(o: Column) -> Column:
         b = o["box"]
         x1, y1, x2, y2 = (F.get(b, F.lit(k)) for k in range(4))
         corners = F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2))
         pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(b) / 2).cast("int") - 1), lambda i: F.array(F.get(b, 2 * i), F.get(b, 2 * i + 1)))
-        edge = lambda k, f: f(F.transform(F.filter(b, lambda _, i: i % 2 == k), lambda v: v)).cast("int")  # noqa: E731  an odd last number is an x
+        edge = lambda k, f: f(F.filter(b, lambda _, i: i % 2 == k)).cast("int")  # noqa: E731  an odd last number is an x
         ring = F.array(edge(0, F.array_min), edge(1, F.array_min), edge(0, F.array_max), edge(1, F.array_max))
         score = F.coalesce(o["confidence"], o["score"], F.lit(0.0))
         return F.when(F.size(b) == 4, _line(corners, o["text"], score, b.cast("array<int>"))).when(F.size(b) >= 8, _line(pairs, o["text"], score, ring))
 
-    def row(item: Column) -> Column:
-        parts = F.from_json(item, "array<string>")
-        poly = F.from_json(F.get(parts, 0), POLY)
-        score = F.when(F.size(parts) == 2, F.lit(1.0)).otherwise(_score(F.coalesce(F.get(parts, 2), F.lit("0")), 0.0))
-        return F.when(F.size(parts).isin(2, 3) & (F.size(poly) >= 4), _line(poly, F.coalesce(F.get(parts, 1), F.lit("")), score, _around(poly)))
-
-    single = lambda item: F.when(item.startswith("{"), obj(item)).otherwise(row(item))
+    fields = "struct<text:string,confidence:double,score:double,box:array<double>>"
+    row = lambda parts, poly: F.when(F.size(poly) >= 4, _triple(parts, poly))
+    single = lambda item: F.when(item.startswith("{"), T.let(F.from_json(item, fields), obj)).otherwise(_parts(item, row))
     return _record(F.filter(F.transform(_items(raw), single), lambda m: m.isNotNull() & ~T.is_blank(F.coalesce(m["text"], F.lit("")))))
 
 

@@ -160,3 +160,22 @@ def _by_roi(rows: Iterator[dict]) -> Iterator[Iterator[dict]]:
 
     for _, own in itertools.groupby(rows, key=lambda r: r["roi"]):
         yield own
+
+
+def run_metrics(results: DataFrame) -> DataFrame:
+    """roi, frames, calls, filled (frames that took the reading of another), saved: what skipping runs was worth."""
+    m = results.groupBy("roi").agg(F.count(F.lit(1)).alias("frames"), F.sum("calls").alias("calls"), F.count_if(F.col("calls") == 0).alias("filled"))
+    return m.withColumn("saved", 1 - F.least(F.col("calls") / F.col("frames"), F.lit(1.0)))
+
+
+def observed(results: DataFrame, observation) -> DataFrame:
+    """``results`` with rows and calls counted on the way, for an ``Observation`` that whoever writes them reads."""
+    return results.observe(observation, F.count(F.lit(1)).alias("rows"), F.sum("calls").alias("calls"))
+
+
+def gathered(*parts: DataFrame) -> DataFrame:
+    """Results of groups as one table, whatever the order of their columns."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

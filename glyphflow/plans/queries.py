@@ -446,8 +446,8 @@ def _raw(spark, sf):
 
 
 def _record_rows(raw: DataFrame, rule: str) -> DataFrame:
-    r = raw.select("l_orderkey", engines.normalised(F.col("raw"), rule).alias("r")).select("l_orderkey", "r.*")
-    z = r.select("l_orderkey", F.posexplode(F.arrays_zip("rec_texts", "rec_scores", "rec_boxes", "rec_polys")).alias("line_idx", "z"))
+    zipped = lambda r: F.arrays_zip(*[r[c].alias(c) for c in ("rec_texts", "rec_scores", "rec_boxes", "rec_polys")])
+    z = raw.select("l_orderkey", F.posexplode(T.let(engines.normalised(F.col("raw"), rule), zipped)).alias("line_idx", "z"))
     return z.select("l_orderkey", "line_idx", F.col("z.rec_texts").alias("text"), F.round("z.rec_scores", 6).alias("score"), F.array_join(F.col("z.rec_boxes").cast("array<string>"), ",").alias("box"), F.size("z.rec_polys").alias("corners"))
 
 

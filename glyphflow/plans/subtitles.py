@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.functions import timefmt
-from glyphflow.operators import merge, profile, segment
+from glyphflow.operators import classify, merge, profile, segment
 from glyphflow.sources import writers
 
 
+def filtered(lines: DataFrame, preset: str, width: int, height: int) -> DataFrame:
+    """Lines whose source the preset keeps: overlay, scene or unknown, by place and words.
+
+    Without x1 and x2, the sides of its box, a line counts as a point across.
+    """
+    side = lambda c: F.col(c) if c in lines.columns else F.col("x")
+    top = F.col("top") if "top" in lines.columns else F.col("y")
+    tall = F.col("height") if "height" in lines.columns else F.lit(0.0)
+    f = classify.spatial_features(F.array(*[c.cast("double") for c in (side("x1"), top, side("x2"), top + tall)]), F.lit(width), F.lit(height))
+    placed = lines.withColumns({k: f[k] for k in ("rel_y", "rel_height", "edge")})
+    return classify.keep(classify.classify(placed, preset), preset).select(lines.columns)
+
+
 def raw_events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFrame:
     """roi, seq, start_sec, end_sec, start_time, end_time, style, tags, body: before noise goes and neighbours merge.
 
@@ -28,8 +41,11 @@ def raw_events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFr
     return rows.select("roi", (F.col("start_frame") * 1000 + F.col("k")).alias("seq"), "start_sec", "end_sec", "start_time", "end_time", "e.style", "e.tags", "e.body")
 
 
-def events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFrame:
-    """roi, seq, start_sec, end_sec, style, tags, body: from lines (roi, seq, frame, time_sec, text, score, x, y; top, height)."""
+def events(lines: DataFrame, height: int = 100, fps: float = 25.0, preset: str | None = None, width: int = 100) -> DataFrame:
+    """roi, seq, start_sec, end_sec, start_time, end_time, style, tags, body: from lines (roi, seq, frame, time_sec, text,
+    score, x, y; top, height). With ``preset``, only of lines whose source it keeps."""
+    if preset is not None:
+        lines = filtered(segment.readable(lines), preset, width, height)
     return merge.merge_neighbours(merge.drop_noise(raw_events(lines, height, fps))).withColumnRenamed("island", "seq").drop("n")
 
 

@@ -60,6 +60,11 @@ def records(spark: SparkSession, path: str, mode: str = "DROPMALFORMED") -> Data
     return spark.read.schema(RECORD).option("mode", mode).json(path)
 
 
+def record_stream(spark: SparkSession, path: str, files: int = 2) -> DataFrame:
+    """The same as a stream; a micro-batch takes ``files`` files at most, so that a slow reader is never flooded."""
+    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", max(1, files)).option("mode", "DROPMALFORMED").json(path)
+
+
 def referred(spark: SparkSession, refs: DataFrame, path: str) -> DataFrame:
     """Records of refs (roi_id, frame_num, time_sec, path): what the JSON file of that path holds; missing files give none."""
     body = ", ".join(c for c in RECORD.split(", ") if c.split()[0] not in ("roi_id", "frame_num", "time_sec"))

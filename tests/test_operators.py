@@ -2,11 +2,13 @@ import json
 import random
 
 import numpy as np
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from glyphflow.functions import geometry, timefmt
 from glyphflow.functions import text as T
-from glyphflow.operators import classify, detect, engines, gate, image, merge, polish, refine, scan, vote
+from glyphflow.operators import classify, detect, engines, gate, image, merge, polish, refine, scan, segment, vote
+from glyphflow.plans import subtitles, views
 from glyphflow.sources import readers, writers
 from glyphflow.streaming import slices
 
@@ -92,6 +94,13 @@ def test_skip_runs(spark):
     got = vote.skip_runs(crops, reader).orderBy("roi", "frame").collect()
     assert [r.lines[0].text for r in got] == [str(int(looks[f // 10].sum())) for _ in range(2) for f in range(30)]
     assert sum(r.calls for r in got) < 45
+    results = vote.skip_runs(crops, reader)
+    m = vote.run_metrics(results).where("roi = 'roi_0'").first()
+    assert m.frames == 30 and m.calls == sum(r.calls for r in got) / 2 and 0 < m.saved < 1 and m.filled >= 10
+    seen = Observation()
+    vote.observed(results, seen).count()
+    assert seen.get["rows"] == 60
+    assert vote.gathered(results.limit(2), results.limit(1).select("frame", "roi")).count() == 3
 
 
 def test_image_kernels():
@@ -126,6 +135,10 @@ def test_polish(spark):
     assert polish.clamp({"merge_min_ratio": "x", "other": 1}) == {} and polish.unfence("```json\n{}\n```") == "{}" and polish.base_url("https://h.example ") == "https://h.example/v1" and polish.base_url("https://h.example/api/") == "https://h.example/api"
     assert polish.brief("a\nb") == "a\\nb" and polish.brief("x" * 9, 5) == "xxxx…" and polish.one_line("a\\nb\u3000 c") == "a b c"
     assert polish.pick_model(["z", "gpt-4o", "gpt-4o-mini"], "https://api.openai.com") == "gpt-4o-mini" and polish.pick_model(["embed-v4-deepseek", "deepseek-v4-x"], "https://api.deepseek.com") == "deepseek-v4-x" and polish.pick_model([], "") == polish.USUAL_MODEL and polish.pick_model(["whisper-chat", "my-chat"], "https://h.example") == "my-chat" and polish.pick_model(["q"], "https://h.example") == "q"
+    sides = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, None, ["q"])], "id long, source array<string>, target array<string>")
+    assert [tuple(r) for r in polish.aligned(sides).collect()] == [(1, 0, "a", "a"), (1, 1, "b", "x"), (1, 2, "c", "c")]
+    both = spark.createDataFrame([("abcd", "bcde"), ("", "")], "a string, b string").select(polish.ratio(F.col("a"), F.col("b")).alias("r"), polish.model_ids(F.lit('{"data":[{"id":"b"},{"id":"a"},{"id":"b"},{}]}')).alias("m")).collect()
+    assert [r.r for r in both] == [0.75, 1.0] and both[0].m == ["a", "b"]
     assert polish.align(["a", "b", "c"], ["a", "x", "c", "d"]) == (["a", "b", "c"], ["a", "x", "c"])
 
 
@@ -226,7 +239,7 @@ def square(at, size=(20, 20), colour=(0, 0, 255)):
     return out
 
 
-def test_frame_scans(spark):
+def test_frame_scans(spark, tmp_path):
     frames = spark.createDataFrame([("v", f, f * 0.04, 20, 20, square((2, 3, 12, 9)).tobytes()) for f in range(6)], "video_id string, frame long, time_sec double, h int, w int, image binary")
     rows = [("v", "roi_0", "rect", "[2,3,10,6]", 1, 3, None, None), ("v", "roi_1", "poly", "[[0,0],[6,0],[6,6],[0,6]]", None, None, "00:00:00.160", "00:00:00.40"), ("v", "roi_2", "poly", "[[1,1]]", 0, 5, None, None), ("v", "roi_3", "rect", "[30,30,4,4]", 5, 0, None, None)]
     raw = spark.createDataFrame(rows, "video_id string, roi_id string, type string, points string, start_frame int, end_frame int, start_time string, end_time string")
@@ -237,6 +250,8 @@ def test_frame_scans(spark):
     assert all(set(r.image[::3]) == {0} and (r.h, r.w, r.x1, r.y1) == (6, 10, 2, 3) for r in cut if r.roi_id == "roi_0")
     one = scan.single_crops(frames, regions, spark.createDataFrame([("v", "roi_0", 5)], "video_id string, roi_id string, frame long")).collect()
     assert [(r.roi_id, r.frame) for r in one] == [("roi_0", 5)]
+    writers.write_images(scan.crops(frames, regions), str(tmp_path / "crops"))
+    assert spark.read.parquet(str(tmp_path / "crops")).where("roi_id = 'roi_0'").count() == 3
     merged = {r.frame: image.decode(r.image, r.h, r.w) for r in scan.composites(frames, regions).collect()}
     assert set(merged) == set(range(6)) and (merged[5] == 255).all() and tuple(merged[2][4, 4]) == (0, 0, 255) and tuple(merged[2][19, 19]) == (255, 255, 255)
     assert scan.sample_frames(frames, spark.createDataFrame([("v", 1), ("v", 99)], "video_id string, frame long")).count() == 1
@@ -309,6 +324,8 @@ def test_refinement(spark):
         had, anchor = has, f
     assert {f: t for (r, f), t in got.items() if r == "roi_0"} == want
     ids = spark.createDataFrame([("roi_7",), (" roi_12 ",), ("roi_x",), ("file_1",), (None,)], "i string").select(refine.position_of(F.col("i")).alias("n")).collect()
+    ends = spark.createDataFrame([("0:00:01.50", "0:00:03.00"), ("x", "0:00:03.00")], "a string, b string").select(timefmt.duration(F.col("a"), F.col("b")).alias("d"))
+    assert [r.d for r in ends.collect()] == [1.5, 0.0]
     assert [r.n for r in ids] == [7, 12, None, None, None] and refine.reach(25.0) == (25, 12)
 
 
@@ -349,6 +366,14 @@ def test_detection_rules(spark):
     assert said(motion_intensity=0.3, static_ratio=0.1) is None and said(static_ratio=0.1, text_location_entropy=0.9) is None
 
 
+def test_main_query_with_a_preset(spark, tiny):
+    lines = segment.readable(views.track(spark, tiny).where("roi < 20"))
+    kept = subtitles.filtered(lines, "film_tv", 100, 100)
+    assert 0 < kept.count() < lines.count() and kept.columns == lines.columns
+    got, want = subtitles.events(lines, preset="film_tv"), subtitles.events(kept)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 0
+
+
 def test_streams(spark, tiny, tmp_path):
     raw = spark.read.parquet(f"{tiny}/events.parquet")
     raw.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -362,6 +387,13 @@ def test_streams(spark, tiny, tmp_path):
     want = [(r, s, n, a, b) for r in (0, 1) for s, n, a, b in ((0, 4, 0, 3), (1, 4, 4, 7), (2, 1, 8, 8))]
     found = sorted(map(tuple, spark.table("flushed").where("roi < 2").collect()))
     assert found == want, found
+    (tmp_path / "records").mkdir()
+    for k in range(5):
+        (tmp_path / "records" / f"{k}.json").write_text(json.dumps({"roi_id": f"roi_{k}", "frame_num": k, "rec_texts": ["a"]}))
+    q = readers.record_stream(spark, str(tmp_path / "records"), 2).writeStream.format("memory").queryName("records").option("checkpointLocation", str(tmp_path / "rc")).trigger(availableNow=True).start()
+    assert slices.ended(q, lambda: False) and spark.table("records").count() == 5 and len(q.recentProgress) >= 3
+    endless = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ec")).start()
+    assert not slices.ended(endless, lambda: True)
     for name, df, mode in (("known", slices.last_known(source()), "update"), ("windows", slices.tumbling(source(), late="3650 days"), "complete")):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(90)
