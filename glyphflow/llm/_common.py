@@ -43,17 +43,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._stored_at = path
+    _left.append(path)
     return read
 
 
+_left: list[str] = []  # what ``stored`` wrote and nothing deleted yet
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+    if path in _left:
+        _left.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that results still read: for when the results are written and nothing is read any more."""
+    for path in list(_left):
+        _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing reads it any more."""
     for df in tables:
         path = getattr(df, "_stored_at", None) if df is not None else None
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def folded(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:

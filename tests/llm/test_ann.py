@@ -74,3 +74,36 @@ def test_uneven_lengths(spark):
     hits = sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in found)
     print("recall", hits / (20 * len(want)))
     assert len(found) == 20 * len(want) and hits >= 0.95 * 20 * len(want)
+
+
+def test_recall_at_a_larger_size(spark):
+    """Isotropic vectors, the hardest case, ten times as many: the budget of a query is the same."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[5000:7000] = x[5000] + 0.02 * rnd.normal(size=(2000, 64))  # a crowd of near copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = (ann.F.col("vec_id") % 20 == 0) & (ann.F.col("vec_id") % 3 == 0)
+    ids = [i for i in range(0, 20_000, 60)]
+    s = x[ids] @ x.T
+    s[np.arange(len(ids)), ids] = -np.inf
+    want = {i: set(np.argpartition(-row, 20)[:20].tolist()) for i, row in zip(ids, s)}
+    got = {}
+    for r in ann.search(df, asked).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = np.array([len(got[i] & want[i]) / 20 for i in ids])
+    crowd = np.array([5000 <= i < 7000 for i in ids])
+    print("recall", hits.mean(), hits[crowd].mean(), hits[~crowd].mean())
+    assert set(got) == set(ids) and hits.mean() >= 0.92 and hits[crowd].mean() >= 0.9
+
+
+def test_equal_vectors(spark):
+    """Of thousands of equal vectors, the smallest ids are the neighbours; those of other rows are there too."""
+    rnd = np.random.default_rng(6)
+    rows = [(i, [1.0, 0.0, 0.0] if i % 3 else rnd.normal(size=3).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, ann.F.col("vec_id").isin(20, 2980, 0)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = exact(rows)
+    assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {q: [v for v, _ in want[q]] for q in (20, 2980, 0)}

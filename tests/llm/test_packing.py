@@ -82,3 +82,35 @@ def test_empty_table_and_checksum(spark):
     assert pack(empty, FILE).collect() == []
     row = pack(spark.createDataFrame([(7, "hello")], "doc_id long, text string"), FILE).selectExpr("crc32(ids) c", "ids").first()
     assert row.c == zlib.crc32(bytes(row.ids))
+
+
+def test_query_against_brute_force(spark):
+    """Every column of the query on the whole table: ids by the plain tokenizer, pieces without gap or overlap."""
+    from glyphflow.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    slow = Tokenizer.from_file(FILE)
+    want = {r.doc_id: np.array(slow.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op3_packing(spark, sf).collect()
+    held, used = {}, {}
+    for r in rows:
+        ids = want[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        held.setdefault(r.doc_id, []).append((r.start, r.length))
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans, total in [*((held[d], len(ids)) for d, ids in want.items()), *((s, None) for s in used.values())]:
+        at = 0
+        for start, size in sorted(spans):
+            assert start == at
+            at += size
+        assert at == total or (total is None and at <= 2048)
+    assert len(used) * 2048 < 1.02 * sum(r.length for r in rows) + 8 * 2048  # a task may leave its last window partly empty
+
+
+def test_stored_tables_are_discarded(spark):
+    from glyphflow.llm import _common
+
+    df = _common.stored(spark.range(3).toDF("x"), "kept")
+    assert df.count() == 3 and df._stored_at in _common._left
+    _common.discard(df, None)
+    assert df._stored_at not in _common._left

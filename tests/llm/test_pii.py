@@ -62,6 +62,28 @@ def test_discovery(spark):
     assert got[90] == [("id", 8, 18)] and got[91] == [] and got[10] == [("ip", 8, 18)]
 
 
+def test_secrets_by_their_context(spark):
+    """Assigned tokens show what their surroundings look like; shorter ones there are found too, others elsewhere not."""
+    hexed = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'word{i} said token = "{hexed(i)}" and more') for i in range(30)]
+    rows += [(50, 'here token = "ab12cd" too'), (51, f"commit {hexed(51)} of today"), (52, f"lone_key = {hexed(52)}"), (53, f'x TOKEN = "{hexed(53).upper()}" y'), (54, f"see http://h.example/?q={hexed(54)} now"), (None, f'said token = "{hexed(99)}" and'), (55, 'token = "' + hexed(1) + '"'), (55, 'token = "' + hexed(1) + '"')]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as inst", "2 as contexts")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df).collect()}
+    text = dict(rows)
+    assert all(got[i] == [("id", text[i].index('"') + 1, text[i].index('"') + 41)] for i in [*range(30), 53, None, 55])
+    assert got[50] == [("id", 14, 20)] and got[51] == got[52] == got[54] == []
+    assert dict((r.doc_id, r.text) for r in pii.redact(df).collect())[3] == 'word3 said token = "[ID]" and more'
+    few = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert all(r.spans == [] for r in pii.find(few).collect())
+
+
+def test_masks(spark):
+    """Spans that overlap become one, in whatever order they come; null texts stay null."""
+    rows = [("abcdef", [("id", 3, 5), ("ip", 1, 4)]), ("abc", []), (None, [("ip", 0, 1)]), ("\U0001f600bc", [("card", 0, 1), ("card", 0, 1)])]
+    df = spark.createDataFrame(rows, "t string, s array<struct<kind:string,start:long,end:long>>")
+    assert [r.m for r in df.select(pii.masked(df.t, df.s).alias("m")).collect()] == ["a[IP]f", "abc", None, "[CARD]bc"]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in queries.op4_pii(spark, sf).collect()}

@@ -44,3 +44,26 @@ def test_stages_against_brute_force(spark):
         assert out.schema.simpleString() == docs.schema.simpleString()
         assert {r.doc_id: r.text for r in found} == want, name
         rows, docs = want, spark.createDataFrame(found, docs.schema)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, ties, repeated rows, very long texts, clashing names and no rows at all pass through every stage."""
+    sf = "/root/testdata/sf0.001"
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    long = " ".join(f"the and of in to word{i}" for i in range(30_000))
+    rows = [(1, long), (2, long + " end"), (3, long), (3, long), (None, "the of and in to a text without an id"), (4, None), (5, ""), (6, bench[0][1]), (7, "the of and in to " * 3000 + bench[0][1]), (8, "mail a@b.cc of the and in to"), (9, "the of and \U0001f600 in to"), (9, "the of and \U0001f600 in to")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, rep long, hits string, _w int, h string"
+    docs = spark.createDataFrame([(i, t, "en" if i != 9 else None, None, len(t or ""), 1, "x", 2, "y") for i, t in rows], kinds)
+    known = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars", "cast(1 as bigint) as rep", "'x' as hits", "2 as _w", "'y' as h")
+    whole, none = docs.unionByName(known), docs.limit(0)
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, whole, sf)
+        out.write.parquet(str(tmp_path / str(at)))
+        assert stage(spark, none, sf).collect() == []
+        if at < 4:
+            assert out.schema.simpleString() == whole.schema.simpleString()
+            whole = spark.read.parquet(str(tmp_path / str(at)))
+    left = {r.doc_id for r in spark.read.parquet(str(tmp_path / "3")).where("doc_id < 1000 or doc_id is null").collect()}
+    assert left == {1, None, 7, 8, 9}  # 2 and 3 copy 1; 4 and 5 have no words; 6 is a benchmark item, of 7 a small share is
+    pieces = spark.read.parquet(str(tmp_path / "4"))
+    assert pieces.agg({"length": "max"}).first()[0] <= 2048 and {r.doc_id for r in pieces.select("doc_id").distinct().collect()} >= left
