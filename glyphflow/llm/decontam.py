@@ -8,7 +8,7 @@ Everything is built from DataFrame functions. While the benchmark has at most ``
 to the tasks as a literal hash set, and each document is scanned inside its row: three words of a window are looked
 up in the benchmark's vocabulary first, and only then is the whole window spelt out and compared, so a hit is an
 exact match. Scanning shuffles nothing. Of a larger benchmark only a bit for each window's three words is sent (a
-filter of ``2**BITS`` bits, whatever its size); document windows that pass it are spelt out and meet the benchmark's in
+filter of 16 bits a window, and 2 MB at most); document windows that pass it are spelt out and meet the benchmark's in
 a join. Either way gives the same rows.
 
 A document's words are bound once in its row (``_read``), so that no filter, however the optimiser moves it, splits a
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from glyphflow.llm._common import WORD_BREAK, ascii_lower
 
 MAX_WINDOWS = 20_000
-#: Bits of the filter that stands for a benchmark of more windows: 128 KB as it travels.
-BITS = 20
+#: The filter that stands for a benchmark of more windows has ``2**BITS`` bits at most. Beyond a million windows more
+#: passes it than is a hit; the join that follows tells.
+BITS = 24
 HITS = "array<struct<pos:int,len:int,window:string>>"
 
 
@@ -81,13 +82,14 @@ def _together(parts: list[str]) -> str:
 
 def _filtered(windows: DataFrame) -> str:
     """SQL for what may be hits among the words _w: the three words of each window are a bit of a filter of fixed size."""
-    lens, parts = sorted(r[0] for r in windows.select("len").distinct().collect()), []
-    word = f"cast(floor(at / 62) as int)"
-    for n in lens:
-        key = lambda w, i: f"pmod(xxhash64({', '.join(f'get({w}, {i} + {k})' for k in _probes(n))}), {1 << BITS})"
+    lens, parts = {r.len: r.n for r in windows.select("len", "window").distinct().groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}, []
+    word = "cast(floor(at / 62) as int)"
+    for n, held in sorted(lens.items()):
+        bits = min(BITS, max(10, (16 * held - 1).bit_length()))
+        key = lambda w, i: f"pmod(xxhash64({', '.join(f'get({w}, {i} + {k})' for k in _probes(n))}), {1 << bits})"
         at = windows.where(F.col("len") == n).select(F.split("window", " ").alias("w")).select(F.expr(key("w", "0")).alias("at"))
-        cells = {r.word: r.bits for r in at.selectExpr(f"{word} as word", "shiftleft(1L, cast(at % 62 as int)) as bit").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect()}  # 2**BITS / 62 rows at most
-        filled = ",".join(str(cells.get(k, 0)) for k in range(((1 << BITS) - 1) // 62 + 1))
+        cells = {r.word: r.bits for r in at.selectExpr(f"{word} as word", "shiftleft(1L, cast(at % 62 as int)) as bit").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect()}  # 2**bits / 62 rows at most
+        filled = ",".join(str(cells.get(k, 0)) for k in range(((1 << bits) - 1) // 62 + 1))
         probe = f"transform(array({key('_w', 'i')}), at -> bit_get(get(from_json('[{filled}]', 'array<bigint>'), {word}), cast(at % 62 as int)) = 1)[0]"
         parts.append(_found(n, probe, None))
     return _together(parts)
