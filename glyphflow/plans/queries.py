@@ -199,7 +199,7 @@ def profile_filter(spark, sf):
 
 @query(rf"""WITH {sql.FRAMES}, cy AS (SELECT roi, frame, ls, (roi * 7 + frame) % 100 AS cy FROM f), lines AS (SELECT roi, frame, array_to_string(list_transform(ls, lambda l: l.text), ' ') AS txt FROM cy), {sql.language('txt', 'roi, frame')}
 SELECT roi, frame, 0 AS k, CASE WHEN cy < 15 THEN 'Top' WHEN language = 'EN' THEN 'Default' ELSE language END AS style, CASE WHEN cy < 15 THEN '{{\an8}}' ELSE '' END AS tags, array_to_string(list_transform(ls, lambda l: l.text), '\n') AS body FROM cy JOIN lang USING (roi, frame) WHERE cy > 75 OR cy < 15
-UNION ALL SELECT roi, frame, k - 1, 'Scene', '{{\an5\pos(' || CAST(trunc(ls[k].x) AS INT) || ',' || CAST(trunc(ls[k].y) AS INT) || ')}}', ls[k].text FROM cy, unnest(generate_series(1, len(ls))) AS u(k) WHERE cy BETWEEN 15 AND 75""")
+UNION ALL SELECT roi, frame, CAST(k - 1 AS INT), 'Scene', '{{\an5\pos(' || CAST(trunc(ls[k].x) AS INT) || ',' || CAST(trunc(ls[k].y) AS INT) || ')}}', ls[k].text FROM cy, unnest(generate_series(1, len(ls))) AS u(k) WHERE cy BETWEEN 15 AND 75""")
 def style_position(spark, sf):
     rows = segment.frames(segment.readable(views.track(spark, sf)))
     y = ((F.col("roi") * 7 + F.col("frame")) % 100).cast("int")
@@ -347,7 +347,7 @@ def gate_statistics(spark, sf):
     return gate.statistics(seen, planned).join(gate.recount(seen, 0.35).withColumnRenamed("kept", "other"), "video_id")
 
 
-@query(f"WITH {ROIS}, r AS (SELECT kind AS video_id, key % 40 AS n, least(s, e) AS s, greatest(s, e) AS e FROM rois), a AS (SELECT DISTINCT kind AS video_id, f AS frame FROM rois, (SELECT unnest(generate_series(0, 2500, 100)) AS f)) SELECT a.video_id, frame, coalesce(min(n) FILTER (frame BETWEEN s AND e), -1) AS position FROM a LEFT JOIN r USING (video_id) GROUP BY 1, 2")
+@query(f"WITH {ROIS}, r AS (SELECT kind AS video_id, key % 40 AS n, least(s, e) AS s, greatest(s, e) AS e FROM rois), a AS (SELECT DISTINCT kind AS video_id, f AS frame FROM rois, (SELECT unnest(generate_series(0, 2500, 100)) AS f)) SELECT a.video_id, CAST(frame AS INT) AS frame, CAST(coalesce(min(n) FILTER (frame BETWEEN s AND e), -1) AS INT) AS position FROM a LEFT JOIN r USING (video_id) GROUP BY 1, 2")
 def calibration_region(spark, sf):
     r = intervals.clamp(views.intervals(spark, sf), 1_000_000).select(F.col("kind").alias("video_id"), F.concat(F.lit("roi_"), F.col("key") % 40).alias("roi_id"), "start", "end")
     at = r.select("video_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(2500), F.lit(100))))
