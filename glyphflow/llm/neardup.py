@@ -457,7 +457,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 
 def _labelled(stars: DataFrame) -> DataFrame:
     """rep, label: of sets that a verified link joins to a smaller one; two steps along such links, where there are."""
-    one = stars.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
+    one = stored(stars.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label")), "named")  # so that a hot label can be split
     two = one.select(F.col("rep").alias("label"), F.col("label").alias("next"))
     return _merge(one, two, "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
 
