@@ -56,6 +56,7 @@ def test_times(spark):
 def test_geometry(spark):
     row = spark.sql("select array(array(1.0D, 2.0D), array(3.0D, 6.0D)) p").select(geometry.centre(F.col("p")).alias("c"), geometry.height(F.col("p")).alias("h"), geometry.offset(F.lit("poly"), F.lit("[[5,9],[4,11]]"), F.lit(False)).alias("o"), geometry.offset(F.lit("poly"), F.lit("[[5,9]]"), F.lit(False)).alias("n")).first()
     assert (row.c.x, row.c.y, row.h, row.o.dx, row.o.dy, row.n) == (2.0, 4.0, 4.0, 4, 9, None)
+    assert column(spark, [10.0, 9.9, 3.0], lambda c: geometry.to_video(c, F.lit(4.0), F.lit(1.5)), "double") == [9, 8, -1]
 
 
 def test_runs_are_read_once():
@@ -260,6 +261,7 @@ def test_frame_scans(spark, tmp_path):
     assert {r.roi_id: round(r.ratio, 2) for r in shares.where("frame = 2").collect()} == {"roi_0": 1.0, "roi_1": 0.41, "roi_2": 0.0, "roi_3": 0.0}
     seen = gate.frames_passing(shares, 0.5)
     assert {r.frame: r.passed for r in seen.collect()} == {0: False, 1: True, 2: True, 3: True, 4: False, 5: False}
+    assert gate.passing(shares, 0.5).count() == 3
     assert gate.recount(seen, 0.3).first().kept == 4
     stats = gate.statistics(seen, spark.createDataFrame([("v", 100)], "video_id string, planned long")).first()
     assert (stats.kept, stats.sampled, stats.keep_ratio, stats.estimated) == (3, 6, 0.5, 50)
