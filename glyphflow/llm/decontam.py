@@ -129,16 +129,17 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int =
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     windows, found, sent = scan(own, benchmark, width, share, "text", item_col, item_text_col, max_windows)
-    read = found.select("doc_id", "_r", F.monotonically_increasing_id().alias("row"))
-    narrow = read.select("row", "doc_id", F.col("_r.n_words").alias("n_words"), F.col("_r.n_hit").alias("n_hit"), F.col("_r.bad").alias("contaminated"), F.array_distinct("_r.hits.window").alias("ws"))
-    rows = narrow.select("*", F.explode_outer("ws").alias("window")).drop("ws")
+    # rows that are alike are one group and counted, so that the key holds however often a task runs
+    narrow = found.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.col("_r.n_words").alias("n_words"), F.col("_r.n_hit").alias("n_hit"), F.col("_r.bad").alias("contaminated"), F.array_distinct("_r.hits.window").alias("ws"))
+    rows = narrow.select("*", F.posexplode_outer("ws").alias("at", "window")).drop("ws")
     by = windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     if sent:
         met = rows.join(F.broadcast(by), "window", "left")
-    else:  # rows without a hit meet nothing, each by a key of its own
-        met = rows.withColumn("window", F.coalesce("window", F.concat(F.lit("\n"), F.col("row").cast("string")))).join(by, "window", "left")
-    out = met.groupBy("row", "doc_id", "n_words", "n_hit", "contaminated").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", "items", "contaminated")
+    else:  # rows without a hit meet nothing, each text by a key of its own
+        met = rows.withColumn("window", F.coalesce("window", F.concat(F.lit("\n"), F.col("key").cast("string")))).join(by, "window", "left")
+    copies = F.count_if(F.coalesce("at", F.lit(0)) == 0)
+    out = met.groupBy("key", "doc_id", "n_words", "n_hit", "contaminated").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), copies.alias("copies"))
+    return out.select("doc_id", "n_words", "n_hit", "items", "contaminated", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
