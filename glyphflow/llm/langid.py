@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import bounded_sample, stored
+from glyphflow.llm._common import bounded_sample, folded, stored
 from glyphflow.llm._html import language_of, text_of
 
 MAX_TRAIN, BITS, WEIGHT = 4000, 16, 60
@@ -38,25 +38,37 @@ def _grams(text: str):
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text", lang_col: str = "lang"):
-    """(languages, log shares as bytes of a float32 matrix of languages x 2**BITS)."""
+    """(languages, log shares as bytes of a float32 matrix of languages x 2**BITS).
+
+    Texts are counted where they are drawn, whole and in parallel; what comes together is a vector of weights for each
+    language and task, as integers, so that their order doesn't matter.
+    """
+    import numpy as np
+
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sample = bounded_sample(rows.select("text", "lang", F.xxhash64("text", "lang").alias("h")), "h", max_train)
+    rows = rows.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    drawn = rows.join(F.broadcast(bounded_sample(rows.select("h"), "h", max_train)), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = counts.setdefault(lang, np.zeros(1 << BITS))
-                grams = _grams(text)
-                own += np.bincount(grams, minlength=1 << BITS) * (TEXT / len(grams))
-        names = sorted(counts)
-        shares = [np.log((counts[k] + 0.1) / (counts[k].sum() + 0.1 * (1 << BITS))).astype(np.float32).tobytes() for k in names]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.binary())], names=["lang", "shares"])
-
-    found = sample.select("text", "lang").repartition(1).mapInArrow(run, "lang string, shares binary").collect()
-    return [r.lang for r in found], b"".join(bytes(r.shares) for r in found)
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                own, grams = counts.setdefault(lang, np.zeros(1 << BITS, np.int64)), _grams(text.as_py())
+                own += np.rint(np.bincount(grams, minlength=1 << BITS) * (1000 * TEXT / len(grams))).astype(np.int64)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([own.tobytes() for own in counts.values()], pa.binary())], names=["lang", "counts"])
+
+    def add(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for lang, own in zip(group.column("lang").to_pylist(), group.column("counts")):
+            total[lang] = total.get(lang, 0) + np.frombuffer(own.as_py(), np.int64)
+        for lang, own in total.items():
+            shares = np.log((own / 1000 + 0.1) / (own.sum() / 1000 + 0.1 * (1 << BITS))).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([shares.tobytes()], pa.binary())], names=["lang", "shares"])
+
+    counted = drawn.select("text", "lang").mapInArrow(run, "lang string, counts binary").select(F.xxhash64("lang").alias("k"), "lang", "counts")
+    found = sorted((r.lang, bytes(r.shares)) for r in folded(counted, "k", add, "lang string, shares binary").collect())  # a row for each language
+    return [lang for lang, _ in found], b"".join(shares for _, shares in found)
 
 
 def _evidence(rows: DataFrame, model, html: bool) -> DataFrame:
