@@ -11,8 +11,8 @@ LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FR
 SCRIPTED = LINES.replace("l[i] AS line FROM", "CASE (doc_id + i - 1) % 5 " + " ".join(f"WHEN {k} THEN translate(l[i], 'aeiou', '{v}')" for k, v in views.SCRIPTS.items()) + " ELSE l[i] END AS line FROM")
 ROIS = "rois AS (SELECT o_orderkey AS key, o_orderstatus AS kind, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s, coalesce(e, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))) AS e FROM orders LEFT JOIN (SELECT l_orderkey, max(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
 GROUPS = "g AS (SELECT *, CASE WHEN y > 75 THEN 'BOTTOM' WHEN y < 15 THEN 'TOP' ELSE 'SCENE' END AS location FROM (SELECT l_suppkey % 500 AS roi, l_orderkey * 10 + l_linenumber AS group_id, CAST(l_partkey % 100 AS INT) AS y, CAST(l_quantity AS INT) % 40 AS height FROM lineitem))"
-SUBS = r"""subs AS (SELECT conv_id AS roi, turn * 3 + k AS seq, CAST(turn * CASE WHEN conv_id % 5 = 4 THEN 12.5 ELSE 7.5 END + k * 2.503 AS DOUBLE) AS start_sec, CAST(turn * CASE WHEN conv_id % 5 = 4 THEN 12.5 ELSE 7.5 END + k * 2.503 + 2.0 AS DOUBLE) AS end_sec,
-CASE WHEN conv_id % 3 = 0 THEN 'Scene' ELSE 'Default' END AS style, CASE WHEN conv_id % 3 = 0 THEN '{\an5\pos(' || (turn % 5 * 9 + k) || ',' || (200 + k * 11) || ')}' ELSE '' END AS tags, CASE WHEN conv_id % 3 = 0 THEN turn % 5 * 9 + k END AS px, CASE WHEN conv_id % 3 = 0 THEN 200 + k * 11 END AS py,
+SUBS = r"""subs AS (SELECT conv_id AS roi, turn * 3 + k AS seq, CAST(turn * CASE WHEN conv_id % 5 = 4 THEN 12.5 ELSE 7.5 END + k * CASE conv_id % 7 WHEN 3 THEN 6.503 WHEN 5 THEN 1.5 ELSE 2.503 END AS DOUBLE) AS start_sec, CAST(turn * CASE WHEN conv_id % 5 = 4 THEN 12.5 ELSE 7.5 END + k * CASE conv_id % 7 WHEN 3 THEN 6.503 WHEN 5 THEN 1.5 ELSE 2.503 END + 2.0 AS DOUBLE) AS end_sec,
+CASE WHEN conv_id % 3 = 0 THEN 'Scene' ELSE 'Default' END AS style, CASE WHEN conv_id % 3 = 0 THEN '{\an5\pos(' || (turn % 5 * 9 + k * CASE WHEN conv_id % 4 = 1 THEN 30 ELSE 1 END) || ',' || (200 + k * 11) || ')}' ELSE '' END AS tags, CASE WHEN conv_id % 3 = 0 THEN turn % 5 * 9 + k * CASE WHEN conv_id % 4 = 1 THEN 30 ELSE 1 END END AS px, CASE WHEN conv_id % 3 = 0 THEN 200 + k * 11 END AS py,
 CASE k WHEN 1 THEN replace(t, ' ', '  ') WHEN 2 THEN substr(t, 2) ELSE t END AS body FROM (SELECT conv_id, turn, replace(text, chr(10), '\n') AS t FROM conversations), (SELECT unnest([0, 1, 2]) AS k))"""
 BOXES = "boxes AS (SELECT l_orderkey % 50 AS grp, l_orderkey * 10 + l_linenumber AS key, CAST(l_partkey % 640 AS INT) AS x1, CAST(l_suppkey * 7 % 360 AS INT) AS y1, CAST(l_partkey % 640 AS INT) + CAST(l_quantity AS INT) * 2 AS x2, CAST(l_suppkey * 7 % 360 AS INT) + CAST(l_quantity AS INT) % 12 AS y2 FROM lineitem)"
 RATIOS = "ratios AS (SELECT CAST(l_suppkey % 20 AS VARCHAR) AS video_id, l_orderkey AS frame, 'roi_' || l_linenumber AS roi_id, l_discount * l_quantity / 10 AS ratio FROM lineitem)"

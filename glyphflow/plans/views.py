@@ -73,13 +73,14 @@ def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """roi, seq, start_sec, end_sec, style, tags, body: each turn as three events, whole texts, with breaks as marks.
 
     The second has other spaces, the third lacks its first character. Conversations stand at the bottom or, one in
-    three, as scenes that move a little; in one of five, turns lie further apart.
+    three, as scenes that move a little, or in one of four a lot; in one of five, turns lie further apart, and in some the
+    events of a turn lie far apart or overlap.
     """
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit("\\n")).alias("body"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
-    start = F.col("turn") * F.when(F.col("conv_id") % 5 == 4, 12.5).otherwise(7.5) + F.col("k") * 2.503
+    start = F.col("turn") * F.when(F.col("conv_id") % 5 == 4, 12.5).otherwise(7.5) + F.col("k") * F.when(F.col("conv_id") % 7 == 3, 6.503).when(F.col("conv_id") % 7 == 5, 1.5).otherwise(2.503)
     body = F.when(F.col("k") == 1, F.replace("body", F.lit(" "), F.lit("  "))).when(F.col("k") == 2, F.substring("body", 2, 2**31 - 1)).otherwise(F.col("body"))
     scene = F.col("conv_id") % 3 == 0
-    tags = F.when(scene, F.format_string(r"{\an5\pos(%d,%d)}", F.col("turn") % 5 * 9 + F.col("k"), 200 + F.col("k") * 11)).otherwise("")
+    tags = F.when(scene, F.format_string(r"{\an5\pos(%d,%d)}", F.col("turn") % 5 * 9 + F.col("k") * F.when(F.col("conv_id") % 4 == 1, 30).otherwise(1), 200 + F.col("k") * 11)).otherwise("")
     return c.select(F.col("conv_id").alias("roi"), (F.col("turn") * 3 + F.col("k")).cast("long").alias("seq"), start.cast("double").alias("start_sec"), (start + 2.0).cast("double").alias("end_sec"), F.when(scene, "Scene").otherwise("Default").alias("style"), tags.alias("tags"), body.alias("body"))
 
 
