@@ -91,9 +91,9 @@ def word_count(spark, sf):
     return views.lines(spark, sf, scripted=True).select("doc_id", "line_no", T.word_count(F.col("line")).cast("long").alias("words"), T.mainly_unspaced(F.col("line")).alias("unspaced"))
 
 
-@query(rf"WITH {LINES}, z AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(replace(line, chr(13), ''), '\\[nN]', '', 'g'), '{SPACE}', '', 'g') AS z FROM lines) SELECT doc_id, line_no, CASE WHEN z = '' THEN true WHEN regexp_full_match(z, '[()\[\]{{}}（）【】]+') THEN true WHEN regexp_full_match(z, '[0-9]+') THEN true WHEN regexp_full_match(z, '[0-9]+[A-Za-z]+|[A-Za-z]+[0-9]+') THEN length(z) <= 4 ELSE length(z) = 1 AND z NOT IN ('，', '。', '！', '？', '.', '!', '?') END AS noise FROM z")
+@query(f"WITH {sql.WORDS}, z AS (SELECT doc_id, word_no, {sql.bare('word')} AS z FROM words) SELECT doc_id, word_no, {sql.NOISE} AS noise FROM z")
 def noise_flag(spark, sf):
-    return views.lines(spark, sf).select("doc_id", "line_no", T.is_noise(F.col("line")).alias("noise"))
+    return views.words(spark, sf).select("doc_id", "word_no", T.is_noise(F.col("word")).alias("noise"))
 
 
 FEATURES_SQL = rf"""t AS (SELECT doc_id, line_no, line, regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g') AS s FROM lines),
@@ -105,24 +105,24 @@ s <> '' AND (regexp_matches(s, '欢迎|禁止|请勿|注意|安全|消防|紧急
 SCORE_SQL = "greatest(-1.0, least(1.0, CASE WHEN dialogue > 0.5 THEN 0.4 ELSE 0 END + CASE WHEN ends_sentence AND text_length < 50 THEN 0.15 ELSE 0 END - CASE WHEN price THEN 0.3 ELSE 0 END - CASE WHEN address THEN 0.3 ELSE 0 END - CASE WHEN slogan THEN 0.2 ELSE 0 END - CASE WHEN proper_share > 0.3 THEN 0.2 ELSE 0 END))"
 
 
-@query(f"WITH {LINES}, {FEATURES_SQL} SELECT doc_id, line_no, text_length, line_count, ends_sentence, CAST(dialogue AS DOUBLE) AS dialogue, round(CAST(proper_share AS DOUBLE), 6) AS proper_share, price, address, slogan, round(CAST({SCORE_SQL} AS DOUBLE), 6) AS score FROM f")
+@query(f"WITH {sql.DRESSED}, {FEATURES_SQL} SELECT doc_id, line_no, text_length, line_count, ends_sentence, CAST(dialogue AS DOUBLE) AS dialogue, round(CAST(proper_share AS DOUBLE), 6) AS proper_share, price, address, slogan, round(CAST({SCORE_SQL} AS DOUBLE), 6) AS score FROM f")
 def semantic_features(spark, sf):
-    f = views.lines(spark, sf).select("doc_id", "line_no", T.semantic(F.col("line")).alias("f"))
+    f = views.lines(spark, sf, dressed=True).select("doc_id", "line_no", T.semantic(F.col("line")).alias("f"))
     return f.select("doc_id", "line_no", F.col("f.text_length").cast("long").alias("text_length"), F.col("f.line_count").cast("long").alias("line_count"), "f.ends_sentence", "f.dialogue", F.round("f.proper_share", 6).alias("proper_share"), "f.price", "f.address", "f.slogan", F.round(T.semantic_score(F.col("f")), 6).alias("score"))
 
 
 def _placed_sql(preset: str) -> str:
     _, (a, b, c, d), bias, *_ = classify.PRESETS[preset]
-    return f"WITH {LINES}, {FEATURES_SQL}, p AS (SELECT *, (doc_id % 20) / 20.0 AS rel_y, (line_no % 10) / 100.0 AS rel_height, line_no % 3 = 0 AS edge, {SCORE_SQL} AS semantic FROM f), q AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN rel_y > 0.80 THEN 0.6 WHEN rel_y < 0.15 THEN 0.5 ELSE 0 END + CASE WHEN edge THEN 0.2 ELSE 0 END - CASE WHEN rel_y > 0.25 AND rel_y < 0.70 THEN 0.3 ELSE 0 END - CASE WHEN rel_height < 0.02 THEN 0.2 ELSE 0 END)) AS spatial FROM p), r AS (SELECT *, round(greatest(0, least(1, ({a} * spatial + {b} * 0.5 + {c} * -0.2 + {d} * semantic + {bias} + 1) / 2)), 6) AS s FROM q), l AS (SELECT *, CASE WHEN s > 0.65 THEN 'overlay' WHEN s < 0.35 THEN 'scene' ELSE 'unknown' END AS label FROM r)"
+    return f"WITH {sql.DRESSED}, {FEATURES_SQL}, p AS (SELECT *, (doc_id % 20) / 20.0 AS rel_y, (line_no % 10) / 100.0 AS rel_height, line_no % 3 = 0 AS edge, {SCORE_SQL} AS semantic FROM f), q AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN rel_y > 0.80 THEN 0.6 WHEN rel_y < 0.15 THEN 0.5 ELSE 0 END + CASE WHEN edge THEN 0.2 ELSE 0 END - CASE WHEN rel_y > 0.25 AND rel_y < 0.70 THEN 0.3 ELSE 0 END - CASE WHEN rel_height < 0.02 THEN 0.2 ELSE 0 END)) AS spatial FROM p), r AS (SELECT *, round(greatest(0, least(1, ({a} * spatial + {b} * 0.5 + {c} * -0.2 + {d} * semantic + {bias} + 1) / 2)), 6) AS s FROM q), l AS (SELECT *, CASE WHEN s > 0.65 THEN 'overlay' WHEN s < 0.35 THEN 'scene' ELSE 'unknown' END AS label FROM r)"
 
 
 def _placed(spark, sf):
-    return views.lines(spark, sf).select("doc_id", "line_no", F.col("line").alias("text"), ((F.col("doc_id") % 20) / 20.0).alias("rel_y"), ((F.col("line_no") % 10) / 100.0).alias("rel_height"), (F.col("line_no") % 3 == 0).alias("edge"))
+    return views.lines(spark, sf, dressed=True).select("doc_id", "line_no", F.col("line").alias("text"), ((F.col("doc_id") % 20) / 20.0).alias("rel_y"), ((F.col("line_no") % 10) / 100.0).alias("rel_height"), (F.col("line_no") % 3 == 0).alias("edge"))
 
 
-@query(_placed_sql("film_tv") + " SELECT doc_id, line_no, label, CAST(CASE WHEN s > 0.65 THEN s WHEN s < 0.35 THEN 1 - s ELSE 0.5 END AS DOUBLE) AS confidence FROM l")
+@query(_placed_sql("news") + " SELECT doc_id, line_no, label, CAST(CASE WHEN s > 0.65 THEN s WHEN s < 0.35 THEN 1 - s ELSE 0.5 END AS DOUBLE) AS confidence FROM l")
 def source_class(spark, sf):
-    return classify.classify(_placed(spark, sf), "film_tv").select("doc_id", "line_no", "label", F.round("confidence", 6).alias("confidence"))
+    return classify.classify(_placed(spark, sf), "news").select("doc_id", "line_no", "label", F.round("confidence", 6).alias("confidence"))
 
 
 @query(_placed_sql("film_tv") + " SELECT doc_id, line_no, label FROM l WHERE label = 'overlay'")
@@ -130,9 +130,9 @@ def source_filter(spark, sf):
     return classify.keep(classify.classify(_placed(spark, sf), "film_tv"), "film_tv").select("doc_id", "line_no", "label")
 
 
-@query(_placed_sql("film_tv") + " SELECT label, count(*) AS n, count(*) FILTER (label = 'overlay') AS kept FROM l GROUP BY 1")
+@query(_placed_sql("news") + " SELECT label, count(*) AS n, count(*) FILTER (label = 'scene') AS kept FROM l GROUP BY 1")
 def source_counters(spark, sf):
-    return classify.counters(classify.classify(_placed(spark, sf), "film_tv"), "film_tv")
+    return classify.counters(classify.classify(_placed(spark, sf), "news"), "surveillance")
 
 
 @query(f"WITH {SUBS}, c AS (SELECT roi, seq, {sql.canonical('body')} AS a FROM subs WHERE seq % 3 = 0), p AS (SELECT roi, seq, a, lag(a) OVER (PARTITION BY roi ORDER BY seq) AS b FROM c), {sql.common('p')} SELECT roi, seq, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(n, 0) / (length(a) + length(b)) END, 6) AS ratio FROM p LEFT JOIN lc USING (roi, seq) WHERE b IS NOT NULL")

@@ -9,6 +9,8 @@ SPACE = T.SPACE
 EV = "ev AS (SELECT user_id AS roi, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, epoch_us(ts) / 1e6 AS time_sec, event_type AS text, least(value / 100, 1.0) AS score, CAST(json_extract_string(props, '$.k') AS INT) % 30 AS x, CAST(json_extract_string(props, '$.k') AS INT) % 7 AS y FROM events)"
 LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) AS t(i))"
 SCRIPTED = LINES.replace("l[i] AS line FROM", "CASE (doc_id + i - 1) % 5 " + " ".join(f"WHEN {k} THEN translate(l[i], 'aeiou', '{v}')" for k, v in views.SCRIPTS.items()) + " ELSE l[i] END AS line FROM")
+DRESSED = LINES.replace("l[i] AS line FROM", "CASE (doc_id + i - 1) % 7 " + " ".join(f"WHEN {k} THEN '{a}' || l[i] || '{b}'" for k, (a, b) in views.DRESS.items()) + " ELSE l[i] END AS line FROM")
+WORDS = "words AS (SELECT doc_id, CAST(i - 1 AS INT) AS word_no, l[i] AS word FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents), unnest(generate_series(1, len(l))) AS t(i))"
 ROIS = "rois AS (SELECT o_orderkey AS key, o_orderstatus AS kind, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s, coalesce(e, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))) AS e FROM orders LEFT JOIN (SELECT l_orderkey, max(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
 GROUPS = "g AS (SELECT *, CASE WHEN y > 75 THEN 'BOTTOM' WHEN y < 15 THEN 'TOP' ELSE 'SCENE' END AS location FROM (SELECT l_suppkey % 500 AS roi, l_orderkey * 10 + l_linenumber AS group_id, CAST(l_partkey % 100 AS INT) AS y, CAST(l_quantity AS INT) % 40 AS height FROM lineitem))"
 SUBS = r"""subs AS (SELECT conv_id AS roi, turn * 3 + k AS seq, CAST(turn * CASE WHEN conv_id % 5 = 4 THEN 12.5 ELSE 7.5 END + k * CASE conv_id % 7 WHEN 3 THEN 6.503 WHEN 5 THEN 1.5 ELSE 2.503 END AS DOUBLE) AS start_sec, CAST(turn * CASE WHEN conv_id % 5 = 4 THEN 12.5 ELSE 7.5 END + k * CASE conv_id % 7 WHEN 3 THEN 6.503 WHEN 5 THEN 1.5 ELSE 2.503 END + 2.0 AS DOUBLE) AS end_sec,
@@ -18,7 +20,7 @@ BOXES = "boxes AS (SELECT l_orderkey % 50 AS grp, l_orderkey * 10 + l_linenumber
 RATIOS = "ratios AS (SELECT CAST(l_suppkey % 20 AS VARCHAR) AS video_id, l_orderkey AS frame, 'roi_' || l_linenumber AS roi_id, l_discount * l_quantity / 10 AS ratio FROM lineitem)"
 TRACK = r"""n AS (SELECT user_id AS roi, event_id AS seq, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
 m AS (SELECT *, n // 2 AS pair, n % 2 AS part, n // 2 + 3 * (n // 18) + 1 AS frame, n // 12 AS spell FROM n),
-p AS (SELECT *, CASE WHEN part = 0 THEN 'Line ' ELSE 'and then ' END || (spell - spell % 2 + roi % 7) || CASE WHEN roi % 6 = 5 THEN ' 中文字幕' ELSE ' goes on.' END AS said, CAST([85, 4, 50][CAST(roi % 3 + 1 AS INT)] + CASE WHEN roi % 8 = 1 AND spell % 5 = 4 THEN -40 ELSE 0 END + 6 * (1 - part) AS DOUBLE) AS top FROM m),
+p AS (SELECT *, CASE WHEN part = 0 THEN 'Line ' ELSE 'and then ' END || (spell - spell % 2 + roi % 7) || CASE WHEN roi % 6 = 3 THEN ' 字幕在这里继续显示出来' ELSE ' goes on.' END AS said, CAST([85, 4, 50][CAST(roi % 3 + 1 AS INT)] + CASE WHEN roi % 8 = 1 AND spell % 5 = 4 THEN -40 ELSE 0 END + 6 * (1 - part) AS DOUBLE) AS top FROM m),
 tr AS (SELECT roi, seq, frame, CASE WHEN roi % 4 = 3 THEN 0.0 ELSE CAST(frame * CAST(0.04 AS DOUBLE) AS DOUBLE) END AS time_sec, CASE WHEN n % 11 = 0 THEN replace(said, 'n', 'm') ELSE said END AS text, CASE WHEN value > 99 THEN 0.5 ELSE 0.9 END AS score, CAST(40.0 + n % 5 AS DOUBLE) AS x, top + 2.5 AS y, top, CAST(CASE WHEN spell % 7 = 6 THEN 12.0 WHEN roi % 10 = 9 THEN 0.0 ELSE 5.0 END AS DOUBLE) AS height FROM p)"""
 TIME = "printf('%d:%02d:%02d.%02d', CAST(floor({s} / 3600) AS BIGINT), CAST(floor((floor({s}) % 3600) / 60) AS BIGINT), CAST(floor({s}) % 60 AS BIGINT), CAST({c} AS BIGINT))"
 

@@ -34,18 +34,29 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCRIPTS = {1: "的一是不了", 2: "あいカタナ", 3: "аеиоу", 4: "가나다라마"}
 
 
-def lines(spark: SparkSession, sf_dir: str, scripted: bool = False) -> DataFrame:
-    """doc_id, line_no, line: lines of documents; with ``scripted``, four of five have the vowels of another script."""
+#: What lines are dressed up with, in turn, so that they look like dialogue, prices, addresses and slogans.
+DRESS = {1: ("Tom: ", ""), 2: ("", " $5 only"), 3: ("12 Main Street, ", ""), 4: ("", "！"), 5: ("「", "」"), 6: ("A1 B2 C3 ", " 88 元")}
+
+
+def lines(spark: SparkSession, sf_dir: str, scripted: bool = False, dressed: bool = False) -> DataFrame:
+    """doc_id, line_no, line: lines of documents; with ``scripted``, four of five have the vowels of another script; with
+    ``dressed``, six of seven stand between the words of ``DRESS``."""
     d = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
     rows = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    if not scripted:
-        return rows
-    kind, line = (F.col("doc_id") + F.col("line_no")) % 5, F.col("line")
-    for k, letters in SCRIPTS.items():
-        line = F.when(kind == k, F.translate("line", "aeiou", letters)).otherwise(line)
+    at, line = F.col("doc_id") + F.col("line_no"), F.col("line")
+    for k, letters in SCRIPTS.items() if scripted else ():
+        line = F.when(at % 5 == k, F.translate("line", "aeiou", letters)).otherwise(line)
+    for k, (head, tail) in DRESS.items() if dressed else ():
+        line = F.when(at % 7 == k, F.concat(F.lit(head), "line", F.lit(tail))).otherwise(line)
     return rows.withColumn("line", line)
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, word_no, word: what stands between spaces in documents."""
+    d = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return d.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("word_no", "word"))
+
+
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """roi, seq, frame, time_sec, text, score, x, y, top, height: one track for each user, two lines a frame.
 
@@ -58,7 +69,7 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair, part = F.floor(F.col("n") / 2), F.col("n") % 2
     frame = pair + 3 * F.floor(pair / 9) + 1
     spell = F.floor(pair / 6)
-    said = F.concat(F.when(part == 0, F.lit("Line ")).otherwise(F.lit("and then ")), (spell - spell % 2 + F.col("roi") % 7).cast("string"), F.when(F.col("roi") % 6 == 5, F.lit(" 中文字幕")).otherwise(F.lit(" goes on.")))
+    said = F.concat(F.when(part == 0, F.lit("Line ")).otherwise(F.lit("and then ")), (spell - spell % 2 + F.col("roi") % 7).cast("string"), F.when(F.col("roi") % 6 == 3, F.lit(" 字幕在这里继续显示出来")).otherwise(F.lit(" goes on.")))
     text = F.when(F.col("n") % 11 == 0, F.replace(said, F.lit("n"), F.lit("m"))).otherwise(said)
     base = F.element_at(F.array(F.lit(85), F.lit(4), F.lit(50)), (F.col("roi") % 3 + 1).cast("int"))
     off = F.when((F.col("roi") % 8 == 1) & (spell % 5 == 4), F.lit(-40)).otherwise(F.lit(0))
