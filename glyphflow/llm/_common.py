@@ -92,6 +92,14 @@ def folded(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(fold, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python tasks take ``rows`` rows at a time, unless the session has another number than Spark's own: a batch
+    is held whole on both sides, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

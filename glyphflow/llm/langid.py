@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import bounded_sample, folded, stored
+from glyphflow.llm._common import bounded_sample, folded, small_batches, stored
 from glyphflow.llm._html import language_of, text_of
 
 MAX_TRAIN, BITS, WEIGHT = 4000, 16, 60
@@ -45,6 +45,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text", lan
     """
     import numpy as np
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     rows = rows.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
     drawn = rows.join(F.broadcast(bounded_sample(rows.select("h"), "h", max_train)), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
@@ -126,6 +127,7 @@ def identify(rows: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     language has a posterior below ``least``, and every row if the model knows no language. Null ids stay null;
     null addresses and hosts are one host without name; repeated rows get the same result; other columns are ignored.
     """
+    small_batches(rows.sparkSession)
     langs = model[0]
     n = len(langs)
     text = F.col(text_col).cast("string")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.llm._common import small_batches
+
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -95,6 +97,7 @@ def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> list[bytes]:
 
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> tuple[int, dict[bytes, int]]:
     """(documents, documents that hold each template word), over all documents. As many rows as the templates have words."""
+    small_batches(docs.sparkSession)
     words = vocabulary(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import discard, folded, shared_dir, stored
+from glyphflow.llm._common import discard, folded, shared_dir, small_batches, stored
 
 SKETCH, SKETCH_MIN = 64, 34
 SKETCH_MISS = 1e-6
@@ -385,6 +385,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     are ignored.
     """
     shared_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     trees = trees_for(recall, share)
     sets = stored(_shingled(docs, width, trees), "sets")

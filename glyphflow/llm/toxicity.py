@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm._common import bounded_sample, discard, stored
+from glyphflow.llm._common import bounded_sample, discard, small_batches, stored
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -102,6 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_tra
     """
     import numpy as np
 
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if learn is not None:
         known = known.where(learn)
@@ -166,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_tra
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: one row per row. Null and empty texts score as a text without features; other columns are ignored."""
+    small_batches(docs.sparkSession)
     names, weights, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((names.tobytes(), weights.tobytes()))  # 8 bytes for each of 2**BITS buckets at most
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.llm import _html
+from glyphflow.llm._common import small_batches
 
 SCHEMA = "page_id long, type string, record_id string, refers_to string, target_uri string, date string, content_type string, http_status string, source_content_type string, payload_digest string, block_digest string, content_length long, block binary"
 NAMES = [c.strip().split()[0] for c in SCHEMA.split(",")]
@@ -73,6 +74,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A response record for each row. Null pages are empty, null addresses too; repeated rows give repeated records."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +87,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response among ``records``; others are passed over."""
+    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
