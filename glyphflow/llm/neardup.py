@@ -149,8 +149,9 @@ def _fetched(docs: DataFrame, wanted: DataFrame, width: int, made: Callable, kin
 
 
 def _merge(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A shuffled join: both sides grow with the input, and a hot key is split at run time."""
-    return left.join(right.hint("merge"), on, how)
+    """A join whose sides may grow with the input: shuffled, a hot key being split at run time, unless a stored side is
+    smaller than the session's bound for broadcasts, when nothing is shuffled."""
+    return left.join(right, on, how)
 
 
 class _Sets:
@@ -457,10 +458,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 
 
 def _labelled(stars: DataFrame) -> DataFrame:
-    """rep, label: of sets that a verified link joins to a smaller one; two steps along such links, where there are."""
-    one = stored(stars.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label")), "named")  # so that a hot label can be split
-    two = one.select(F.col("rep").alias("label"), F.col("label").alias("next"))
-    return _merge(one, two, "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
+    """rep, label: of sets that a verified link joins to a smaller one, the smallest."""
+    return stars.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
