@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import ann, chat, decontam, langid, licenses, neardup, packing, pii, toxicity, warc
+from glyphflow.llm import ann, chat, cohorts, collocations, curve, decontam, langid, licenses, neardup, packing, pii, toxicity, warc
 from glyphflow.llm._common import table
 
 
@@ -78,6 +78,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("block", F.decode("block", "UTF-8"))
 
 
+def op11_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, clients = table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients")
+    h = F.coalesce(F.crc32(F.col("click_id").cast("string")), F.lit(1))
+    arrives = F.when(h % 3 == 0, F.col("arrived_at") + F.make_dt_interval((h % 100).cast("int"))).otherwise(F.col("arrived_at"))
+    known = F.coalesce(arrives < F.lit("2024-02-15 00:00:00").cast("timestamp_ntz"), F.lit(False))
+    first = cohorts.materialise(clicks.where(known), clients)
+    return cohorts.matrix(first, cohorts.advance(first, clicks.where(~known)))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
+    laid = curve.layout(docs, ["lang", "source", "size"], 16)
+    return laid.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 #: Words as in the query; windows of 13 words or the whole shorter item; occurrences by comparing each document window.
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -92,9 +112,43 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: The checksum, from its polynomial; the states, each worked out from all of its clicks.
+OP11_SQL = """
+WITH poly AS (SELECT list_transform(generate_series(0, 255), lambda n: list_reduce(generate_series(1, 8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n::BIGINT)) AS t),
+ids AS (SELECT DISTINCT id, CAST(id AS VARCHAR) AS s FROM (SELECT click_id AS id FROM clicks UNION ALL SELECT client_id FROM clicks) WHERE id IS NOT NULL),
+crc AS (SELECT id, xor(list_reduce(list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM ids, poly),
+c AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+a AS (SELECT c.*, CASE WHEN h % 3 = 0 THEN arrived_at + to_days(CAST(h % 100 AS INTEGER)) ELSE arrived_at END AS arrives FROM c LEFT JOIN crc ON id = click_id),
+k AS (SELECT n AS state, client_id, ts, kind, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents FROM a, (VALUES (0), (1)) AS v(n) WHERE n = 1 OR arrives < TIMESTAMP '2024-02-15 00:00:00'),
+s AS (SELECT state, client_id, min(ts) AS start FROM k WHERE kind = 'signup' GROUP BY ALL),
+m AS (SELECT client_id, count(DISTINCT CAST(start AS DATE)) > 1 AS moves FROM s GROUP BY ALL),
+g AS (SELECT client_id, min(segment) AS segment FROM clients GROUP BY ALL),
+r AS (SELECT state, client_id, coalesce(segment, '') AS segment, date_diff('day', DATE '1970-01-01', CAST(start AS DATE)) AS cohort, (epoch_us(ts) - epoch_us(start)) // 86400000000 AS period, moves, sum(cents) AS cents FROM k JOIN s USING (state, client_id) JOIN m USING (client_id) LEFT JOIN g USING (client_id) WHERE ts >= start GROUP BY ALL)
+SELECT CAST(state AS INTEGER) AS state, segment, CAST(cohort AS BIGINT) AS cohort, CAST(period AS BIGINT) AS period, count(*) AS users, CAST(sum(h) AS BIGINT) AS users_crc32, CAST(sum(CAST(moves AS BIGINT)) AS BIGINT) AS moved, CAST(sum(cents) AS BIGINT) AS cents
+FROM r JOIN crc ON id = client_id GROUP BY ALL
+"""
+
+
+#: Every phrase counted, every longer phrase looked at.
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM w, (VALUES (1), (2), (3), (4), (5)) AS v(k), unnest(generate_series(1, len(w) - k + 1)) AS u(i) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+h AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (SELECT DISTINCT h.lang, array_to_string(list_slice(w, i, j), ' ') AS phrase, a AS longer FROM h, unnest(generate_series(1, k)) AS x(i), unnest(generate_series(i, k)) AS y(j) WHERE j - i + 1 < k),
+alone AS (SELECT h.lang, h.k, h.phrase, h.a, h.w FROM h WHERE NOT EXISTS (SELECT 1 FROM inner_ z WHERE z.lang = h.lang AND z.phrase = h.phrase AND 100 * z.longer >= 100 * h.a)),
+cuts AS (SELECT lang, phrase, a, c, array_to_string(list_slice(w, 1, c), ' ') AS one, array_to_string(list_slice(w, c + 1, k), ' ') AS two FROM alone, unnest(generate_series(1, k - 1)) AS x(c)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, c, b.a AS l, d.a AS r, n, (1000::HUGEINT * cuts.a * n) // (b.a::HUGEINT * d.a) AS score FROM cuts JOIN f b ON b.lang = cuts.lang AND b.phrase = one JOIN f d ON d.lang = cuts.lang AND d.phrase = two JOIN t ON t.lang = cuts.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_chat": op5_chat, "op6_licenses": op6_licenses, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_neighbours": op9_neighbours, "op10_warc": op10_warc}
+    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_chat": op5_chat, "op6_licenses": op6_licenses, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_neighbours": op9_neighbours, "op10_warc": op10_warc, "op11_retention": op11_retention, "op12_sharding": op12_sharding, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op7_decontamination": OP7_SQL}
+    return {"op5_chat": OP5_SQL, "op7_decontamination": OP7_SQL, "op11_retention": OP11_SQL, "op13_collocations": OP13_SQL}
