@@ -8,10 +8,15 @@ around the place. The ascent stops at the longest prefix whose ranges hold ``bud
 they hold is compared.
 
 In Spark the arrays are one table, sorted by (tree, string) over range partitions, so that every entry has a rank. An
-array is cut into blocks of ``BLOCK`` ranks, each with the ``HALO`` entries beside it. One pass counts, for each query
-and tree, the entries at every length of prefix; the sums give the length to stop at. A second pass takes vectors (as
-half floats) to the blocks and keeps the best of each range, the best of all trees are then compared in full. A task
-holds a block, however many rows share a prefix, and work is ``budget`` candidates a query at any number of rows.
+array is cut into blocks of ``budget`` ranks, each with a quarter of that beside it on either side. One pass finds, for
+each query and tree, the range at every length of prefix; the sums give the length to stop at. A second pass takes
+vectors (as floats) to the blocks and keeps the best of each range, the best of all trees are then compared in
+full. A task holds a block, however many rows share a prefix.
+
+Ranges are looked at whole. Where one reaches beyond what its block holds, many rows are so near each other that the
+strings don't part them (a crowd of near copies): such a query isn't cut short but meets all rows, in blocks of rows and
+of queries, which is exact. So does a query that is left with fewer than ``k`` neighbours. For all others, work is
+``budget`` candidates a query, which grows with the two thirds' power of the rows (``budget_for``).
 
 Equal vectors are one entry, whatever their number; their smallest ids stand for them in results.
 
@@ -32,8 +37,9 @@ from pyspark.sql import Window as W
 from glyphflow.llm._common import discard, folded, stored
 
 BITS = 52  # of a string at most; numbers of so many bits are exact as doubles
-BLOCK, HALO = 4096, 512
-SPARE = 12  # rows beyond k that are compared in full, since half floats rank the others
+LEAST = 12_000  # candidates of a query, over all trees and with repeats, up to 10,000 rows
+ROWS, ASKED = 32_768, 4096  # rows and queries that meet in a block where queries meet all rows
+SPARE = 12  # rows beyond k that are compared in full, since floats rank the others
 BAND = 1.5  # ratio of lengths in a band, but for the ends of the quantiles that bound it
 
 
@@ -46,7 +52,7 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _hash(rows: DataFrame, trees: int, dims: int, seed: int) -> DataFrame:
-    """cid, band, asks, keys (the string of each tree as a long), half (the vector, scaled to length 1, in half floats)."""
+    """cid, band, asks, keys (the string of each tree as a long), unit (the vector, scaled to length 1, as floats)."""
     wide = max(1, (2 * dims - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +74,9 @@ def _hash(rows: DataFrame, trees: int, dims: int, seed: int) -> DataFrame:
                         best = np.abs(y).argmax(axis=1)
                         keys[:, t] = (keys[:, t] << wide) | best | ((y[at, best] < 0).astype(np.int64) << (wide - 1))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, trees), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), flat, pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], names=["cid", "band", "asks", "keys", "half"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), flat, pa.array([v.tobytes() for v in x], pa.binary())], names=["cid", "band", "asks", "keys", "unit"])
 
-    return rows.select("cid", "v", "band", "asks").mapInArrow(run, "cid long, band int, asks boolean, keys array<long>, half binary")
+    return rows.select("cid", "v", "band", "asks").mapInArrow(run, "cid long, band int, asks boolean, keys array<long>, unit binary")
 
 
 def _length(v: Column) -> Column:
@@ -117,11 +123,17 @@ def _arrays(strings: DataFrame, trees: int, bands: int) -> DataFrame:
     return out
 
 
-def _blocks(arrays: DataFrame) -> DataFrame:
+def budget_for(rows: int) -> int:
+    """Candidates of a query: with more rows, the nearest share shorter prefixes with it, and more others share those."""
+    return max(LEAST, int(LEAST * (rows / 10_000) ** (2 / 3)))
+
+
+def _blocks(arrays: DataFrame, block: int) -> DataFrame:
     """Adds block: queries go to their own, entries also to those they are beside of."""
-    near = F.sequence(F.floor(F.greatest(F.col("rank") - HALO, F.lit(0)) / BLOCK), F.floor(F.least(F.col("rank") + HALO, F.col("n") - 1) / BLOCK))
-    home = F.array(F.floor(F.col("rank") / BLOCK))
-    return arrays.withColumn("b", F.explode(F.when(F.col("asks"), home).otherwise(near))).withColumn("block", F.col("tree") * F.lit(1 << 32) + F.col("b")).drop("b", "n")
+    halo = block // 4
+    near = F.sequence(F.floor(F.greatest(F.col("rank") - halo, F.lit(0)) / block), F.floor(F.least(F.col("rank") + halo, F.col("n") - 1) / block))
+    home = F.array(F.floor(F.col("rank") / block))
+    return arrays.withColumn("b", F.explode(F.when(F.col("asks"), home).otherwise(near))).withColumn("block", F.col("tree") * F.lit(1 << 32) + F.col("b")).drop("b")
 
 
 def _sorted(group: pa.Table):
@@ -131,6 +143,23 @@ def _sorted(group: pa.Table):
     return (rank[held], key[held], cid[held], held), (rank[asked], key[asked], cid[asked], asked)
 
 
+def _matrix(group: pa.Table):
+    """The vectors of the rows of a group, which is one chunk."""
+    import numpy as np
+
+    column = group.column("unit").chunk(0)
+    to = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[to[0] : to[-1]].copy().view(np.float32).reshape(len(column), -1)
+
+
+def _range(key, q, shift):
+    """The entries whose strings agree with those of the queries but for the last ``shift`` bits."""
+    import numpy as np
+
+    low = (q >> shift) << shift
+    return np.searchsorted(key, low), np.searchsorted(key, low + (np.int64(1) << shift))
+
+
 def _stops(arrays: DataFrame, trees: int, bits: int, budget: int) -> DataFrame:
     """qid, band, stop: the longest prefix at which the ranges of a query hold enough, or 0."""
 
@@ -141,10 +170,9 @@ def _stops(arrays: DataFrame, trees: int, bits: int, budget: int) -> DataFrame:
         if not len(r):
             return
         out = np.zeros((len(r), bits + 1), np.int32)
-        lo, hi = np.searchsorted(rank, r - HALO), np.searchsorted(rank, r + HALO, "right")
-        for i in range(len(r)):
-            shared = bits - np.frexp((key[lo[i] : hi[i]] ^ q[i]).astype(np.float64))[1]
-            out[i] = np.bincount(shared, minlength=bits + 1)[::-1].cumsum()[::-1]
+        for length in range(bits + 1):
+            lo, hi = _range(key, q, np.int64(bits - length))
+            out[:, length] = hi - lo
         band = np.full(len(r), group.column("tree")[0].as_py() // trees, np.int32)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, bits + 1), pa.int32()), pa.array(out.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(band), flat], names=["qid", "band", "held"])
@@ -159,12 +187,13 @@ def _stops(arrays: DataFrame, trees: int, bits: int, budget: int) -> DataFrame:
             enough = np.nonzero(total >= budget)[0]
             yield pa.RecordBatch.from_arrays([pa.array([qid], pa.int64()), pa.array([band], pa.int32()), pa.array([int(enough.max()) if len(enough) else 0], pa.int32())], names=["qid", "band", "stop"])
 
-    counts = folded(_blocks(arrays).select("block", "tree", "key", "cid", "asks", "rank"), "block", count, "qid long, band int, held array<int>")
+    counts = folded(_blocks(arrays, budget).select("block", "tree", "key", "cid", "asks", "rank"), "block", count, "qid long, band int, held array<int>")
     return folded(counts.select(F.xxhash64("qid", "band").alias("k"), "qid", "band", "held"), "k", add, "qid long, band int, stop int")
 
 
 def _best(rows: DataFrame, bits: int, most: int) -> DataFrame:
-    """qid, cid, near: the best ``most`` of each query in each block (block, key, cid, asks, rank, stop, half)."""
+    """qid, cid, near: the best ``most`` of each query in each block (block, key, cid, asks, rank, n, stop, unit); a row
+    without cid says that a range goes on beyond the block."""
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -172,38 +201,40 @@ def _best(rows: DataFrame, bits: int, most: int) -> DataFrame:
         (rank, key, cid, held), (r, q, qid, asked) = _sorted(group)
         if not len(r) or not len(rank):
             return
-        half = np.frombuffer(b"".join(x.as_py() for x in group.column("half")), np.float16).reshape(group.num_rows, -1).astype(np.float32)
-        length = np.array(group.column("length").to_pylist(), np.float64)[held]
-        stop, x = group.column("stop").to_numpy()[asked], half[held]
+        unit = _matrix(group)
+        length = group.column("length").to_numpy()[held]
+        x, n = unit[held], group.column("n")[0].as_py()
+        los, his = _range(key, q, bits - group.column("stop").to_numpy()[asked].astype(np.int64))
+        beyond = ((los == 0) & (rank[0] > 0)) | ((his == len(rank)) & (rank[-1] < n - 1))
         who, other, near = [], [], []
-        for i in range(len(r)):
-            shift = bits - int(stop[i])
-            a, b = np.searchsorted(key, (q[i] >> shift) << shift), np.searchsorted(key, ((q[i] >> shift) + 1) << shift)
-            lo, hi = max(a, np.searchsorted(rank, r[i] - HALO)), min(b, np.searchsorted(rank, r[i] + HALO, "right"))
-            if lo >= hi:
-                continue
-            s = (x[lo:hi] @ half[asked[i]]) * length[lo:hi]
+        for i in np.nonzero(~beyond & (his > los))[0]:
+            lo, hi = los[i], his[i]
+            s = (x[lo:hi] @ unit[asked[i]]) * length[lo:hi]
             best = np.argpartition(-s, most)[:most] if len(s) > most else np.arange(len(s))
             who.append(np.full(len(best), qid[i]))
             other.append(cid[lo:hi][best])
             near.append(s[best].astype(np.float64))
         if who:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (who, other, near)], names=["qid", "cid", "near"])
+        if beyond.any():
+            ids = pa.array(np.unique(qid[beyond]))
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.float64())], names=["qid", "cid", "near"])
 
-    best = folded(rows.select("block", "key", "cid", "asks", "rank", "stop", "half", "length"), "block", run, "qid long, cid long, near double")
+    best = folded(rows.select("block", "key", "cid", "asks", "rank", "n", "stop", "unit", "length"), "block", run, "qid long, cid long, near double")
     return best.groupBy("qid", "cid").agg(F.max("near").alias("near"))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 48, budget: int = 12_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 48, budget: int | None = None, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each row that ``queries`` holds for.
 
     ``queries`` is a condition over vec_id. ``budget`` is the number of rows, counted over all trees and with repeats,
-    that a query's ranges must hold before it stops ascending (in each band); with few rows everything is compared.
-    Score is the inner product in double precision, summed in order of the components; ties go to the smaller vec_id,
-    and a row is never its own neighbour. Vectors that are null, zero, of another length than most (ties: the longest)
-    or hold null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a vec_id with
-    the same vector count once, with different vectors as their best. A query that ends with fewer than ``k``
-    neighbours meets all rows, in blocks. Other columns are ignored; no rows give no rows.
+    that a query's ranges must hold before it stops ascending (in each band; by default ``budget_for`` the rows); with few
+    rows everything is compared. Score is the inner product in double precision, summed in order of the components; ties
+    go to the smaller vec_id, and a row is never its own neighbour. Vectors that are null, zero, of another length than
+    most (ties: the longest) or hold null or non-finite components take no part, nor do rows without vec_id. Rows that
+    repeat a vec_id with the same vector count once, with different vectors as their best. A query that ends with fewer
+    than ``k`` neighbours, or is in a crowd that the strings don't part, meets all rows, in blocks. Other columns are
+    ignored; no rows give no rows.
     """
     rows = _valid(vectors, id_col, vector_col)
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
@@ -211,6 +242,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 48, bu
     if not lengths:
         return vectors.sparkSession.createDataFrame([], schema)
     dims = lengths[0].n
+    budget = budget_for(lengths[0].c) if budget is None else budget
     bits = (2 * dims - 1).bit_length() * max(1, BITS // max(1, (2 * dims - 1).bit_length()))
     rows = rows.where(F.size("v") == dims).distinct()
     asks = F.coalesce(F.max(queries), F.lit(False)).alias("asks")
@@ -222,10 +254,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 48, bu
     stops = stored(_stops(arrays, trees, bits, budget), "stops")
 
     lengths = classes.select("cid", _length(F.col("v")).alias("length")).hint("merge")
-    vector = strings.select("cid", "half").join(lengths, "cid")
+    vector = strings.select("cid", "unit").join(lengths, "cid")
     own = arrays.where("asks").withColumn("band", F.floor(F.col("tree") / trees).cast("int")).join(stops.select(F.col("qid").alias("cid"), "band", "stop").hint("merge"), ["cid", "band"]).drop("band")
     both = arrays.where("not asks").withColumn("stop", F.lit(0)).unionByName(own)
-    near = stored(_first(_best(_blocks(both).join(vector.hint("merge"), "cid"), bits, k + SPARE), k + SPARE), "near")
+    met = stored(_best(_blocks(both, budget).join(vector.hint("merge"), "cid"), bits, k + SPARE), "met")
+    crowded = met.where("cid is null").select("qid").distinct()
+    near = stored(_first(met.where("cid is not null").join(crowded.hint("merge"), "qid", "left_anti"), k + SPARE), "near")
     discard(arrays, stops)
 
     # ranges count a row once for each tree, so few rows may fill them, or rows of one id: such queries meet all rows
@@ -236,8 +270,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, trees: int = 48, bu
     short = stored(short.select("cid").distinct(), "short")
     n = short.count()
     if n:
-        met = stored(_whole(short, n, strings.join(lengths, "cid"), _least(members, k), k), "near")
-        found = _expanded(near.join(short.withColumnRenamed("cid", "qid"), "qid", "left_anti").union(met), classes, members, queries, k)
+        whole = stored(_whole(short, n, strings.join(lengths, "cid"), _least(members, k), k), "whole")
+        found = _expanded(near.join(short.withColumnRenamed("cid", "qid"), "qid", "left_anti").union(whole), classes, members, queries, k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
@@ -252,25 +286,37 @@ def _least(members: DataFrame, k: int) -> DataFrame:
 
 def _whole(short: DataFrame, n: int, vectors: DataFrame, least: DataFrame, k: int) -> DataFrame:
     """qid, cid: for each of ``n`` queries the vectors of its nearest ids, by meeting every row in blocks."""
-    chunks, blocks, most = -(-n // 400), -(-vectors.count() // BLOCK), k + SPARE
+    chunks, blocks, most = -(-n // ASKED), -(-vectors.count() // ROWS), k + SPARE
     deal = lambda m, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.lit(m)).cast("long")
     upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    here = vectors.join(least.hint("merge"), "cid").select("cid", "vec_id", "half", "length", deal(blocks, 5).alias("a"), upto(chunks).alias("b"))
-    there = vectors.join(short, "cid", "left_semi").select("cid", F.lit(None).cast("long").alias("vec_id"), "half", "length", upto(blocks).alias("a"), deal(chunks, 6).alias("b"))
-    rows = here.union(there).select((F.col("a") * chunks + F.col("b")).alias("block"), "cid", "vec_id", "half", "length")
+    here = vectors.join(least.hint("merge"), "cid").select("cid", "vec_id", "unit", "length", deal(blocks, 5).alias("a"), upto(chunks).alias("b"))
+    there = vectors.join(short.hint("merge"), "cid", "left_semi").select("cid", F.lit(None).cast("long").alias("vec_id"), "unit", "length", upto(blocks).alias("a"), deal(chunks, 6).alias("b"))
+    rows = here.union(there).select((F.col("a") * chunks + F.col("b")).alias("block"), "cid", "vec_id", "unit", "length")
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         asks = group.column("vec_id").is_null().to_numpy()
-        x = np.frombuffer(b"".join(v.as_py() for v in group.column("half")), np.float16).reshape(group.num_rows, -1).astype(np.float32)
-        cid, there = group.column("cid").to_numpy(), x[~asks].T
+        x = _matrix(group)
+        cid, there, asked = group.column("cid").to_numpy(), x[~asks], np.nonzero(asks)[0]
         ids, length = (group.column(c).filter(pa.array(~asks)).to_numpy() for c in ("vec_id", "length"))
-        for i in np.nonzero(asks)[0] if there.size else ():
-            s = (x[i] @ there) * length
-            order = np.argsort(-s, kind="stable")
-            best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:most]]  # an id may have several vectors
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), cid[i])), pa.array(ids[best]), pa.array(cid[~asks][best]), pa.array(s[best].astype(np.float64))], names=["qid", "vec_id", "cid", "near"])
+        if not len(there):
+            return
+        repeats = len(np.unique(ids)) < len(ids)  # an id may have several vectors
+        for a in range(0, len(asked), 64):
+            some = asked[a : a + 64]
+            near, who, own, other = [], [], [], []
+            for i, s in zip(some, (x[some] @ there.T) * length):
+                if repeats:
+                    order = np.argsort(-s, kind="stable")
+                    best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:most]]
+                else:
+                    best = np.argpartition(-s, most)[:most] if len(s) > most else np.arange(len(s))
+                who.append(np.full(len(best), cid[i]))
+                own.append(ids[best])
+                other.append(cid[~asks][best])
+                near.append(s[best].astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (who, own, other, near)], names=["qid", "vec_id", "cid", "near"])
 
     best = folded(rows, "block", run, "qid long, vec_id long, cid long, near double")
     one = best.groupBy("qid", "vec_id").agg(F.max(F.struct("near", "cid")).alias("m")).select("qid", "vec_id", "m.near", "m.cid")

@@ -107,3 +107,39 @@ def test_equal_vectors(spark):
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     want = exact(rows)
     assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {q: [v for v, _ in want[q]] for q in (20, 2980, 0)}
+
+
+def recall(spark, x, asked, **how):
+    """Of each of ``asked``: the share of its 20 nearest that are found."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    want = {i: set(np.argpartition(-row, 20)[:20].tolist()) for i, row in zip(asked, s)}
+    got = {}
+    for r in ann.search(df, ann.F.col("vec_id").isin(asked), **how).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(asked) and all(len(f) == 20 for f in got.values())
+    return np.array([len(got[i] & want[i]) / 20 for i in asked])
+
+
+def test_recall_in_a_crowd(spark):
+    """Two thirds of the rows are near copies of one, which the strings don't part; others are near copies of a few."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(30_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[5000:25_000] = x[5000] + 0.003 * rnd.normal(size=(20_000, 64))
+    x[26_000:26_400] = x[26_000] + 0.003 * rnd.normal(size=(400, 64))
+    for unit in (False, True):
+        x = x / np.linalg.norm(x, axis=1)[:, None] if unit else x
+        hits = recall(spark, x, [*range(5000, 25_000, 500), *range(26_000, 26_400, 40), *range(0, 5000, 200)])
+        print("recall", hits[:40].mean(), hits[40:50].mean(), hits[50:].mean(), hits.min())
+        assert hits[:40].mean() >= 0.95 and hits[40:50].mean() >= 0.95 and hits[50:].mean() >= 0.92 and hits[:50].min() >= 0.8
+
+
+def test_recall_in_few_dimensions(spark):
+    rnd = np.random.default_rng(9)
+    for dims in (1, 2, 5):
+        hits = recall(spark, rnd.normal(size=(5000, dims)), list(range(0, 5000, 100)))
+        print("recall", dims, hits.mean())
+        assert hits.mean() >= 0.95
+
