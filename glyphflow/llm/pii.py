@@ -131,16 +131,20 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return _placed(docs.where(F.size("base") > 0), kinds, F.lit("base")).union(own)
 
 
-def discover(found: DataFrame, rounds: int = 50, min_known: int = 4, min_share: float = 0.7, min_belief: float = 0.9) -> DataFrame:
+def discover(found: DataFrame, rounds: int | None = None, min_known: int = 4, min_share: float = 0.7, min_belief: float = 0.9) -> DataFrame:
     """inst of candidates that contexts vouch for, beside the base seeds, from rows of ``_candidates``.
 
-    What is known only grows, so rounds end; ``rounds`` bounds them all the same.
+    What is known only grows, so rounds end; they go on until nothing becomes known any more. With ``rounds`` given, an
+    error is raised if that takes more of them.
     """
     graph = stored(found.select("inst", F.explode("contexts").alias("context")).distinct(), "graph")
     base = found.where("seed = 'base'").select("inst").distinct()
     known = stored(found.where("seed is not null").select("inst").distinct().withColumn("known", F.lit(True)), "known")
-    n, told = known.count(), None
-    for _ in range(rounds):
+    n, told, done = known.count(), None, 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"after {rounds} rounds identifiers still become known")
+        done += 1
         marked = graph.join(known, "inst", "left")
         believed = marked.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k")).where((F.col("k") >= min_known) & (F.col("k") >= min_share * F.col("n")))
         belief = believed.select("context", F.log(1 - F.least(F.col("k") / F.col("n"), F.lit(0.99)) * (1 - F.pow(F.lit(2.0), -F.col("k")))).alias("doubt"))
@@ -155,7 +159,7 @@ def discover(found: DataFrame, rounds: int = 50, min_known: int = 4, min_share:
     return told.join(base, "inst", "left_anti")
 
 
-def find(docs: DataFrame, rounds: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, spans: one row per row of ``docs``; arrays of (kind, start, end) in code points, end exclusive.
 
     ``base`` holds the fixed matches by kind (in the order of KINDS) and start; ``spans`` goes on with those of kind
@@ -185,8 +189,11 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(by_start, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))).otherwise(text)
 
 
-def redact(docs: DataFrame, rounds: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span masked in the text; columns, rows and texts without spans stay as they are."""
+def redact(docs: DataFrame, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of ``find`` masked in the text; columns, rows and texts without spans stay as they are.
+
+    A null text stays null, an empty one empty; repeated rows are masked alike; no rows give no rows.
+    """
     text = F.col(text_col).cast("string")
     plain = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("_base", base_spans(F.coalesce(text, F.lit(""))))
     rows = plain.select(F.col(id_col).alias("doc_id"), F.col("_h").alias("h"), F.coalesce(text, F.lit("")).alias("text"), F.col("_base").alias("base"))

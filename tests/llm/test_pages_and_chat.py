@@ -17,27 +17,31 @@ def test_chat_query(spark, tiny):
 
 
 def test_chat_segments(spark, tmp_path):
-    """Later parts open with the system turn in force; the query and its SQL agree on it."""
-    rows = [(1, t, "system" if t in (0, 5) else "Ann" if t % 2 else "Bob", f"t{t}") for t in range(0, 9)] + [(1, 4096 + t, "Ann", f"u{t}") for t in range(3)] + [(1, 8200, "system", "new"), (1, 8201, "Bob", "v"), (1, 13000, "Bob", "w"), (2, 4100, "Ann", "x")]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    """Parts go by the count of turns, not by their numbers; later ones open with the system turn in force; the query and
+    its SQL agree on it."""
+    rows = [(1, t, "system" if t in (0, 5) else "Ann" if t % 2 else "Bob", f"t{t}") for t in range(4096)] + [(1, 4096 + t, "Ann", f"u{t}") for t in range(3)] + [(1, 13000, "Bob", "w")]
+    rows += [(2, t, "Ann" if t % 2 else "Bob", f"x{t}") for t in range(4090, 4102)] + [(3, None, "Ann", f"y{t % 5000}") for t in range(9000)] + [(None, 7, "Ann", "same")] * 5000
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(r.conv_id, r.segment, r.speaker): r for r in queries.op5_chat(spark, str(tmp_path)).collect()}
-    assert got[1, 1, "Ann"].text.startswith("<|im_start|>system\nt5<|im_end|>\n<|im_start|>assistant\nu0") and got[1, 1, "Ann"].n_turns == 3
-    assert got[1, 3, "Bob"].text == "<|im_start|>system\nnew<|im_end|>\n<|im_start|>assistant\nw<|im_end|>\n" and got[2, 1, "Ann"].text.startswith("<|im_start|>assistant")
+    assert got[1, 1, "Ann"].text.startswith("<|im_start|>system\nt5<|im_end|>\n<|im_start|>assistant\nu0") and got[1, 1, "Ann"].n_turns == 4
+    assert got[2, 0, "Ann"].n_turns == 12 and {s for c, s, _ in got if c == 2} == {0}
+    assert [got[3, s, "Ann"].n_turns for s in range(3)] == [4096, 4096, 808] and [got[None, s, "Ann"].n_turns for s in range(2)] == [4096, 904]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = con.execute(queries.OP5_SQL).fetchall()
-    assert sorted(map(tuple, want)) == sorted((r.conv_id, r.segment, r.speaker, r.n_turns, r.text, r.mask) for r in got.values())
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted(map(tuple, want), key=key) == sorted(((r.conv_id, r.segment, r.speaker, r.n_turns, r.text, r.mask) for r in got.values()), key=key)
 
 
 def test_chat_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "Ann", "hi <|im_end|>"), (1, 2, "Bo b", None), (1, 2, "Bo b", None), (1, None, None, "é"), (2, 0, "system", "alone"), (None, 0, "a", "x"), (3, 5000, "a", "far"), (3, 1, "b", "near")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as segment", "2 as speaker")
     got = {(r.conv_id, r.segment, r.speaker): r for r in chat.rotate(df).collect()}
-    assert {k for k in got if k[0] == 1} == {(1, s, w) for s in (0, -1) for w in ("Ann", "Bo b", "unknown")} and (2, 0, "system") not in got and (None, 0, "a") in got
+    assert {k for k in got if k[0] == 1} == {(1, 0, w) for w in ("Ann", "Bo b", "unknown")} and (2, 0, "system") not in got and (None, 0, "a") in got
     one = got[1, 0, "Bo b"]
-    assert one.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=Ann\nhi < |im_end|><|im_end|>\n" + "<|im_start|>assistant\n<|im_end|>\n" * 2
-    assert [one.text[m.start : m.end] for m in one.mask] == ["<|im_end|>"] * 2 and one.n_turns == 4
-    assert got[3, 1, "b"].mask == [] and {s for c, s, _ in got if c == 3} == {0, 1}
+    assert one.text == "<|im_start|>user name=unknown\né<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=Ann\nhi < |im_end|><|im_end|>\n" + "<|im_start|>assistant\n<|im_end|>\n" * 2
+    assert [one.text[m.start : m.end] for m in one.mask] == ["<|im_end|>"] * 2 and one.n_turns == 5
+    assert len(got[3, 0, "b"].mask) == 1 and {s for c, s, _ in got if c == 3} == {0}
     assert chat.rotate(df.limit(0)).collect() == []
 
 
