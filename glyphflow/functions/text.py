@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,42 +77,43 @@ def is_noise(body: Column) -> Column:
     )
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence. Words of 60 bits hold a row of the table, a single one if that does."""
-    xs, ys = F.split(a, ""), F.split(b, "")
-    m = F.length(b)
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
-
-    def masked(ch: Column) -> Column:
-        return F.aggregate(F.transform(ys, lambda y, j: F.when(y == ch, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-
-    def turn(v: Column, ch: Column) -> Column:
-        u = v.bitwiseAND(masked(ch))
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+def subsequence(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, or any smaller number if it is under ``least``.
 
-    bits = m - F.bit_count(F.aggregate(xs, full, turn))
-    words = F.ceil(m / 60).cast("int")
-    none = F.lit(0).cast("long")
-
-    def held(chars: Column, ch: Column) -> Column:
-        own = lambda w: F.transform(F.slice(chars, w * 60 + 1, 60), lambda y, j: F.when(y == ch, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(none))
-        return F.transform(F.sequence(F.lit(0), words - 1), lambda w: F.aggregate(own(w), none, lambda s, x: s.bitwiseOR(x)))
+    What both begin and end with is set aside. Of the rest, a row of the table is one integer, a bit for each character of
+    the shorter text; rows stop where even matches to the end wouldn't reach ``least``.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    most, ends = len(b), 0
+    while ends < most and a[ends] == b[ends]:
+        ends += 1
+    tail = 0
+    while tail < most - ends and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b, same = a[ends : len(a) - tail], b[ends : len(b) - tail], ends + tail
+    held: dict[str, int] = {}
+    for j, y in enumerate(b):
+        held[y] = held.get(y, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for i, x in enumerate(a):
+        if u := v & held.get(x, 0):
+            v = ((v + u) | (v - u)) & full
+        if least and i % 64 == 63 and same + len(b) - v.bit_count() + len(a) - i - 1 < least:
+            break
+    return same + len(b) - v.bit_count()
 
-    def long_turn(vs: Column, ms: Column) -> Column:
-        """``turn`` over several words of 60 bits, with the carry between them."""
-        start = F.struct(F.expr("cast(array() as array<long>)").alias("vs"), none.alias("carry"))
 
-        def word(s: Column, z: Column) -> Column:
-            u = z["v"].bitwiseAND(z["m"])
-            t = z["v"] + u + s["carry"]
-            return F.struct(F.concat(s["vs"], F.array(t.bitwiseOR(z["v"] - u).bitwiseAND(F.lit((1 << 60) - 1)))).alias("vs"), F.shiftright(t, 60).alias("carry"))
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence; null beside a null.
 
-        return F.when(ms.isNull(), vs).otherwise(F.aggregate(F.zip_with(vs, ms, lambda v, k: F.struct(v.alias("v"), k.alias("m"))), start, word, lambda s: s["vs"]))
+    A batch of pairs at a time: as expressions the table is an array for each character, interpreted, fifty times as slow.
+    """
+    @F.pandas_udf("int")
+    def found(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else subsequence(p, q) for p, q in zip(x, y)], dtype="Int32")
 
-    masks = let(ys, lambda chars: let(F.array_distinct(chars), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda ch: held(chars, ch)))))
-    rows = let(masks, lambda by: F.aggregate(xs, F.array_repeat(F.lit((1 << 60) - 1), words), lambda vs, ch: long_turn(vs, F.try_element_at(by, ch))))
-    table = F.aggregate(rows, F.lit(0), lambda n, v: n + 60 - F.bit_count(v))
-    return F.when((F.length(a) == 0) | (m == 0), 0).when(m <= 60, bits).otherwise(table).cast("int")
+    return found(a, b)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -120,12 +122,26 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * common_length(a, b) / total)
 
 
+def alike(a: str, b: str, least: float) -> bool:
+    """``bodies_similar`` of two strings: most pairs need no table, and a table is left where it can't reach ``least``."""
+    if not a or not b:
+        return False
+    total = len(a) + len(b)
+    if (a in b) if len(a) <= len(b) else (b in a):
+        return True
+    if 2.0 * min(len(a), len(b)) / total < least:
+        return False
+    return 2.0 * subsequence(a, b, int(least * total / 2)) / total >= least
+
+
 def bodies_similar(a: Column, b: Column, least: float = 0.78) -> Column:
-    """Of canonical texts: one contains the other, or the indel ratio is ``least`` or more; empty ones are like nothing."""
-    within = F.when(F.length(a) <= F.length(b), F.contains(b, a)).otherwise(F.contains(a, b))
-    # no ratio can exceed twice the shorter length over the total, so most pairs need no table
-    reach = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)) >= least
-    return F.when((a == "") | (b == ""), False).when(within, True).when(reach, indel_ratio(a, b) >= least).otherwise(False)
+    """Of canonical texts: one contains the other, or the indel ratio is ``least`` or more; empty ones are like nothing.
+    Null beside a null."""
+    @F.pandas_udf("boolean")
+    def found(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else alike(p, q, least) for p, q in zip(x, y)], dtype="boolean")
+
+    return found(a, b)
 
 
 #: Patterns of the semantic features.

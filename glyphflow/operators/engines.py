@@ -7,10 +7,12 @@ dt_polys, rec_polys, rec_texts, rec_scores, rec_boxes.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
@@ -77,16 +79,42 @@ def instance(engine: type) -> Any:
     if engine not in _live:
         for old in list(_live):
             _live.pop(old).cleanup()
-        made = engine()
+        made = engine(device=device()) if "device" in inspect.signature(engine).parameters else engine()
         made.initialize()
         _live[engine] = made
     return _live[engine]
 
 
-def recognise(crops: DataFrame, engine: type | None = None) -> DataFrame:
+def device() -> str:
+    """The device that this task was given: the address of its first GPU (``cuda:0``), else ``cpu``."""
+    from pyspark import TaskContext
+
+    own = TaskContext.get()
+    gpus = own.resources().get("gpu") if own is not None else None
+    return f"cuda:{gpus.addresses[0]}" if gpus is not None and gpus.addresses else "cpu"
+
+
+def stage_profile(spark: SparkSession, cores: int = 4, memory: str = "8g", worker_memory: str = "4g", gpus: int = 0, task_cpus: int = 1, gpu_share: float = 1.0, discovery: str = "") -> ResourceProfile | None:
+    """What executors and tasks of the recognition stage get, while other stages keep the session's; None in local mode, where
+    there is one process for all.
+
+    A task takes ``task_cpus`` cores and ``gpu_share`` of a GPU (0.5: two tasks on one); ``discovery`` is the script that
+    finds an executor's GPUs.
+    """
+    if spark.sparkContext.master.startswith("local"):
+        return None
+    executor = ExecutorResourceRequests().cores(cores).memory(memory).pysparkMemory(worker_memory)
+    task = TaskResourceRequests().cpus(task_cpus)
+    if gpus:
+        executor, task = executor.resource("gpu", gpus, discovery), task.resource("gpu", gpu_share)
+    return ResourceProfileBuilder().require(executor).require(task).build
+
+
+def recognise(crops: DataFrame, engine: type | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """``crops`` without pixels, with the record of each (rec): the engine's raw result, normalised.
 
-    Without ``engine`` the default of the registry is used; with none there, that is an error.
+    Without ``engine`` the default of the registry is used; with none there, that is an error. ``profile`` is what the stage
+    needs of executors (``stage_profile``); an engine that takes a ``device`` gets the task's.
     """
     import json
 
@@ -103,7 +131,7 @@ def recognise(crops: DataFrame, engine: type | None = None) -> DataFrame:
             yield page[keep].assign(raw=raw)
 
     kind = crops.select(*keep, F.lit("").alias("raw")).schema
-    return crops.mapInPandas(run, kind).withColumn("rec", normalised(F.col("raw"), engine.normalizer)).drop("raw")
+    return crops.mapInPandas(run, kind, profile=profile).withColumn("rec", normalised(F.col("raw"), engine.normalizer)).drop("raw")
 
 
 def _record(lines: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.operators import image, scan
+from glyphflow.operators import image, intervals, scan
 
 
 def ratios(frames: DataFrame, regions: DataFrame, colours: list[tuple]) -> DataFrame:
@@ -53,9 +53,8 @@ def statistics(preview: DataFrame, planned: DataFrame) -> DataFrame:
 def calibration_region(regions: DataFrame, at: DataFrame) -> DataFrame:
     """video_id, frame, position: the first region in the list that is active at a frame (video_id, frame), or -1."""
     n = F.regexp_extract("roi_id", r"(\d+)$", 1).try_cast("int")
-    met = at.join(regions.select("video_id", n.alias("n"), "start", "end"), "video_id", "left")
-    on = F.col("frame").between(F.col("start"), F.col("end"))
-    return met.groupBy("video_id", "frame").agg(F.coalesce(F.min(F.when(on, F.col("n"))), F.lit(-1)).alias("position"))
+    first = intervals.active_counts(at, regions.select("video_id", n.alias("n"), "start", "end"), "n", on=("video_id",))
+    return at.join(first, ["video_id", "frame"], "left").groupBy("video_id", "frame").agg(F.coalesce(F.min("first_key"), F.lit(-1)).alias("position"))
 
 
 def calibrated(crops: DataFrame, margin: float = 15) -> DataFrame:

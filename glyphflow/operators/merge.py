@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from glyphflow.functions import text as T
 from glyphflow.functions import timefmt
+from glyphflow.operators import fold
+from glyphflow.operators.segment import same_track, track_of
 
 MAX_GAP, OVERLAP_SEC, NEAR_PX, RATIO = 4.0, -0.12, 24, 0.78
 FRAGMENT_GAP = 0.35
@@ -65,73 +67,65 @@ def drop_noise(events: DataFrame) -> DataFrame:
 
 
 def merge_neighbours(events: DataFrame, max_gap: float = MAX_GAP, least: float = RATIO, overlap: int = T.OVERLAP) -> DataFrame:
-    """roi, island, start_sec, end_sec (of the last), style, tags, body (majority), n: from (roi, seq, start_sec, end_sec, style, tags, body).
+    """roi (and video), island, start_sec, end_sec (of the last), style, tags, body (majority), n: from (roi, seq, start_sec, end_sec, style, tags, body).
 
     Where there are start_time and end_time, texts, they are the formatted times, and come along. Neighbours in order of formatted start, then seq, join if style, place and body are alike and the gap between
     their formatted times is small. A merged scene stands at the upper medians of its positions.
     """
-    w = W.partitionBy("roi").orderBy("_start", "seq")
+    keys = track_of(events)
+    w = W.partitionBy(*keys).orderBy("_start", "seq")
     e = timed(events).withColumn("canon", T.canonical(F.col("body"), overlap))
     was = {c: F.lag(c).over(w) for c in ("style", "tags", "_end", "canon")}
     e = e.withColumns({f"p_{c}": v for c, v in was.items()})
     near = (F.col("style") == F.col("p_style")) & (F.col("_start") - F.col("p__end")).between(OVERLAP_SEC, max_gap)
     close = F.when(F.col("style") == "Scene", tags_close(F.col("p_tags"), F.col("tags"))).otherwise(F.col("tags") == F.col("p_tags"))
-    joins = F.when(F.coalesce(near & close, F.lit(False)), T.bodies_similar(F.col("p_canon"), F.col("canon"), least)).otherwise(False)
+    asks = lambda c: F.when(near & close, F.col(c))  # noqa: E731  the others' texts needn't go through Python
+    joins = F.coalesce(T.bodies_similar(asks("p_canon"), asks("canon"), least), F.lit(False))
     e = e.withColumn("island", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     at = position(F.col("tags"))
-    votes = e.withColumn("at", at).groupBy("roi", "island", "canon").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.length("body").alias("n"), (-F.col("seq")).alias("s"), "body"))["body"].alias("body"))
+    votes = e.withColumn("at", at).groupBy(*keys, "island", "canon").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.length("body").alias("n"), (-F.col("seq")).alias("s"), "body"))["body"].alias("body"))
     texts = [c for c in ("start_time", "end_time") if c in events.columns]
-    best = votes.groupBy("roi", "island").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", "body"))["body"].alias("body"))
-    span = e.withColumns({"x": at["x"], "y": at["y"]}).groupBy("roi", "island").agg(
+    best = votes.groupBy(*keys, "island").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", "body"))["body"].alias("body"))
+    span = e.withColumns({"x": at["x"], "y": at["y"]}).groupBy(*keys, "island").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_start", "seq", "start_sec", "style", "tags", *texts[:1])).alias("head"), F.max(F.struct("_start", "seq", "end_sec", *texts[1:])).alias("tail"),
         upper_median_of("x").cast("int").alias("x"), upper_median_of("y").cast("int").alias("y"),
     )
     tags = F.when((F.col("n") > 1) & (F.col("head.style") == "Scene") & F.col("x").isNotNull(), F.format_string(r"{\an5\pos(%d,%d)}", "x", "y")).otherwise(F.col("head.tags"))
-    return span.join(best, ["roi", "island"]).select("roi", "island", F.col("head.start_sec").alias("start_sec"), F.col("tail.end_sec").alias("end_sec"), *[F.col(f"{side}.{c}") for side, c in zip(("head", "tail"), texts)], F.col("head.style").alias("style"), tags.alias("tags"), "body", "n")
+    return span.alias("a").join(best.alias("b"), same_track([*keys, "island"])).select(*(F.col(f"a.{c}") for c in [*keys, "island"]), F.col("head.start_sec").alias("start_sec"), F.col("tail.end_sec").alias("end_sec"), *[F.col(f"{side}.{c}") for side, c in zip(("head", "tail"), texts)], F.col("head.style").alias("style"), tags.alias("tags"), "body", "n")
 
 
 def fragment_groups(events: DataFrame) -> DataFrame:
     """Adds grp, the seq of the first event of each run of scene fragments; other events are runs of their own.
 
     A fragment stands where the *first* of its run does and follows the last one closely; noise never joins. That
-    compares with a moving anchor, so it is a fold over each roi in order of formatted start, with one event as state.
+    compares with a moving anchor: a fold over each track in order of formatted start (``fold.runs``).
     """
-    import pyarrow as pa
-
-    e = timed(events).withColumns({"_noise": T.is_noise(F.col("body")), "_x": position(F.col("tags"))["x"], "_y": position(F.col("tags"))["y"]})
-    kind, names = events.select("*", F.col("seq").cast("long").alias("grp")).schema, list(events.columns)
-
-    def run(batches):
-        first = last = None
-        for batch in batches:
-            out = []
-            for now in batch.select(["roi", "seq", "style", "tags", "_start", "_end", "_noise", "_x", "_y"]).to_pylist():
-                joins = first is not None and now["roi"] == first["roi"] and now["style"] == first["style"] == "Scene" and not now["_noise"]
-                if joins:
-                    placed = None not in (now["_x"], first["_x"])
-                    joins = abs(now["_x"] - first["_x"]) <= NEAR_PX and abs(now["_y"] - first["_y"]) <= NEAR_PX if placed else now["tags"] == first["tags"]
-                    times = None not in (now["_start"], last["_end"])
-                    joins = joins and times and OVERLAP_SEC <= now["_start"] - last["_end"] <= FRAGMENT_GAP
-                if not joins:
-                    first = now
-                last = now
-                out.append(first["seq"])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64())], names=[*names, "grp"])
-
-    return e.repartition("roi").sortWithinPartitions("roi", "_start", "seq").mapInArrow(run, kind)
-
-
-def merge_fragments(events: DataFrame, client: Callable[[str], str]) -> DataFrame:
+    e = timed(events).withColumns({"seq": F.col("seq").cast("long"), "_noise": T.is_noise(F.col("body")), "_x": position(F.col("tags"))["x"], "_y": position(F.col("tags"))["y"]})
+    look = ["style", "tags", "_start", "_end", "_noise", "_x", "_y"]
+    return fold.runs(e, track_of(events), ["_start", "seq"], "seq", look, _fragment, name="grp").select(*events.columns, "grp")
+
+
+def _fragment(first: dict, last: dict, now: dict) -> bool:
+    if not now["style"] == first["style"] == "Scene" or now["_noise"]:
+        return False
+    placed = None not in (now["_x"], first["_x"])
+    if not (abs(now["_x"] - first["_x"]) <= NEAR_PX and abs(now["_y"] - first["_y"]) <= NEAR_PX if placed else now["tags"] == first["tags"]):
+        return False
+    return None not in (now["_start"], last["_end"]) and OVERLAP_SEC <= now["_start"] - last["_end"] <= FRAGMENT_GAP
+
+
+def merge_fragments(events: DataFrame, client: Callable[[str], str], ledger: str | None = None) -> DataFrame:
     """roi, seq, start_sec, end_sec, style, tags, body: runs of scene fragments as one event with the client's body.
 
     The client sees a run's candidates; without an answer of its own the longest of them stands. Runs of one event
-    stay as they are, and the client isn't asked.
+    stay as they are, and the client isn't asked. With ``ledger``, nothing is asked twice (``ledger.kept``).
     """
+    from glyphflow.operators.ledger import kept
     from glyphflow.operators.polish import fragment_text
 
-    grouped = fragment_groups(events)
+    grouped, keys = fragment_groups(events), track_of(events)
     at = position(F.col("tags"))
-    span = grouped.withColumns({"x": at["x"], "y": at["y"]}).groupBy("roi", F.col("grp").alias("seq")).agg(
+    span = grouped.withColumns({"x": at["x"], "y": at["y"]}).groupBy(*keys, F.col("grp").alias("seq")).agg(
         F.min_by("start_sec", "seq").alias("start_sec"), F.max_by("end_sec", F.struct("start_sec", "seq")).alias("end_sec"), F.min_by("style", "seq").alias("style"), F.min_by("tags", "seq").alias("head"),
         F.transform(F.sort_array(F.collect_list(F.struct("start_sec", "seq", "body"))), lambda m: m["body"]).alias("bodies"), upper_median_of("x").cast("int").alias("x"), upper_median_of("y").cast("int").alias("y"),
     )
@@ -139,10 +133,12 @@ def merge_fragments(events: DataFrame, client: Callable[[str], str]) -> DataFram
 
     @F.pandas_udf("string")
     def chosen(bodies: pd.Series) -> pd.Series:
+        ask = kept(client, ledger)
+
         def one(own) -> str:
             own = list(own)
-            return own[0] if len(own) == 1 else fragment_text(client, own) or max(own, key=lambda b: len(b.strip()))
+            return own[0] if len(own) == 1 else fragment_text(ask, own) or max(own, key=lambda b: len(b.strip()))
 
         return bodies.map(one)
 
-    return span.select("roi", "seq", "start_sec", "end_sec", "style", tags.alias("tags"), chosen("bodies").alias("body"))
+    return span.select(*keys, "seq", "start_sec", "end_sec", "style", tags.alias("tags"), chosen("bodies").alias("body"))

@@ -6,6 +6,7 @@ A client is a function from a prompt (JSON text) to an answer. ``retried`` makes
 from __future__ import annotations
 
 import difflib
+import itertools
 import json
 import random
 import re
@@ -18,6 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.operators.ledger import kept
+from glyphflow.operators.numbering import numbered
+from glyphflow.operators.segment import track_of
+
 #: Limits of the merge parameters.
 LIMITS = {"merge_max_gap_sec": (0.4, 15.0), "merge_min_ratio": (0.50, 0.98), "merge_min_overlap_len": (3, 22)}
 #: Models to prefer, by a part of the address: preferred ids, then parts that an id should hold.
@@ -158,22 +163,44 @@ def _polished(asked: dict[str, str], client: Callable[[str], str], rounds: int)
     return got
 
 
-def polish(events: DataFrame, client: Callable[[str], str], batch: int = 40, rounds: int = 3) -> DataFrame:
-    """(seq, body) with bodies from the client, which gets ``batch`` events (1 to 120) at a time, by floor(seq / batch).
+def polish(events: DataFrame, client: Callable[[str], str], batch: int = 40, rounds: int = 3, ledger: str | None = None, at_once: int | None = None) -> DataFrame:
+    """``events`` (roi, seq, body; video too, where there is one) with bodies from the client, which gets ``batch`` of them
+    (1 to 120) at a time, of one track and in order of seq.
 
-    An answer is checked and asked for anew with what was wrong with it, up to ``rounds`` times; then it counts as it
-    is. A batch with an error keeps its texts; ids that weren't asked for are passed over.
+    Within a request lines have numbers of their own. An answer is checked and asked for anew with what was wrong with it,
+    up to ``rounds`` times; then it counts as it is. A batch with an error keeps its texts; numbers that weren't asked for
+    are passed over; a null body is asked for as empty. Events of equal seq are events of their own. With ``ledger``, a
+    folder that executors share, nothing is asked twice (``ledger.kept``); ``at_once`` bounds the calls made at a time.
     """
-    batch = min(120, max(1, batch))
-
-    def run(rows: pa.Table) -> pa.Table:
-        asked = {str(s): b or "" for s, b in zip(rows.column("seq").to_pylist(), rows.column("body").to_pylist())}
-        got = _polished(asked, client, rounds)
-        bodies = [got.get(str(s), b) for s, b in zip(rows.column("seq").to_pylist(), rows.column("body").to_pylist())]
-        return pa.table({"seq": rows.column("seq"), "body": pa.array(bodies, pa.string())})
+    batch, names, keys = min(120, max(1, batch)), events.columns, track_of(events)
 
-    rows = events.select(F.col("seq").cast("long").alias("seq"), "body", F.floor(F.col("seq") / batch).alias("batch"))
-    return rows.groupBy("batch").applyInArrow(run, "seq long, body string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, held = kept(client, ledger), []
+
+        def answered() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            bodies = rows.column("body").to_pylist()
+            got = _polished({str(k): b or "" for k, b in enumerate(bodies)}, ask, rounds)
+            said = pa.array([got.get(str(k), b) for k, b in enumerate(bodies)], pa.string())
+            return pa.RecordBatch.from_arrays([said if n == "body" else rows.column(n) for n in names], names=names)
+
+        at = None
+        for b in batches:
+            a, marks = 0, zip(*(b.column(c).to_pylist() for c in [*keys, "_chunk"]))
+            for mark, own in itertools.groupby(marks):
+                if held and mark != at:
+                    yield answered()
+                    held = []
+                at, n = mark, len(list(own))
+                held.append(b.slice(a, n))
+                a += n
+        if held:
+            yield answered()
+
+    rows = numbered(events, keys, ["seq"], "_n").withColumn("_chunk", F.floor(F.col("_n") / batch))
+    by = [*keys, "_chunk"]
+    dealt = rows.repartition(at_once, *by) if at_once else rows.repartition(*by)
+    return dealt.sortWithinPartitions(*by, "_n").mapInArrow(run, events.schema)
 
 
 def fragment_text(client: Callable[[str], str], bodies: Sequence[str]) -> str | None:

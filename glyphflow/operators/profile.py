@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from glyphflow.functions import text as T
 from glyphflow.operators.merge import upper_median, upper_median_of
-from glyphflow.operators.segment import by_top
+from glyphflow.operators.segment import by_top, same_track, track_of
 
 BOTTOM, TOP = 0.75, 0.15
 SHARE, LOW, HIGH = 0.55, 0.65, 1.65
@@ -50,15 +50,16 @@ def style(lines: Column, y: Column, height: Column) -> Column:
 
 
 def profiles(groups: DataFrame) -> DataFrame:
-    """roi, location (the usual one; MIXED without a clear one), text_height: from (roi, group_id, location, height)."""
+    """roi (and video), location (the usual one; MIXED without a clear one), text_height: from (roi, group_id, location, height)."""
+    keys = track_of(groups)
     tall = groups.withColumn("tall", F.when(F.col("height") > 0, F.col("height")))
-    votes = tall.groupBy("roi", "location").agg(F.count(F.lit(1)).alias("n"), F.min("group_id").alias("first"), upper_median_of("tall").alias("own"))
-    top = votes.groupBy("roi").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("first")).alias("f"), "location", "own")).alias("top"))
-    every = tall.groupBy("roi").agg(upper_median_of("tall").alias("every"))
+    votes = tall.groupBy(*keys, "location").agg(F.count(F.lit(1)).alias("n"), F.min("group_id").alias("first"), upper_median_of("tall").alias("own"))
+    top = votes.groupBy(*keys).agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("first")).alias("f"), "location", "own")).alias("top"))
+    every = tall.groupBy(*keys).agg(upper_median_of("tall").alias("every"))
     mixed = (F.col("total") >= 3) & (F.col("top.n") / F.col("total") < SHARE)
     kind = groups.schema["height"].dataType
     height = F.coalesce(F.when(mixed, F.col("every")).otherwise(F.coalesce("top.own", "every")), F.lit(0.0)).cast(kind)
-    return top.join(every, "roi").select("roi", F.when(mixed, "MIXED").otherwise(F.col("top.location")).alias("location"), height.alias("text_height"))
+    return top.alias("a").join(every.alias("b"), same_track(keys)).select(*(F.col(f"a.{c}") for c in keys), F.when(mixed, "MIXED").otherwise(F.col("top.location")).alias("location"), height.alias("text_height"))
 
 
 def drop_outliers(groups: DataFrame) -> DataFrame:
@@ -66,14 +67,15 @@ def drop_outliers(groups: DataFrame) -> DataFrame:
 
     Beside a profile with a height, a group without one goes.
     """
-    p = profiles(groups).select("roi", F.col("location").alias("usual"), "text_height")
-    met = groups.join(p, "roi")
+    keys = track_of(groups)
+    p = profiles(groups).select(*keys, F.col("location").alias("usual"), "text_height")
+    met = groups.alias("a").join(p.alias("b"), same_track(keys)).select("a.*", "b.usual", "b.text_height")
     fits = F.when(F.col("usual").isin("BOTTOM", "TOP"), F.col("location") != "SCENE").when(F.col("usual") == "SCENE", ~F.col("location").isin("BOTTOM", "TOP")).otherwise(True)
     ratio = (F.col("height") > 0) & (F.col("height") / F.col("text_height")).between(LOW, HIGH)
     keep = F.when(F.col("usual").isin("UNKNOWN", "MIXED") | (F.col("text_height") <= 0), True).otherwise(fits & ratio)
     met = met.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    kept = met.groupBy("roi").agg(F.max("_keep").alias("_any"))
-    return met.join(kept, "roi").where(F.col("_keep") | ~F.col("_any")).drop("_keep", "_any", "usual", "text_height")
+    kept = met.groupBy(*keys).agg(F.max("_keep").alias("_any"))
+    return met.alias("a").join(kept.alias("b"), same_track(keys)).where(F.col("_keep") | ~F.col("_any")).select("a.*").drop("_keep", "usual", "text_height")
 
 
 def end_times(framed: DataFrame, by: list[str], fps: float) -> DataFrame:

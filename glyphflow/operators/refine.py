@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from glyphflow.operators.segment import same_track, track_of
+
 
 def reach(fps: float) -> tuple[int, int]:
     """Frames that are read again before and after an edge."""
@@ -22,11 +24,12 @@ def position_of(roi_id: Column) -> Column:
 
 
 def edges(rows: DataFrame, back: int, forward: int) -> DataFrame:
-    """roi, frame, lo, hi: frames where ``has`` changes, and the window around each, clipped to the roi's frames."""
-    w = W.partitionBy("roi").orderBy("frame")
-    span = rows.groupBy("roi").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    """roi (and video), frame, lo, hi: frames where ``has`` changes, and the window around each, clipped to the roi's frames."""
+    keys = track_of(rows)
+    w = W.partitionBy(*keys).orderBy("frame")
+    span = rows.groupBy(*keys).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
     e = rows.withColumn("was", F.lag("has").over(w)).where(F.col("was").isNotNull() & (F.col("was") != F.col("has")))
-    return e.join(span, "roi").select("roi", "frame", F.greatest(F.col("frame") - back, "first").alias("lo"), F.least(F.col("frame") + forward, "last").alias("hi"))
+    return e.alias("a").join(span.alias("b"), same_track(keys)).select(*(F.col(f"a.{c}") for c in keys), "frame", F.greatest(F.col("frame") - back, "first").alias("lo"), F.least(F.col("frame") + forward, "last").alias("hi"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

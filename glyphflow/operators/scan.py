@@ -1,16 +1,18 @@
 """Frame scans: frames meet the regions active in them, and pixel kernels cut the crops.
 
-Frames are rows (video_id, frame, time_sec, h, w, image), image being raw BGR bytes; whatever decodes a video makes
-them. Regions are rows of ``readers.regions`` with resolved bounds, of as many videos as there are.
+Frames are rows (video_id, frame, time_sec, h, w, image), image being raw BGR bytes; ``read_active`` makes them, from
+uncompressed videos or with whatever decodes others. Regions are rows of ``readers.regions`` with resolved bounds, of as many videos as there are.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from glyphflow.functions import timefmt
 from glyphflow.operators import image, intervals
@@ -34,9 +36,56 @@ def time_of(time_sec: Column, frame: Column, fps: Column) -> Column:
 
 
 def active(frames: DataFrame, regions: DataFrame) -> DataFrame:
-    """Frames with each region active in them: an equi-join on video and bucket of frames, then the bounds."""
+    """Frames with each region active in them: an equi-join on video and cell of frames."""
     own = regions.select("video_id", "roi_id", "type", "points", "start", "end", *[c for c in ("color_restrict", "blur_enabled") if c in regions.columns])
-    return intervals.frame_join(frames, own.withColumnRenamed("video_id", "_video"), "frame").where(F.col("video_id") == F.col("_video")).drop("_video")
+    return intervals.frame_join(frames, own, on=("video_id",))
+
+
+Decoder = Callable[[str, list[int]], Iterator[tuple[int, float, object]]]
+
+
+def active_ranges(regions: DataFrame, chunk: int = 250) -> DataFrame:
+    """video_id, lo, hi: the frames in which some region of a video (video_id, start, end) is active, each once, in pieces
+    of at most ``chunk``."""
+    w = W.partitionBy("video_id").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(F.col("start") <= reach + 1, 0).otherwise(1)
+    spans = regions.where("start <= end").withColumn("_o", opens).withColumn("_g", F.sum("_o").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("video_id", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    at = spans.withColumn("_k", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor(F.col("end") / chunk))))
+    return at.select("video_id", F.greatest("start", F.col("_k") * chunk).cast("long").alias("lo"), F.least("end", F.col("_k") * chunk + chunk - 1).cast("long").alias("hi"))
+
+
+def _decoded(wanted: DataFrame, decoder: Decoder) -> DataFrame:
+    """Rows of frames from (video_id, path, frames: array<long>), each row a range that one task reads."""
+    from glyphflow.sources import y4m
+
+    def run(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in pages:
+            for video, path, frames in zip(*(page.column(c).to_pylist() for c in range(3))):
+                yield from y4m.batches(video, decoder(path, frames))
+
+    return wanted.repartition("video_id", F.get("frames", F.lit(0))).mapInArrow(run, y4m.FRAME)
+
+
+def read_active(videos: DataFrame, regions: DataFrame, decoder: Decoder | None = None, chunk: int = 250) -> DataFrame:
+    """The frames of ``videos`` (video_id, path) in which some of ``regions`` (video_id, start, end) is active; no other frame
+    is read or decoded.
+
+    ``decoder`` gives (frame, seconds, BGR pixels) of the frames of a path that it is asked for, in order; by default that of
+    uncompressed videos. A piece of ``chunk`` frames is read by one task, so a long video is read by many.
+    """
+    from glyphflow.sources import y4m
+
+    ranges = active_ranges(regions, chunk).join(videos.select("video_id", "path"), "video_id")
+    return _decoded(ranges.select("video_id", "path", F.sequence("lo", "hi").alias("frames")), decoder or y4m.read)
+
+
+def read_samples(videos: DataFrame, wanted: DataFrame, decoder: Decoder | None = None, chunk: int = 250) -> DataFrame:
+    """The single frames ``wanted`` (video_id, frame) of ``videos`` (video_id, path)."""
+    from glyphflow.sources import y4m
+
+    own = wanted.select("video_id", F.col("frame").cast("long").alias("frame")).distinct().groupBy("video_id", F.floor(F.col("frame") / chunk)).agg(F.sort_array(F.collect_list("frame")).alias("frames"))
+    return _decoded(own.join(videos.select("video_id", "path"), "video_id").select("video_id", "path", "frames"), decoder or y4m.read)
 
 
 def _region(r: dict) -> dict:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from glyphflow.functions import text as T
+from glyphflow.operators import fold
 
 MIN_SCORE, MIN_FRAMES = 0.6, 3
 BRIDGE_FRAMES, BRIDGE_SEC, SIMILAR, NEAR_PX = 8, 0.45, 0.85, 20.0
@@ -14,13 +14,26 @@ BRIDGE_FRAMES, BRIDGE_SEC, SIMILAR, NEAR_PX = 8, 0.45, 0.85, 20.0
 LINE = "struct<seq:long,text:string,x:double,y:double,top:double,height:double>"
 
 
+def track_of(rows: DataFrame) -> list[str]:
+    """The columns that tell tracks apart: roi, and video where there is one, since every video has a roi_0."""
+    return [c for c in ("video", "roi") if c in rows.columns]
+
+
+def same_track(keys: list[str]) -> Column:
+    """The condition of a join of ``a`` and ``b`` by such columns, nulls being equal."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return out
+
+
 def readable(lines: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """Lines sure enough and not blank (no character but Unicode white space)."""
     return lines.where((F.col("score") >= least) & ~T.is_blank(F.col("text")))
 
 
 def frames(lines: DataFrame) -> DataFrame:
-    """roi, frame, time_sec (first positive in order of seq, else 0), lines (``LINE``, by seq).
+    """roi (and video), frame, time_sec (first positive in order of seq, else 0), lines (``LINE``, by seq).
 
     From (roi, seq, frame, time_sec, text, x, y) and, where there are, top and height of the line's box.
     """
@@ -28,7 +41,7 @@ def frames(lines: DataFrame) -> DataFrame:
     top = F.col("top") if "top" in lines.columns else F.col("y")
     height = F.col("height") if "height" in lines.columns else F.lit(0.0)
     line = F.struct("seq", "text", F.col("x").alias("x"), F.col("y").alias("y"), top.alias("top"), height.alias("height")).cast(LINE)
-    return lines.groupBy("roi", "frame").agg(F.coalesce(first["time_sec"], F.lit(0.0)).alias("time_sec"), F.sort_array(F.collect_list(line)).alias("lines"))
+    return lines.groupBy(*track_of(lines), "frame").agg(F.coalesce(first["time_sec"], F.lit(0.0)).alias("time_sec"), F.sort_array(F.collect_list(line)).alias("lines"))
 
 
 def by_top(lines: Column) -> Column:
@@ -47,73 +60,40 @@ def text_present(texts: Column) -> Column:
     return F.coalesce(F.exists(texts, lambda t: ~T.is_blank(t)), F.lit(False))
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence: a row of the table is one integer, bit by bit."""
-    held: dict[str, int] = {}
-    for j, y in enumerate(b):
-        held[y] = held.get(y, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v = full
-    for x in a:
-        u = v & held.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(b) - v.bit_count()
-
-
 def _alike(a: str, b: str) -> bool:
     """Both hold text, and twice the common subsequence is enough of the total length."""
-    return bool(a and b) and 2 * _common(a, b) / (len(a) + len(b)) >= SIMILAR
-
-
-def _near(a, b) -> bool:
-    return all((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 <= NEAR_PX**2 for p, q in zip(a, b))
-
-
-def _joined(lines, key=None) -> str:
-    return "".join(m["text"] for m in (sorted(lines, key=key) if key else lines)).replace(" ", "")
+    if not a or not b or 2 * min(len(a), len(b)) < SIMILAR * (len(a) + len(b)):
+        return False
+    return 2 * T.subsequence(a, b, int(SIMILAR * (len(a) + len(b)) / 2)) / (len(a) + len(b)) >= SIMILAR
 
 
-def _goes_on(anchor, last: dict, now: dict) -> bool:
-    """Lines of a frame come in order of box top."""
+def _goes_on(anchor: dict, last: dict, now: dict) -> bool:
+    """Lines of a frame come in order of box top; ``texts`` are sorted, ``by_text`` and ``by_top`` are joined without spaces."""
     gap = now["frame"] - last["frame"]
-    a, b = anchor["lines"], now["lines"]
-    if not 1 <= gap <= BRIDGE_FRAMES or len(a) != len(b):
+    if not 1 <= gap <= BRIDGE_FRAMES or len(anchor["texts"]) != len(now["texts"]):
         return False
-    same = sorted(m["text"] for m in a) == sorted(m["text"] for m in b)
+    near = lambda: all((p - q) ** 2 + (r - s) ** 2 <= NEAR_PX**2 for p, q, r, s in zip(anchor["x"], now["x"], anchor["y"], now["y"]))
+    same = anchor["texts"] == now["texts"]
     if gap == 1:
-        text = lambda m: m["text"]
-        return _near(a, b) if same else _alike(_joined(a, text), _joined(b, text))
-    x, y, dt = _joined(a), _joined(b), now["time_sec"] - last["time_sec"]
+        return near() if same else _alike(anchor["by_text"], now["by_text"])
+    x, y, dt = anchor["by_top"], now["by_top"], now["time_sec"] - last["time_sec"]
     if not x or len(x) != len(y) or (last["time_sec"] > 0 and now["time_sec"] > 0 and dt > BRIDGE_SEC):
         return False
-    return (same or _alike(x, y)) and _near(a, b)
+    return (same or _alike(x, y)) and near()
 
 
-def marked(framed: DataFrame) -> DataFrame:
-    """Rows of ``framed`` (roi, frame, time_sec, lines) with run, the frame that each one's run begins with.
+def marked(framed: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows of ``framed`` (roi, frame, time_sec, lines; video too, where there is one) with run, the frame that each one's
+    run begins with.
 
-    A run goes on while frames resemble its first one. One pass over each roi in order of frames, with the anchor and
-    the last frame as its only state: rows come sorted by roi and frame, and are never gathered, so a long track takes
-    no memory. Frames without lines take no part. Lines come back in order of box top.
+    A run goes on while frames resemble its first one: a fold in order of frames, over as many tasks as a track fills
+    (``fold.runs``). Frames without lines take no part. Lines come back in order of box top.
     """
-    import pyarrow as pa
-
-    roi_kind = framed.schema["roi"].dataType
-    schema = T_.StructType([T_.StructField("roi", roi_kind), *framed.select(F.col("frame").cast("long"), "time_sec", "lines").schema.fields, T_.StructField("run", T_.LongType())])
-
-    def run(batches):
-        roi, anchor, last = None, None, None
-        for batch in batches:
-            starts = []
-            for now in batch.to_pylist():
-                if anchor is None or now["roi"] != roi or not _goes_on(anchor, last, now):
-                    roi, anchor = now["roi"], now
-                last = now
-                starts.append(anchor["frame"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], names=[*batch.schema.names, "run"])
-
-    rows = framed.where(F.size("lines") > 0).select("roi", F.col("frame").cast("long").alias("frame"), "time_sec", by_top(F.col("lines")).alias("lines"))
-    return rows.repartition("roi").sortWithinPartitions("roi", "frame").mapInArrow(run, schema)
+    keys = track_of(framed)
+    rows = framed.where(F.size("lines") > 0).select(*keys, F.col("frame").cast("long").alias("frame"), "time_sec", by_top(F.col("lines")).alias("lines"))
+    texts, flat = F.transform("lines", lambda m: m["text"]), lambda a: F.replace(F.array_join(a, ""), F.lit(" "), F.lit(""))
+    seen = {"texts": F.array_sort(texts), "by_text": flat(F.array_sort(texts)), "by_top": flat(texts), "x": F.transform("lines", lambda m: m["x"]), "y": F.transform("lines", lambda m: m["y"])}
+    return fold.runs(rows.withColumns(seen), keys, ["frame"], "frame", ["time_sec", *seen], _goes_on, parts=parts).drop(*seen)
 
 
 def groups(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
@@ -126,9 +106,9 @@ def groups(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
 
     from glyphflow.operators.merge import upper_median_of
 
-    timed = marked(framed).withColumn("t", F.when(F.col("time_sec") > 0, F.col("time_sec")))
-    step = F.col("t") - F.lag("t").over(W.partitionBy("roi", "run", F.col("t").isNull()).orderBy("t"))
-    g = timed.withColumn("step", F.when(step > 0, step)).groupBy("roi", F.col("run").alias("start_frame")).agg(
+    keys, timed = track_of(framed), marked(framed).withColumn("t", F.when(F.col("time_sec") > 0, F.col("time_sec")))
+    step = F.col("t") - F.lag("t").over(W.partitionBy(*keys, "run", F.col("t").isNull()).orderBy("t"))
+    g = timed.withColumn("step", F.when(step > 0, step)).groupBy(*keys, F.col("run").alias("start_frame")).agg(
         F.max("frame").alias("end_frame"),
         F.count(F.lit(1)).alias("n_frames"),
         F.min(F.when(F.col("t").isNotNull(), F.struct("frame", "t")))["t"].alias("start_sec"),
@@ -136,12 +116,12 @@ def groups(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
         upper_median_of("step").alias("step"),
         F.min_by("lines", "frame").alias("lines"),
     )
-    return g.where(F.col("end_frame") - F.col("start_frame") + 1 >= min_frames).select("roi", "start_frame", "end_frame", "n_frames", "start_sec", "last_sec", "step", "lines")
+    return g.where(F.col("end_frame") - F.col("start_frame") + 1 >= min_frames).select(*keys, "start_frame", "end_frame", "n_frames", "start_sec", "last_sec", "step", "lines")
 
 
 def segments(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
     """roi, group_id (from 0 in order of frames), start_frame, end_frame, n_frames."""
     from pyspark.sql import Window as W
 
-    g = groups(framed, min_frames)
-    return g.select("roi", (F.row_number().over(W.partitionBy("roi").orderBy("start_frame")) - 1).cast("long").alias("group_id"), "start_frame", "end_frame", "n_frames")
+    keys, g = track_of(framed), groups(framed, min_frames)
+    return g.select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy("start_frame")) - 1).cast("long").alias("group_id"), "start_frame", "end_frame", "n_frames")

@@ -77,24 +77,27 @@ class _Track:
         self.first = before
 
 
-def read_runs(rows: Iterator[dict], read: Callable, alike: Callable, moved: Callable, step: int = STEP) -> Iterator[tuple[dict, list[dict], int]]:
+def read_runs(rows: Iterator[dict], read: Callable, alike: Callable, moved: Callable, step: int = STEP, memory: dict | None = None) -> Iterator[tuple[dict, list[dict], int]]:
     """(row, its lines, calls of ``read`` it took) for the rows of one roi in order of frames; row["image"] is an image.
 
     An image that hardly moved since the last one that was looked at takes the last result. Else it is read; if it
     holds text, images are probed at growing distance until one isn't alike, the end of the run is found by halving
     (alike, and the same text), and the run takes the vote of its first, middle and last image. Images are held from
-    the start of a run to its last probe.
+    the start of a run to its last probe. ``memory`` holds the image that was looked at last (seen) and the last result
+    (last), from rows before these and, at the end, for those after them.
     """
-    track, at, seen, last = _Track(rows), 0, None, []
+    memory = {} if memory is None else memory
+    track, at, last = _Track(rows), 0, memory.get("last", [])
     while track.has(at):
-        now = track[at]
-        still, seen = seen is not None and not moved(seen, now["image"]), now["image"]
+        now, seen = track[at], memory.get("seen")
+        still = seen is not None and not moved(seen, now["image"])
+        memory["seen"], memory["last"] = now["image"], last
         if still:
             yield now, last, 0
             at += 1
             track.forget(at)
             continue
-        own = last = read(now["image"])
+        own = last = memory["last"] = read(now["image"])
         calls = 1
         if not _text(own):
             yield now, own, calls
@@ -117,54 +120,75 @@ def read_runs(rows: Iterator[dict], read: Callable, alike: Callable, moved: Call
         picked = sorted({0, n // 2 if n > 2 else 0, n - 1})
         reads = [own, *(read(track[at + k]["image"]) for k in picked[1:])]
         calls += len(picked) - 1
-        last = _voted(reads) if len(reads) > 1 else reads[0]
+        last = memory["last"] = _voted(reads) if len(reads) > 1 else reads[0]
         for k in range(at, end + 1):
             yield track[k], last, calls if k == at else 0
         at = end + 1
         track.forget(at)
 
 
-def skip_runs(crops: DataFrame, reader: Callable[[], Callable], step: int = STEP, moved: float = MOVED, similar: float = ALIKE, delta: int = DELTA, sentinel: bool = True) -> DataFrame:
-    """roi, frame, time_sec, lines (``LINE``), calls: recognition of crops (roi, frame, time_sec, h, w, image) by runs.
+class Recogniser:
+    """``read_runs`` over rows (.., h, w, image: BGR bytes) as a task does it: made there, with the task's reader."""
 
-    ``reader`` makes, once for each task, the function that recognises an image (h x w x 3, BGR): a list of (text,
-    score, box, polygon). A roi is read by one task in order of frames, which holds the images of one run at a time.
-    """
-    import pandas as pd
+    def __init__(self, reader: Callable[[], Callable], step: int, moved: float, similar: float, delta: int, sentinel: bool):
+        from glyphflow.operators import image
 
-    from glyphflow.operators import image
+        read_raw, self.step, self.image = reader(), step, image
+        self.read = lambda x: [dict(zip(("text", "score", "box", "polygon"), line)) for line in read_raw(x["bgr"])]
+        self.alike = lambda a, b: image.structural_similarity(a["gray"], b["gray"]) >= similar
+        self.moved = (lambda a, b: image.changed_share(a["gray"], b["gray"], delta) >= moved) if sentinel else (lambda a, b: True)
 
-    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read_raw = reader()
-        read = lambda x: [dict(zip(("text", "score", "box", "polygon"), line)) for line in read_raw(x["bgr"])]
-        alike = lambda a, b: image.structural_similarity(a["gray"], b["gray"]) >= similar
-        changed = (lambda a, b: image.changed_share(a["gray"], b["gray"], delta) >= moved) if sentinel else (lambda a, b: True)
+    def decoded(self, h: int, w: int, data: bytes) -> dict:
+        bgr = self.image.decode(data, h, w)
+        return {"bgr": bgr, "gray": self.image.gray(bgr)}
 
-        def rows() -> Iterator[dict]:
-            for page in pages:
-                for r in page.to_dict("records"):
-                    bgr = image.decode(r.pop("image"), r.pop("h"), r.pop("w"))
-                    yield r | {"image": {"bgr": bgr, "gray": image.gray(bgr)}}
+    def run(self, rows: Iterator[dict], memory: dict) -> Iterator[tuple[dict, list[dict], int]]:
+        decoded = (r | {"image": self.decoded(r["h"], r["w"], r["image"])} for r in rows)
+        return read_runs(decoded, self.read, self.alike, self.moved, self.step, memory)
 
-        for track in _by_roi(rows()):
-            out = [(r["roi"], r["frame"], r["time_sec"], lines, calls) for r, lines, calls in read_runs(track, read, alike, changed, step)]
-            yield pd.DataFrame(out, columns=["roi", "frame", "time_sec", "lines", "calls"])
 
-    rows = crops.select(F.col("roi").cast("string"), F.col("frame").cast("long"), F.col("time_sec").cast("double"), F.col("h").cast("int"), F.col("w").cast("int"), "image")
-    return rows.repartition("roi").sortWithinPartitions("roi", "frame").mapInPandas(run, f"roi string, frame long, time_sec double, lines array<{LINE}>, calls int")
+def skip_runs(crops: DataFrame, reader: Callable[[], Callable], step: int = STEP, moved: float = MOVED, similar: float = ALIKE, delta: int = DELTA, sentinel: bool = True, slice_sec: float | None = None, fps: float = 25.0, shared: bool = False) -> DataFrame:
+    """roi (and video), frame, time_sec, lines (``LINE``), calls: recognition of crops (roi, frame, time_sec, h, w, image)
+    by runs.
 
-
-def _by_roi(rows: Iterator[dict]) -> Iterator[Iterator[dict]]:
-    """The rows of each roi, one roi after another."""
+    ``reader`` makes, once for each task, the function that recognises an image (h x w x 3, BGR): a list of (text,
+    score, box, polygon). With ``slice_sec``, a track is cut into slices of time (``slices.bucket``), which runs don't
+    cross. Then each slice begins afresh and is a task's of its own, so that a long track takes many; unless slices are
+    ``shared``: one after the other in one task, each knowing the last image and result of the one before. A task holds
+    the images of one run at a time.
+    """
     import itertools
 
-    for _, own in itertools.groupby(rows, key=lambda r: r["roi"]):
-        yield own
+    import pandas as pd
+
+    from glyphflow.operators.segment import track_of
+    from glyphflow.streaming.slices import bucket
+
+    keys = track_of(crops)
+    names = [*keys, "frame", "time_sec", "lines", "calls"]
+
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, track, memory = Recogniser(reader, step, moved, similar, delta, sentinel), None, {}
+        rows = (r for page in pages for r in page.to_dict("records"))
+        for (now, _), part in itertools.groupby(rows, key=lambda r: (tuple(r[k] for k in keys), r["_slice"])):
+            memory = memory if shared and now == track else {}
+            track = now
+            done = ((*now, r["frame"], r["time_sec"], lines, calls) for r, lines, calls in own.run(part, memory))
+            while out := list(itertools.islice(done, 500)):
+                yield pd.DataFrame(out, columns=names)
+
+    part = bucket(F.col("time_sec"), F.col("frame"), fps, slice_sec) if slice_sec else F.lit(0).cast("long")
+    rows = crops.select(*(F.col(k).cast("string") for k in keys), F.col("frame").cast("long"), F.col("time_sec").cast("double"), F.col("h").cast("int"), F.col("w").cast("int"), "image").withColumn("_slice", part)
+    dealt = rows.repartition(*keys, *([] if shared or not slice_sec else ["_slice"]))
+    schema = ", ".join(f"{k} string" for k in keys) + f", frame long, time_sec double, lines array<{LINE}>, calls int"
+    return dealt.sortWithinPartitions(*keys, "_slice", "frame").mapInPandas(run, schema)
 
 
 def run_metrics(results: DataFrame) -> DataFrame:
-    """roi, frames, calls, filled (frames that took the reading of another), saved: what skipping runs was worth."""
-    m = results.groupBy("roi").agg(F.count(F.lit(1)).alias("frames"), F.sum("calls").alias("calls"), F.count_if(F.col("calls") == 0).alias("filled"))
+    """roi (and video), frames, calls, filled (frames that took the reading of another), saved: what skipping runs was worth."""
+    from glyphflow.operators.segment import track_of
+
+    m = results.groupBy(*track_of(results)).agg(F.count(F.lit(1)).alias("frames"), F.sum("calls").alias("calls"), F.count_if(F.col("calls") == 0).alias("filled"))
     return m.withColumn("saved", 1 - F.least(F.col("calls") / F.col("frames"), F.lit(1.0)))
 
 

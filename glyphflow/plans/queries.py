@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 
 from glyphflow.functions import geometry, timefmt
 from glyphflow.functions import text as T
-from glyphflow.operators import classify, detect, engines, gate, intervals, merge, profile, refine, segment, vote
+from glyphflow.operators import classify, detect, engines, gate, intervals, merge, polish, profile, refine, segment, vote
 from glyphflow.plans import sql, subtitles, views
 from glyphflow.sources import readers, writers
 from glyphflow.streaming import slices
@@ -46,8 +47,7 @@ def interval_union_count(spark, sf):
 @query(f"WITH {ROIS}, d AS (SELECT DISTINCT date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS frame FROM lineitem) SELECT frame, count(*) AS active, min(key) AS first_key FROM d JOIN rois ON frame BETWEEN least(s, e) AND greatest(s, e) GROUP BY frame")
 def interval_frame_join(spark, sf):
     frames = views.table(spark, sf, "lineitem").select(views.days("l_shipdate").alias("frame")).distinct()
-    met = intervals.frame_join(frames, intervals.clamp(views.intervals(spark, sf), 1_000_000))
-    return met.groupBy("frame").agg(F.count(F.lit(1)).alias("active"), F.min("key").alias("first_key"))
+    return intervals.active_counts(frames, intervals.clamp(views.intervals(spark, sf), 1_000_000), "key")
 
 
 @query(f"WITH {ROIS}, b AS (SELECT kind, min(least(s, e)) AS lo, max(greatest(s, e)) AS hi FROM rois GROUP BY kind), n AS (SELECT *, least(48, hi - lo + 1) AS n FROM b) SELECT DISTINCT kind, CAST(floor(lo + i * ((hi - lo) / CAST(n - 1 AS DOUBLE))) AS BIGINT) AS frame FROM n, unnest(generate_series(0, n - 1)) AS t(i)")
@@ -135,10 +135,10 @@ def source_counters(spark, sf):
     return classify.counters(classify.classify(_placed(spark, sf), "news"), "surveillance")
 
 
-@query(f"WITH {SUBS}, c AS (SELECT roi, seq, {sql.canonical('body')} AS a FROM subs WHERE seq % 3 = 0), p AS (SELECT roi, seq, a, lag(a) OVER (PARTITION BY roi ORDER BY seq) AS b FROM c), {sql.common('p')} SELECT roi, seq, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(n, 0) / (length(a) + length(b)) END, 6) AS ratio FROM p LEFT JOIN lc USING (roi, seq) WHERE b IS NOT NULL")
+@query(f"WITH {SUBS}, c AS (SELECT roi, seq, {sql.canonical('body')} AS a FROM subs), p AS (SELECT roi, seq, a, lag(a) OVER (PARTITION BY roi ORDER BY seq) AS b FROM c), {sql.common('p')} SELECT roi, seq, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(n, 0) / (length(a) + length(b)) END, 6) AS ratio FROM p LEFT JOIN lc USING (roi, seq) WHERE b IS NOT NULL")
 def indel_ratio(spark, sf):
-    """Turns (each is the first of its three events) against the one before."""
-    return _ratios(views.subtitles(spark, sf).where("seq % 3 = 0").select("roi", "seq", T.canonical(F.col("body")).alias("a")))
+    """Every event against the one before."""
+    return _ratios(views.subtitles(spark, sf).select("roi", "seq", T.canonical(F.col("body")).alias("a")))
 
 
 def _ratios(canon: DataFrame) -> DataFrame:
@@ -168,6 +168,16 @@ def fragment_groups(spark, sf):
     return merge.fragment_groups(views.fragments(spark, sf)).select("roi", "seq", "grp")
 
 
+def _obliging(prompt: str) -> str:
+    """A client that does a little to each line."""
+    return json.dumps({"lines": [{"id": r["id"], "text": r["text"] + " ok"} for r in json.loads(prompt)["lines"]]})
+
+
+@query(rf"WITH {SUBS} SELECT roi, seq, regexp_replace(regexp_replace(body, '\\[nrt]|\r\n|[\r\n\t\x{{a0}}\x{{3000}}]', ' ', 'g') || ' ok', ' {{2,}}', ' ', 'g') AS body FROM subs")
+def polished_events(spark, sf):
+    return polish.polish(views.subtitles(spark, sf).select("roi", "seq", "body"), _obliging)
+
+
 @query(f"WITH {SUBS}, c AS (SELECT roi % 50 AS grp, roi * 1000 + seq AS seq, body, {sql.canonical('body')} AS canon FROM subs), v AS (SELECT grp, canon, count(*) AS votes FROM c GROUP BY 1, 2), b AS (SELECT grp, canon FROM v QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, length(canon) DESC, canon) = 1) SELECT grp, body FROM c JOIN b USING (grp, canon) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY length(body) DESC, seq) = 1")
 def majority_body(spark, sf):
     return _majority(views.subtitles(spark, sf))
@@ -298,9 +308,11 @@ def subtitle_events(spark, sf):
     return subtitles.events(views.track(spark, sf))
 
 
-@query(f"WITH RECURSIVE {sql.EVENTS} SELECT roi, island AS seq, start_time AS start, 'Dialogue: 0,' || start_time || ',' || end_time || ',' || style || ',,0,0,0,,' || tags || body AS line FROM done")
+@query(f"WITH RECURSIVE {sql.EVENTS} SELECT 'v' || (roi % 2) AS video, roi // 2 AS roi, island AS seq, start_time AS start, 'Dialogue: 0,' || start_time || ',' || end_time || ',' || style || ',,0,0,0,,' || tags || body AS line FROM done")
 def subtitle_file(spark, sf):
-    return subtitles.dialogue(views.track(spark, sf))
+    """Two videos, whose regions have the same ids."""
+    track = views.track(spark, sf)
+    return subtitles.dialogue(track.withColumns({"video": F.concat(F.lit("v"), F.col("roi") % 2), "roi": F.floor(F.col("roi") / 2)}))
 
 
 @query(f"WITH {sql.BOXES}, c AS (SELECT grp, least(4, CAST(floor((x1 + x2) / 2.0 / 640 * 5) AS INT)) AS gx, least(4, CAST(floor((y1 + y2) / 2.0 / 360 * 5) AS INT)) AS gy, count(*) AS n FROM boxes GROUP BY 1, 2, 3), p AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p FROM c) SELECT grp, round(-sum(p * log2(p + 1e-10)) / log2(25), 6) AS entropy FROM p GROUP BY grp")
@@ -315,9 +327,10 @@ def spatial_features(spark, sf):
     return views.boxes(spark, sf).select("key", F.round(f["rel_y"], 6).alias("rel_y"), F.round(f["rel_height"], 6).alias("rel_height"), f["edge"].alias("edge"), f["safe"].alias("safe"))
 
 
-@query(f"WITH {sql.BOXES} SELECT grp, avg(x1) AS x1, avg(y1) AS y1, avg(x2) AS x2, avg(y2) AS y2 FROM boxes WHERE key % 97 < 9 GROUP BY grp")
+@query(f"WITH {sql.BOXES} SELECT key // 10 AS grp, avg(x1) AS x1, avg(y1) AS y1, avg(x2) AS x2, avg(y2) AS y2 FROM boxes GROUP BY 1")
 def mean_box(spark, sf):
-    own = views.boxes(spark, sf).where("key % 97 < 9").groupBy("grp").agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])).alias("b")).select("grp", profile.mean_box(F.col("b")).alias("m"))
+    """Of the boxes of each order."""
+    own = views.boxes(spark, sf).groupBy(F.floor(F.col("key") / 10).alias("grp")).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])).alias("b")).select("grp", profile.mean_box(F.col("b")).alias("m"))
     return own.select("grp", *[F.get("m", F.lit(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 

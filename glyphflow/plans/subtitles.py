@@ -24,7 +24,7 @@ def filtered(lines: DataFrame, preset: str, width: int, height: int) -> DataFram
 
 
 def raw_events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFrame:
-    """roi, seq, start_sec, end_sec, start_time, end_time, style, tags, body: before noise goes and neighbours merge.
+    """roi (and video), seq, start_sec, end_sec, start_time, end_time, style, tags, body: before noise goes and neighbours merge.
 
     Groups that don't fit the profile of their roi are left out. A group without any positive time is timed by its
     frames, whose hundredths are cut off; others by seconds, whose hundredths are rounded.
@@ -37,13 +37,14 @@ def raw_events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFr
     end = F.when(spoken, F.col("last_sec") + F.coalesce("step", F.lit(1.0 / fps if fps > 0 else 0.04))).otherwise((F.col("end_frame") + 1) / fps)
     start = F.when(spoken, F.col("start_sec")).otherwise(F.col("start_frame") / fps)
     text = lambda sec, frame: F.when(spoken, timefmt.from_seconds(sec)).otherwise(timefmt.from_frame(frame, fps))
-    rows = kept.select("roi", "start_frame", start.alias("start_sec"), end.alias("end_sec"), text(start, F.col("start_frame")).alias("start_time"), text(end, F.col("end_frame") + 1).alias("end_time"), F.posexplode(profile.style(F.col("lines"), F.col("y"), F.lit(height))).alias("k", "e"))
-    return rows.select("roi", (F.col("start_frame") * 1000 + F.col("k")).alias("seq"), "start_sec", "end_sec", "start_time", "end_time", "e.style", "e.tags", "e.body")
+    keys = segment.track_of(lines)
+    rows = kept.select(*keys, "start_frame", start.alias("start_sec"), end.alias("end_sec"), text(start, F.col("start_frame")).alias("start_time"), text(end, F.col("end_frame") + 1).alias("end_time"), F.posexplode(profile.style(F.col("lines"), F.col("y"), F.lit(height))).alias("k", "e"))
+    return rows.select(*keys, (F.col("start_frame") * 1000 + F.col("k")).alias("seq"), "start_sec", "end_sec", "start_time", "end_time", "e.style", "e.tags", "e.body")
 
 
 def events(lines: DataFrame, height: int = 100, fps: float = 25.0, preset: str | None = None, width: int = 100) -> DataFrame:
     """roi, seq, start_sec, end_sec, start_time, end_time, style, tags, body: from lines (roi, seq, frame, time_sec, text,
-    score, x, y; top, height). With ``preset``, only of lines whose source it keeps."""
+    score, x, y; top, height; video, where there are several, whose tracks are kept apart). With ``preset``, only of lines whose source it keeps."""
     if preset is not None:
         lines = filtered(segment.readable(lines), preset, width, height)
     return merge.merge_neighbours(merge.drop_noise(raw_events(lines, height, fps))).withColumnRenamed("island", "seq").drop("n")

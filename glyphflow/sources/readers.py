@@ -66,11 +66,17 @@ def record_stream(spark: SparkSession, path: str, files: int = 2) -> DataFrame:
 
 
 def referred(spark: SparkSession, refs: DataFrame, path: str) -> DataFrame:
-    """Records of refs (roi_id, frame_num, time_sec, path): what the JSON file of that path holds; missing files give none."""
+    """Records of refs (roi_id, frame_num, time_sec, path): what the JSON file of that path holds; missing files give none.
+
+    A path that isn't absolute is one below ``path``. The join is by the whole path, so files of one name in many folders
+    don't meet.
+    """
     body = ", ".join(c for c in RECORD.split(", ") if c.split()[0] not in ("roi_id", "frame_num", "time_sec"))
-    stored = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.from_json("value", body).alias("r"))
-    met = refs.withColumn("_name", F.regexp_extract("path", r"([^/]*)$", 1)).join(stored.withColumn("_name", F.regexp_extract("_file", r"([^/]*)$", 1)), "_name")
-    return met.where(F.endswith("_file", "path")).select("roi_id", "frame_num", "time_sec", "r.*")
+    plain = lambda c: F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")  # noqa: E731  without scheme and host
+    stored = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(plain(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))).alias("_file"), F.from_json("value", body).alias("r"))
+    root = F.lit(path.rstrip("/") + "/")
+    at = plain(F.when(F.col("path").rlike(r"^(/|[a-zA-Z][a-zA-Z0-9+.-]*:)"), F.col("path")).otherwise(F.concat(root, "path")))
+    return refs.withColumn("_file", at).join(stored, "_file").select("roi_id", "frame_num", "time_sec", "r.*")
 
 
 def lines(records_: DataFrame) -> DataFrame:
@@ -94,13 +100,15 @@ def track(lines_: DataFrame) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """roi_id (file_0, file_1, ... in order of names), path, content of jpg, jpeg and png files.
+    """folder, roi_id (file_0, file_1, ... in order of a folder's names), path, content of jpg, jpeg and png files.
 
-    The order is that of one folder's names, without contents, so a single window over them holds names alone.
+    The order is that of one folder's names, without contents, so a single window over them holds names alone. Every folder
+    has a file_0: folder and roi_id together are the key.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path).select("path", "content")
-    names = found.select("path").withColumn("roi_id", F.concat(F.lit("file_"), F.row_number().over(W.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy("path")) - 1))
-    return found.join(names, "path").select("roi_id", "path", "content")
+    names = found.select("path", F.regexp_extract("path", "^(.*)/", 1).alias("folder"))
+    names = names.withColumn("roi_id", F.concat(F.lit("file_"), F.row_number().over(W.partitionBy("folder").orderBy("path")) - 1))
+    return found.join(names, "path").select("folder", "roi_id", "path", "content")
 
 
 def template_header(text: Column, width: Column, height: Column) -> Column:

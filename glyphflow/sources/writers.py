@@ -25,10 +25,10 @@ def dialogue(start: Column, end: Column, style: Column, tags: Column, body: Colu
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    """roi, seq, start, line: from (roi, seq, start_sec, end_sec, style, tags, body) and, where there are, start_time and end_time."""
+    """roi (and video), seq, start, line: from (roi, seq, start_sec, end_sec, style, tags, body) and, where there are, start_time and end_time."""
     text = lambda c: F.col(f"{c}_time") if f"{c}_time" in events.columns else timefmt.from_seconds(F.col(f"{c}_sec"))
-    roi = ["roi"] if "roi" in events.columns else []
-    return events.select(*roi, "seq", text("start").alias("start"), dialogue(text("start"), text("end"), F.col("style"), F.col("tags"), F.col("body")).alias("line"))
+    keys = [c for c in ("video", "roi") if c in events.columns]
+    return events.select(*keys, "seq", text("start").alias("start"), dialogue(text("start"), text("end"), F.col("style"), F.col("tags"), F.col("body")).alias("line"))
 
 
 def write_subtitles(events: DataFrame, path: str, head: str, numeric: bool = False) -> None:
@@ -45,6 +45,37 @@ def write_subtitles(events: DataFrame, path: str, head: str, numeric: bool = Fal
     both.select("line").write.mode("overwrite").text(path)
 
 
+def write_video_subtitles(events: DataFrame, videos: DataFrame, path: str, numeric: bool = False) -> None:
+    """A subtitle file for each of ``videos`` (video, width, height; title and file, by default the video's name), in one job.
+
+    Events (video, roi, seq and the columns of ``event_lines``) go by text of start (by seconds if ``numeric``), then roi
+    and seq, after the header; a video without events has the header alone, and events of other videos are left out. Each
+    file appears whole or not at all, and all of them only when the whole job is done (``files.LineFiles``); files that
+    are there already are replaced, others stay.
+    """
+    from glyphflow.sources.files import LineFiles
+
+    known = videos.dropDuplicates(["video"]).select("video", *(F.coalesce(F.col(c) if c in videos.columns else F.lit(None), F.col("video")).cast("string").alias(c) for c in ("title", "file")), "width", "height")
+    lines = event_lines(events).withColumn("_at", timefmt.to_seconds(F.col("start")) if numeric else F.col("start"))
+    order = ["_at", *[c for c in ("roi", "seq") if c in lines.columns]]
+    body = lines.join(known.select("video", "file"), "video").select(F.concat("file", F.lit(".ass")).alias("file"), F.lit(1).alias("part"), "line", *order)
+    # the header is a template whose heights are filled in for each video
+    sizes = [F.format_string("%.0f", F.col("height") * share / 100) for _, _, share, *_ in STYLES]
+    head = F.format_string(_header_template(), "title", F.col("width").cast("int"), F.col("height").cast("int"), *sizes)
+    first = known.select(F.concat("file", F.lit(".ass")).alias("file"), F.lit(0).alias("part"), head.alias("line"))
+    rows = first.unionByName(body, allowMissingColumns=True)
+    events.sparkSession.dataSource.register(LineFiles)
+    rows.repartition("file").sortWithinPartitions("file", "part", *order).select("file", "line").write.format(LineFiles.name()).mode("append").save(path)
+
+
+def _header_template() -> str:
+    """``header`` with places for the title, the size and the font sizes."""
+    text = header("%s", 0, 0).rstrip("\n").replace("PlayResX: 0", "PlayResX: %d").replace("PlayResY: 0", "PlayResY: %d")
+    for _, font, *_ in STYLES:
+        text = text.replace(f"{font},0,", f"{font},%s,")
+    return "\ufeff" + text
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """Recognised or restored frames as JSON, a folder for each roi."""
     records.write.mode("overwrite").partitionBy("roi_id").json(path)
@@ -68,7 +99,7 @@ def region_json(regions: DataFrame) -> str:
 
 
 def save_regions(regions: DataFrame, path: str) -> None:
-    """Writes ``region_json`` to a file that others never see half written: a new name, then a rename."""
+    """Writes ``region_json`` to a file that others never see half written nor missing: a new name, then a rename over it."""
     spark = regions.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, part = hadoop.Path(path), hadoop.Path(path + ".part")
@@ -79,10 +110,10 @@ def save_regions(regions: DataFrame, path: str) -> None:
         out.hsync()
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} can't be written")
+    context = hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.sc().hadoopConfiguration())
+    options = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(part, target, options)
 
 
 def settings_key(path: Column) -> Column:

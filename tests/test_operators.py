@@ -1,13 +1,15 @@
 import json
 import random
+import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from glyphflow.functions import geometry, timefmt
 from glyphflow.functions import text as T
-from glyphflow.operators import classify, detect, engines, gate, image, merge, polish, refine, scan, segment, vote
+from glyphflow.operators import classify, detect, engines, fold, gate, image, ledger, merge, polish, refine, scan, segment, vote
 from glyphflow.plans import subtitles, views
 from glyphflow.sources import readers, writers
 from glyphflow.streaming import slices
@@ -143,6 +145,78 @@ def test_polish(spark):
     assert polish.align(["a", "b", "c"], ["a", "x", "c", "d"]) == (["a", "b", "c"], ["a", "x", "c"])
 
 
+def test_polish_by_track(spark, tmp_path):
+    """Tracks with equal seq keep their own bodies; batches are of one track, of as many as there are, however seq runs; a
+    ledger is asked instead of the client when a job that failed runs again."""
+    rows = [(v, r, s, f"{v} {r} number {s} said this") for v in ("v1", "v2") for r in ("roi_0", "roi_1") for s in range(0, 700, 7)] + [("v1", None, 3, None)]
+    df = spark.createDataFrame(rows, "video string, roi string, seq long, body string").repartition(5)
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+
+    def client(prompt, fail=False):
+        asked = json.loads(prompt)["lines"]
+        (calls / uuid.uuid4().hex).write_text(str(len(asked)))
+        if fail and "v2 roi_1 number 567 " in prompt:
+            raise KeyboardInterrupt  # the task goes down
+        return json.dumps({"lines": [{"id": r["id"], "text": r["text"] + "."} for r in asked]})
+
+    with pytest.raises(Exception):
+        polish.polish(df, lambda p: client(p, True), ledger=ledger, at_once=1).collect()  # one call at a time
+    before = len(list(calls.iterdir()))
+    got = {tuple(r)[:3]: r.body for r in polish.polish(df, client, ledger=ledger, at_once=2).collect()}
+    assert got == {(v, r, s): (b or "") + "." for v, r, s, b in rows}
+    sizes = sorted(int(p.read_text()) for p in calls.iterdir())
+    assert set(sizes) == {1, 20, 40} and 1 <= before and len(sizes) == 13 + 2  # each batch once, the call that failed, and the empty text, whose answer is found wanting
+    polish.polish(df, client, ledger=ledger).collect()
+    assert len(list(calls.iterdir())) == 15
+
+
+def test_ledger(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def client(prompt):
+        (calls / uuid.uuid4().hex).touch()
+        if prompt == "bad":
+            raise ValueError(prompt)
+        return prompt[::-1]
+
+    df = spark.createDataFrame([(i, ["ab", "cd", None, "bad", ""][i % 5]) for i in range(50)], "id long, prompt string")
+    want = {"ab": "ba", "cd": "dc", None: None, "bad": None, "": ""}
+    for url in (str(tmp_path / "one"), f"file://{tmp_path}/two"):
+        for _ in range(2):
+            assert all(r.answer == want[r.prompt] for r in ledger.asked(df, client, url, at_once=3).collect())
+    assert len(list(calls.iterdir())) == 2 * (4 + 1)  # each prompt once, but the one without an answer
+
+
+def test_runs_over_many_partitions(spark, monkeypatch):
+    """A fold in many partitions gives the runs of a fold in one: short runs, drifting ones, one over all, ties, no rows."""
+    rnd = random.Random(6)
+    rows = []
+    for track in (None, "a", "b", "c", "still"):
+        x = 0.0
+        for i in range(rnd.choice([1, 300]) if track != "still" else 900):
+            x += rnd.choice([0, 0, 1, 1, -1, 2]) if track in ("a", "b") else rnd.choice([0.0, 9.0]) if track == "c" else 0
+            rows.append((track, i * 2, x))
+    near = lambda anchor, last, now: abs(now["x"] - anchor["x"]) <= 4 and now["at"] - last["at"] <= 2
+    want, anchor, last = {}, None, None
+    for t, at, x in rows:
+        now = {"t": t, "at": at, "x": x}
+        if anchor is None or anchor["t"] != t or not near(anchor, last, now):
+            anchor = now
+        last = now
+        want[t, at] = anchor["at"]
+    df = spark.createDataFrame(rows, "t string, at long, x double").repartition(7)
+    again = []
+    whole = fold._again
+    monkeypatch.setattr(fold, "_again", lambda *a: again.append(1) or whole(*a))
+    for parts in (1, 8, 60):
+        found = fold.runs(df, ["t"], ["at"], "at", ["x"], near, parts=parts).collect()
+        assert len(found) == len(rows) and {(r.t, r.at): r.run for r in found} == want
+    assert 1 <= len(again) <= 20
+    assert fold.runs(df.limit(0), ["t"], ["at"], "at", ["x"], near).collect() == []
+
+
 def test_client_is_asked_again():
     waits, said = [], iter([polish.Busy(), polish.Busy(), "yes"])
 
