@@ -1,16 +1,18 @@
 """Collocations: frequent phrases, scored by how much oftener their parts meet than chance has it.
 
-First pass: every task counts all phrases of up to five words in a count-min sketch, the tasks' sketches are summed block
-by block, and of the sum only one bit a counter is kept: whether it reaches the least count. A sketch never counts too
-little, so a phrase with a clear bit isn't frequent, and no frequent one is lost. Second pass: phrases with all bits set
-are counted exactly, by their text, in a grouped aggregation; a phrase isn't looked at where its beginning has a clear
-bit. What was frequent only in the sketch then goes. Parts of a frequent phrase are at least as frequent, so their counts
-are all there. Scores, in exact whole numbers, and subsumption are joins over the frequent phrases.
+First, every task counts phrases in a count-min sketch, the tasks' sketches are summed block by block, and of the sum only
+one bit a counter is kept: whether it reaches the least count. A sketch never counts too little, so a phrase with a clear
+bit isn't frequent, and no frequent one is lost. Words and pairs are sketched first. A longer phrase is only sketched if all
+the pairs in it may be frequent, which leaves out nearly all of the rare ones, and they are most of what fills counters.
+Then phrases with all bits set are counted exactly, by their text, in a grouped aggregation. What was frequent only in the
+sketch then goes. Parts of a frequent phrase are at least as frequent, so their counts are all there. Scores, in exact
+whole numbers, and subsumption are joins over the frequent phrases.
 
 Within a task, the words of some megabytes of text are numbered and phrases counted as numbers, so what leaves it is one
-row for each phrase and slice of text. The sketch has a fixed size (``width`` counters in each of ``DEPTH`` rows, of which
-the driver and the tasks hold a bit each): with far more text than ``width`` is made for, fewer phrases are ruled out, and
-the second pass counts more, but nothing else changes. A language with most of the rows is one key of nothing but
+row for each phrase and slice of text. A sketch has a fixed size (``width`` counters in each of ``DEPTH`` rows; a task sends
+those that it counted in, so no more than its text has phrases, and the driver and all tasks hold a bit each): with far
+more text than ``width`` is made for, fewer phrases are ruled out, and the last pass counts more, but nothing else changes.
+A language with most of the rows is one key of nothing but
 its total and its ranks, and those are found among the best of ``SALTS`` parts.
 """
 
@@ -27,7 +29,7 @@ from glyphflow.llm._common import ascii_lower, stored
 
 LONGEST = 5
 DEPTH = 3
-MOST_WIDTH = 1 << 22
+MOST_WIDTH = 1 << 24
 BLOCK = 1 << 16  # counters of a sketch that are summed together
 SLICE = 8 << 20  # bytes of text that a task numbers at a time
 SALTS = 64
@@ -108,24 +110,32 @@ def _words(part: pa.RecordBatch):
     return texts.dictionary, texts.indices.to_numpy().astype(np.int64), row, closes - np.arange(len(first))
 
 
-def _phrases(part: pa.RecordBatch, kept):
-    """For every length: hash, count, number of the beginning (of words: the language), number of the last word, of the
-    distinct phrases. ``kept`` says of hashes which phrases are of use, also as the beginning of longer ones."""
+def _phrases(part: pa.RecordBatch, kept, longest: int = LONGEST):
+    """First the languages, the words, and the words of each language; then for every length: hash, count, number of the
+    beginning (of words: the language), number of the last word, use, of the distinct phrases. ``kept(k, hashes)`` says which
+    phrases may be frequent: others, and longer ones with those among their words or pairs, are of no use."""
     import numpy as np
     import pandas as pd
 
     words, word, row, left = _words(part)
     langs = part.column("lang").dictionary_encode()
     lang_hash, word_hash, n = _hashes(langs.dictionary), _hashes(words), max(len(words), 1)
-    yield langs.dictionary, words, np.bincount(langs.indices.to_numpy()[row], minlength=len(langs.dictionary))
-    at, begin, begin_hash = np.arange(len(word)), langs.indices.to_numpy()[row].astype(np.int64), lang_hash
-    for k in range(1, LONGEST + 1):
+    lang = langs.indices.to_numpy()[row].astype(np.int64)
+    yield langs.dictionary, words, np.bincount(lang, minlength=len(langs.dictionary))
+    at, begin, begin_hash = np.arange(len(word)), lang, lang_hash
+    follows = np.zeros(len(word), bool)  # whether the pair that begins at a word may be frequent
+    for k in range(1, longest + 1):
         code, pairs = pd.factorize(begin * n + word[at + k - 1])
         before, last = pairs // n, pairs % n
         found = _mixed(begin_hash[before] * np.uint64(0xD1342543DE82EF95) + word_hash[last] + np.uint64(k))
-        use = kept(found)
+        use = kept(k, found)
         yield found, np.bincount(code, minlength=len(pairs)), before, last, use
-        go = use[code] & (left[at] > k)
+        good = use[code]
+        if k == 2:
+            follows[at[good]] = True
+        go = good & (left[at] > k)
+        if k > 1:
+            go[go] = follows[at[go] + k - 1]
         at, begin, begin_hash = at[go], code[go], found
 
 
@@ -137,35 +147,79 @@ def _rows_of(found, width: int):
     return [(_mixed(found + np.uint64(d * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & mask).astype(np.int64) + d * width for d in range(DEPTH)]
 
 
-def _sketch(docs: DataFrame, width: int, least: int):
-    """One bit a counter: whether the sum of all tasks' sketches reaches ``least`` there (NumPy array, packed)."""
+def _among(found, bits, width: int):
+    """Which hashes have all their bits set."""
     import numpy as np
 
+    use = np.ones(len(found), bool)
+    for at in _rows_of(found, width):
+        use &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return use
+
+
+def _packed(block, kind: str) -> bytes:
+    """A block of counters: all of them, or where few aren't 0, the places and values of those."""
+    import numpy as np
+
+    at = np.flatnonzero(block)
+    if len(at) * (2 + block.itemsize) < block.nbytes:
+        return b"s" + at.astype("<u2").tobytes() + block[at].tobytes()
+    return b"d" + block.tobytes()
+
+
+def _unpacked(data: bytes, kind: str, size: int):
+    import numpy as np
+
+    if data[:1] == b"d":
+        return np.frombuffer(data, kind, offset=1).astype(np.int64)
+    n = (len(data) - 1) // (2 + np.dtype(kind).itemsize)
+    out = np.zeros(size, np.int64)
+    out[np.frombuffer(data, "<u2", n, 1)] = np.frombuffer(data, kind, n, 1 + 2 * n)
+    return out
+
+
+def _sketch(docs: DataFrame, width: int, least: int, pairs=None):
+    """One bit a counter: whether the sum of all tasks' sketches reaches ``least`` there (NumPy array, packed): of words and
+    pairs, or with the bits of those (``pairs``) of longer phrases."""
+    import numpy as np
+
+    small, size = "u1" if least < 256 else "<u4", min(BLOCK, DEPTH * width)
+    sent = None if pairs is None else docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def kept(k, found):
+        return np.ones(len(found), bool) if sent is None or k > 2 else _among(found, sent.value, width)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DEPTH * width, np.int64)
+        # no counter needs more than ``least``; so many phrases at a time can't carry one of two bytes over in a wide row
+        total = np.zeros(DEPTH * width, np.uint16 if width > 1 << 20 and least < 256 else np.uint32)
         for part in _slices(batches):
-            levels = _phrases(part, lambda h: np.ones(len(h), bool))
+            levels = _phrases(part, kept, 2 if sent is None else LONGEST)
             next(levels)
-            for found, times, _, _, _ in levels:
-                for at in _rows_of(found, width):
-                    np.add.at(total, at, times)
-        held = np.minimum(total, least).astype("<u4")  # as much as a sum needs to reach it
-        for a in range(0, len(held), BLOCK):
-            if held[a : a + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK], pa.int32()), pa.array([held[a : a + BLOCK].tobytes()], pa.binary())], names=["block", "counts"])
+            for k, (found, times, _, _, _) in enumerate(levels, 1):
+                if sent is not None and k < 3:
+                    continue
+                times = np.minimum(times, least).astype(total.dtype)
+                for a in range(0, len(found), 1 << 20):
+                    for at in _rows_of(found[a : a + (1 << 20)], width):
+                        np.add.at(total, at, times[a : a + (1 << 20)])
+                        total[at] = np.minimum(total[at], least)
+        for a in range(0, len(total), size):
+            own = total[a : a + size].astype(small)
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // size], pa.int32()), pa.array([_packed(own, small)], pa.binary())], names=["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, None
         out = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["block", "bits"])
         for batch in batches:
             for b, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                more = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+                more = _unpacked(counts.as_py(), small, size)
                 if b != block:
                     if block is not None:
                         yield out()
                     block, total = b, more
                 else:
-                    total = total + more
+                    total += more
         if block is not None:
             yield out()
 
@@ -173,26 +227,19 @@ def _sketch(docs: DataFrame, width: int, least: int):
     bits = np.zeros(DEPTH * width // 8, np.uint8)
     for r in blocks.collect():  # DEPTH * width bits, whatever the input
         own = np.frombuffer(r.bits, np.uint8)
-        bits[r.block * BLOCK // 8 : r.block * BLOCK // 8 + len(own)] = own
+        bits[r.block * size // 8 : r.block * size // 8 + len(own)] = own
     return bits
 
 
-def _survivors(docs: DataFrame, bits, width: int) -> DataFrame:
+def _survivors(docs: DataFrame, pairs, longer, width: int) -> DataFrame:
     """lang, phrase, words, f: one row for each slice of text; words 0: all words of the language."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent = docs.sparkSession.sparkContext.broadcast((pairs, longer))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.compute as pc
 
-        bits = sent.value
-
-        def kept(found):
-            use = np.ones(len(found), bool)
-            for at in _rows_of(found, width):
-                use &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            return use
-
+        kept = lambda k, found: _among(found, sent.value[k > 2], width)
         for part in _slices(batches):
             levels = _phrases(part, kept)
             langs, words, n = next(levels)
@@ -211,7 +258,8 @@ def _survivors(docs: DataFrame, bits, width: int) -> DataFrame:
 
 
 def width_for(size: int, least: int) -> int:
-    """Counters in a row of the sketch for ``size`` bytes of text: about four for each phrase that could be frequent."""
+    """Counters in a row of the sketch for ``size`` bytes of text: about four for each phrase that could be frequent, as far
+    as a task can hold them (100 MB)."""
     return min(MOST_WIDTH, max(BLOCK, 1 << max(0, 4 * size // max(1, least)).bit_length()))
 
 
@@ -228,8 +276,8 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, within: int = 100,
     docs = docs.select(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     if width is None:
         width = width_for(docs.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0, least)
-    bits = _sketch(docs, width, least)
-    counts = _survivors(docs, bits, width).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+    pairs = _sketch(docs, width, least)
+    counts = _survivors(docs, pairs, _sketch(docs, width, least, pairs), width).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
     counts = stored(counts, "counts")
     return _ranked(_scored(counts, within), most)
 

@@ -76,12 +76,19 @@ def test_sketch_rules_out(spark):
     """Of many rare phrases few get past a sketch of the usual width, and every frequent one does."""
     docs = spark.range(3000).select(F.concat_ws(" ", *(F.concat(F.lit(f"w{i}"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(5000))) for i in range(12)), F.lit("new york")).alias("text"), F.lit("en").alias("lang"))
     width = collocations.width_for(400_000, 100)
-    bits = collocations._sketch(docs, width, 100)
-    found = collocations._survivors(docs, bits, width).where("words > 0").groupBy("phrase").agg(F.sum("f").alias("f")).collect()
+    pairs = collocations._sketch(docs, width, 100)
+    found = collocations._survivors(docs, pairs, collocations._sketch(docs, width, 100, pairs), width).where("words > 0").groupBy("phrase").agg(F.sum("f").alias("f")).collect()
     assert {r.phrase: r.f for r in found if r.f >= 100} == {"new": 3000, "york": 3000, "new york": 3000}
     assert len(found) < 1000
 
 
+def test_blocks_come_back():
+    for kind in ("u1", "<u4"):
+        for block in (np.zeros(256, kind), np.arange(256).astype(kind), (np.arange(256) % 50 == 3).astype(kind) * 7):
+            data = collocations._packed(block, kind)
+            assert (collocations._unpacked(data, kind, 256) == block).all() and len(data) <= 1 + block.nbytes
+
+
 def test_hashes_do_not_depend_on_the_array():
     import pyarrow as pa
 
