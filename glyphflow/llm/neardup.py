@@ -42,8 +42,9 @@ SKETCH_MISS = 1e-6
 LEAF, CROWD, STAR = 512, 512, 47  # sets of a leaf; of a block of a crowd; of a block that meets its leader
 #: Shingles that a block holds, unless two sets alone have more.
 BLOCK_SHINGLES = 4_000_000
-#: Bits of the filter that tells which sets to fetch: 2 MB as it travels. Beyond its capacity more is fetched than met.
-FILTER_BITS = 24
+#: Bits of the filter that tells which sets to fetch: eight for each wanted text, so one in nine others passes; 8 MB as it
+#: travels at most. For more wanted texts than that is made for, rows meet the wanted ids in a join before.
+LEAST_BITS, MOST_BITS = 20, 26
 
 _words: dict[bytes, int] = {}
 
@@ -123,13 +124,17 @@ def _shingled(docs: DataFrame, width: int, trees: int) -> DataFrame:
 def _fetched(docs: DataFrame, wanted: DataFrame, width: int, made: Callable, kind: pa.DataType, schema: str) -> DataFrame:
     """A row (rep, n, made of its shingles) for each text of a wanted set, and for few others; each once.
 
-    Texts stay where they are: a filter of the wanted ids goes to them, and only what passes is sent on.
+    Texts stay where they are: a filter of the wanted ids goes to them, and only what passes is sent on. Very many wanted
+    texts are joined with by id instead.
     """
     import numpy as np
 
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
+    asked = wanted.agg(F.approx_count_distinct("rep")).first()[0]
+    joined = 8 * asked > 1 << MOST_BITS
+    size = 1 << (1 if joined else max(LEAST_BITS, min(MOST_BITS, (8 * asked).bit_length())))
+    place = F.pmod(F.xxhash64("rep"), F.lit(size))
     cells = wanted.select(place.alias("at")).selectExpr("cast(floor(at / 62) as int) as cell", "shiftleft(1L, cast(at % 62 as int)) as bit").groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
-    bits = np.zeros(((1 << FILTER_BITS) - 1) // 62 + 1, np.int64)
+    bits = np.zeros((size - 1) // 62 + 1, np.int64)
     bits[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -143,7 +148,10 @@ def _fetched(docs: DataFrame, wanted: DataFrame, width: int, made: Callable, kin
                 sets = [shingle_hashes(t.as_py(), width) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([made(x) for x in sets], kind)], names=["rep", "n", "made"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").select("rep", "text", place.alias("at"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
+    if joined:
+        rows = rows.join(wanted.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    rows = rows.select("rep", "text", place.alias("at"))
     found = rows.mapInArrow(run, f"rep long, n long, made {schema}")
     return found.repartition("rep").groupBy("rep", "n", F.xxhash64("made").alias("h")).agg(F.first("made").alias("made")).drop("h")
 

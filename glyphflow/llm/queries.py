@@ -41,7 +41,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH m AS (SELECT conv_id, coalesce(CAST(floor(turn / 4096) AS BIGINT), -1) AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+m AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) - 1) // 4096 AS segment, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) AS turn, role, body FROM c),
 p AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM m WHERE role <> 'system'),
 s AS (SELECT conv_id, segment, max({'t': turn, 'b': body}) FILTER (role = 'system').b AS said FROM m GROUP BY 1, 2),
 b AS (SELECT conv_id, segment, last_value(said IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS body FROM s),
@@ -98,6 +99,20 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+#: Every pair that shares a shingle; the smallest doc_id is passed along links.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+u AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u AS a JOIN u AS b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s AS x ON x.doc_id = a JOIN s AS y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT e.b, root FROM r JOIN e ON a = r.doc_id WHERE root < e.b),
+c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM s JOIN c USING (doc_id)
+"""
+
+
 #: Words as in the query; windows of 13 words or the whole shorter item; occurrences by comparing each document window.
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -151,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op7_decontamination": OP7_SQL, "op11_retention": OP11_SQL, "op13_collocations": OP13_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op5_chat": OP5_SQL, "op7_decontamination": OP7_SQL, "op11_retention": OP11_SQL, "op13_collocations": OP13_SQL}
