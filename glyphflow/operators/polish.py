@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from glyphflow.operators.ledger import kept
 from glyphflow.operators.numbering import numbered
@@ -225,18 +226,30 @@ def source_of(client: Callable[[str], str], prompt: str) -> tuple[str, float] |
         return None
 
 
-def compacted(events: DataFrame, most: int = 70) -> list[dict]:
-    """A bounded picture of events (roi, seq, start_time, end_time, style, body): all of them, or the first and the last
-    ``most // 2`` with a mark of how many are left out; texts are cut at 220 characters. In order of roi and start."""
-    order = [F.col("roi").cast("string"), F.col("start_time"), F.col("seq")]
-    row = lambda r: {"roi": r.roi, "start": r.start_time, "end": r.end_time, "text": (r.body or "")[:220], "style": r.style}
-    n = events.count()
+def compact(events: DataFrame, most: int = 70) -> DataFrame:
+    """at, roi, seq, start_time, end_time, style, text, left_out: the events of a bounded picture, in order of roi and start:
+    all of them, or the first and the last ``most // 2``. Texts are cut at 220 characters; left_out says how many stand
+    between, at the last event of the first half (else null)."""
+    order, half, n = [F.col("roi").cast("string"), F.col("start_time"), F.col("seq")], most // 2, events.count()
+    rows = events.select("roi", "seq", "start_time", "end_time", "style", F.substring(F.coalesce("body", F.lit("")), 1, 220).alias("text"))
+    first = rows.orderBy(*order).limit(most if n <= most else half)
+    up = F.row_number().over(W.orderBy(*order)) - 1  # over the picture alone
     if n <= most:
-        return [row(r) for r in events.orderBy(*order).limit(most).collect()]
-    half = most // 2
-    first = events.orderBy(*order).limit(half).collect()
-    last = events.orderBy(*[c.desc() for c in order]).limit(half).collect()
-    return [*map(row, first), {"_truncated_middle": n - 2 * half}, *map(row, reversed(last))]
+        return first.select(up.cast("long").alias("at"), "*", F.lit(None).cast("long").alias("left_out"))
+    last = rows.orderBy(*[c.desc() for c in order]).limit(half)
+    head = first.withColumn("at", up).withColumn("left_out", F.when(F.col("at") == half - 1, F.lit(n - 2 * half)))
+    tail = last.select((up + half).alias("at"), "*", F.lit(None).cast("long").alias("left_out"))
+    return head.unionByName(tail).select(F.col("at").cast("long").alias("at"), *rows.columns, F.col("left_out").cast("long").alias("left_out"))
+
+
+def compacted(events: DataFrame, most: int = 70) -> list[dict]:
+    """``compact`` as a list, with a mark of how many are left out."""
+    out = []
+    for r in compact(events, most).orderBy("at").collect():
+        out.append({"roi": r.roi, "start": r.start_time, "end": r.end_time, "text": r.text, "style": r.style})
+        if r.left_out is not None:
+            out.append({"_truncated_middle": r.left_out})
+    return out
 
 
 def suggested(client: Callable[[str], str], before: DataFrame, after: DataFrame, params: dict) -> tuple[dict, str] | None:

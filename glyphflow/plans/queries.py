@@ -163,7 +163,10 @@ def neighbour_merge(spark, sf):
     return merge.merge_neighbours(views.subtitles(spark, sf))
 
 
-@query(f"WITH RECURSIVE {CLOSE_TIMED}, z AS (SELECT *, {sql.parsed('start_time')} AS ts, {sql.parsed('end_time')} AS te, {sql.bare('body')} AS z FROM timed), r AS (SELECT *, {sql.NOISE} AS noise, row_number() OVER (PARTITION BY roi ORDER BY ts, seq) AS rn FROM z), w AS (SELECT roi, rn, seq, te, style, px, py, seq AS grp, px AS gx, py AS gy FROM r WHERE rn = 1 UNION ALL SELECT roi, rn, seq, te, style, px, py, CASE WHEN joins THEN o_grp ELSE seq END, CASE WHEN joins THEN o_gx ELSE px END, CASE WHEN joins THEN o_gy ELSE py END FROM (SELECT r.*, w.grp AS o_grp, w.gx AS o_gx, w.gy AS o_gy, r.style = 'Scene' AND w.style = 'Scene' AND NOT r.noise AND abs(r.px - w.gx) <= 24 AND abs(r.py - w.gy) <= 24 AND r.ts - w.te BETWEEN CAST(-0.12 AS DOUBLE) AND CAST(0.35 AS DOUBLE) AS joins FROM w JOIN r ON r.roi = w.roi AND r.rn = w.rn + 1)) SELECT roi, seq, grp FROM w")
+FRAGMENTS_SQL = f"WITH RECURSIVE {CLOSE_TIMED}, z AS (SELECT *, {sql.parsed('start_time')} AS ts, {sql.parsed('end_time')} AS te, {sql.bare('body')} AS z FROM timed), r AS (SELECT *, {sql.NOISE} AS noise, row_number() OVER (PARTITION BY roi ORDER BY ts, seq) AS rn FROM z), w AS (SELECT roi, rn, seq, te, style, px, py, seq AS grp, px AS gx, py AS gy FROM r WHERE rn = 1 UNION ALL SELECT roi, rn, seq, te, style, px, py, CASE WHEN joins THEN o_grp ELSE seq END, CASE WHEN joins THEN o_gx ELSE px END, CASE WHEN joins THEN o_gy ELSE py END FROM (SELECT r.*, w.grp AS o_grp, w.gx AS o_gx, w.gy AS o_gy, r.style = 'Scene' AND w.style = 'Scene' AND NOT r.noise AND abs(r.px - w.gx) <= 24 AND abs(r.py - w.gy) <= 24 AND r.ts - w.te BETWEEN CAST(-0.12 AS DOUBLE) AND CAST(0.35 AS DOUBLE) AS joins FROM w JOIN r ON r.roi = w.roi AND r.rn = w.rn + 1))"
+
+
+@query(FRAGMENTS_SQL + " SELECT roi, seq, grp FROM w")
 def fragment_groups(spark, sf):
     return merge.fragment_groups(views.fragments(spark, sf)).select("roi", "seq", "grp")
 
@@ -178,6 +181,30 @@ def polished_events(spark, sf):
     return polish.polish(views.subtitles(spark, sf).select("roi", "seq", "body"), _obliging)
 
 
+def _longest(prompt: str) -> str:
+    """A client that takes the longest candidate."""
+    return json.dumps({"text": max(json.loads(prompt)["candidates"], key=len) + " !"})
+
+
+MERGED_SQL = rf""", m AS (SELECT w.roi, grp AS seq, near.start_sec, near.end_sec, style, near.seq AS own, body, regexp_full_match(body, '{SPACE}*') AS blank FROM w JOIN near USING (roi, seq, style)),
+g AS (SELECT roi, seq, arg_min(start_sec, own) AS start_sec, arg_max(end_sec, own) AS end_sec, arg_min(style, own) AS style, list(body ORDER BY start_sec, own) AS bodies, list(body ORDER BY start_sec, own) FILTER (NOT blank) AS said FROM m GROUP BY 1, 2)
+SELECT roi, seq, start_sec, end_sec, style, CASE WHEN len(bodies) = 1 THEN bodies[1] WHEN coalesce(len(said), 0) = 0 THEN list_reduce(bodies, lambda a, b: CASE WHEN length(trim(b)) > length(trim(a)) THEN b ELSE a END) WHEN len(said) = 1 THEN said[1]
+ELSE regexp_replace(regexp_replace(list_reduce(said, lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) || ' !', '\\[nrt]|\r\n|[\r\n\t\x{{a0}}\x{{3000}}]', ' ', 'g'), ' {{2,}}', ' ', 'g') END AS body FROM g"""
+
+
+@query(FRAGMENTS_SQL + MERGED_SQL)
+def merged_fragments(spark, sf):
+    return merge.merge_fragments(views.fragments(spark, sf), _longest).select("roi", "seq", "start_sec", "end_sec", "style", "body")
+
+
+@query(f"WITH {SUBS_TIMED}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(roi AS VARCHAR), start_time, seq) - 1 AS k, count(*) OVER () AS n FROM timed) SELECT CASE WHEN k < 35 THEN k ELSE k - n + 70 END AS at, roi, seq, start_time, end_time, style, substring(body, 1, 220) AS text, CASE WHEN k = 34 THEN n - 70 END AS left_out FROM r WHERE k < 35 OR k >= n - 35")
+def compacted_events(spark, sf):
+    """The picture of all events that a client gets to see."""
+    e = views.subtitles(spark, sf)
+    timed = e.withColumns({"start_time": timefmt.from_seconds(F.col("start_sec")), "end_time": timefmt.from_seconds(F.col("end_sec"))})
+    return polish.compact(timed)
+
+
 @query(f"WITH {SUBS}, c AS (SELECT roi % 50 AS grp, roi * 1000 + seq AS seq, body, {sql.canonical('body')} AS canon FROM subs), v AS (SELECT grp, canon, count(*) AS votes FROM c GROUP BY 1, 2), b AS (SELECT grp, canon FROM v QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, length(canon) DESC, canon) = 1) SELECT grp, body FROM c JOIN b USING (grp, canon) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY length(body) DESC, seq) = 1")
 def majority_body(spark, sf):
     return _majority(views.subtitles(spark, sf))
