@@ -30,12 +30,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder (reliable, survives executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: for tables that several later steps read."""
     spark = df.sparkSession
@@ -71,6 +65,19 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def standing() -> list[str]:
+    """What ``stored`` has written so far and nothing deleted."""
+    return list(_left)
+
+
+def clear_since(spark: SparkSession, before: list[str], *but: DataFrame) -> None:
+    """Delete what was stored after ``before`` (of ``standing``), except ``but``: for when these are written, and what they
+    were made from is read no more."""
+    keep = {*before, *(getattr(df, "_stored_at", None) for df in but)}
+    for path in [p for p in _left if p not in keep]:
+        _delete(spark, path)
+
+
 def folded(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
     """``run`` over each group of a key, as one Arrow table; groups are bounded, and a task holds one or two."""
 

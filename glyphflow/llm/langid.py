@@ -173,7 +173,11 @@ def identify(rows: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_identified(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", few: int = 1_000_000) -> DataFrame:
-    """``docs`` without the rows that ``identify`` rejects; columns as they are. At most ``few`` rejects are broadcast."""
+    """``docs`` without the rows that ``identify`` rejects; columns as they are. At most ``few`` rejects are broadcast.
+
+    Null and empty texts, and those without letters, are rejected; rows go by their own text, so of rows with one doc_id
+    each is judged for itself, a null doc_id among them; repeated rows go or stay together; no rows give no rows.
+    """
     bad = identify(docs, model, id_col, text_col, host_col=host_col).where("rejected").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
     if bad.limit(few + 1).count() <= few:
         bad = F.broadcast(bad)

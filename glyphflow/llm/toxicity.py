@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_tra
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score: one row per row. Null and empty texts score as a text without features; other columns are ignored."""
+    """doc_id, score: one row per row. Null and empty texts score as a text without features; repeated rows score alike; other
+    columns are ignored; no rows give no rows."""
     small_batches(docs.sparkSession)
     names, weights, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((names.tobytes(), weights.tobytes()))  # 8 bytes for each of 2**BITS buckets at most

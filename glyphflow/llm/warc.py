@@ -86,7 +86,11 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two records for each response among ``records``; others are passed over."""
+    """Two records for each response among ``records``; others are passed over.
+
+    A null or empty block gives empty derivatives; null headers stay null; repeated responses are derived each; columns
+    that aren't a record's are ignored; no rows give no rows. A very long block is held by one task, a row at a time.
+    """
     small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,13 @@ def test_stages_on_odd_tables(spark, tmp_path):
     assert left == {1, None, 7, 8, 9}  # 2 and 3 copy 1; 4 and 5 have no words; 6 is a benchmark item, of 7 a small share is
     pieces = spark.read.parquet(str(tmp_path / "4"))
     assert pieces.agg({"length": "max"}).first()[0] <= 2048 and {r.doc_id for r in pieces.select("doc_id").distinct().collect()} >= left
+
+
+def test_stages_leave_one_table(spark):
+    """Of all that the stages store, the run leaves what its result is read from."""
+    from glyphflow.llm import _common
+
+    before = _common.standing()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [p for p in _common.standing() if p not in before]
+    assert len(left) == 1 and "stage-pii" in left[0] and out.count() > 0

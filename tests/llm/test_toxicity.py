@@ -38,6 +38,11 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted for r in held if r.toxic and r.insult]) > 0.95
     assert np.mean([r.predicted for r in held if not r.toxic]) < 0.01
     assert all(0 <= r.score <= 1 for r in rows)
+    # over all held-out rows, those that can't be told among them
+    toxic, clean = (np.array([r.score for r in held if r.toxic == t]) for t in (1, 0))
+    auc = (toxic[:, None] > clean).mean() + 0.5 * (toxic[:, None] == clean).mean()
+    print("AUC", auc, "recall", (toxic >= 0.3).mean())
+    assert auc > 0.93 and (toxic >= 0.3).mean() > 0.5
 
 
 def test_odd_rows(spark):
