@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def bucket(time_sec: Column, frame: Column, fps: float, width: float) -> Column:
@@ -26,37 +28,71 @@ def tumbling(stream: DataFrame, width: str = "10 seconds", late: str = "30 secon
     return timed.groupBy(F.window(time_col, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+class _Counts(StatefulProcessor):
+    """State of a track: slice, n, first and last frame of its open slice."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", "slice long, n long, first long, last long")
+
+    def _rows(self, key, slices_: list[tuple]):
+        return pd.DataFrame([(*key, *s) for s in slices_], columns=[*self.keys, "slice", "n", "first_frame", "last_frame"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        found: dict[int, list[int]] = {}  # of this micro-batch: a few slices, however many rows
+        ended, late = False, 0
+        for page in rows:
+            ended |= bool(page["frame"].isna().any())
+            late = max(late, int(page["ts"].max().timestamp() * 1000))
+            page = page[page["frame"].notna()]
+            for at, own in page.groupby("slice")["frame"].agg(["size", "min", "max"]).iterrows():
+                n, lo, hi = found.get(at, (0, own["min"], own["max"]))
+                found[at] = (n + int(own["size"]), int(min(lo, own["min"])), int(max(hi, own["max"])))
+        held, out = self.open.get() if self.open.exists() else None, []
+        for at in sorted(found):
+            n, lo, hi = found[at]
+            if held is not None and held[0] == at:
+                held = (at, held[1] + n, min(held[2], lo), max(held[3], hi))
+            else:
+                out += [held] if held is not None else []
+                held = (at, n, lo, hi)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held is not None and ended:
+            out.append(held)
+            held = None
+        if held is None:
+            self.open.clear()
+        else:
+            self.open.update(tuple(int(v) for v in held))
+            self.handle.registerTimer(max(late, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield self._rows(key, [tuple(map(int, s)) for s in out])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.open.get() if self.open.exists() else None
+        self.open.clear()
+        yield self._rows(key, [tuple(held)] if held is not None else [])
+
+    def close(self) -> None:
+        pass
+
+
 def flushed(stream: DataFrame, width: float, fps: float = 25.0, late: str = "0 seconds") -> DataFrame:
-    """roi, slice, n, first_frame, last_frame: of a stream (roi, frame, time_sec, and ts to close the last slices by).
+    """roi (and video), slice, n, first_frame, last_frame: of a stream (roi, frame, time_sec, and ts to close the last slices
+    by).
 
-    The buffer of a roi is a row of state; when its slice changes the old one goes out. A slice that no later one
-    follows goes out when the watermark of ts passes its last row, so the end of the input flushes what is left.
+    The open slice of a track is a row of state; when a row of another slice comes it goes out. The last one goes out when a
+    row without frame says that the track ends, or when the watermark of ts passes its last row. Rows of a micro-batch
+    count by slice, in any order. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    import pandas as pd
-
-    kind = dict(stream.dtypes)["roi"]
-    timed = stream.withColumn("slice", bucket(F.col("time_sec"), F.col("frame"), fps, width)).withWatermark("ts", late)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        names = ["roi", "slice", "n", "first_frame", "last_frame"]
-        if state.hasTimedOut:
-            held = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], *held)], columns=names)
-            return
-        held, out, last = state.get if state.exists else None, [], 0
-        rows = pd.concat(batches).sort_values("frame", kind="stable")
-        for r in rows.itertuples():
-            if held and held[0] != r.slice:
-                out.append((key[0], *held))
-                held = None
-            held = (int(r.slice), 1, int(r.frame), int(r.frame)) if not held else (held[0], held[1] + 1, held[2], int(r.frame))
-            last = max(last, int(r.ts.timestamp() * 1000))
-        state.update(held)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=names)
-
-    return timed.groupBy("roi").applyInPandasWithState(step, f"roi {kind}, slice long, n long, first_frame long, last_frame long", "slice long, n long, first_frame long, last_frame long", "append", "EventTimeTimeout")
+    from glyphflow.operators.segment import track_of
+
+    keys = track_of(stream)
+    timed = stream.withColumn("slice", bucket(F.col("time_sec"), F.col("frame"), fps, width)).select(*keys, F.col("frame").cast("long").alias("frame"), "slice", "ts").withWatermark("ts", late)
+    schema = ", ".join(f"{k} {dict(stream.dtypes)[k]}" for k in keys) + ", slice long, n long, first_frame long, last_frame long"
+    return timed.groupBy(*keys).transformWithStateInPandas(_Counts(keys), schema, "Append", "EventTime")
 
 
 def ended(query, stop) -> bool:
@@ -70,8 +106,6 @@ def ended(query, stop) -> bool:
 
 def last_known(stream: DataFrame, key: str = "user_id", value: str = "event_type") -> DataFrame:
     """key, n, last: rows seen and the last value of each key, kept as state between micro-batches."""
-    import pandas as pd
-
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, last, at = state.get if state.exists else (0, None, -1)
         for b in batches:

@@ -451,6 +451,7 @@ def test_main_query_with_a_preset(spark, tiny):
 
 
 def test_streams(spark, tiny, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     raw = spark.read.parquet(f"{tiny}/events.parquet")
     raw.repartition(3).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -463,6 +464,11 @@ def test_streams(spark, tiny, tmp_path):
     want = [(r, s, n, a, b) for r in (0, 1) for s, n, a, b in ((0, 4, 0, 3), (1, 4, 4, 7), (2, 1, 8, 8))]
     found = sorted(map(tuple, spark.table("flushed").where("roi < 2").collect()))
     assert found == want, found
+    ends = spark.createDataFrame([(7, 0, 0.0), (7, None, None), (8, 3, 9.0)], "roi long, frame long, time_sec double").selectExpr("*", "timestamp_seconds(100000) as ts")
+    ends.repartition(1).write.parquet(str(tmp_path / "ends"))  # a row without frame ends a track at once
+    own = spark.readStream.schema(track.schema).parquet(str(tmp_path / "ends"))
+    q = slices.flushed(own, 2.0, 2.0).writeStream.outputMode("append").format("memory").queryName("ends").option("checkpointLocation", str(tmp_path / "ec2")).trigger(availableNow=True).start()
+    assert slices.ended(q, lambda: False) and [tuple(r) for r in spark.table("ends").collect()] == [(7, 0, 1, 0, 0)]
     (tmp_path / "records").mkdir()
     for k in range(5):
         (tmp_path / "records" / f"{k}.json").write_text(json.dumps({"roi_id": f"roi_{k}", "frame_num": k, "rec_texts": ["a"]}))
