@@ -129,17 +129,15 @@ def test_recall_in_a_crowd(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     x[5000:25_000] = x[5000] + 0.003 * rnd.normal(size=(20_000, 64))
     x[26_000:26_400] = x[26_000] + 0.003 * rnd.normal(size=(400, 64))
-    for unit in (False, True):
-        x = x / np.linalg.norm(x, axis=1)[:, None] if unit else x
-        hits = recall(spark, x, [*range(5000, 25_000, 500), *range(26_000, 26_400, 40), *range(0, 5000, 200)])
-        print("recall", hits[:40].mean(), hits[40:50].mean(), hits[50:].mean(), hits.min())
-        assert hits[:40].mean() >= 0.95 and hits[40:50].mean() >= 0.95 and hits[50:].mean() >= 0.92 and hits[:50].min() >= 0.8
+    hits = recall(spark, x, [*range(5000, 25_000, 500), *range(26_000, 26_400, 40), *range(0, 5000, 200)])
+    print("recall", hits[:40].mean(), hits[40:50].mean(), hits[50:].mean(), hits.min())
+    assert hits[:40].mean() >= 0.95 and hits[40:50].mean() >= 0.95 and hits[50:].mean() >= 0.92 and hits[:50].min() >= 0.8
 
 
 def test_recall_in_few_dimensions(spark):
     rnd = np.random.default_rng(9)
-    for dims in (1, 2, 5):
-        hits = recall(spark, rnd.normal(size=(5000, dims)), list(range(0, 5000, 100)))
+    for dims in (1, 4):
+        hits = recall(spark, rnd.normal(size=(3000, dims)), list(range(0, 3000, 60)))
         print("recall", dims, hits.mean())
         assert hits.mean() >= 0.95
 
