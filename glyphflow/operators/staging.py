@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -18,10 +19,15 @@ def folder(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="glyphflow-")
+        found = known.get() if known.isDefined() else _own_folder()
     return found.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="glyphflow-")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
