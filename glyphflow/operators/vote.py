@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -159,8 +160,6 @@ def skip_runs(crops: DataFrame, reader: Callable[[], Callable], step: int = STEP
     """
     import itertools
 
-    import pandas as pd
-
     from glyphflow.operators.segment import track_of
     from glyphflow.streaming.slices import bucket
 
@@ -184,6 +183,32 @@ def skip_runs(crops: DataFrame, reader: Callable[[], Callable], step: int = STEP
     return dealt.sortWithinPartitions(*keys, "_slice", "frame").mapInPandas(run, schema)
 
 
+def changes(crops: DataFrame, delta: int = DELTA) -> DataFrame:
+    """roi (and video), frame, changed, similarity: of each crop against the one before it in its track: the share of pixels
+    that differ by more than ``delta`` (1 if the size changed), and the structural similarity (0 if it did). Null for the
+    first crop of a track.
+    """
+    from glyphflow.operators import image
+    from glyphflow.operators.segment import track_of
+
+    @F.pandas_udf("struct<changed:double,similarity:double>")
+    def compared(h: pd.Series, w: pd.Series, data: pd.Series, ph: pd.Series, pw: pd.Series, before: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, c, d, e, f in zip(h, w, data, ph, pw, before):
+            if f is None:
+                out.append((None, None))
+                continue
+            now, was = (image.gray(image.decode(x, int(y), int(z))) for x, y, z in ((c, a, b), (f, d, e)))
+            same = now.shape == was.shape
+            out.append((float(image.changed_share(was, now, delta)), float(image.structural_similarity(was, now)) if same else 0.0))
+        return pd.DataFrame(out, columns=["changed", "similarity"])
+
+    keys = track_of(crops)
+    w = W.partitionBy(*keys).orderBy("frame")
+    met = crops.select(*keys, "frame", "h", "w", "image", *(F.lag(c).over(w).alias(f"_{c}") for c in ("h", "w", "image")))
+    return met.select(*keys, "frame", compared("h", "w", "image", "_h", "_w", "_image").alias("c")).select(*keys, "frame", "c.changed", "c.similarity")
+
+
 def run_metrics(results: DataFrame) -> DataFrame:
     """roi (and video), frames, calls, filled (frames that took the reading of another), saved: what skipping runs was worth."""
     from glyphflow.operators.segment import track_of

@@ -271,6 +271,11 @@ def positional_vote(spark, sf):
     return vote.positional_vote(o.select("roi", F.floor(F.col("frame") / 3).alias("run"), (F.col("frame") % 3).alias("sample"), F.lit(0).alias("line_idx"), "text", "score"), ["roi", "run"])
 
 
+@query("WITH n AS (SELECT user_id AS roi, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events), p AS (SELECT roi, frame, i, (roi * 7 + (frame // 3) * 13 * (i % 5) + i) % 256 AS v FROM n, unnest(generate_series(0, 63)) AS t(i)), d AS (SELECT roi, frame, abs(v - lag(v) OVER (PARTITION BY roi, i ORDER BY frame)) AS d FROM p) SELECT roi, frame, CASE WHEN count(d) > 0 THEN count(*) FILTER (d > 10) / 64.0::DOUBLE END AS changed FROM d GROUP BY 1, 2")
+def motion_sentinel(spark, sf):
+    return vote.changes(views.crops(spark, sf)).select("roi", "frame", "changed")
+
+
 @query(f"WITH {EV} SELECT roi, frame, last_value(CASE WHEN score >= 0.6 THEN text END IGNORE NULLS) OVER (PARTITION BY roi ORDER BY frame ROWS UNBOUNDED PRECEDING) AS text FROM ev")
 def forward_fill(spark, sf):
     o = views.observations(spark, sf).select("roi", "frame", F.when(F.col("score") >= 0.6, F.col("text")).alias("text"))

@@ -151,6 +151,16 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select((F.col("l_orderkey") % 50).alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
 
 
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """roi, frame, h, w, image: events as grey crops of 8 x 8 pixels, one track for each user; pixels move every third frame."""
+    e = table(spark, sf_dir, "events")
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    e = e.select(F.col("user_id").alias("roi"), n.alias("frame"))
+    pixel = lambda i: F.repeat(F.lpad(F.hex((F.col("roi") * 7 + F.floor(F.col("frame") / 3) * 13 * (i % 5) + i) % 256), 2, "0"), 3)
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), pixel), ""))
+    return e.select("roi", "frame", F.lit(8).alias("h"), F.lit(8).alias("w"), data.alias("image"))
+
+
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, frame, roi_id, ratio: order lines as the shares of colour of regions in frames."""
     li = table(spark, sf_dir, "lineitem")

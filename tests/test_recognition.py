@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphflow.operators import vote
+from glyphflow.operators import image, vote
 from glyphflow.streaming import recognition, slices
 
 CROPS = "video string, roi string, frame long, time_sec double, h int, w int, image binary"
@@ -89,3 +89,14 @@ def test_watermark_ends_a_track(spark, crops, tmp_path):
         q = recognition.recognised(stream, reader, 2.0, fps=10.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         assert slices.ended(q, lambda: False)
         assert spark.read.parquet(str(tmp_path / "out")).count() == (20, 30)[k]
+
+
+def test_changes_between_crops(spark):
+    """Against the crop before: how much changed and how alike, a change of size, the first of a track, in any order."""
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.integers(0, 255, (9, 9, 3), dtype=np.uint8) for _ in range(3))
+    rows = [("v", "r", 3, 0.0, 9, 9, b.tobytes()), ("v", "r", 1, 0.0, 9, 9, a.tobytes()), ("v", "r", 2, 0.0, 9, 9, a.tobytes()), ("w", "r", 2, 0.0, 9, 9, c.tobytes()), ("v", "r", 4, 0.0, 3, 27, b.tobytes())]
+    got = {(r.video, r.frame): (r.changed, r.similarity) for r in vote.changes(spark.createDataFrame(rows, CROPS)).collect()}
+    gray = image.gray
+    assert got["v", 1] == got["w", 2] == (None, None) and got["v", 2] == (0.0, 1.0) and got["v", 4] == (1.0, 0.0)
+    assert got["v", 3] == (image.changed_share(gray(a), gray(b), vote.DELTA), image.structural_similarity(gray(a), gray(b)))
