@@ -72,6 +72,14 @@ def test_against_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_more_wanted_than_a_filter_takes(spark, monkeypatch):
+    """Then rows meet the wanted ids in a join, and a filter of two bits lets all of them pass."""
+    monkeypatch.setattr(neardup, "MOST_BITS", 3)
+    docs = crowd()[:300]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 2)
+
+
 def test_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = neardup.near_duplicates(docs, 2).collect()
