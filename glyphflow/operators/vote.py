@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 STEP, MOVED, ALIKE, DELTA = 15, 0.05, 0.98, 10
+STACK = 1 << 18  # pixels of the images that are compared at once
 LINE = "struct<text:string,score:double,box:array<double>,polygon:array<array<double>>>"
 
 
@@ -191,22 +192,32 @@ def changes(crops: DataFrame, delta: int = DELTA) -> DataFrame:
     from glyphflow.operators import image
     from glyphflow.operators.segment import track_of
 
-    @F.pandas_udf("struct<changed:double,similarity:double>")
-    def compared(h: pd.Series, w: pd.Series, data: pd.Series, ph: pd.Series, pw: pd.Series, before: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, c, d, e, f in zip(h, w, data, ph, pw, before):
-            if f is None:
-                out.append((None, None))
-                continue
-            now, was = (image.gray(image.decode(x, int(y), int(z))) for x, y, z in ((c, a, b), (f, d, e)))
-            same = now.shape == was.shape
-            out.append((float(image.changed_share(was, now, delta)), float(image.structural_similarity(was, now)) if same else 0.0))
-        return pd.DataFrame(out, columns=["changed", "similarity"])
+    def compared(kernel: Callable, other: float):
+        """``kernel`` over stacks of pairs of one shape, ``other`` where the shape changed. What isn't selected isn't computed."""
 
-    keys = track_of(crops)
+        @F.pandas_udf("double")
+        def run(h: pd.Series, w: pd.Series, data: pd.Series, ph: pd.Series, pw: pd.Series, before: pd.Series) -> pd.Series:
+            import numpy as np
+
+            out = np.full(len(data), np.nan)
+            met = before.notna().to_numpy()
+            same = met & (h == ph).to_numpy() & (w == pw).to_numpy()
+            out[met & ~same] = other
+            for (y, x), at in pd.Series(np.flatnonzero(same)).groupby([h.to_numpy()[same], w.to_numpy()[same]]):
+                step = max(1, STACK // max(1, int(y) * int(x)))
+                for k in range(0, len(at), step):
+                    own = at.iloc[k : k + step].to_numpy()
+                    now, was = (image.gray(np.stack([image.decode(b, int(y), int(x)) for b in c.iloc[own]])) for c in (data, before))
+                    out[own] = kernel(was, now)
+            return pd.Series(out)  # NaN is null
+
+        return run
+
+    keys, shown = track_of(crops), ("h", "w", "image", "_h", "_w", "_image")
     w = W.partitionBy(*keys).orderBy("frame")
     met = crops.select(*keys, "frame", "h", "w", "image", *(F.lag(c).over(w).alias(f"_{c}") for c in ("h", "w", "image")))
-    return met.select(*keys, "frame", compared("h", "w", "image", "_h", "_w", "_image").alias("c")).select(*keys, "frame", "c.changed", "c.similarity")
+    share = compared(lambda a, b: image.changed_shares(a, b, delta), 1.0)
+    return met.select(*keys, "frame", share(*shown).alias("changed"), compared(image.structural_similarities, 0.0)(*shown).alias("similarity"))
 
 
 def run_metrics(results: DataFrame) -> DataFrame:

@@ -100,3 +100,21 @@ def test_changes_between_crops(spark):
     gray = image.gray
     assert got["v", 1] == got["w", 2] == (None, None) and got["v", 2] == (0.0, 1.0) and got["v", 4] == (1.0, 0.0)
     assert got["v", 3] == (image.changed_share(gray(a), gray(b), vote.DELTA), image.structural_similarity(gray(a), gray(b)))
+
+
+def test_changes_in_stacks(spark):
+    """Images of a batch are compared in stacks, each pair as it is alone, over several stacks; what isn't selected isn't computed."""
+    rng = np.random.default_rng(3)
+    sizes = [((9, 8), (9, 8), (6, 11), (0, 4))[k // 5 % 4] for k in range(200)]
+    crops = [rng.integers(0, 256, (*s, 3), np.uint8) for s in sizes]
+    rows = [("roi_0", k, k * 0.04, *s, bytearray(c.tobytes())) for k, (s, c) in enumerate(zip(sizes, crops))]
+    found = vote.changes(spark.createDataFrame(rows, "roi string, frame long, time_sec double, h int, w int, image binary"))
+    got = {r.frame: (r.changed, r.similarity) for r in found.collect()}
+    grays = [image.gray(c) for c in crops]
+    want = {k: (image.changed_share(a, b, vote.DELTA), image.structural_similarity(a, b)) for k, (a, b) in enumerate(zip(grays, grays[1:]), 1)}
+    assert got == {0: (None, None)} | want
+    assert {a.shape == b.shape for a, b in zip(grays, grays[1:])} == {True, False}
+    assert found.select("changed")._jdf.queryExecution().optimizedPlan().toString().count("run(") == 1
+    a, b = (rng.integers(0, 256, (50, 9, 12), np.uint8) for _ in range(2))
+    assert [image.changed_share(x, y) for x, y in zip(a, b)] == image.changed_shares(a, b).tolist()
+    assert [image.structural_similarity(x, y) for x, y in zip(a, b)] == image.structural_similarities(a, b).tolist()
