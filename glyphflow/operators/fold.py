@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.operators.staging import staged
+from glyphflow.operators.staging import small_batches, staged
 
 #: Whether ``now`` goes on with the run of ``anchor``, after the row ``last``: rows as dicts of the columns looked at.
 GoesOn = Callable[[dict, dict, dict], bool]
@@ -37,6 +37,7 @@ def runs(rows: DataFrame, keys: list[str], order: list[str], mark: str, look: li
     """
     import pyarrow as pa
 
+    small_batches(rows.sparkSession)
     look = list(dict.fromkeys([*keys, mark, *look]))
     kind = rows.schema[mark].dataType
     added = [T.StructField(name, kind), T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_ends", T.BinaryType())]

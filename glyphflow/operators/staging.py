@@ -41,3 +41,11 @@ def clear(spark: SparkSession) -> None:
     while _left:
         at = spark._jvm.org.apache.hadoop.fs.Path(_left.pop())
         at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python tasks take ``rows`` rows at a time, unless the session has another number than Spark's own: a batch is
+    held whole, as Arrow and as Python's objects, so what a worker holds would grow until partitions fill a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

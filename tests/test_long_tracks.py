@@ -23,3 +23,25 @@ def test_one_long_roi(spark, monkeypatch):
     assert bad.count() == N - 21 and bad.where("run <> want").limit(5).collect() == []
     assert 1 <= len(rounds) <= 8  # the notice lies over a dozen partitions
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_workers_hold_small_batches(spark):
+    """Python takes 1,000 rows of a fold at a time, whatever a partition holds, unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, most = spark.conf.get(key), 1 << 20
+    rows = spark.range(5000).select(F.lit("roi_0").alias("roi"), F.col("id").alias("frame"))
+
+    def goes_on(anchor, last, now):
+        import sys
+
+        assert sys._getframe(1).f_locals["batch"].num_rows <= most
+        return now["frame"] % 7 > 0
+
+    want = {k: k - k % 7 for k in range(5000)}
+    try:
+        for own, most, then in (("10000", 1000, "1000"), ("3000", 3000, "3000")):
+            spark.conf.set(key, own)
+            assert {r.frame: r.run for r in fold.runs(rows, ["roi"], ["frame"], "frame", [], goes_on, parts=1).collect()} == want
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, was)
