@@ -8,8 +8,10 @@ Then phrases with all bits set are counted exactly, by their text, in a grouped
 sketch then goes. Parts of a frequent phrase are at least as frequent, so their counts are all there. Scores, in exact
 whole numbers, and subsumption are joins over the frequent phrases.
 
-Within a task, the words of some megabytes of text are numbered and phrases counted as numbers, so what leaves it is one
-row for each phrase and slice of text. A sketch has a fixed size (``width`` counters in each of ``DEPTH`` rows; a task sends
+Within a task, the words of some megabytes of text are numbered and phrases counted as numbers. Counts of one slice of text
+after the other are summed by phrase before they leave the task (``HELD`` rows at most are held, then they are sent on), and
+there are no more tasks than cores take in two rounds. So what is shuffled, of sketches as of counts, goes by tasks times
+what each has, and the number of tasks doesn't grow with the text. A sketch has a fixed size (``width`` counters in each of ``DEPTH`` rows; a task sends
 those that it counted in, so no more than its text has phrases, and the driver and all tasks hold a bit each): with far
 more text than ``width`` is made for, fewer phrases are ruled out, and the last pass counts more, but nothing else changes.
 A language with most of the rows is one key of nothing but
@@ -28,6 +30,7 @@ from pyspark.sql import Window as W
 from glyphflow.llm._common import ascii_lower, stored
 
 LONGEST = 5
+HELD = 1 << 19  # rows of counts in a task
 DEPTH = 3
 MOST_WIDTH = 1 << 24
 BLOCK = 1 << 16  # counters of a sketch that are summed together
@@ -231,11 +234,36 @@ def _sketch(docs: DataFrame, width: int, least: int, pairs=None):
     return bits
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` in as many partitions as cores take in two rounds, or fewer: each sends a sketch and counts of its own."""
+    return docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, words, f) summed by all but f, as far as ``HELD`` of them reach."""
+    held, size = [], 0
+
+    def summed() -> pa.Table:
+        return pa.Table.from_batches(held).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["lang", "phrase", "words", "f"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD:
+            whole = summed()
+            held, size = whole.to_batches(), whole.num_rows
+            if size >= HELD // 2:
+                yield from whole.to_batches(max_chunksize=1 << 16)
+                held, size = [], 0
+    if held:
+        yield from summed().to_batches(max_chunksize=1 << 16)
+
+
 def _survivors(docs: DataFrame, pairs, longer, width: int) -> DataFrame:
-    """lang, phrase, words, f: one row for each slice of text; words 0: all words of the language."""
+    """lang, phrase, words, f: summed within a task (``_summed``); words 0: all words of the language."""
     sent = docs.sparkSession.sparkContext.broadcast((pairs, longer))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.compute as pc
 
@@ -254,6 +282,9 @@ def _survivors(docs: DataFrame, pairs, longer, width: int) -> DataFrame:
                 if use.any():
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), phrases, pa.array(np.full(len(lang), k, np.int32)), pa.array(times[use].astype(np.int64))], names=["lang", "phrase", "words", "f"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed(found(batches))
+
     return docs.mapInArrow(count, "lang string, phrase string, words int, f long")
 
 
@@ -276,6 +307,7 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, within: int = 100,
     docs = docs.select(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     if width is None:
         width = width_for(docs.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0, least)
+    docs = _dealt(docs)
     pairs = _sketch(docs, width, least)
     counts = _survivors(docs, pairs, _sketch(docs, width, least, pairs), width).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
     counts = stored(counts, "counts")

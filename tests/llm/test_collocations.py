@@ -95,3 +95,27 @@ def test_hashes_do_not_depend_on_the_array():
     words = pa.array(["b", "", "abc", "é", "cba"])
     assert (collocations._hashes(words)[1:4] == collocations._hashes(words.slice(1, 3))).all()
     assert len(set(collocations._hashes(words).tolist())) == 5 and collocations._hashes(words).dtype == np.uint64
+
+
+def test_a_task_sums_its_slices(spark):
+    """Three slices of text in a task leave one row a phrase, not three; and more partitions than cores take aren't kept."""
+    text = "a b c d. " * 12_000
+    docs = spark.range(0, 200, 1, 1).select(F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    bits = np.full(collocations.DEPTH * collocations.BLOCK // 8, 255, np.uint8)
+    rows = [tuple(r) for r in collocations._survivors(docs, bits, bits, collocations.BLOCK).collect()]
+    phrases = [" ".join("abcd"[i:j]) for i in range(4) for j in range(i + 1, 5)]
+    n = 200 * 12_000
+    assert sorted(rows) == sorted([("en", "", 0, 4 * n), *(("en", p, len(p.split()), n) for p in phrases)])
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert collocations._dealt(docs.repartition(5 * most)).rdd.getNumPartitions() == most
+
+
+def test_sums_are_sent_on_before_they_grow(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "HELD", 20)
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"] * 3, "phrase": ["a", "b", f"c{k}"], "words": pa.array([1] * 3, pa.int32()), "f": [1, 2, 3]}) for k in range(40)]
+    out = list(collocations._summed(iter(batches)))
+    sums = pa.Table.from_batches(out).to_pandas().groupby("phrase").f.sum().to_dict()
+    assert sums == {"a": 40, "b": 80} | {f"c{k}": 3 for k in range(40)}
+    assert max(b.num_rows for b in out) < 20 + 3 and sum(b.num_rows for b in out) < 100
