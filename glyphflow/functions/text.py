@@ -69,12 +69,16 @@ def mainly_unspaced(text: Column, threshold: float = 0.5) -> Column:
 
 
 def is_noise(body: Column) -> Column:
-    z = squeeze(F.regexp_replace(F.replace(F.coalesce(body, F.lit("")), F.lit("\r"), F.lit("")), r"\\[nN]", ""))
-    coded = z.rlike(r"^(?:[0-9]+[A-Za-z]+|[A-Za-z]+[0-9]+)$")
-    return (
-        F.when(z == "", True).when(z.rlike(r"^[()\[\]{}（）【】]+$"), True).when(z.rlike(r"^[0-9]+$"), True)
-        .when(coded, F.length(z) <= 4).otherwise((F.length(z) == 1) & ~z.isin("，", "。", "！", "？", ".", "!", "?"))
-    )
+    bare = squeeze(F.regexp_replace(F.replace(F.coalesce(body, F.lit("")), F.lit("\r"), F.lit("")), r"\\[nN]", ""))
+
+    def noise(z: Column) -> Column:
+        coded = z.rlike(r"^(?:[0-9]+[A-Za-z]+|[A-Za-z]+[0-9]+)$")
+        return (
+            F.when(z == "", True).when(z.rlike(r"^[()\[\]{}（）【】]+$"), True).when(z.rlike(r"^[0-9]+$"), True)
+            .when(coded, F.length(z) <= 4).otherwise((F.length(z) == 1) & ~z.isin("，", "。", "！", "？", ".", "!", "?"))
+        )
+
+    return let(bare, noise)
 
 
 def subsequence(a: str, b: str, least: int = 0) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from glyphflow.functions import text as T
 from glyphflow.functions import timefmt
 from glyphflow.operators import fold
-from glyphflow.operators.segment import same_track, track_of
+from glyphflow.operators.segment import track_of
 
 MAX_GAP, OVERLAP_SEC, NEAR_PX, RATIO = 4.0, -0.12, 24, 0.78
 FRAGMENT_GAP = 0.35
@@ -82,16 +82,16 @@ def merge_neighbours(events: DataFrame, max_gap: float = MAX_GAP, least: float =
     asks = lambda c: F.when(near & close, F.col(c))  # noqa: E731  the others' texts needn't go through Python
     joins = F.coalesce(T.bodies_similar(asks("p_canon"), asks("canon"), least), F.lit(False))
     e = e.withColumn("island", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    at = position(F.col("tags"))
-    votes = e.withColumn("at", at).groupBy(*keys, "island", "canon").agg(F.count(F.lit(1)).alias("votes"), F.max(F.struct(F.length("body").alias("n"), (-F.col("seq")).alias("s"), "body"))["body"].alias("body"))
-    texts = [c for c in ("start_time", "end_time") if c in events.columns]
-    best = votes.groupBy(*keys, "island").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", "body"))["body"].alias("body"))
-    span = e.withColumns({"x": at["x"], "y": at["y"]}).groupBy(*keys, "island").agg(
+    # bodies vote by how often their canonical text stands in the island, then by its length and order; the longest of those is taken
+    votes = F.count(F.lit(1)).over(W.partitionBy(*keys, "island", "canon"))
+    best = F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("canon")).alias("l"), "canon", (-F.length("body")).alias("n"), "seq", "body"))["body"]
+    at, texts = position(F.col("tags")), [c for c in ("start_time", "end_time") if c in events.columns]
+    span = e.withColumns({"votes": votes, "x": at["x"], "y": at["y"]}).groupBy(*keys, "island").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_start", "seq", "start_sec", "style", "tags", *texts[:1])).alias("head"), F.max(F.struct("_start", "seq", "end_sec", *texts[1:])).alias("tail"),
-        upper_median_of("x").cast("int").alias("x"), upper_median_of("y").cast("int").alias("y"),
+        upper_median_of("x").cast("int").alias("x"), upper_median_of("y").cast("int").alias("y"), best.alias("body"),
     )
     tags = F.when((F.col("n") > 1) & (F.col("head.style") == "Scene") & F.col("x").isNotNull(), F.format_string(r"{\an5\pos(%d,%d)}", "x", "y")).otherwise(F.col("head.tags"))
-    return span.alias("a").join(best.alias("b"), same_track([*keys, "island"])).select(*(F.col(f"a.{c}") for c in [*keys, "island"]), F.col("head.start_sec").alias("start_sec"), F.col("tail.end_sec").alias("end_sec"), *[F.col(f"{side}.{c}") for side, c in zip(("head", "tail"), texts)], F.col("head.style").alias("style"), tags.alias("tags"), "body", "n")
+    return span.select(*keys, "island", F.col("head.start_sec").alias("start_sec"), F.col("tail.end_sec").alias("end_sec"), *[F.col(f"{side}.{c}") for side, c in zip(("head", "tail"), texts)], F.col("head.style").alias("style"), tags.alias("tags"), "body", "n")
 
 
 def fragment_groups(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,19 +66,26 @@ def _alike(a: str, b: str) -> bool:
     """Both hold text, and twice the common subsequence is enough of the total length."""
     if not a or not b or 2 * min(len(a), len(b)) < SIMILAR * (len(a) + len(b)):
         return False
+    if 2 * sum(map(operator.eq, a, b)) / (len(a) + len(b)) >= SIMILAR:  # what agrees place by place is a common subsequence
+        return True
     return 2 * T.subsequence(a, b, int(SIMILAR * (len(a) + len(b)) / 2)) / (len(a) + len(b)) >= SIMILAR
 
 
 def _goes_on(anchor: dict, last: dict, now: dict) -> bool:
-    """Lines of a frame come in order of box top; ``texts`` are sorted, ``by_text`` and ``by_top`` are joined without spaces."""
-    gap = now["frame"] - last["frame"]
-    if not 1 <= gap <= BRIDGE_FRAMES or len(anchor["texts"]) != len(now["texts"]):
+    """``texts``, ``x`` and ``y`` are those of the lines of a frame, in order of box top."""
+    gap, own, texts = now["frame"] - last["frame"], anchor["texts"], now["texts"]
+    if not 1 <= gap <= BRIDGE_FRAMES or len(own) != len(texts):
         return False
     near = lambda: all((p - q) ** 2 + (r - s) ** 2 <= NEAR_PX**2 for p, q, r, s in zip(anchor["x"], now["x"], anchor["y"], now["y"]))
-    same = anchor["texts"] == now["texts"]
+    bare = lambda a: "".join(t for t in a if t is not None).replace(" ", "")
+    if own == texts:
+        same = True
+    else:
+        a, b = (sorted(c, key=lambda t: (t is None, t or "")) for c in (own, texts))
+        same = a == b
     if gap == 1:
-        return near() if same else _alike(anchor["by_text"], now["by_text"])
-    x, y, dt = anchor["by_top"], now["by_top"], now["time_sec"] - last["time_sec"]
+        return near() if same else _alike(bare(a), bare(b))
+    x, y, dt = bare(own), bare(texts), now["time_sec"] - last["time_sec"]
     if not x or len(x) != len(y) or (last["time_sec"] > 0 and now["time_sec"] > 0 and dt > BRIDGE_SEC):
         return False
     return (same or _alike(x, y)) and near()
@@ -91,9 +100,8 @@ def marked(framed: DataFrame, parts: int | None = None) -> DataFrame:
     """
     keys = track_of(framed)
     rows = framed.where(F.size("lines") > 0).select(*keys, F.col("frame").cast("long").alias("frame"), "time_sec", by_top(F.col("lines")).alias("lines"))
-    texts, flat = F.transform("lines", lambda m: m["text"]), lambda a: F.replace(F.array_join(a, ""), F.lit(" "), F.lit(""))
-    seen = {"texts": F.array_sort(texts), "by_text": flat(F.array_sort(texts)), "by_top": flat(texts), "x": F.transform("lines", lambda m: m["x"]), "y": F.transform("lines", lambda m: m["y"])}
-    return fold.runs(rows.withColumns(seen), keys, ["frame"], "frame", ["time_sec", *seen], _goes_on, parts=parts).drop(*seen)
+    seen = {"texts": F.col("lines.text"), "x": F.col("lines.x"), "y": F.col("lines.y")}
+    return fold.runs(rows, keys, ["frame"], "frame", ["time_sec"], _goes_on, parts=parts, seen=seen)
 
 
 def groups(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
@@ -107,7 +115,9 @@ def groups(framed: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
     from glyphflow.operators.merge import upper_median_of
 
     keys, timed = track_of(framed), marked(framed).withColumn("t", F.when(F.col("time_sec") > 0, F.col("time_sec")))
-    step = F.col("t") - F.lag("t").over(W.partitionBy(*keys, "run", F.col("t").isNull()).orderBy("t"))
+    # rows without a time come last, so none stands between two others; runs are dealt once, with the lines of one frame
+    step = F.col("t") - F.lag("t").over(W.partitionBy(*keys, "run").orderBy(F.col("t").asc_nulls_last()))
+    timed = timed.withColumn("lines", F.when(F.col("frame") == F.col("run"), F.col("lines")))
     g = timed.withColumn("step", F.when(step > 0, step)).groupBy(*keys, F.col("run").alias("start_frame")).agg(
         F.max("frame").alias("end_frame"),
         F.count(F.lit(1)).alias("n_frames"),

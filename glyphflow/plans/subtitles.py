@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import timefmt
 from glyphflow.operators import classify, merge, profile, segment
+from glyphflow.operators.staging import staged
 from glyphflow.sources import writers
 
 
@@ -32,7 +33,7 @@ def raw_events(lines: DataFrame, height: int = 100, fps: float = 25.0) -> DataFr
     groups = segment.groups(segment.frames(segment.readable(lines)))
     y = profile.centre_y(F.col("lines"))
     placed = groups.withColumns({"group_id": F.col("start_frame"), "y": y, "location": profile.location(y, F.lit(height)), "height": profile.text_height(F.col("lines"))})
-    kept = profile.drop_outliers(placed)
+    kept = profile.drop_outliers(staged(placed, "groups"))  # which reads them several times
     spoken = F.col("start_sec").isNotNull()
     end = F.when(spoken, F.col("last_sec") + F.coalesce("step", F.lit(1.0 / fps if fps > 0 else 0.04))).otherwise((F.col("end_frame") + 1) / fps)
     start = F.when(spoken, F.col("start_sec")).otherwise(F.col("start_frame") / fps)
