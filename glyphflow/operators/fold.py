@@ -154,7 +154,7 @@ def _rows(batch, columns: list[str]) -> Iterator[dict]:
     import pyarrow as pa
 
     def values(a) -> list:
-        if a.null_count == 0 and (pa.types.is_integer(a.type) or pa.types.is_floating(a.type)):
+        if pa.types.is_string(a.type) or a.null_count == 0 and (pa.types.is_integer(a.type) or pa.types.is_floating(a.type)):
             return a.to_numpy(zero_copy_only=False).tolist()
         if a.null_count == 0 and pa.types.is_list(a.type):
             own, cuts = values(a.values), a.offsets.to_numpy().tolist()

@@ -71,24 +71,33 @@ def _alike(a: str, b: str) -> bool:
     return 2 * T.subsequence(a, b, int(SIMILAR * (len(a) + len(b)) / 2)) / (len(a) + len(b)) >= SIMILAR
 
 
+def _near(a: dict, b: dict) -> bool:
+    for p, q, r, s in zip(a["x"], b["x"], a["y"], b["y"]):
+        if not (p - q) ** 2 + (r - s) ** 2 <= NEAR_PX**2:
+            return False
+    return True
+
+
+def _sorted(texts: list) -> list:
+    return sorted(texts, key=lambda t: (t is None, t or "")) if None in texts else sorted(texts)
+
+
+def _bare(texts: list) -> str:
+    return "".join([t for t in texts if t is not None] if None in texts else texts).replace(" ", "")
+
+
 def _goes_on(anchor: dict, last: dict, now: dict) -> bool:
     """``texts``, ``x`` and ``y`` are those of the lines of a frame, in order of box top."""
     gap, own, texts = now["frame"] - last["frame"], anchor["texts"], now["texts"]
     if not 1 <= gap <= BRIDGE_FRAMES or len(own) != len(texts):
         return False
-    near = lambda: all((p - q) ** 2 + (r - s) ** 2 <= NEAR_PX**2 for p, q, r, s in zip(anchor["x"], now["x"], anchor["y"], now["y"]))
-    bare = lambda a: "".join(t for t in a if t is not None).replace(" ", "")
-    if own == texts:
-        same = True
-    else:
-        a, b = (sorted(c, key=lambda t: (t is None, t or "")) for c in (own, texts))
-        same = a == b
+    same = own == texts or _sorted(own) == _sorted(texts)
     if gap == 1:
-        return near() if same else _alike(bare(a), bare(b))
-    x, y, dt = bare(own), bare(texts), now["time_sec"] - last["time_sec"]
+        return _near(anchor, now) if same else _alike(_bare(_sorted(own)), _bare(_sorted(texts)))
+    x, y, dt = _bare(own), _bare(texts), now["time_sec"] - last["time_sec"]
     if not x or len(x) != len(y) or (last["time_sec"] > 0 and now["time_sec"] > 0 and dt > BRIDGE_SEC):
         return False
-    return (same or _alike(x, y)) and near()
+    return (same or _alike(x, y)) and _near(anchor, now)
 
 
 def marked(framed: DataFrame, parts: int | None = None) -> DataFrame:
